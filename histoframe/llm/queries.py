@@ -7,8 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from histoframe.llm.html_layout import extract_text
+from histoframe.llm.inner_product import nearest_by_inner_product
 from histoframe.llm.merges import bpe_round_trip
 from histoframe.llm.packing import pack_documents
+from histoframe.llm.quality import quality_report
+from histoframe.llm.secrets import scan_secrets, train
 from histoframe.llm.token_files import token_files
 
 #: Vocabulary files; operators take their paths as parameters.
@@ -24,16 +28,33 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return scan_secrets(docs, train(docs))
+
+
+def op7_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_inner_product(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_files, op4_merge_replay, op10_packing)
+    found = (op1_token_files, op3_compression_bands, op4_merge_replay, op6_secret_scan, op7_inner_product, op8_html_layout, op10_packing)
     return {f.__name__: f for f in found}
 
 
