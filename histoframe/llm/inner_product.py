@@ -28,7 +28,7 @@ BLOCK = 8_192
 CHUNK = 1_024
 RERANK = 160
 THRESHOLD = 0.2  # cosine from which neighbours count, which sets eta
-LIST_RECALL = 0.99
+LIST_RECALL = 0.997
 
 
 @dataclass

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from histoframe.llm.html_layout import extract_text
 from histoframe.llm.inner_product import nearest_by_inner_product
+from histoframe.llm.language_model import score_documents
 from histoframe.llm.merges import bpe_round_trip
 from histoframe.llm.packing import pack_documents
 from histoframe.llm.quality import quality_report
@@ -36,6 +37,10 @@ def op4_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return scan_secrets(docs, train(docs))
@@ -54,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_files, op3_compression_bands, op4_merge_replay, op6_secret_scan, op7_inner_product, op8_html_layout, op10_packing)
+    found = (op1_token_files, op3_compression_bands, op4_merge_replay, op5_language_model, op6_secret_scan, op7_inner_product, op8_html_layout, op10_packing)
     return {f.__name__: f for f in found}
 
 
