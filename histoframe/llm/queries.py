@@ -11,6 +11,7 @@ from histoframe.llm.html_layout import extract_text
 from histoframe.llm.inner_product import nearest_by_inner_product
 from histoframe.llm.language_model import score_documents
 from histoframe.llm.merges import bpe_round_trip
+from histoframe.llm.near_dedup import near_duplicates
 from histoframe.llm.packing import pack_documents
 from histoframe.llm.quality import quality_report
 from histoframe.llm.secrets import scan_secrets, train
@@ -54,12 +55,16 @@ def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_files, op3_compression_bands, op4_merge_replay, op5_language_model, op6_secret_scan, op7_inner_product, op8_html_layout, op10_packing)
+    found = (op1_token_files, op3_compression_bands, op4_merge_replay, op5_language_model, op6_secret_scan, op7_inner_product, op8_html_layout, op9_tensored_minhash, op10_packing)
     return {f.__name__: f for f in found}
 
 
