@@ -15,6 +15,7 @@ from histoframe.llm.near_dedup import near_duplicates
 from histoframe.llm.packing import pack_documents
 from histoframe.llm.quality import quality_report
 from histoframe.llm.secrets import scan_secrets, train
+from histoframe.llm.suffix_dedup import repeat_report
 from histoframe.llm.token_files import token_files
 
 #: Vocabulary files; operators take their paths as parameters.
@@ -30,6 +31,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_files, op3_compression_bands, op4_merge_replay, op5_language_model, op6_secret_scan, op7_inner_product, op8_html_layout, op9_tensored_minhash, op10_packing)
+    found = (op1_token_files, op2_suffix_dedup, op3_compression_bands, op4_merge_replay, op5_language_model, op6_secret_scan, op7_inner_product, op8_html_layout, op9_tensored_minhash, op10_packing)
     return {f.__name__: f for f in found}
 
 
