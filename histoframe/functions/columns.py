@@ -35,7 +35,7 @@ def safe_names(names: DataFrame, column: str, order: str, partition: tuple[str,
     base = names.withColumn("_base", clean_name(F.col(column)))
     place = F.row_number().over(Window.partitionBy(*partition, "_base").orderBy(order)) - 1
     named = base.withColumn("_place", place).withColumn("safe_name", F.when(F.col("_place") == 0, F.col("_base")).otherwise(F.concat_ws("_", "_base", "_place")))
-    again = F.row_number().over(Window.partitionBy(*partition, "safe_name").orderBy("_place", order)) - 1
+    again = F.row_number().over(Window.partitionBy(*partition, "safe_name").orderBy(order)) - 1
     return named.withColumn("safe_name", F.when(again == 0, F.col("safe_name")).otherwise(F.concat_ws("_", "safe_name", again))).drop("_base", "_place")
 
 
