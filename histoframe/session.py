@@ -39,3 +39,10 @@ def ship_package(spark: SparkSession) -> None:
     shutil.copytree(ROOT / "histoframe", f"{stage}/src/histoframe", ignore=shutil.ignore_patterns("__pycache__"))
     spark.sparkContext.addPyFile(shutil.make_archive(f"{stage}/histoframe", "zip", f"{stage}/src"))
     _shipped.add(app)
+
+
+def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Smaller Arrow batches for tables of long texts, where the session has Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
