@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,3 +166,60 @@ def align_types(counts: DataFrame, how: str = "union", key: str = "method", valu
         return counts.join(shared, "cell_type", "left_semi")
     grid = counts.select("cell_type").distinct().crossJoin(F.broadcast(methods))  # a few methods
     return grid.join(counts, ["cell_type", key], "left").fillna(0, [value])
+
+
+def _clip(ring: list[tuple[float, float]], width: float, height: float) -> list[tuple[float, float]]:
+    """A polygon cut to the rectangle from (0, 0): one half-plane after another."""
+    for axis, limit, sign in ((0, 0.0, 1), (0, width, -1), (1, 0.0, 1), (1, height, -1)):
+        out = []
+        for k, p in enumerate(ring):
+            q = ring[k - 1]
+            a, b = sign * (q[axis] - limit), sign * (p[axis] - limit)
+            if (a >= 0) != (b >= 0):
+                t = a / (a - b)
+                out.append((q[0] + t * (p[0] - q[0]), q[1] + t * (p[1] - q[1])))
+            if b >= 0:
+                out.append(p)
+        ring = out
+    return ring
+
+
+def _simplify(points: list[tuple[float, float]], eps: float) -> list[tuple[float, float]]:
+    """The fewest of the points that stay within eps of the line, by splitting at the furthest one; an explicit stack."""
+    if eps <= 0 or len(points) <= 2:
+        return points
+    keep, stack = {0, len(points) - 1}, [(0, len(points) - 1)]
+    while stack:
+        a, b = stack.pop()
+        (x0, y0), (x1, y1) = points[a], points[b]
+        length2 = (x1 - x0) ** 2 + (y1 - y0) ** 2
+        worst, at = -1.0, None
+        for k in range(a + 1, b):
+            x, y = points[k]
+            t = 0.0 if length2 == 0 else min(1.0, max(0.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / length2))
+            d = ((x - x0 - t * (x1 - x0)) ** 2 + (y - y0 - t * (y1 - y0)) ** 2) ** 0.5
+            if d > worst:
+                worst, at = d, k
+        if at is not None and worst > eps:
+            keep.add(at)
+            stack += [(a, at), (at, b)]
+    return [points[k] for k in sorted(keep)]
+
+
+def prepare_regions(regions: DataFrame, eps: float, width: float, height: float) -> DataFrame:
+    """Rings simplified, then cut to the image and closed; rings with fewer than four points then are dropped. Adds bbox."""
+    place = regions.columns.index("ring")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                ring = [(p["x"], p["y"]) for p in row["ring"] or ()]
+                ring = _clip(_simplify(ring, eps), width, height)
+                if len(ring) >= 3:
+                    row["ring"] = [{"x": x, "y": y} for x, y in [*ring, ring[0]]]
+                    rows.append(row)
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, batch.schema)
+
+    return regions.mapInArrow(run, regions.schema).withColumn("bbox", bounding_box(F.col(regions.columns[place])))

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from histoframe.operators import normalize as N
 from histoframe.operators import regions as R
 from histoframe.operators import runs as L
 from histoframe.operators import thresholds as T
+from histoframe.operators import labels as B
+from histoframe.operators import neighbors as K
+from histoframe.operators import tiles as I
 from histoframe.operators.neighbors import knn, within
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -542,3 +547,61 @@ def flowsom(spark, sf_dir):
 @query()
 def silhouette(spark, sf_dir):
     return C.silhouette(*clustered(spark, sf_dir))
+
+
+@query()
+def hierarchical(spark, sf_dir):
+    return C.hierarchical(clustered(spark, sf_dir)[0], 8, "average", "cosine", micro=60)
+
+
+@query()
+def dbscan(spark, sf_dir):
+    return K.dbscan(clustered(spark, sf_dir)[0], eps=0.9, min_samples=5)
+
+
+@query()
+def louvain(spark, sf_dir):
+    return K.louvain(clustered(spark, sf_dir)[0], 0.5, k=10)
+
+
+@query()
+def phenograph(spark, sf_dir):
+    return K.phenograph(clustered(spark, sf_dir)[0], k=12)
+
+
+@query()
+def label_components(spark, sf_dir):
+    return B.connected_components(_binary(spark, sf_dir))
+
+
+EDGE = 64
+
+
+def embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as an image, a row a vector, in tiles."""
+
+    def pack(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["y"].to_numpy())
+        plane = np.array(rows["embedding"].to_pylist(), "<f4")[order]
+        ty, h, w = rows["ty"][0].as_py(), *plane.shape
+        row = {"image_id": "e", "level": 0, "channel_idx": 0, "ty": ty, "tx": 0, "y0": ty * EDGE, "x0": 0, "h": h, "w": w, "dtype": "float32", "pixels": plane.tobytes()}
+        return pa.Table.from_pylist([row], pa.schema([("image_id", pa.string()), *((c, pa.int32()) for c in ("level", "channel_idx", "ty", "tx", "y0", "x0", "h", "w")), ("dtype", pa.string()), ("pixels", pa.binary())]))
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), F.floor(F.col("vec_id") / EDGE).cast("int").alias("ty"), "embedding")
+    return rows.groupBy("ty").applyInArrow(pack, "image_id string, level int, channel_idx int, ty int, tx int, y0 int, x0 int, h int, w int, dtype string, pixels binary")
+
+
+@query("""WITH p AS (SELECT vec_id AS y, CAST(k - 1 AS INT) AS x, embedding[k] AS v FROM embeddings, range(1, 65) r(k)), e AS (SELECT max(y) AS my FROM p),
+n AS (SELECT y, x, unnest([y, greatest(y - 1, 0), least(y + 1, my), y, y]) AS ny, unnest([x, x, x, greatest(x - 1, 0), least(x + 1, 63)]) AS nx FROM p, e)
+SELECT n.y, n.x, round(median(CAST(p.v AS DOUBLE)), 5) + 0.0 AS value FROM n JOIN p ON p.y = n.ny AND p.x = n.nx GROUP BY 1, 2""")
+def tile_median(spark, sf_dir):
+    out = I.pixel_values(I.median(embedding_tiles(spark, sf_dir), EDGE, 3))
+    return rounded(out.select(F.col("y").cast("long").alias("y"), "x", "value"), 5)
+
+
+@query("SELECT vec_id AS y, CAST(k - 1 AS INT) AS x, round((CAST(embedding[k] AS DOUBLE) + CAST(embedding[k] AS DOUBLE)) / 2, 5) + 0.0 AS value FROM embeddings, range(1, 65) r(k)")
+def tile_merge(spark, sf_dir):
+    tiles = embedding_tiles(spark, sf_dir)
+    both = tiles.unionByName(tiles.withColumn("channel_idx", F.lit(1)))
+    out = I.pixel_values(I.retile(I.merge_channels(both, 0, 1, 2), 48))
+    return rounded(out.select(F.col("y").cast("long").alias("y"), "x", "value"), 5)

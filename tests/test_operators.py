@@ -19,7 +19,7 @@ from histoframe.operators import regions as R
 from histoframe.operators import runs as L
 from histoframe.operators import thresholds as T
 from histoframe.operators import tiles as I
-from histoframe.sources import catalog, geojson, shapes, tables, zarr_tiles
+from histoframe.sources import catalog, geojson, project, shapes, tables, zarr_tiles
 from histoframe.streaming import incremental
 
 RUN = "mask_id string, y long, x0 long, x1 long, label long"
@@ -144,6 +144,17 @@ def test_rasterize_matches_even_odd(spark):
     assert (got == want).all()
 
 
+def test_prepared_regions(spark):
+    ring = [(-5.0, 2.0), (3.0, 2.0), (3.01, 4.0), (3.0, 6.0), (-5.0, 6.0)]
+    rows = [("a", [{"x": x, "y": y} for x, y in ring]), ("b", [{"x": 90.0, "y": 90.0}, {"x": 95.0, "y": 90.0}, {"x": 95.0, "y": 95.0}]), ("c", None)]
+    df = spark.createDataFrame(rows, "region string, ring array<struct<x:double,y:double>>")
+    got = R.prepare_regions(df, 0.5, 10, 10).collect()
+    assert [r.region for r in got] == ["a"]
+    points = [(p.x, p.y) for p in got[0].ring]
+    assert points[0] == points[-1] and set(points) == {(0.0, 2.0), (3.0, 2.0), (3.0, 6.0), (0.0, 6.0)}
+    assert (got[0].bbox.x0, got[0].bbox.x1) == (0.0, 3.0)
+
+
 def test_expand_clean_and_contours(spark):
     p = np.zeros((20, 24), np.int32)
     p[5:8, 5:8], p[12:15, 16:20] = 3, 4
@@ -347,6 +358,13 @@ def test_zarr_round_trip_and_edges(spark, tmp_path):
         assert (image_from(df.where(F.col("channel_idx") == c), (5, 7)) == whole[c]).all()
     (tmp_path / "s.zarr/images/s001/0/c/1/1/1").unlink()
     assert image_from(df.where("channel_idx = 1 and ty = 1 and tx = 1"), (5, 7)).sum() == 0
+    meta = {"labels/m": {"attributes": {"key": "Cells"}}, "labels/m/0": {"shape": [5, 7]}, "opal_aux/x": {"shape": [35], "attributes": {"original_shape": [5, 7]}}}
+    (tmp_path / "s.zarr/zarr.json").write_text(json.dumps({"attributes": {"schema_version": 1}, "consolidated_metadata": {"metadata": meta}}))
+    found = {r.key: (r.section, r.original_shape) for r in project.read_project(spark, store).collect()}
+    assert found == {"Cells": ("labels", [5, 7]), "x": ("opal_aux", [5, 7])}
+    (tmp_path / "s.zarr/zarr.json").write_text(json.dumps({"attributes": {"schema_version": 9}, "consolidated_metadata": {"metadata": meta}}))
+    with pytest.raises(ValueError):
+        project.read_project(spark, store)
     cut = zarr_tiles.read_window(df, 0, 1, 5, 2, 6)
     assert (image_from(cut, (5, 7))[1:5, 2:6] == whole[0][1:5, 2:6]).all()
     maxima = M.channel_maxima(I.pixel_values(df.where("channel_idx = 0")), "channel_idx")
