@@ -27,6 +27,7 @@ from histoframe.operators import labels as B
 from histoframe.operators import neighbors as K
 from histoframe.operators import tiles as I
 from histoframe.operators.neighbors import knn, within
+from histoframe.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,6 +46,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
