@@ -8,9 +8,10 @@ a collection: with chance 2 (1 - s^rows)^tables at most, which `tables` is chose
 Texts with equal shingle sets are one class, found by a grouping; only classes are searched. Keys that one class alone has
 go before the tables are formed. Each bucket first links its classes to one representative, the best for each class;
 confirmed links give components. Then classes of different components in one bucket are compared with each other, in
-blocks inside tasks, on sketches that a linked pair passes but for a chance below one in 10^8; what passes is confirmed.
-Every link is confirmed on full shingle sets. So no pairs of a group are written out, and no link between two different
-components is lost to a cap.
+blocks inside tasks, on sketches that a linked pair passes but for a chance below one in 10^8; components that are alike
+so are a family. Within a family, blocks of classes are compared with each other on their full sets, a matrix product a
+pair of blocks, but for blocks of one component. Tasks return which components belong together, never pairs: so no pairs
+of a group are written out, and no link between two different components is lost to a cap.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from histoframe.llm.components import connected_components
+from histoframe.operators.components import connected_components
 from histoframe.llm.encoder import slices
 from histoframe.llm.hashing import mix, word_hashes
 from histoframe.scratch import Scratch
@@ -31,6 +32,7 @@ from histoframe.scratch import Scratch
 ROWS = 3
 MISS = 1e-4
 BLOCK = 256
+FAMILY_BLOCK = 512
 SLICE = 1_000_000
 _ODD = np.random.default_rng(9).integers(0, 1 << 63, (2, 512), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -140,53 +142,113 @@ def _star_scores(percent: int, tables: int):
     return run
 
 
-def _cross_pairs(percent: int, tables: int):
-    """Pairs of different components that pass the sketch, from rows sorted by group."""
-
-    def compare(ids, comps, sizes, sketches, sides) -> Iterator[np.ndarray]:
-        x, y = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)  # 2: both sides of a block with itself
-        same = np.zeros((len(x), len(y)), np.int16)
-        for k in range(sketches.shape[1]):
-            same += sketches[x, k][:, None] == sketches[y, k][None]
-        ok = same >= _alike(percent, tables)
-        ok &= comps[x][:, None] != comps[y][None]
-        small, large = np.minimum(sizes[x][:, None], sizes[y][None]), np.maximum(sizes[x][:, None], sizes[y][None])
-        ok &= 100 * small >= percent * large
-        i, j = np.nonzero(ok)
-        i, j = ids[x[i]], ids[y[j]]
-        yield np.stack([np.minimum(i, j), np.maximum(i, j)])
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Groups of rows that are sorted by the keys; only the last group at hand is held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch])
+        values = [rows[c].to_numpy() for c in keys]
+        cuts = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
+        at = 0
+        for cut in cuts.tolist():
+            yield rows.slice(at, cut - at).combine_chunks()
+            at = cut
+        held = rows.slice(at).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _joined(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Components that a matrix of linked rows and columns brings together, each with the smallest one it reaches."""
+    names, of = np.unique(np.concatenate([left, right]), return_inverse=True)
+    x, y = of[: len(left)], of[len(left) :]
+    label = np.arange(len(names))
+    none = len(names)
+    while True:
+        now = label.copy()
+        np.minimum.at(now, y, np.where(linked, now[x][:, None], none).min(0, initial=none))
+        np.minimum.at(now, x, np.where(linked, now[y][None], none).min(1, initial=none))
+        if (now == label).all():
+            break
+        label = now
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[moved], names[label[moved]]
+
+
+def _alike_groups(percent: int, tables: int):
+    """Components that may be linked: in a bucket's block pair, those joined by pairs that pass size and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            group = [rows[c].to_numpy() for c in ("bucket", "lo", "hi")]
-            ids, comps, sizes, sides = (rows[c].to_numpy() for c in ("id", "component", "n", "side"))
+        for rows in _groups(batches, ("bucket", "lo", "hi")):
+            comps, sizes, sides = (rows[c].to_numpy() for c in ("component", "n", "side"))
             sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-            change = np.flatnonzero(np.any([np.diff(g) != 0 for g in group], axis=0)) + 1
-            cuts = [0, *change.tolist(), rows.num_rows]
-            found = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for p in compare(ids[a:b], comps[a:b], sizes[a:b], sketches[a:b], sides[a:b])]
-            if found:
-                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            x, y = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)  # 2: both sides of a block with itself
+            same = np.zeros((len(x), len(y)), np.int16)
+            for k in range(sketches.shape[1]):
+                same += sketches[x, k][:, None] == sketches[y, k][None]
+            small, large = np.minimum(sizes[x][:, None], sizes[y][None]), np.maximum(sizes[x][:, None], sizes[y][None])
+            a, b = _joined((same >= _alike(percent, tables)) & (100 * small >= percent * large), comps[x], comps[y])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # Rows of the last group may go on in the next batch; a group has 2 * BLOCK rows at most, nearly.
-            rows = pa.Table.from_batches([*held, batch])
-            last = [rows[c][rows.num_rows - 1].as_py() for c in ("bucket", "lo", "hi")]
-            same = np.all([rows[c].to_numpy() == v for c, v in zip(("bucket", "lo", "hi"), last, strict=True)], axis=0)
-            cut = int(np.argmax(same))
-            held = rows.slice(cut).combine_chunks().to_batches()
-            if cut:
-                yield from flush(rows.slice(0, cut).combine_chunks())
-        if held:
-            yield from flush(pa.Table.from_batches(held))
+
+def _linked_groups(percent: int):
+    """Components that are linked: in a family's block pair, all rows against all columns on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ("family", "lo", "hi")):
+            comps, sides = rows["component"].to_numpy(), rows["side"].to_numpy()
+            lists = rows["shingles"].combine_chunks()
+            sizes = np.diff(lists.offsets.to_numpy())
+            shingle = lists.flatten().to_numpy()
+            of = np.repeat(np.arange(rows.num_rows), sizes)
+            _, column, counts = np.unique(shingle, return_inverse=True, return_counts=True)
+            twice = counts[column] > 1  # what one text alone has is in no intersection
+            place = np.cumsum(counts > 1) - 1
+            column, of = place[column[twice]], of[twice]
+            x, y = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
+            shared = np.zeros((len(x), len(y)), np.float32)
+            order = np.argsort(column, kind="stable")
+            column, of = column[order], of[order]
+            width = 4096
+            for lo in range(0, int(counts[counts > 1].size), width):
+                a, b = np.searchsorted(column, (lo, lo + width))
+                dense = np.zeros((rows.num_rows, width), np.float32)
+                dense[of[a:b], column[a:b] - lo] = 1
+                shared += dense[x] @ dense[y].T
+            both = sizes[x][:, None] + sizes[y][None] - shared
+            a, b = _joined(100 * shared >= percent * both, comps[x], comps[y])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """(family, lo, hi, side, id, component): rows dealt to pairs of blocks of about FAMILY_BLOCK rows of a family.
+
+    A component of a block or more has blocks of its own, and no block pair within it is made.
+    """
+    sizes = rows.groupBy("family", "component").agg(F.count("*").alias("c"))
+    large = F.col("c") >= FAMILY_BLOCK
+    rest = sizes.where(~large).groupBy("family").agg(F.sum("c").alias("pool"))
+    placed = rows.join(sizes, ["family", "component"]).join(rest, "family", "left")
+    parts = F.ceil(F.when(large, F.col("c")).otherwise(F.col("pool")) / FAMILY_BLOCK)
+    owner = F.when(large, F.col("component"))
+    placed = placed.withColumn("block", F.xxhash64(F.coalesce(owner, F.lit(-1)), F.pmod(F.xxhash64("id"), parts))).withColumn("owner", owner)
+    blocks = placed.select("family", "block", "owner").distinct()
+    a, b = blocks.toDF("family", "lo", "owner_lo"), blocks.toDF("family", "hi", "owner_hi")
+    pairs = a.join(b, "family").where("lo <= hi and not coalesce(owner_lo = owner_hi, false)").select("family", "lo", "hi")
+    own = placed.select("family", "block", "id", "component")
+    left = own.join(pairs, (own.family == pairs.family) & (own.block == pairs.lo)).select(pairs.family, "lo", "hi", F.when(F.col("lo") == F.col("hi"), 2).otherwise(0).alias("side"), "id", "component")
+    right = own.join(pairs.where("lo < hi"), (own.family == pairs.family) & (own.block == pairs.hi)).select(pairs.family, "lo", "hi", F.lit(1).alias("side"), "id", "component")
+    return left.unionByName(right)
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id and kept, as links of `percent` or more join components.
 
@@ -225,19 +287,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     links = scratch.table(_confirmed(best, sets, percent), "links")
     parts = scratch.table(connected_components(links, scratch, "round-1"), "parts")
 
-    placed = met_in.select("bucket", "id", "members").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    component = F.coalesce("component", "id").alias("component")
+    placed = met_in.select("bucket", "id").join(parts.toDF("id", "component"), "id", "left").select("bucket", "id", component)
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y").select("bucket", "m")
     rows = placed.join(mixed, "bucket").join(light, "id")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "id", "component", "n", "sketch")
+    side = F.when(F.col("own") == F.col("other"), 2).when((F.col("own") < F.col("other")), 0).otherwise(1)
+    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "component", "n", "sketch")
     dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    crossing = scratch.table(dealt.mapInArrow(_cross_pairs(percent, tables), "a long, b long").distinct(), "crossing")
-    more = _confirmed(crossing, sets, percent)
-    links = scratch.table(links.union(more), "all-links")
-    parts = scratch.table(connected_components(links, scratch, "round-2"), "components")
+    maybe = scratch.table(dealt.mapInArrow(_alike_groups(percent, tables), "a long, b long").distinct(), "maybe")
+    families = scratch.table(connected_components(maybe, scratch, "families").toDF("component", "family"), "families")
+
+    nodes = active.select(F.col("doc_id").alias("id")).join(parts.toDF("id", "component"), "id", "left").select("id", component)
+    dealt = _block_pairs(nodes.join(families, "component")).join(sets, "id").select("family", "lo", "hi", "side", "component", "shingles")
+    dealt = dealt.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
+    more = scratch.table(dealt.mapInArrow(_linked_groups(percent), "a long, b long").distinct(), "more")
+    joined = connected_components(more, scratch, "round-2").toDF("component", "whole")
+    parts = scratch.table(nodes.join(joined, "component", "left").select(F.col("id").alias("node"), F.coalesce("whole", "component").alias("component")), "components")
 
     by_class = classes.select("set_a", "set_b", F.col("n").alias("n_shingles"), F.col("id").alias("node"))
     by_class = by_class.join(parts, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"))
