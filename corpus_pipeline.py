@@ -14,10 +14,13 @@ from histoframe.llm.quality import keep_passing
 from histoframe.llm.secrets import redact_secrets, train
 from histoframe.llm.suffix_dedup import cut_repeats
 from histoframe.scratch import Scratch
+from histoframe.session import bound_batches, ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the word rules and the compression bands pass."""
+    ship_package(spark)
+    bound_batches(spark)
     return keep_passing(docs)
 
 

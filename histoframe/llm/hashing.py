@@ -25,7 +25,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64 for i < n; kept for the next power of two."""
-    up, down = _powers(1 << max(20, (n - 1).bit_length()))
+    up, down = _powers(1 << max(18, (n - 1).bit_length()))
     return up[:n], down[:n]
 
 

@@ -37,7 +37,7 @@ HOT = 1_024
 BLOCK_BYTES = 150_000
 STEPS = (5, 4, 2, 1)
 SHARDS = 16
-SLICE = 1_000_000
+SLICE = 300_000
 PIECE = 1 << 20  # windows handled at once; below 2**24
 PLACE = np.uint64((1 << 24) - 1)
 OCCURRENCE = "anchor long, segment long, doc_id long, first int, last int, lead int"
