@@ -145,7 +145,7 @@ def test_rasterize_matches_even_odd(spark):
 
 
 def test_prepared_regions(spark):
-    ring = [(-5.0, 2.0), (3.0, 2.0), (3.01, 4.0), (3.0, 6.0), (-5.0, 6.0)]
+    ring = [(-5.0, 2.0), (0.5, 2.01), (3.0, 2.0), (3.0, 6.0), (-5.0, 6.0)]
     rows = [("a", [{"x": x, "y": y} for x, y in ring]), ("b", [{"x": 90.0, "y": 90.0}, {"x": 95.0, "y": 90.0}, {"x": 95.0, "y": 95.0}]), ("c", None)]
     df = spark.createDataFrame(rows, "region string, ring array<struct<x:double,y:double>>")
     got = R.prepare_regions(df, 0.5, 10, 10).collect()
