@@ -34,8 +34,8 @@ from histoframe.scratch import Scratch, open_fs, write_file
 
 DISCOUNT = 0.8
 CODE_RANGE = 8.0  # log10 probabilities are coded in steps of CODE_RANGE / 255 from 0 downwards
-BUFFER = 3_000_000
-SHARD_TOKENS = 3_000_000
+BUFFER = 1_000_000
+SHARD_TOKENS = 1_500_000
 SLICE = 1_000_000
 END = np.uint64(0x6E1F_0A55_93C4_27D1 >> 1)
 HALF = np.uint64(1)
@@ -337,7 +337,7 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame
         model = load_model(folder)
         for batch in batches:
             at = 0
-            for some in slices(batch.column(1).to_pylist(), 3 * SLICE):
+            for some in slices(batch.column(1).to_pylist(), 2 * SLICE):
                 n_tokens, n_known, base, score = score_texts(some, model)
                 part = batch.slice(at, len(some))
                 columns = [part.column(0), part.column(2), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(some), model[2]["tokens"], np.int64)), pa.array(base), pa.array(score)]
