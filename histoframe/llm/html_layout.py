@@ -1,8 +1,8 @@
 """Layout-aware text of web pages.
 
 A tolerant builder turns markup into a tree, written as properly nested open, text and close events: it closes what a new
-tag implies closed (paragraphs, list items, table parts, options), opens rows that cells lack, ignores stray end tags and
-closes the rest at the end. The renderer walks the tree and writes what a reader would see: hidden elements are left out;
+tag implies closed (paragraphs, list items, table parts, options, the head at what can't stand in it), opens rows that
+cells lack, ignores stray end tags and closes the rest at the end. Style sheets hide by their rules for the screen. The renderer walks the tree and writes what a reader would see: hidden elements are left out;
 blocks start on their own lines with blank lines where browsers put margins; lists have bullets or numbers and nest by
 indent; table cells stand in aligned columns; white space collapses except in preformatted text. All visible text is
 kept, navigation and footers included. Nothing recurses, so deep nesting is safe.
@@ -43,14 +43,21 @@ IMPLIED = {
     "tbody": (frozenset({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}), frozenset({"table"})),
     "tfoot": (frozenset({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}), frozenset({"table"})),
 }
+#: Tags that leave an open head open.
+IN_HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template html".split())
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "button", "object", "template"})
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z][^\s/>]*+[^>]*+>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS_SKIPPED = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.DOTALL)
+_CSS = re.compile(r"""[{};]|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'""", re.DOTALL)
+_AT_RULE = re.compile(r"@([\w-]+)(.*)", re.DOTALL)
 _SIMPLE = re.compile(r"[a-zA-Z][\w-]*|[.#][\w-]+")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
+BLANK = " \t\n\f\r"
+#: Media queries that hold on every screen; those with conditions don't hide text.
+SCREEN = frozenset({"", "all", "screen", "only all", "only screen", "not print"})
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -60,6 +67,38 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
+def _on_screen(queries: str) -> bool:
+    return any(" ".join(q.lower().split()) in SCREEN for q in queries.split(","))
+
+
+def screen_rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the style rules for every screen: those at the top, in layers and in such media."""
+    css, at = _CSS_SKIPPED.sub(" ", css), 0
+    blocks: list[tuple[str, str, list[str]]] = []
+    for m in _CSS.finditer(css):
+        part = css[at : m.start()]
+        if m[0] == "{":
+            prelude, kind = part.strip(), "skipped"
+            if not blocks or blocks[-1][0] == "group":
+                rule = _AT_RULE.match(prelude)
+                if rule is None:
+                    kind = "style"
+                elif rule[1].lower() == "layer" or rule[1].lower() == "media" and _on_screen(rule[2]):
+                    kind = "group"
+            blocks.append((kind, prelude, []))
+        elif m[0] == ";":
+            if blocks:
+                blocks[-1][2].append(part)
+        elif m[0] == "}":
+            if blocks:
+                kind, prelude, declarations = blocks.pop()
+                if kind == "style":
+                    yield prelude, ";".join([*declarations, part])
+        else:
+            continue
+        at = m.end()
+
+
 def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
     """The tree as ("open", tag, attribute source), ("text", "", text) and ("close", tag, "") events, properly nested."""
     stack: list[str] = []
@@ -77,17 +116,25 @@ def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
         return "open", tag, source
 
     at, end = 0, len(html)
+    head_over = False  # a head can't begin after other tags or text
     while at < end:
         m = _MARKUP.search(html, at)
+        stop = m.start() if m else end
+        if stop > at:
+            text = unescape(html[at:stop])
+            if text.strip(BLANK):
+                head_over = True
+                if stack and stack[-1] == "head":
+                    yield from close_to(len(stack) - 1)
+            yield "text", "", text
         if m is None:
-            yield "text", "", unescape(html[at:])
             break
-        if m.start() > at:
-            yield "text", "", unescape(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if stack and stack[-1] == "head" and (tag == "br" if m[1] else tag not in IN_HEAD):
+            yield from close_to(len(stack) - 1)
         if m[1]:
             if tag == "br":
                 yield from (("open", "br", ""), ("close", "br", ""))
@@ -101,6 +148,9 @@ def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
                     if stack[depth] in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
                         break
             continue
+        if tag == "head" and head_over:
+            continue
+        head_over = head_over or tag != "html"
         if tag in CLOSES_P and counts.get("p"):
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth] == "p":
@@ -212,13 +262,13 @@ def render(html: str | None) -> tuple[str, int]:
     hidden_depth, depth, preformatted, n_tables = 0, 0, 0, 0
     opened: list[tuple[str, bool]] = []
     hiding: set[str] = set()
-    in_style = False
+    in_style, unscripted = False, 0
     for kind, tag, value in tree_events(html or ""):
         if kind == "text":
             if in_style:
-                for m in _RULE.finditer(value):
-                    if _HIDING.search(m[2]):
-                        hiding.update(s.lower() for s in map(str.strip, m[1].split(",")) if _SIMPLE.fullmatch(s))
+                for selectors, declarations in screen_rules(value):
+                    if _HIDING.search(declarations):
+                        hiding.update(s.lower() for s in map(str.strip, selectors.split(",")) if _SIMPLE.fullmatch(s))
             elif not hidden_depth:
                 if preformatted:
                     first, *rest = value.expandtabs().split("\n")
@@ -232,7 +282,8 @@ def render(html: str | None) -> tuple[str, int]:
             continue
         if kind == "open":
             depth += 1
-            in_style = tag == "style"
+            unscripted += tag in ("noscript", "template")
+            in_style = tag == "style" and not unscripted and _on_screen(_attributes(value).get("media", ""))
             if not hidden_depth:
                 hide = tag in HIDDEN
                 if not hide and value.strip(" /"):
@@ -289,6 +340,7 @@ def render(html: str | None) -> tuple[str, int]:
                 elif tag == "pre":
                     preformatted += 1
             continue
+        unscripted -= tag in ("noscript", "template")
         if hidden_depth:
             if depth == hidden_depth:
                 hidden_depth = 0

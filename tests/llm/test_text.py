@@ -105,6 +105,25 @@ def test_layout(spark):
     assert extract_text(rows.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<html><head><title>T</title><body><p>Hello", "Hello"),
+        ("<head><meta charset=utf-8><script>x</script>\n <h1>Hi</h1>there", "Hi\n\nthere"),
+        ("<head><title>T</title> plain", "plain"),
+        ("<head><noscript><link rel=a></noscript><title>T</title></head><p>a<head><p>b", "a\n\nb"),
+        ("<style>@media print {.nav {display:none}}</style><p class=nav>a<p>b", "a\n\nb"),
+        ("<style media=print>.nav{display:none}</style><p class=nav>a", "a"),
+        ("<noscript><style>.nav{display:none}</style></noscript><p class=nav>a", "a"),
+        ("<style>@import 'x'; @media only screen, print {.x{color:red} .nav{display:none}} .y{display:none}</style><p class=nav>a<p class=y>b<p>c", "c"),
+        ("<style>@media print{.y{a:b}} .nav{content:'}';/* } */display:none}</style><p class=nav>a<p class=y>b", "b"),
+        ("<style>.nav{color:red; .z{display:none}} @media (max-width:9px){.y{display:none}}</style><p class=nav>a<p class=y>b", "a\n\nb"),
+    ],
+)
+def test_layout_of_open_heads_and_at_rules(html, text):
+    assert render(html)[0] == text
+
+
 def test_layout_keeps_the_visible_words(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = {r.page_id: r.text for r in extract_text(pages).collect()}
