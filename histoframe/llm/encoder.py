@@ -34,14 +34,15 @@ class ChunkEncoder:
 
     The library's pre-tokenizer always starts a new piece at a single space between two characters that aren't white
     space, so the ids of a text are those of its chunks, cut there, one after another. A chunk's ids are kept by chunk;
-    after `keep` chunks the store starts anew, which bounds memory. Chunks beside other white space stay together.
+    after `keep` chunks the store starts anew, which bounds memory. Chunks beside other white space stay together. Texts
+    that hold an added token of the vocabulary are encoded whole, as the library matches these before it makes pieces.
     """
 
     def __init__(self, path: str, keep: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.keep = keep
@@ -56,6 +57,9 @@ class ChunkEncoder:
     def _whole(self, chunks: list[str]) -> list[bytes]:
         return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _holds_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
     def _learn(self, parts: list[str]) -> None:
         """Put the ids of " " + part into the store; None for parts that don't stand between single spaces."""
         plain = []
@@ -71,10 +75,11 @@ class ChunkEncoder:
                 some.append(plain[at])
                 chars += len(plain[at]) + 1
                 at += 1
-            (joined,) = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
+            text = " " + " ".join(some)
+            (joined,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
             ids = np.asarray(joined.ids, self.dtype)
             cuts = np.flatnonzero(self.leads_space[ids])
-            if len(cuts) != len(some) or cuts[0]:
+            if len(cuts) != len(some) or cuts[0] or self._holds_added(text):
                 self.known.update(zip(some, self._whole([" " + p for p in some]), strict=True))
                 continue
             raw, ends = ids.tobytes(), [*(cuts[1:] * width).tolist(), len(ids) * width]
@@ -99,7 +104,8 @@ class ChunkEncoder:
         return out
 
     def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").split(" ") for t in texts]
+        whole = [t is not None and self._holds_added(t) for t in texts]
+        split = [[t] if w else (t or "").split(" ") for t, w in zip(texts, whole, strict=True)]
         if len(self.known) > self.keep:
             self.known.clear()
         new: set[str] = set()

@@ -36,6 +36,20 @@ def test_token_files_hold_all_ids_in_order(docs):
     assert len(got) == len(TEXTS)
 
 
+def test_ids_are_the_library_defaults_with_added_tokens(spark):
+    library = Tokenizer.from_file(BYTE_BPE)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "two  <|endoftext|><|endoftext|>\n c", "x<|endoftext|> b a <|endoftext|", "a b <|endoftext|> b a", "b a <|endoftext |> b", None]
+    want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 0]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    start = 0
+    for r in sorted(token_files(rows, BYTE_BPE, 2).collect(), key=lambda r: r.doc_id):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want[r.doc_id]), crc(want[r.doc_id]))
+        start += r.n_tokens
+    for r in pack_documents(rows, BYTE_BPE).collect():
+        assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == crc(want[r.doc_id][r.start : r.start + r.length])
+
+
 def test_token_files_format_and_edges(spark, docs, nothing):
     folder = Scratch(spark, "t").folder("f")
     manifest = write_token_files(docs, folder, BYTE_BPE, 3)
