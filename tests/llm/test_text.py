@@ -87,6 +87,26 @@ def test_markov_models_on_held_out_strings(spark, docs):
     assert "04dbebab" not in out[13] and "AKIA" not in out[13] and out[0] == TEXTS[0][1] and out[4] is None
 
 
+def test_markov_windows_in_keys_and_paths(spark):
+    model = S.train(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    rng = np.random.default_rng(11)
+    sets = [S.ALPHABET[:62], S.ALPHABET[:26], S.ALPHABET[26:52], S.ALPHABET[:26] + "0123456789"]
+    for head, tail in (("", ""), ("database_master_credential=", ""), ("/srv/application/data/", "/index"), ("owner=someone/name=", "=="), ("deadbeef" * 3 + "/", "")):
+        for n, share in ((16, 0.85), (18, 0.9), (24, 0.95), (40, 0.97)):
+            hits = []
+            for k in range(120):
+                secret = "".join(rng.choice(list(sets[k % 4]), n))
+                text = f"see {head}{secret}{tail} there"
+                at = text.index(secret)
+                spans = S.find_spans([text], model)[0]
+                assert all(b <= c for (_, _, b), (c, _, _) in zip(spans, spans[1:]))
+                covered = sum(max(0, min(b, at + n) - max(a, at)) for a, _, b in spans)
+                hits.append(covered >= 0.9 * n and all("credential" not in text[a:b] and "owner" not in text[a:b] for a, _, b in spans))
+            assert np.mean(hits) >= share, (head, n, np.mean(hits))
+    plain = "database_master_credential=ordinary_configuration_value /srv/application/data/index 2024-01-02/2024-03-04 order_number=1234567890123456 " + "-" * 40 + " " + "=" * 40
+    assert S.find_spans([plain], model) == [[]]
+
+
 PAGE = """<html><head><title>x</title><style>.z{display:none}</style></head><body><h1>Hi  there</h1><p>one<p>two <b>bold</b>
  more<br>next<div hidden>no</div><ul><li>a<li>b<ul><li>c</ul><li>d</ul><ol start=3><li>x<li>y</ol><table><tr><th>Name<th>Qty<tr><td>apple<td>3<tr><td>banana split<td><b>12</b></table>
 <p class=z>gone</p><pre>
