@@ -53,6 +53,21 @@ def test_compression_bands_reject_both_ends():
     assert Q.compression(mixed, z)[1] > 0 and Q.compression(mixed, z)[2] is False
 
 
+@pytest.mark.parametrize("clean", [2048, 4096, 9000, 20480, 60000])
+def test_chunks_reach_the_end_of_a_text(clean):
+    z = zstandard.ZstdCompressor(level=3)
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(600)]
+    prose = " ".join(rng.choice(words, 16000)).encode()
+    base64 = "".join(rng.choice(list(S.ALPHABET[:62] + "+/"), 2047)).encode()
+    for more in (0, 1, 900, 2047):
+        assert Q.compression(prose[: clean + more], z)[1:] == (0, True)
+    for tail in (base64, b"spam " * 409 + b"sp", base64 + base64):
+        ratio, bad, passed = Q.compression(prose[:clean] + tail, z)
+        assert bad and not passed
+    assert not Q.compression(base64 + prose[:clean], z)[2]
+
+
 def test_secret_patterns_against_the_plain_rules(spark, docs, nothing):
     model = S.train(docs)
     small = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
