@@ -7,12 +7,19 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from histoframe.llm.chunks import bytes_of, column_slices, cut, distinct, gathered, per_row
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 JOIN_CHARS = 200_000
 SLICE_CHARS = 2_000_000
+KEEP_BYTES = 256_000_000
+LONG_CHUNK = 256
+ENTRY = 200  # bytes that Python needs for a chunk in the store beside its own
 
 
 def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[list[str | None]]:
@@ -30,100 +37,101 @@ def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[list[s
 
 
 class ChunkEncoder:
-    """Encodes texts as the library does.
+    """Encodes texts as the library does, chunk by chunk.
 
-    The library's pre-tokenizer always starts a new piece at a single space between two characters that aren't white
-    space, so the ids of a text are those of its chunks, cut there, one after another. A chunk's ids are kept by chunk;
-    after `keep` chunks the store starts anew, which bounds memory. Chunks beside other white space stay together. Texts
-    that hold an added token of the vocabulary are encoded whole, as the library matches these before it makes pieces.
+    A chunk's ids are kept by chunk; after `keep` bytes the store starts anew, and chunks of over LONG_CHUNK bytes aren't
+    kept, which bounds memory for texts without spaces too. Texts that hold an added token of the vocabulary are encoded
+    whole, as the library matches these before it makes pieces.
     """
 
-    def __init__(self, path: str, keep: int = 1_200_000):
+    def __init__(self, path: str, keep: int = KEEP_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.keep = keep
-        self.known: dict[str, bytes | None] = {}
-        self.leads_space = np.zeros(size + 1, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.leads_space[i] = token.startswith("Ġ")
-
-    def _pack(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
+        self.keep, self.kept = keep, 0
+        self.known: dict[bytes, bytes] = {}
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[-1]
 
     def _whole(self, chunks: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _holds_added(self, text: str) -> bool:
-        return any(t in text for t in self.added)
-
-    def _learn(self, parts: list[str]) -> None:
-        """Put the ids of " " + part into the store; None for parts that don't stand between single spaces."""
-        plain = []
-        for part in parts:
-            if not part or part[0].isspace() or part[-1].isspace():
-                self.known[part] = None
+        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[bytes], added: bool) -> dict[bytes, bytes]:
+        """Ids of chunks: plain ones many at a time, as lines of one text, whose ids are parted at the line breaks.
+
+        Plain are chunks without a line break or an added token that begin and end in something else than white space, but
+        for one leading space: a line break beside them is a piece of its own and changes none of theirs.
+        """
+        found, odd, keys, plain = {}, [], [], []
+        for chunk in chunks:
+            text = chunk.decode("utf-8", "replace")
+            if "\n" in text or text[-1].isspace() or (text[0].isspace() and (text[0] != " " or text[1].isspace())) or (added and any(t in text for t in self.added)):
+                odd.append((chunk, text))
             else:
-                plain.append(part)
+                keys.append(chunk)
+                plain.append(text)
         at, width = 0, self.dtype.itemsize
         while at < len(plain):
-            some, chars = [], 0
-            while at < len(plain) and (not some or chars < JOIN_CHARS):
-                some.append(plain[at])
+            first, chars = at, 0
+            while at < len(plain) and chars < JOIN_CHARS:
                 chars += len(plain[at]) + 1
                 at += 1
-            text = " " + " ".join(some)
-            (joined,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            (joined,) = self.tokenizer.encode_batch_fast(["\n".join(plain[first:at])], add_special_tokens=False)
             ids = np.asarray(joined.ids, self.dtype)
-            cuts = np.flatnonzero(self.leads_space[ids])
-            if len(cuts) != len(some) or cuts[0] or self._holds_added(text):
-                self.known.update(zip(some, self._whole([" " + p for p in some]), strict=True))
+            breaks = np.flatnonzero(ids == self.line_break)
+            if len(breaks) != at - first - 1:
+                odd += zip(keys[first:at], plain[first:at], strict=True)
                 continue
-            raw, ends = ids.tobytes(), [*(cuts[1:] * width).tolist(), len(ids) * width]
-            self.known.update(zip(some, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-
-    def _rejoined(self, head: str, parts: list[str]) -> tuple[str, list[str]]:
-        """Parts with those beside other white space put back together."""
-        groups, open_end = [head], not head or head[-1].isspace()
-        for part in parts:
-            if open_end or not part or part[0].isspace():
-                groups[-1] += " " + part
-            else:
-                groups.append(" " + part)
-            open_end = not part or part[-1].isspace()
-        return groups[0], groups[1:]
+            raw, breaks = ids.tobytes(), (breaks * width).tolist()
+            found.update(zip(keys[first:at], [raw[a:b] for a, b in zip([0, *(b + width for b in breaks)], [*breaks, len(raw)], strict=True)], strict=True))
+        found.update(zip([c for c, _ in odd], self._whole([t for _, t in odd]), strict=True))
+        return found
+
+    def _ids_of(self, chunks: list[bytes], added: bool) -> list[bytes]:
+        if self.kept > self.keep:
+            self.known.clear()
+            self.kept = 0
+        ids = list(map(self.known.get, chunks))
+        new = [k for k, x in enumerate(ids) if x is None]
+        found = self._learn([chunks[k] for k in new], added)
+        for k in new:
+            chunk = chunks[k]
+            ids[k] = found[chunk]
+            if len(chunk) <= LONG_CHUNK:
+                self.known[chunk] = ids[k]
+                self.kept += len(chunk) + len(ids[k]) + ENTRY
+        return ids
+
+    def encode_column(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids one text after another, ids of each text) for slices of a column of texts; nulls are empty.
+
+        With `end_id` every text ends in it.
+        """
+        for at, some in column_slices(texts):
+            raw, starts = bytes_of(some)
+            whole = None
+            for token in self.added:
+                hit = pc.fill_null(pc.match_substring(some, token), False).to_numpy(zero_copy_only=False)
+                whole = hit if whole is None else whole | hit
+            bounds = cut(raw, starts, whole)
+            chunks, index = distinct(raw, bounds)
+            parts = self._ids_of(chunks.to_pylist(), whole is not None and bool(whole.any()))
+            firsts = np.searchsorted(bounds, starts)
+            if end_id is not None:
+                parts.append(np.array([end_id], self.dtype).tobytes())
+                index = np.insert(index, firsts[1:], len(parts) - 1)
+                firsts = firsts + np.arange(len(firsts))
+            ends = np.cumsum([0, *map(len, parts)]) // self.dtype.itemsize
+            ids, lengths = gathered(np.frombuffer(b"".join(parts), self.dtype), ends, index)
+            yield at, ids, per_row(lengths, firsts)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null is empty."""
         out: list[np.ndarray] = []
-        for some in slices(texts):
-            out += self._encode(some)
-        return out
-
-    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        whole = [t is not None and self._holds_added(t) for t in texts]
-        split = [[t] if w else (t or "").split(" ") for t, w in zip(texts, whole, strict=True)]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        new: set[str] = set()
-        for parts in split:
-            new.update(parts[1:])
-        new.difference_update(self.known)
-        self._learn(list(new))
-        known, out = self.known, []
-        heads = self._whole([p[0] for p in split])
-        for k, parts in enumerate(split):
-            tail = list(map(known.__getitem__, parts[1:]))
-            if None in tail:
-                head, groups = self._rejoined(parts[0], parts[1:])
-                odd = [g for g in groups if known.get(g[1:]) is None]
-                found = dict(zip(odd, self._whole(odd), strict=True))
-                tail = [found[g] if g in found else known[g[1:]] for g in groups]
-                heads[k] = self._whole([head])[0]
-            out.append(np.frombuffer(heads[k] + b"".join(tail), self.dtype))
+        for _, ids, counts in self.encode_column(pa.array(texts, pa.string())):
+            out += np.split(ids, np.cumsum(counts)[:-1])
         return out
 
 

@@ -4,14 +4,15 @@ Every document is routed by its length: whole windows of the longest tier are cu
 shortest tier that holds it. A tier packs its pieces largest first into the fullest sequence with room. The gaps that are
 left are filled from shorter tiers: first with whole pieces, then with the front of a piece, whose rest moves to its own
 tier. The last sequence of a block, which nothing is left to fill, is cut at powers of two, so that no sequence needs
-padding. Sequences of a tier are dealt to step groups with equal tokens a group.
+padding. Sequences of a tier are dealt to step groups whose tokens differ by one sequence at most.
 
 Blocks of documents are packed one by one inside the tasks that scan them, so nothing is shuffled and memory is bounded
-by `block_docs` and `block_chars`.
+by `block_docs` and `block_tokens`.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -90,50 +91,73 @@ def _at_powers(pieces: list[tuple[int, int, int]]) -> Iterator[tuple[int, list[t
         yield size, some
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, end_id: int = 0, step_tokens: int = STEP_TOKENS, block_docs: int = 20_000, block_chars: int = 24_000_000) -> DataFrame:
+def step_groups(sizes: list[int], tiers: tuple[int, ...], step_tokens: int) -> tuple[list[tuple[int, int]], int]:
+    """(tier, group) of each sequence and the number of groups: sequences go by tier, largest first, to the group with the
+    fewest tokens, so that two groups of a tier differ by one sequence at most."""
+    out: list[tuple[int, int]] = [(0, 0)] * len(sizes)
+    made = 0
+    for tier in tiers:
+        own = [k for k, n in enumerate(sizes) if tiers[bisect_left(tiers, n)] == tier]
+        n = -(-sum(sizes[k] for k in own) // step_tokens)
+        heap = [(0, made + g) for g in range(n)]
+        for k in sorted(own, key=lambda k: -sizes[k]):
+            filled, group = heap[0]
+            out[k] = (tier, group)
+            heapq.heapreplace(heap, (filled + sizes[k], group))
+        made += n
+    return out, made
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, end_id: int = 0, step_tokens: int = STEP_TOKENS, block_docs: int = 20_000, block_tokens: int = 8_000_000) -> DataFrame:
     """Pieces of packed sequences, one row each, for the ids of every (doc_id, text) followed by `end_id`.
 
     Null texts are empty: their only token is the end id. Repeated rows are packed as often as they occur and null ids
     stay null. `offset` is the place in the sequence; `sequence_id` is unique over the table; `tier` is the context size
-    that the sequence was packed for and `step_group` numbers groups of about `step_tokens` tokens of one tier.
+    that the sequence was packed for and `step_group` numbers groups of about `step_tokens` tokens of one tier, which
+    within a block differ by one sequence at most.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         next_id, next_group = (TaskContext.get().partitionId() << 40 for _ in range(2))
 
-        def flush(doc_ids: list, found: list[np.ndarray]) -> pa.RecordBatch:
+        def flush(doc_ids: list, parts: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
             nonlocal next_id, next_group
-            sequences = pack_lengths([len(x) for x in found], tiers)
-            groups, filled, rows = {}, {}, []
-            for tier, pieces in sequences:
-                if tier not in groups or filled[tier] >= step_tokens:
-                    groups[tier], filled[tier] = next_group, 0
-                    next_group += 1
-                filled[tier] += tier
+            raw = np.concatenate(parts).astype("<u4").tobytes()
+            places = ((np.cumsum(counts) - counts) * 4).tolist()
+            lengths = counts.tolist()
+            sequences = pack_lengths(lengths, tiers)
+            groups, made = step_groups([sum(p[2] for p in pieces) for _, pieces in sequences], tiers, step_tokens)
+            columns: list[list] = [[] for _ in range(9)]
+            for (_, pieces), (tier, group) in zip(sequences, groups, strict=True):
                 offset = 0
                 for doc, start, length in pieces:
-                    crc = zlib.crc32(found[doc][start : start + length].tobytes())
-                    rows.append((doc_ids[doc], start, length, crc, len(found[doc]), next_id, offset, tier, groups[tier]))
+                    at = places[doc] + 4 * start
+                    row = (doc_ids[doc], start, length, zlib.crc32(raw[at : at + 4 * length]), lengths[doc], next_id, offset, tier, next_group + group)
+                    for column, value in zip(columns, row, strict=True):
+                        column.append(value)
                     offset += length
                 next_id += 1
+            next_group += made
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             kinds = [pa.int32() if n == "tier" else pa.int64() for n in names]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         doc_ids: list = []
-        found: list[np.ndarray] = []
-        chars = 0
-        end = np.array([end_id], "<u4")
+        parts: list[np.ndarray] = []
+        counted: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            doc_ids += batch.column(0).to_pylist()
-            found += [np.concatenate([x.astype("<u4"), end]) for x in enc.encode(texts)]
-            chars += sum(len(t or "") for t in texts)
-            if len(found) >= block_docs or chars >= block_chars:
-                yield flush(doc_ids, found)
-                doc_ids, found, chars = [], [], 0
-        if found:
-            yield flush(doc_ids, found)
+            own = batch.column(0).to_pylist()
+            for at, ids, counts in enc.encode_column(batch.column(1), end_id):
+                doc_ids += own[at : at + len(counts)]
+                parts.append(ids)
+                counted.append(counts)
+                held += len(ids)
+                if len(doc_ids) >= block_docs or held >= block_tokens:
+                    yield flush(doc_ids, parts, np.concatenate(counted))
+                    doc_ids, parts, counted, held = [], [], [], 0
+        if doc_ids:
+            yield flush(doc_ids, parts, np.concatenate(counted))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, SCHEMA)

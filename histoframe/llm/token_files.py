@@ -8,61 +8,82 @@ over the shards' sizes, which are one row a shard.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from histoframe.llm.chunks import binary_column, bytes_of
 from histoframe.llm.encoder import encoder
 from histoframe.scratch import Scratch, open_fs, write_file
 
 SHARD_SCHEMA = "shard int, n_docs long, n_ids long, width int"
 DOC_SCHEMA = "doc_id long, shard int, start long, n_tokens long, ids_crc32 long"
 END_ID = 0
+ROWS = 1_000  # in an Arrow batch
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, bounds: list[int], end_id: int = END_ID) -> DataFrame:
+    """(shard, doc_id, ids): the ids of each text with its end id, as the file format holds them, and the shard's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer_path)
+        for batch in batches:
+            for at, ids, counts in enc.encode_column(batch.column(1), end_id):
+                own = batch.column(0).slice(at, len(counts))
+                shard = np.searchsorted(bounds, own.to_numpy(), "left").astype(np.int32)
+                starts = np.concatenate([[0], np.cumsum(counts)]) * enc.dtype.itemsize
+                for lo in range(0, len(counts), ROWS):
+                    some = starts[lo : lo + ROWS + 1]
+                    rows = binary_column(ids.view(np.uint8)[some[0] : some[-1]], some - some[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[lo : lo + ROWS]), own.slice(lo, ROWS), rows], ["shard", "doc_id", "ids"])
+
+    return docs.mapInArrow(run, "shard int, doc_id long, ids binary")
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, shards: int, end_id: int = END_ID) -> list:
-    """Write (doc_id, text) as token files in ascending doc_id order; returns the manifest, one row a shard.
+    """Write (doc_id, text) as token files in ascending doc_id order; returns the manifest, one row a shard that has rows.
 
     Null texts are empty (the end id alone). Documents without an id are left out, as the format has no place for them.
-    Rows with the same doc_id all stay, ordered by text. A retried task writes the same files again.
+    Rows with the same doc_id all stay, ordered by their ids. A retried task writes the same files again. Texts are encoded
+    where they are scanned; ids travel to their shard, whose range is set by the quantiles of doc_id.
     """
+    width = encoder(tokenizer_path).dtype.itemsize
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard = encoder(tokenizer_path), TaskContext.get().partitionId()
         doc_ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
-        end = np.array([end_id], enc.dtype)
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        shard = first.column(0)[0].as_py()
 
         def ids(out) -> None:
-            for batch in batches:
-                found = enc.encode(batch.column(1).to_pylist())
-                doc_ids.append(batch.column(0).to_numpy(zero_copy_only=False).astype("<i8"))
-                sizes.append(np.fromiter((len(x) + 1 for x in found), "<i8", len(found)))
-                for x in found:
-                    out.write(x.tobytes())
-                    out.write(end.tobytes())
+            for batch in itertools.chain([first], batches):
+                if batch.num_rows and not (batch.column(0).to_numpy() == shard).all():
+                    raise ValueError("a task writes one shard")
+                raw, starts = bytes_of(batch.column(2))
+                doc_ids.append(batch.column(1).to_numpy().astype("<i8"))
+                sizes.append(np.diff(starts) // width)
+                out.write(memoryview(raw))
 
         stem = f"{folder}/part-{shard:05d}"
         write_file(f"{stem}.ids", ids)
         lengths = np.concatenate([np.zeros(1, "<i8"), *sizes])
         write_file(f"{stem}.offsets", lambda out: out.write(np.cumsum(lengths).astype("<i8").tobytes()))
         write_file(f"{stem}.docs", lambda out: out.write(b"".join(x.tobytes() for x in doc_ids)))
-        yield pa.RecordBatch.from_pydict(
-            {"shard": pa.array([shard], pa.int32()), "n_docs": [len(lengths) - 1], "n_ids": [int(lengths.sum())], "width": pa.array([enc.dtype.itemsize], pa.int32())}
-        )
-
-    ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .where("doc_id is not null")
-        .repartitionByRange(shards, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [len(lengths) - 1], "n_ids": [int(lengths.sum())], "width": pa.array([width], pa.int32())})
+
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    parts = [k / shards for k in range(1, shards)]
+    found = numbered.agg(F.percentile_approx("doc_id", parts, 20 * shards).alias("q")).first().q if parts else None
+    bounds = sorted(set(found or []))  # one number a shard; at most these reach the driver
+    ordered = encoded(numbered, tokenizer_path, bounds, end_id).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("doc_id", "ids")
     return ordered.mapInArrow(write, SHARD_SCHEMA).collect()
 
 

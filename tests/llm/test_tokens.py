@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from histoframe.llm.merges import MergeReplay, bpe_round_trip
-from histoframe.llm.packing import pack_documents, pack_lengths
+from histoframe.llm.encoder import ChunkEncoder
+from histoframe.llm.packing import TIERS, pack_documents, pack_lengths, step_groups
 from histoframe.llm.token_files import read_token_files, shard_bases, token_files, write_token_files
 from histoframe.scratch import Scratch
 
@@ -22,7 +23,6 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 def library_ids(text):
     t = Tokenizer.from_file(BYTE_BPE)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -131,6 +131,32 @@ def test_packing_places_every_token_once(docs, nothing):
     assert pack_documents(nothing, BYTE_BPE).count() == 0
 
 
+def test_step_groups_are_balanced():
+    rng = random.Random(8)
+    lengths = [rng.choice([1, 3, 129, 700, 1025, rng.randint(1, 6000)]) for _ in range(1500)]
+    sizes = [sum(p[2] for p in pieces) for _, pieces in pack_lengths(lengths)]
+    groups, made = step_groups(sizes, TIERS, 16 * 1024)
+    filled, tier_of = [0] * made, {}
+    for n, (tier, group) in zip(sizes, groups, strict=True):
+        filled[group] += n
+        assert n <= tier and tier_of.setdefault(group, tier) == tier
+    for tier in TIERS:
+        own = [filled[g] for g in range(made) if tier_of[g] == tier]
+        assert not own or max(own) <= 16 * 1024 + tier and max(own) - min(own) <= tier
+    assert step_groups([], TIERS, 9) == ([], 0)
+
+
+def test_chunks_of_odd_texts_are_the_librarys():
+    rng = random.Random(6)
+    library = Tokenizer.from_file(BYTE_BPE)
+    signs = ["a", "b", "Z", "é", "東", "、", "\u3000", "\u00a0", "\u2003", "\u2014", "\u0085", "\x1c", " ", " ", "\n", "\t", ".", "'", "'s", "0", "<|endoftext|>", "\u200b", "😀"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [None, "", " ", "\n", "x" * 5000, "東京" * 3000]
+    small = ChunkEncoder(BYTE_BPE, keep=20_000)
+    for text, ids in zip(texts, small.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert small.kept < 200_000
+
+
 def test_packing_lengths():
     rng = random.Random(3)
     for n in (0, 1, 7, 500):
