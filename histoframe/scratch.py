@@ -66,3 +66,8 @@ def write_file(uri: str, write: Callable[[object], None]) -> None:
     with file_system.open_output_stream(part) as out:
         write(out)
     file_system.move(part, path)
+
+
+def exists(uri: str) -> bool:
+    file_system, path = open_fs(uri)
+    return file_system.get_file_info(path).type != fs.FileType.NotFound
