@@ -54,6 +54,16 @@ def joined_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join([*encoded, b""]), np.uint8), starts
 
 
+def row_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the strings raw[starts[k]:starts[k + 1]]."""
+    if not len(raw):
+        return mix(np.zeros(len(starts) - 1, np.uint64))
+    sums = prefix_sums(raw)
+    _, down = powers(len(raw))
+    first, last = starts[:-1], starts[1:]
+    return mix((sums[last] - sums[first]) * down[np.minimum(first, len(raw) - 1)] + (last - first).astype(np.uint64))
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased (A-Z) words of all texts, in order, and the words before each text (one more than texts)."""
     raw, starts = joined_bytes(texts)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from histoframe.llm.elias_fano import EliasFano
 from histoframe.llm.encoder import slices
 from histoframe.llm.hashing import mix, word_hashes
-from histoframe.llm.token_files import _mapped
+from histoframe.llm.token_files import mapped
 from histoframe.scratch import Scratch, open_fs, write_file
 
 DISCOUNT = 0.8
@@ -108,8 +108,8 @@ class Vocabulary:
         self.shards = shards
         self.hashes, self.counts, self.bases, base = {}, {}, {}, 0
         for shard in sorted(sizes):
-            self.hashes[shard] = _mapped(f"{folder}/words-{shard:05d}.hash", np.dtype("<i8"))
-            self.counts[shard] = _mapped(f"{folder}/words-{shard:05d}.count", np.dtype("<i8"))
+            self.hashes[shard] = mapped(f"{folder}/words-{shard:05d}.hash", np.dtype("<i8"))
+            self.counts[shard] = mapped(f"{folder}/words-{shard:05d}.count", np.dtype("<i8"))
             self.bases[shard] = base
             base += sizes[shard]
 
@@ -133,7 +133,7 @@ class Bigrams:
     """Level two: one shard's trie."""
 
     def __init__(self, folder: str, shard: int):
-        words = _mapped(f"{folder}/bigrams-{shard:05d}.trie", np.dtype("<u8"))
+        words = mapped(f"{folder}/bigrams-{shard:05d}.trie", np.dtype("<u8"))
         self.contexts, at = EliasFano.mapped(words, 0)
         self.pointers, at = EliasFano.mapped(words, at)
         self.successors, at = EliasFano.mapped(words, at)

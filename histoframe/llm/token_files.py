@@ -96,7 +96,7 @@ def shard_bases(spark: SparkSession, manifest: list) -> DataFrame:
     return spark.createDataFrame(bases, SHARD_SCHEMA + ", base long")
 
 
-def _mapped(uri: str, dtype: np.dtype) -> np.ndarray:
+def mapped(uri: str, dtype: np.dtype) -> np.ndarray:
     """A file as an array: memory-mapped where the file system is mounted, else read through it."""
     file_system, path = open_fs(uri)
     if not file_system.get_file_info(path).size:
@@ -114,8 +114,8 @@ def read_token_files(spark: SparkSession, folder: str, manifest: list, rows: int
         for batch in batches:
             for shard in batch.to_pylist():
                 stem = f"{folder}/part-{shard['shard']:05d}"
-                offsets, docs = _mapped(f"{stem}.offsets", np.dtype("<i8")), _mapped(f"{stem}.docs", np.dtype("<i8"))
-                ids = _mapped(f"{stem}.ids", np.dtype(f"<u{shard['width']}"))
+                offsets, docs = mapped(f"{stem}.offsets", np.dtype("<i8")), mapped(f"{stem}.docs", np.dtype("<i8"))
+                ids = mapped(f"{stem}.ids", np.dtype(f"<u{shard['width']}"))
                 for lo in range(0, len(docs), rows):
                     some = docs[lo : lo + rows]
                     cuts = np.asarray(offsets[lo : lo + len(some) + 1])

@@ -9,6 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from histoframe.llm import merges
 from histoframe.llm.merges import MergeReplay, bpe_round_trip
 from histoframe.llm.encoder import ChunkEncoder
 from histoframe.llm.packing import TIERS, pack_documents, pack_lengths, step_groups
@@ -81,6 +82,23 @@ def test_merge_replay_is_tiktoken(docs, nothing):
         assert replay.decode(raw) == text.encode()
 
 
+def test_merge_replay_over_shards_and_colliding_hashes(spark, docs, monkeypatch):
+    want = {r.doc_id: r for r in bpe_round_trip(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    for shards, seen in ((1, 10), (7, 10**6)):
+        monkeypatch.setattr(merges, "SEEN", seen)
+        got = {r.doc_id: r for r in bpe_round_trip(docs.repartition(5), RANKS, public_tokenizers.PATTERN, shards).collect()}
+        assert got == want
+    rows = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, " "), (3, "\n" * 5000), (4, "ab" * 30000)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0) for r in bpe_round_trip(rows, RANKS, public_tokenizers.PATTERN).collect()) == [0, 1, 1, 2, 3, 4]
+    assert all(r.decoded_sha256 == sha({2: " ", 3: "\n" * 5000, 4: "ab" * 30000}.get(r.doc_id, "a b").encode()) for r in bpe_round_trip(rows, RANKS, public_tokenizers.PATTERN).collect())
+    # Chunks that share a hash with another one are found by their decoded bytes and replayed apart.
+    replay = MergeReplay(RANKS, public_tokenizers.PATTERN)
+    raw = np.frombuffer(b"one two three", np.uint8)
+    wrong = [np.frombuffer(x, "<u4") for x in replay.encode_chunks([b"one", b" two", b" tree"])]
+    ids, counts = merges.checked(replay, raw, np.array([0, 13]), np.concatenate(wrong), np.array([sum(map(len, wrong))]))
+    assert ids.tobytes() == replay.encode(["one two three"])[0] and counts.tolist() == [len(ids)]
+
+
 def test_ranks_below_the_one_at_hand_come_first():
     replay = MergeReplay.__new__(MergeReplay)
     tokens = [bytes([b]) for b in range(256)] + [b"xyx", b"xy", b"yx"]
@@ -152,9 +170,11 @@ def test_chunks_of_odd_texts_are_the_librarys():
     signs = ["a", "b", "Z", "é", "東", "、", "\u3000", "\u00a0", "\u2003", "\u2014", "\u0085", "\x1c", " ", " ", "\n", "\t", ".", "'", "'s", "0", "<|endoftext|>", "\u200b", "😀"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [None, "", " ", "\n", "x" * 5000, "東京" * 3000]
     small = ChunkEncoder(BYTE_BPE, keep=20_000)
-    for text, ids in zip(texts, small.encode(texts), strict=True):
-        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
-    assert small.kept < 200_000
+    for lo in range(0, len(texts), 20):
+        some = texts[lo : lo + 20]
+        for text, ids in zip(some, small.encode(some), strict=True):
+            assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+        assert small.kept < 20_000 + 20 * 30 * 300
 
 
 def test_packing_lengths():
