@@ -48,7 +48,11 @@ def prefix_sums(raw: np.ndarray) -> np.ndarray:
 
 def joined_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, a newline after each, and where each text starts (one more than texts)."""
-    encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    return joined([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+
+
+def joined(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The strings joined, a newline after each, and where each starts (one more than strings)."""
     starts = np.zeros(len(encoded) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)) + 1, out=starts[1:])
     return np.frombuffer(b"\n".join([*encoded, b""]), np.uint8), starts

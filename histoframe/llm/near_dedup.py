@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from histoframe.operators.components import connected_components
 from histoframe.llm.encoder import slices
 from histoframe.llm.hashing import mix, word_hashes
+from histoframe.llm.keys import free_name, with_row_keys
 from histoframe.scratch import Scratch
 
 ROWS = 3
 MISS = 1e-4
 BLOCK = 256
 FAMILY_BLOCK = 512
+SALTS = 32  # tasks that may share the rows of one family
 SLICE = 1_000_000
 _ODD = np.random.default_rng(9).integers(0, 1 << 63, (2, 512), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -235,8 +237,9 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     """
     sizes = rows.groupBy("family", "component").agg(F.count("*").alias("c"))
     large = F.col("c") >= FAMILY_BLOCK
-    rest = sizes.where(~large).groupBy("family").agg(F.sum("c").alias("pool"))
-    placed = rows.join(sizes, ["family", "component"]).join(rest, "family", "left")
+    rest = sizes.where(~large).groupBy("family").agg(F.sum("c").alias("pool")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.join(sizes, ["family", "component"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    placed = salted.join(rest, ["family", "salt"], "left")
     parts = F.ceil(F.when(large, F.col("c")).otherwise(F.col("pool")) / FAMILY_BLOCK)
     owner = F.when(large, F.col("component"))
     placed = placed.withColumn("block", F.xxhash64(F.coalesce(owner, F.lit(-1)), F.pmod(F.xxhash64("id"), parts))).withColumn("owner", owner)
@@ -259,6 +262,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     tables = table_count(percent)
+    parts_wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))  # block pairs are heavy, whatever their bytes
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.table(_signed(docs, words, tables), "signed")
     own = signed.where("n_shingles > 0 and doc_id is not null")
@@ -295,17 +299,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when((F.col("own") < F.col("other")), 0).otherwise(1)
     rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "component", "n", "sketch")
-    dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    dealt = rows.repartition(parts_wanted, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     maybe = scratch.table(dealt.mapInArrow(_alike_groups(percent, tables), "a long, b long").distinct(), "maybe")
     families = scratch.table(connected_components(maybe, scratch, "families").toDF("component", "family"), "families")
 
     nodes = active.select(F.col("doc_id").alias("id")).join(parts.toDF("id", "component"), "id", "left").select("id", component)
     dealt = _block_pairs(nodes.join(families, "component")).join(sets, "id").select("family", "lo", "hi", "side", "component", "shingles")
-    dealt = dealt.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
+    dealt = dealt.repartition(parts_wanted, "family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
     more = scratch.table(dealt.mapInArrow(_linked_groups(percent), "a long, b long").distinct(), "more")
     joined = connected_components(more, scratch, "round-2").toDF("component", "whole")
     parts = scratch.table(nodes.join(joined, "component", "left").select(F.col("id").alias("node"), F.coalesce("whole", "component").alias("component")), "components")
 
+    scratch.drop("buckets", "stars", "sets", "links", "parts", "maybe", "families", "more")
+
     by_class = classes.select("set_a", "set_b", F.col("n").alias("n_shingles"), F.col("id").alias("node"))
     by_class = by_class.join(parts, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"))
     found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(by_class, ["set_a", "set_b", "n_shingles"], "left")
@@ -315,9 +321,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of the kept documents, all columns; of rows with one doc_id, one row stays."""
-    kept = near_duplicates(docs, words, percent).where("kept").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(kept.where("doc_id is not null"), "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    with_id = with_id.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
-    return with_id.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of the kept documents, all columns; of each component of near duplicates the one of the smallest doc_id.
+
+    Every row is judged by its own text: rows that share a doc_id all stay, unless their texts are near duplicates; of rows
+    equal in doc_id and text one stays. Texts without words, nulls, and rows without a doc_id take no part and stay. Any
+    further columns are kept, whatever their names.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    key, place = free_name(docs, "_key"), free_name(docs, "_place")
+    keyed, repeated = with_row_keys(docs, key, scratch)
+    kept = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), words, percent).where("kept").select(F.col("doc_id").alias(key))
+    rows = keyed.join(kept, key, "left_semi")
+    if repeated:
+        rows = rows.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(key))).where(F.col(place) == 1)
+    return rows.select(*docs.columns).unionByName(docs.where("doc_id is null"))

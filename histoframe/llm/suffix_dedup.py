@@ -3,7 +3,7 @@
 Every window of `LENGTH` bytes has an anchor, the `GRAM` bytes in it with the least hash, leftmost among equals; equal
 windows have equal anchors in the same place. Neighbouring windows with one anchor are a segment. Segments are brought
 together by their anchor's hash, a row of a few numbers each and only the first of equal segments of a slice of text:
-further equal segments repeat the first, whole. Of anchors with several different segments, the segments' bytes go on.
+further equal segments, of one anchor and one 128-bit BLAKE2b digest of their bytes, repeat the first, whole. Of anchors with several different segments, the segments' bytes go on.
 
 There, in blocks of whole anchor groups, each shard of a block sorts its suffixes and keeps its transform. The shards'
 transforms are merged by interleave refinement: the order of all suffixes by their first h bytes is a sequence of shard
@@ -13,8 +13,8 @@ order by more bytes. No suffix of one shard is ever compared with one of another
 round r shows a new boundary, the common prefix there is below q r bytes; what has none in the end are the repeated
 intervals. In each, all windows but the earliest are repeats.
 
-An anchor with more than `HOT` different segments is dealt to several blocks; then the earliest window of each interval of
-such a block meets its equals from the other blocks by a fingerprint, in a grouping with map-side combining.
+An anchor's segments are dealt to as many parts as hold `HOT` each. Where these are several, the earliest window of each
+interval of a part meets its equals from the other parts by its bytes, in a grouping with map-side combining.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histoframe.llm.encoder import slices
-from histoframe.llm.hashing import joined_bytes, mix, powers, prefix_sums
+from histoframe.llm.hashing import joined, mix, prefix_sums, powers
+from histoframe.llm.keys import free_name, with_row_keys
 from histoframe.scratch import Scratch
 
 LENGTH = 100
@@ -40,11 +41,11 @@ SHARDS = 16
 SLICE = 300_000
 PIECE = 1 << 20  # windows handled at once; below 2**24
 PLACE = np.uint64((1 << 24) - 1)
-OCCURRENCE = "anchor long, segment long, doc_id long, first int, last int, lead int"
+OCCURRENCE = "anchor long, segment long, check long, doc_id long, first int, last int, lead int"
 
 
 def segments(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor hash, segment hash, text, first window, last window and anchor's lead of each segment of the joined texts."""
+    """Anchor hash, digest in two halves, text, first window, last window and anchor's lead of each segment of joined texts."""
     out: list[tuple[np.ndarray, ...]] = []
     sums = prefix_sums(raw)
     _, down = powers(len(raw))
@@ -68,50 +69,81 @@ def segments(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         first, last = valid[new], valid[np.append(new[1:], len(valid)) - 1]
         out.append((anchors[place[new]], first + lo, last + lo, place[new] - first))
     if not out:
-        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
     anchor, first, last, lead = (np.concatenate(x) for x in zip(*out, strict=True))
-    inner = (sums[last + LENGTH] - sums[first]) * down[first]
-    segment = mix(inner + mix((last - first << 8 | lead).astype(np.uint64)))
+    view = memoryview(np.ascontiguousarray(raw))
+    digests = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)])
+    halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
     text = np.searchsorted(starts, first, "right") - 1
-    return anchor, segment, text, first - starts[text], last - starts[text], lead
+    return anchor, halves[:, 0].copy(), halves[:, 1].copy(), text, first - starts[text], last - starts[text], lead
+
+
+def pieces_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The bytes of the texts, long ones in pieces that share LENGTH - 1 bytes; and each piece's text and offset.
+
+    Every window lies in one piece; what is held for a byte of text is held for some pieces at once only.
+    """
+    own: list[bytes] = []
+    text_of: list[int] = []
+    offsets: list[int] = []
+    for k, text in enumerate(texts):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        for at in range(0, max(1, len(raw) - LENGTH + 1), PIECE):
+            own.append(raw[at : at + PIECE + LENGTH - 1])
+            text_of.append(k)
+            offsets.append(at)
+    return own, np.array(text_of), np.array(offsets)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of OCCURRENCE: the first of equal segments of a slice; the others with lead -1 and keys that spread them."""
+    """Rows of OCCURRENCE: the first of equal segments at hand; the others with lead -1 and keys that spread them."""
     names = [x.split()[0] for x in OCCURRENCE.split(", ")]
     for batch in batches:
         at, ids = 0, batch.column(0).to_numpy()
         for some in slices(batch.column(1).to_pylist(), SLICE):
-            anchor, segment, text, first, last, lead = segments(*joined_bytes(some))
-            doc = ids[at : at + len(some)][text]
+            own, text_of, offsets = pieces_of(some)
+            docs = ids[at : at + len(some)][text_of]
             at += len(some)
-            if not len(doc):
-                continue
-            order = np.lexsort((first, doc, segment, anchor))
-            again = order[1:][(anchor[order[1:]] == anchor[order[:-1]]) & (segment[order[1:]] == segment[order[:-1]])]
-            lead[again] = -1
-            segment[again] = 0
-            anchor[again] = mix(((doc[again] << 20) + first[again]).astype(np.uint64))
-            for lo in range(0, len(doc), 100_000):
-                cut = slice(lo, lo + 100_000)
-                columns = [anchor[cut].view(np.int64), segment[cut].view(np.int64), doc[cut], *(x[cut].astype(np.int32) for x in (first, last, lead))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+            for lo in range(0, len(own), 4):  # pieces of long texts, or whole short ones
+                hi = len(own) if len(own[lo]) < PIECE else lo + 4
+                yield from _segment_rows(own[lo:hi], docs[lo:hi], offsets[lo:hi], names)
+                if hi == len(own):
+                    break
+
+
+def _segment_rows(own: list[bytes], docs: np.ndarray, offsets: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    anchor, segment, check, piece, first, last, lead = segments(*joined(own))
+    if not len(piece):
+        return
+    doc, first, last = docs[piece], first + offsets[piece], last + offsets[piece]
+    order = np.lexsort((first, doc, check, segment, anchor))
+    same = np.ones(len(order) - 1, bool)
+    for x in (anchor, segment, check):
+        same &= x[order[1:]] == x[order[:-1]]
+    again = order[1:][same]
+    lead[again] = -1
+    segment[again] = check[again] = 0
+    anchor[again] = mix(mix(doc[again].astype(np.uint64)) + first[again].astype(np.uint64))
+    for lo in range(0, len(doc), 100_000):
+        cut = slice(lo, lo + 100_000)
+        columns = [anchor[cut].view(np.int64), segment[cut].view(np.int64), check[cut].view(np.int64), doc[cut], *(x[cut].astype(np.int32) for x in (first, last, lead))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by anchor, segment, doc_id and place: repeats (lead -1) and candidates (the first of each segment of
     an anchor with several). Only the first segment of the anchor at hand is held."""
     names = [x.split()[0] for x in OCCURRENCE.split(", ")]
-    anchor_at = segment_at = None
+    anchor_at = segment_at = check_at = None
     seen, held = 0, None  # segments of the anchor so far; its first one, while it is the only one
     for batch in batches:
         if not batch.num_rows:
             continue
-        anchor, segment, lead = (batch.column(k).to_numpy() for k in (0, 1, 5))
+        anchor, segment, check, lead = (batch.column(k).to_numpy() for k in (0, 1, 2, 6))
         passed = lead < 0
         new_anchor = np.append(anchor_at is None or anchor[0] != anchor_at, anchor[1:] != anchor[:-1]) | passed
         new_anchor[1:] |= passed[:-1]
-        new_segment = new_anchor | np.append(segment_at is None or segment[0] != segment_at, segment[1:] != segment[:-1])
+        new_segment = new_anchor | np.append(segment_at is None or segment[0] != segment_at or check[0] != check_at, (segment[1:] != segment[:-1]) | (check[1:] != check[:-1]))
         repeat = passed | ~new_segment
         firsts = np.flatnonzero(~repeat)
         group = np.cumsum(new_anchor)[firsts] - new_anchor[0]  # the anchor that goes on is group 0, if any
@@ -124,7 +156,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leads = lead.copy()
         leads[repeat] = -1
         rows = np.sort(np.concatenate([np.flatnonzero(repeat), firsts[chosen]]))
-        out = pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(leads)], names).take(pa.array(rows))
+        out = pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(leads)], names).take(pa.array(rows))
         if goes_on and held is not None and counts[0]:
             yield held
             held = None
@@ -139,7 +171,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = batch.slice(int(in_last[0]), 1)
         elif last_group:
             held = None
-        anchor_at, segment_at = anchor[-1], segment[-1]
+        anchor_at, segment_at, check_at = anchor[-1], segment[-1], check[-1]
         if out.num_rows:
             yield out
 
@@ -157,10 +189,9 @@ def _steps(text: np.ndarray, after: np.ndarray) -> tuple[int, np.ndarray]:
     raise AssertionError("single symbols always fit")
 
 
-def repeated_intervals(strings: list[bytes], shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of LENGTH bytes of the strings, in suffix order: string, offset, and the number of their interval.
-
-    Windows are equal if, and only if, they have the same interval. Each string has at least LENGTH bytes.
+def merged_order(strings: list[bytes], shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """String and offset of all suffixes in the order of their first LENGTH bytes, the common prefix of each with the one
+    before it, and the step q: a prefix is known in whole steps, and LENGTH stands for that length or more.
     """
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
     n = int(lengths.sum()) + len(strings)
@@ -197,8 +228,9 @@ def repeated_intervals(strings: list[bytes], shards: int = SHARDS) -> tuple[np.n
     leads_to = place[back[order]]
 
     # Interleave refinement: `turn` holds, for each place of the merged order, the place in its shard's order.
-    turn, block = np.arange(n), np.zeros(n, np.int64)
-    for _ in range(LENGTH // q):
+    turn, block, common = np.arange(n), np.zeros(n, np.int64), np.full(n, LENGTH)
+    common[0] = 0
+    for done in range(0, LENGTH, q):
         read = transform[turn]
         dealt = np.argsort(read, kind="stable")
         read, block = read[dealt], block[dealt]
@@ -207,10 +239,21 @@ def repeated_intervals(strings: list[bytes], shards: int = SHARDS) -> tuple[np.n
         edge[0] = False
         edge[1:] = (read[1:] != read[:-1]) | (block[1:] != block[:-1])
         block = np.cumsum(edge)
+        common[edge & (common == LENGTH)] = done
     suffix = order[turn]
-    window = offset[suffix] + LENGTH <= lengths[string_of[suffix]]
-    suffix = suffix[window]
-    return string_of[suffix], offset[suffix], block[window]
+    return string_of[suffix], offset[suffix], common, q
+
+
+def repeated_intervals(strings: list[bytes], shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of LENGTH bytes of the strings, in suffix order: string, offset, and the number of their interval.
+
+    An interval goes on while the common prefix with the suffix before is LENGTH or more: windows are equal if, and only if,
+    they have the same interval. Each string has at least LENGTH bytes.
+    """
+    string, offset, common, _ = merged_order(strings, shards)
+    interval = np.cumsum(common < LENGTH)
+    window = offset + LENGTH <= np.fromiter(map(len, strings), np.int64, len(strings))[string]
+    return string[window], offset[window], interval[window]
 
 
 def _segment_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,11 +268,11 @@ def _segment_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
-MATCH = "doc_id long, first int, last int, anchor long, window long"
+MATCH = "doc_id long, first int, last int, anchor long, window binary"
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats of whole groups (anchor, part), in runs of windows; of hot anchors also the earliest windows, by fingerprint."""
+    """Repeats of whole groups (anchor, part), in runs of windows; of anchors in several parts also the earliest windows."""
     names = [x.split()[0] for x in MATCH.split(", ")]
 
     def merge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -247,15 +290,11 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero((np.diff(dd, prepend=-1) != 0) | (np.diff(ss, prepend=-9) > 1)) if len(dd) else np.zeros(0, np.int64)
         if len(new):
             ends = np.append(new[1:], len(dd)) - 1
-            none = pa.nulls(len(new), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(dd[new]), pa.array(ss[new].astype(np.int32)), pa.array(ss[ends].astype(np.int32)), none, none], names)
+            yield pa.RecordBatch.from_arrays([pa.array(dd[new]), pa.array(ss[new].astype(np.int32)), pa.array(ss[ends].astype(np.int32)), pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.binary())], names)
         if lone.any():
-            raw = np.frombuffer(b"".join(strings), np.uint8)
-            at = np.cumsum([0, *map(len, strings)])[string[lone]] + offset[lone]
-            sums = prefix_sums(raw)
-            prints = mix((sums[at + LENGTH] - sums[at]) * powers(len(raw))[1][at])
+            windows = [strings[k][a : a + LENGTH] for k, a in zip(string[lone].tolist(), offset[lone].tolist(), strict=True)]
             place = pa.array(start[lone].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(d[lone]), place, place, pa.array(anchor[string[lone]]), pa.array(prints.view(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(d[lone]), place, place, pa.array(anchor[string[lone]]), pa.array(windows, pa.binary())], names)
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -294,21 +333,10 @@ def _spans(raw: bytes, firsts: list[int] | None, lasts: list[int] | None) -> lis
     return out
 
 
-def _with_unique_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with an id, in a column `_key` that orders them and tells rows of one doc_id apart; and rows without an id."""
-    numbered = docs.where("doc_id is not null")
-    most = numbered.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
-    key = F.col("doc_id").cast("long")
-    if most > 1:
-        copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        return numbered.withColumn("_key", key * most + copy - 1), docs.where("doc_id is null")
-    return numbered.withColumn("_key", key), docs.where("doc_id is null")
-
-
 def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, first, last): runs of window starts that repeat an earlier window, from (doc_id, text) with unique ids."""
     occurrences = docs.mapInArrow(_occurrences, OCCURRENCE)
-    dealt = occurrences.repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id", "first")
+    dealt = occurrences.repartition("anchor").sortWithinPartitions("anchor", "segment", "check", "doc_id", "first")
     judged = scratch.table(dealt.mapInArrow(_judged, OCCURRENCE), "judged")
     whole = judged.where("lead < 0").select("doc_id", "first", "last")
     candidates = judged.where("lead >= 0")
@@ -328,21 +356,24 @@ def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return whole.union(runs).union(crossing)
 
 
-def _marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with `_firsts` and `_lasts`, the repeated windows of each; and the rows without an id."""
+def _marked(docs: DataFrame) -> DataFrame:
+    """All rows with two more columns at the end: the first and the last of each run of repeated windows."""
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
-    keyed, rest = _with_unique_ids(docs)
-    windows = repeated_windows(keyed.select(F.col("_key").alias("doc_id"), "text"), scratch)
-    by_doc = windows.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("first", "last")).alias("_w"))
-    marked = keyed.join(by_doc, "_key", "left").withColumns({"_firsts": F.col("_w.first"), "_lasts": F.col("_w.last")})
-    return marked.drop("_w"), rest
+    key, spans, firsts, lasts = (free_name(docs, x) for x in ("_key", "_spans", "_firsts", "_lasts"))
+    keyed, _ = with_row_keys(docs, key, scratch)
+    windows = repeated_windows(keyed.select(F.col(key).alias("doc_id"), "text"), scratch)
+    by_doc = windows.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("first", "last")).alias(spans))
+    marked = keyed.join(by_doc, key, "left").withColumns({firsts: F.col(f"{spans}.first"), lasts: F.col(f"{spans}.last")})
+    none = F.expr("cast(null as array<int>)")
+    rest = docs.where("doc_id is null").withColumns({firsts: none, lasts: none})
+    return marked.select(*docs.columns, firsts, lasts).union(rest)
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document with its repeated bytes removed.
 
     A byte goes if a window of LENGTH bytes that covers it also starts earlier: in a smaller doc_id, or before in the same
-    document. Null texts are empty. Rows that share a doc_id are ordered by text; rows without one keep all bytes.
+    document. Null texts are empty. Rows that share a doc_id are ordered by a hash of their text; rows without one keep all bytes.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -363,14 +394,17 @@ def repeat_report(docs: DataFrame) -> DataFrame:
             arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(),) * 3 + (pa.string(),), strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
-    marked, rest = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    empty = F.expr("cast(null as array<int>)")
-    rows = marked.select("doc_id", "text", "_firsts", "_lasts").union(rest.select("doc_id", "text", empty, empty))
-    return rows.mapInArrow(run, schema)
+    marked = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return marked.mapInArrow(run, schema)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """The same rows and columns with repeated passages cut out of `text`, at whole characters; null texts stay null."""
+    """The same rows and columns with repeated passages cut out of `text`, at whole characters.
+
+    Null texts stay null and empty ones empty. Rows that share a doc_id are ordered by a hash of their text, so all but the
+    first of equal rows lose their text; rows without a doc_id take no part and stay as they are. Further columns are kept,
+    whatever their names.
+    """
     schema, place = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,5 +426,5 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2])
 
-    marked, rest = _marked(docs)
-    return marked.select(*docs.columns, "_firsts", "_lasts").mapInArrow(run, schema).union(rest.select(*docs.columns))
+    marked = _marked(docs)
+    return marked.mapInArrow(run, schema)

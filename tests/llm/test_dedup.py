@@ -129,6 +129,47 @@ def test_cut_repeats_keeps_columns_and_characters(docs):
     assert text[1] == "" and text[4] is None and text[7] == dict(TEXTS)[7] and text[10].startswith("prefix here ") and len(text[10]) < 60
 
 
+def test_common_prefixes_of_the_merged_order():
+    rng = random.Random(9)
+    for letters in (b"a", b"ab", bytes(range(256))):
+        base = bytes(rng.choice(letters) for _ in range(160))
+        strings = [base[rng.randint(0, 20) :] + bytes(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(12)]
+        string, offset, common, q = D.merged_order(strings)
+        order = [strings[k][i:] for k, i in zip(string.tolist(), offset.tolist())]
+        for before, now, shared in zip(order, order[1:], common[1:].tolist()):
+            ends = [*before[:100], -1], [*now[:100], -1]
+            assert ends[0][:100] <= ends[1][:100] or shared >= 100
+            same = next((k for k, (x, y) in enumerate(zip(before, now)) if x != y), min(len(before), len(now)))
+            if shared >= 100:
+                assert before[:100] == now[:100]
+            else:
+                assert shared <= same < shared + q or before == now
+
+
+def test_repeats_of_long_texts_odd_ids_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(D, "PIECE", 500)
+    monkeypatch.setattr(D, "SLICE", 3_000)
+    rows = [(i, t) for i, t in TEXTS] + [(2**62, TEXTS[6][1]), (2**63 - 1, "x" + TEXTS[6][1][500:9000]), (-(2**63), TEXTS[6][1][3000:3600])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in D.repeat_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_repeats(rows)
+    names = "_key long, _firsts string, _lasts string, _spans int, first int, _Part int, _tie int, _base int, anchor long, segment long"
+    odd = [(i, t, *([k] * 1), "f", "l", *([k] * 7)) for k, (i, t) in enumerate([(2**62, "a" * 300), (2**62, "b" * 300), (2**62, "a" * 300), (None, "a" * 300), (7, None), (7, "")])]
+    df = spark.createDataFrame(odd, f"doc_id long, text string, {names}")
+    out = D.cut_repeats(df)
+    assert out.columns == df.columns
+    texts = sorted((r.doc_id or 0, r.text if r.text is None else len(r.text), r._firsts) for r in out.collect() if r.text is not None)
+    assert texts == [(0, 300, "f"), (7, 0, "f"), (2**62, 0, "f"), (2**62, 1, "f"), (2**62, 1, "f")]
+
+
+def test_one_of_each_keeps_different_texts_of_one_id(spark):
+    names = "_key string, _place int, component long, kept boolean, n_shingles string"
+    texts = [(5, "one two three four five six seven"), (5, "eight nine ten eleven twelve more words"), (5, "one two three four five six seven"), (5, None), (5, None), (2**62, "ONE two three four five six seven"), (None, "one two three four five six seven"), (6, "")]
+    df = spark.createDataFrame([(i, t, "k", k, 1, True, "s") for k, (i, t) in enumerate(texts)], f"doc_id long, text string, {names}")
+    out = N.keep_one_of_each(df)
+    assert out.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter({texts[0]: 1, texts[1]: 1, (5, None): 1, texts[6]: 1, (6, ""): 1})
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(1)
