@@ -3,7 +3,7 @@
 Every window of `LENGTH` bytes has an anchor, the `GRAM` bytes in it with the least hash, leftmost among equals; equal
 windows have equal anchors in the same place. Neighbouring windows with one anchor are a segment. Segments are brought
 together by their anchor's hash, a row of a few numbers each and only the first of equal segments of a slice of text:
-further equal segments, of one anchor and one 128-bit BLAKE2b digest of their bytes, repeat the first, whole. Of anchors with several different segments, the segments' bytes go on.
+further equal segments, of one anchor and one 96-bit BLAKE2b digest of their bytes, repeat the first, whole. Of anchors with several different segments, the segments' bytes go on.
 
 There, in blocks of whole anchor groups, each shard of a block sorts its suffixes and keeps its transform. The shards'
 transforms are merged by interleave refinement: the order of all suffixes by their first h bytes is a sequence of shard
@@ -41,11 +41,12 @@ SHARDS = 16
 SLICE = 300_000
 PIECE = 1 << 20  # windows handled at once; below 2**24
 PLACE = np.uint64((1 << 24) - 1)
-OCCURRENCE = "anchor long, segment long, check long, doc_id long, first int, last int, lead int"
+OCCURRENCE = "anchor long, segment long, check int, doc_id long, first int, last int, lead int"
+JUDGED = "anchor long, doc_id long, first int, last int, lead int"
 
 
 def segments(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor hash, digest in two halves, text, first window, last window and anchor's lead of each segment of joined texts."""
+    """Anchor hash, digest in two parts, text, first window, last window and anchor's lead of each segment of joined texts."""
     out: list[tuple[np.ndarray, ...]] = []
     sums = prefix_sums(raw)
     _, down = powers(len(raw))
@@ -69,13 +70,13 @@ def segments(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         first, last = valid[new], valid[np.append(new[1:], len(valid)) - 1]
         out.append((anchors[place[new]], first + lo, last + lo, place[new] - first))
     if not out:
-        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int32, np.int64, np.int64, np.int64, np.int64))
     anchor, first, last, lead = (np.concatenate(x) for x in zip(*out, strict=True))
     view = memoryview(np.ascontiguousarray(raw))
-    digests = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)])
-    halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    digests = b"".join([hashlib.blake2b(view[a:b], digest_size=12).digest() for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)])
+    digest = np.frombuffer(digests, np.dtype([("segment", "<u8"), ("check", "<i4")]))
     text = np.searchsorted(starts, first, "right") - 1
-    return anchor, halves[:, 0].copy(), halves[:, 1].copy(), text, first - starts[text], last - starts[text], lead
+    return anchor, digest["segment"].copy(), digest["check"].copy(), text, first - starts[text], last - starts[text], lead
 
 
 def pieces_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -126,14 +127,14 @@ def _segment_rows(own: list[bytes], docs: np.ndarray, offsets: np.ndarray, names
     anchor[again] = mix(mix(doc[again].astype(np.uint64)) + first[again].astype(np.uint64))
     for lo in range(0, len(doc), 100_000):
         cut = slice(lo, lo + 100_000)
-        columns = [anchor[cut].view(np.int64), segment[cut].view(np.int64), check[cut].view(np.int64), doc[cut], *(x[cut].astype(np.int32) for x in (first, last, lead))]
+        columns = [anchor[cut].view(np.int64), segment[cut].view(np.int64), check[cut], doc[cut], *(x[cut].astype(np.int32) for x in (first, last, lead))]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor, segment, doc_id and place: repeats (lead -1) and candidates (the first of each segment of
-    an anchor with several). Only the first segment of the anchor at hand is held."""
-    names = [x.split()[0] for x in OCCURRENCE.split(", ")]
+    """Of rows sorted by anchor, segment, doc_id and place: repeats (lead -1, anchor 0) and candidates (the first of each
+    segment of an anchor with several). Only the first segment of the anchor at hand is held."""
+    names = [x.split()[0] for x in JUDGED.split(", ")]
     anchor_at = segment_at = check_at = None
     seen, held = 0, None  # segments of the anchor so far; its first one, while it is the only one
     for batch in batches:
@@ -156,7 +157,8 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leads = lead.copy()
         leads[repeat] = -1
         rows = np.sort(np.concatenate([np.flatnonzero(repeat), firsts[chosen]]))
-        out = pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(leads)], names).take(pa.array(rows))
+        judged = pa.RecordBatch.from_arrays([pa.array(np.where(repeat, 0, anchor)), *batch.columns[3:6], pa.array(leads)], names)
+        out = judged.take(pa.array(rows))
         if goes_on and held is not None and counts[0]:
             yield held
             held = None
@@ -168,7 +170,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if passed[-1]:
             seen, held = 0, None
         elif seen == 1 and len(in_last):
-            held = batch.slice(int(in_last[0]), 1)
+            held = judged.slice(int(in_last[0]), 1)
         elif last_group:
             held = None
         anchor_at, segment_at, check_at = anchor[-1], segment[-1], check[-1]
@@ -337,7 +339,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, first, last): runs of window starts that repeat an earlier window, from (doc_id, text) with unique ids."""
     occurrences = docs.mapInArrow(_occurrences, OCCURRENCE)
     dealt = occurrences.repartition("anchor").sortWithinPartitions("anchor", "segment", "check", "doc_id", "first")
-    judged = scratch.table(dealt.mapInArrow(_judged, OCCURRENCE), "judged")
+    judged = scratch.table(dealt.mapInArrow(_judged, JUDGED), "judged")
     whole = judged.where("lead < 0").select("doc_id", "first", "last")
     candidates = judged.where("lead >= 0")
     hot = candidates.groupBy("anchor").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1")
