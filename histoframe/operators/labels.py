@@ -11,60 +11,64 @@ from pyspark.sql import functions as F
 
 from histoframe.operators import components as graph
 from histoframe.operators import tiles as T
-from histoframe.operators.runs import to_runs
+from histoframe.operators.runs import images, to_runs
 from histoframe.operators.thresholds import otsu
 from histoframe.scratch import Scratch
 
 RUN_ID = 1 << 31
 
 
-def numbered(rows: DataFrame, key: str, name: str, scratch: Scratch) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], name: str, scratch: Scratch) -> DataFrame:
     """Distinct keys with numbers from 1 in their order: numbers within range partitions, plus the partitions' offsets."""
-    keys = scratch.table(rows.select(key).distinct().repartitionByRange(key).withColumn("_part", F.spark_partition_id()), f"keys-{name}")
+    found = scratch.table(rows.select(*keys).distinct().repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), f"keys-{name}")
     offsets, total = [], 0
-    for r in keys.groupBy("_part").count().orderBy("_part").collect():  # one row a partition
+    for r in found.groupBy("_part").count().orderBy("_part").collect():  # one row a partition
         offsets.append((r["_part"], total))
         total += r["count"]
-    base = keys.sparkSession.createDataFrame(offsets, "_part int, _base long")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    return keys.join(F.broadcast(base), "_part").select(key, (place + F.col("_base")).alias(name))
+    base = found.sparkSession.createDataFrame(offsets, "_part int, _base long")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return found.join(F.broadcast(base), "_part").select(*keys, (place + F.col("_base")).alias(name))
 
 
 def connected_components(runs: DataFrame) -> DataFrame:
-    """Foreground runs relabelled 1..n by connected parts, corners included: runs of neighbouring rows that touch."""
+    """Foreground runs relabelled from 1 in each mask of each image by connected parts, corners included.
+
+    Parts join runs of neighbouring rows of one mask that touch. They are numbered in reading order of their first runs.
+    """
     scratch = Scratch(runs.sparkSession, "label-components")
-    nodes = scratch.table(runs.where("x1 > x0 and label > 0").select("mask_id", F.col("y").cast("long").alias("y"), "x0", "x1").distinct().withColumn("node", F.col("y") * RUN_ID + F.col("x0")), "nodes")
-    below = nodes.select((F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("node").alias("b"))
-    links = nodes.join(below, "y").where("x0 <= b1 and b0 <= x1").select(F.col("node").alias("a"), "b")
+    mask = [*images(runs), "mask_id"]
+    own = runs.where("x1 > x0 and label > 0").select(*mask, F.col("y").cast("long").alias("y"), "x0", "x1").distinct()
+    nodes = scratch.table(own.join(numbered(own, [*mask, "y", "x0"], "node", scratch), [*mask, "y", "x0"]), "nodes")
+    below = nodes.select(*mask, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("node").alias("b"))
+    links = nodes.join(below, [*mask, "y"]).where("x0 <= b1 and b0 <= x1").select(F.col("node").alias("a"), "b")
     parts = graph.connected_components(links, scratch, "parts")
     placed = scratch.table(nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    return placed.join(numbered(placed, "component", "label", scratch), "component").select("mask_id", "y", "x0", "x1", "label")
+    heads = placed.where("node = component").select(*mask, "component", F.row_number().over(Window.partitionBy(*mask).orderBy("component")).cast("long").alias("label"))
+    return placed.join(heads, [*mask, "component"]).select(*mask, "y", "x0", "x1", "label")
 
 
 def label_gauss_otsu(tiles: DataFrame, edge: int, sigma: float = 2, factor: float = 1) -> DataFrame:
-    """Runs of the parts of a blurred channel above its Otsu threshold times a factor."""
+    """Runs of the parts of each blurred channel above its own Otsu threshold times a factor; a mask a channel and image."""
     values = T.pixel_values(T.gaussian(tiles, edge, sigma))
-    means = values.select(F.col("channel_idx").cast("string").alias("marker"), F.col("value").alias("mean"))
-    limit = otsu(means).select(F.col("marker").cast("int").alias("channel_idx"), (F.col("threshold") * factor).alias("t"))
-    above = values.join(F.broadcast(limit), "channel_idx").where("value > t").select(F.lit("gauss_otsu").alias("mask_id"), "y", "x", F.lit(1).alias("label"))
+    plane = F.struct("image_id", "channel_idx")
+    limit = otsu(values.select(plane.alias("marker"), F.col("value").alias("mean"))).select("marker.*", (F.col("threshold") * factor).alias("t"))
+    mask = F.concat(F.lit("gauss_otsu"), F.when(F.col("channel_idx") > 0, F.concat(F.lit("_"), "channel_idx")).otherwise(""))
+    above = values.join(F.broadcast(limit), ["image_id", "channel_idx"]).where("value > t").select("image_id", mask.alias("mask_id"), "y", "x", F.lit(1).alias("label"))  # one row a channel
     return connected_components(to_runs(above))
 
 
 def label_voronoi_otsu(tiles: DataFrame, edge: int, spot_sigma: float = 2, outline_sigma: float = 2, size: int = 101, reach: int = 30) -> DataFrame:
     """Label tiles by seeded flooding: seeds are maxima of the blurred image inside the mask of pixels above their local mean.
 
-    The image is scaled to 0..255 over its whole range; a pixel is in the mask if it exceeds the mean of a window by one.
+    Each channel of an image is scaled to 0..255 over its whole range; a pixel is in the mask if it exceeds the mean of a window by one.
     Labels are numbers of seeds: row * 2**31 + column. A pixel takes the nearest seed, within `reach`, along the mask;
     the same whatever the tile, as far as cells are no wider than the reach.
     """
-    ends = T.pixel_values(tiles).agg(F.min("value").alias("a"), F.max("value").alias("b")).first()
-    span = max((ends.b or 0) - (ends.a or 0), 1e-12)
-    low = ends.a or 0.0
     half = size // 2
     radius = half + int(4 * max(spot_sigma, outline_sigma) + 0.5) + 2 * reach
 
     def kernel(p: np.ndarray) -> np.ndarray:
-        scaled = (p.astype(np.float64) - low) / span * 255
+        scaled = p.astype(np.float64)
         spots, outline = T.gaussian_of(scaled, spot_sigma), T.gaussian_of(scaled, outline_sigma)
         padded = np.pad(outline, half + 1, mode="symmetric")
         sums = padded.cumsum(0).cumsum(1)
@@ -90,7 +94,8 @@ def label_voronoi_otsu(tiles: DataFrame, edge: int, spot_sigma: float = 2, outli
         names = np.concatenate([[0], (ys << 16 | xs) + 1])  # within the tile's view; made global by the caller
         return names[label]
 
-    local = T.with_halo(tiles, radius, edge, kernel, dtype="int64")
+    scaled = T.map_tiles_with_range(tiles, lambda p, a, b: (p - a) / max(b - a, 1e-12) * 255)
+    local = T.with_halo(scaled, radius, edge, kernel, dtype="int64")
 
     def global_names(plane: np.ndarray, row: dict) -> np.ndarray:
         y, x = (plane - 1 >> 16) + row["y0"] - radius, (plane - 1 & 0xFFFF) + row["x0"] - radius
@@ -102,7 +107,7 @@ def label_voronoi_otsu(tiles: DataFrame, edge: int, spot_sigma: float = 2, outli
 def label_runs(tiles: DataFrame, mask_id: str) -> DataFrame:
     """Runs of label tiles; runs of one row and label that touch across tiles are joined."""
     values = T.pixel_values(tiles).where("value > 0")
-    return to_runs(values.select(F.lit(mask_id).alias("mask_id"), "y", "x", F.col("value").cast("long").alias("label")))
+    return to_runs(values.select("image_id", F.lit(mask_id).alias("mask_id"), "y", "x", F.col("value").cast("long").alias("label")))
 
 
 def owned(objects: DataFrame, edge: int) -> DataFrame:
@@ -117,37 +122,40 @@ def infer_tiles(tiles: DataFrame, edge: int, overlap: int, model: Callable[[np.n
 
 
 def score_mean(tiles: DataFrame, tile: int, overlap: int, model: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(y, x, value): scores averaged where model windows of tile + 2 * overlap pixels cover a pixel more than once."""
-    schema = "y int, x int, value double"
+    """(image_id, channel_idx, y, x, value): scores averaged where model windows of tile + 2 * overlap pixels cover a pixel
+    more than once."""
+    schema = "image_id string, channel_idx int, y int, x int, value double"
 
     def run(rows: pa.Table) -> pa.Table:
         out = []
         for r in rows.to_pylist():
             scores = model(T.plane_of(r).astype(np.float64))
             y, x = np.mgrid[r["y0"] : r["y0"] + r["h"], r["x0"] : r["x0"] + r["w"]]
-            out.append(pa.table({"y": pa.array(y.ravel().astype(np.int32)), "x": pa.array(x.ravel().astype(np.int32)), "value": pa.array(scores.ravel().astype(np.float64))}))
+            n = y.size
+            out.append(pa.table({"image_id": pa.array([r["image_id"]] * n, pa.string()), "channel_idx": pa.array(np.full(n, r["channel_idx"], np.int32)), "y": pa.array(y.ravel().astype(np.int32)), "x": pa.array(x.ravel().astype(np.int32)), "value": pa.array(scores.ravel().astype(np.float64))}))
         return pa.concat_tables(out)
 
-    windows = _windows(tiles, tile, overlap)
-    return windows.groupBy("ty", "tx").applyInArrow(run, schema).groupBy("y", "x").agg(F.avg("value").alias("value"))
+    plane = ["image_id", "channel_idx"]
+    return _windows(tiles, tile, overlap).groupBy(*plane, "ty", "tx").applyInArrow(run, schema).groupBy(*plane, "y", "x").agg(F.avg("value").alias("value"))
 
 
 def _windows(tiles: DataFrame, tile: int, overlap: int) -> DataFrame:
     """Tiles grown by the overlap where the image goes on, with their new places."""
     grown = T.with_halo(tiles, overlap, tile, lambda p: p, "float32")
     values = T.pixel_values(grown)
-    near = values.withColumns({a: F.explode(F.sequence(F.floor((F.col(b) - overlap) / tile), F.floor((F.col(b) + overlap) / tile))) for a, b in (("ty", "y"),)})
+    near = values.withColumn("ty", F.explode(F.sequence(F.floor((F.col("y") - overlap) / tile), F.floor((F.col("y") + overlap) / tile))))
     near = near.withColumn("tx", F.explode(F.sequence(F.floor((F.col("x") - overlap) / tile), F.floor((F.col("x") + overlap) / tile))))
-    near = near.join(tiles.select("ty", "tx").distinct(), ["ty", "tx"], "left_semi")
+    plane = ["image_id", "channel_idx"]
+    near = near.join(tiles.select(*plane, "ty", "tx").distinct(), [*plane, "ty", "tx"], "left_semi")
 
     def put(rows: pa.Table) -> pa.Table:
         y, x, v = (rows[c].to_numpy() for c in ("y", "x", "value"))
-        plane = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), "<f4")
-        plane[y - y.min(), x - x.min()] = v
-        row = {"ty": rows["ty"][0].as_py(), "tx": rows["tx"][0].as_py(), "y0": int(y.min()), "x0": int(x.min()), "h": plane.shape[0], "w": plane.shape[1], "dtype": "float32", "pixels": plane.tobytes()}
-        return pa.Table.from_pylist([row], pa.schema([("ty", pa.int64()), ("tx", pa.int64()), *((c, pa.int32()) for c in ("y0", "x0", "h", "w")), ("dtype", pa.string()), ("pixels", pa.binary())]))
+        out = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), "<f4")
+        out[y - y.min(), x - x.min()] = v
+        row = {c: rows[c][0].as_py() for c in (*plane, "ty", "tx")} | {"y0": int(y.min()), "x0": int(x.min()), "h": out.shape[0], "w": out.shape[1], "dtype": "float32", "pixels": out.tobytes()}
+        return pa.Table.from_pylist([row], pa.schema([("image_id", pa.string()), ("channel_idx", pa.int32()), ("ty", pa.int64()), ("tx", pa.int64()), *((c, pa.int32()) for c in ("y0", "x0", "h", "w")), ("dtype", pa.string()), ("pixels", pa.binary())]))
 
-    return near.groupBy("ty", "tx").applyInArrow(put, "ty long, tx long, y0 int, x0 int, h int, w int, dtype string, pixels binary")
+    return near.groupBy(*plane, "ty", "tx").applyInArrow(put, "image_id string, channel_idx int, ty long, tx long, y0 int, x0 int, h int, w int, dtype string, pixels binary")
 
 
 # ---- per object, on the runs of one label at a time
@@ -165,10 +173,11 @@ def _per_object(runs: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataF
         ys, starts = np.nonzero(edges == 1)
         _, stops = np.nonzero(edges == -1)
         n = len(ys)
-        return pa.table({"mask_id": pa.array([rows["mask_id"][0].as_py()] * n, pa.string()), "y": pa.array((ys + y.min()).astype(np.int64)), "x0": pa.array((starts + x0.min()).astype(np.int64)), "x1": pa.array((stops + x0.min()).astype(np.int64)), "label": pa.array([rows["label"][0].as_py()] * n, pa.int64())})
+        return pa.table({c: pa.array([rows[c][0].as_py()] * n, pa.string()) for c in mask} | {"y": pa.array((ys + y.min()).astype(np.int64)), "x0": pa.array((starts + x0.min()).astype(np.int64)), "x1": pa.array((stops + x0.min()).astype(np.int64)), "label": pa.array([rows["label"][0].as_py()] * n, pa.int64())})
 
-    plain = runs.select("mask_id", *(F.col(c).cast("long").alias(c) for c in ("y", "x0", "x1", "label")))
-    return plain.groupBy("mask_id", "label").applyInArrow(run, "mask_id string, y long, x0 long, x1 long, label long")
+    mask = [*images(runs), "mask_id"]
+    plain = runs.select(*mask, *(F.col(c).cast("long").alias(c) for c in ("y", "x0", "x1", "label")))
+    return plain.groupBy(*mask, "label").applyInArrow(run, "".join(f"{c} string, " for c in mask) + "y long, x0 long, x1 long, label long")
 
 
 def _parts(mask: np.ndarray, corners: bool) -> np.ndarray:
@@ -203,7 +212,7 @@ def clean_objects(runs: DataFrame, fill_holes: bool = False, keep_largest: bool
 
 
 def contours(runs: DataFrame) -> DataFrame:
-    """(mask_id, label, part, ring): the outer boundary of each object along pixel centres, at +0.5, three points or more.
+    """(mask_id, label, part, ring): the outer boundary of each part of an object along pixel centres, at +0.5, three points or more.
 
     The trace follows the boundary pixels clockwise from the first in reading order, by Moore neighbours.
     """
@@ -234,13 +243,15 @@ def contours(runs: DataFrame) -> DataFrame:
         crop = np.zeros((y.max() - y.min() + 1, x1.max() - x0.min()), bool)
         for a, b, c in zip(y - y.min(), x0 - x0.min(), x1 - x0.min(), strict=True):
             crop[a, b:c] = True
-        ring = [{"x": float(px - 1 + x0.min() + 0.5), "y": float(py - 1 + y.min() + 0.5)} for py, px in trace(crop)]
-        kept = [ring] if len(ring) >= 3 else []
+        parts = _parts(crop, corners=True)
+        rings = [[{"x": float(px - 1 + x0.min() + 0.5), "y": float(py - 1 + y.min() + 0.5)} for py, px in trace(parts == k)] for k in np.unique(parts[parts > 0])]
+        kept = [ring for ring in rings if len(ring) >= 3]
         kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-        return pa.table({"mask_id": pa.array([rows["mask_id"][0].as_py()] * len(kept), pa.string()), "label": pa.array([rows["label"][0].as_py()] * len(kept), pa.int64()), "part": pa.array([1] * len(kept), pa.int32()), "ring": pa.array(kept, kind)})
+        return pa.table({c: pa.array([rows[c][0].as_py()] * len(kept), pa.string()) for c in mask} | {"label": pa.array([rows["label"][0].as_py()] * len(kept), pa.int64()), "part": pa.array(range(1, len(kept) + 1), pa.int32()), "ring": pa.array(kept, kind)})
 
-    plain = runs.select("mask_id", "y", "x0", "x1", F.col("label").cast("long").alias("label"))
-    return plain.groupBy("mask_id", "label").applyInArrow(run, "mask_id string, label long, part int, ring array<struct<x:double,y:double>>")
+    mask = [*images(runs), "mask_id"]
+    plain = runs.select(*mask, "y", "x0", "x1", F.col("label").cast("long").alias("label"))
+    return plain.groupBy(*mask, "label").applyInArrow(run, "".join(f"{c} string, " for c in mask) + "label long, part int, ring array<struct<x:double,y:double>>")
 
 
 def expand_labels(tiles: DataFrame, edge: int, distance: int = 6) -> DataFrame:
@@ -290,15 +301,15 @@ def crop_to_region(tiles: DataFrame, box: tuple[int, int, int, int]) -> DataFram
 def drop_border(runs: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
     """Runs of the objects that don't touch the edge of a box."""
     y0, x0, y1, x1 = box
-    touching = runs.where((F.col("y") <= y0) | (F.col("y") >= y1 - 1) | (F.col("x0") <= x0) | (F.col("x1") >= x1)).select("mask_id", "label").distinct()
-    return runs.join(touching, ["mask_id", "label"], "left_anti").select(*runs.columns)
+    touching = runs.where((F.col("y") <= y0) | (F.col("y") >= y1 - 1) | (F.col("x0") <= x0) | (F.col("x1") >= x1)).select(*images(runs), "mask_id", "label").distinct()
+    return runs.join(touching, [*images(runs), "mask_id", "label"], "left_anti").select(*runs.columns)
 
 
 def classify_cells(tiles: DataFrame, label_tiles: DataFrame, cells: DataFrame, edge: int, model: Callable[[np.ndarray], np.ndarray], crop: int = 64, threshold: float = 0.5) -> DataFrame:
     """(cell_id, channel_idx, p, state): a user's model on the crop around each cell; state 2 from the threshold up.
 
     The model gets (cells, 3, crop, crop): the channel, the cell's mask and the mask of other cells; crops are mirrored at
-    image edges. Each cell belongs to the tile of its centroid, whose halo holds the crop.
+    image edges. Each cell belongs to the tile of its centroid, whose halo holds the crop. Cells of several images have image_id.
     """
     half = crop // 2
     both = tiles.select(*T.KEYS, "y0", "x0", "h", "w", "dtype", "pixels").unionByName(label_tiles.select("image_id", "level", F.lit(-1).alias("channel_idx"), "ty", "tx", "y0", "x0", "h", "w", "dtype", "pixels"))
@@ -306,7 +317,9 @@ def classify_cells(tiles: DataFrame, label_tiles: DataFrame, cells: DataFrame, e
     values = T.pixel_values(both)
     near = values.withColumn("ty", F.explode(F.sequence(F.floor((F.col("y") - half) / edge), F.floor((F.col("y") + half) / edge))))
     near = near.withColumn("tx", F.explode(F.sequence(F.floor((F.col("x") - half) / edge), F.floor((F.col("x") + half) / edge))))
-    seats = cells.select("cell_id", F.floor("y_px").cast("int").alias("cy"), F.floor("x_px").cast("int").alias("cx"), F.floor(F.col("y_px") / edge).alias("ty"), F.floor(F.col("x_px") / edge).alias("tx"))
+    named_images = images(cells)
+    keys = [*named_images, "ty", "tx"]
+    seats = cells.select(*named_images, "cell_id", F.floor("y_px").cast("int").alias("cy"), F.floor("x_px").cast("int").alias("cx"), F.floor(F.col("y_px") / edge).alias("ty"), F.floor(F.col("x_px") / edge).alias("tx"))
 
     def run(pixels: pa.Table, seated: pa.Table) -> pa.Table:
         out: dict[str, list] = {"cell_id": [], "channel_idx": [], "p": []}
@@ -328,7 +341,9 @@ def classify_cells(tiles: DataFrame, label_tiles: DataFrame, cells: DataFrame, e
                 out["p"] += np.asarray(model(np.stack(batch)), float).ravel().tolist()
                 out["cell_id"] += seated["cell_id"].to_pylist()
                 out["channel_idx"] += [channel] * seated.num_rows
-        return pa.table({"cell_id": pa.array(out["cell_id"], pa.int64()), "channel_idx": pa.array(out["channel_idx"], pa.int32()), "p": pa.array(out["p"], pa.float64())})
+        n = len(out["cell_id"])
+        named = {c: pa.array([seated[c][0].as_py()] * n if n else [], pa.string()) for c in named_images}
+        return pa.table(named | {"cell_id": pa.array(out["cell_id"], pa.int64()), "channel_idx": pa.array(out["channel_idx"], pa.int32()), "p": pa.array(out["p"], pa.float64())})
 
-    scored = near.groupBy("ty", "tx").cogroup(seats.groupBy("ty", "tx")).applyInArrow(run, "cell_id long, channel_idx int, p double")
+    scored = near.groupBy(*keys).cogroup(seats.groupBy(*keys)).applyInArrow(run, ("image_id string, " if named_images else "") + "cell_id long, channel_idx int, p double")
     return scored.withColumn("state", F.when(F.col("p") >= threshold, 2).otherwise(1))

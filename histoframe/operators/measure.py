@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from histoframe.operators.runs import images
 
 def cell_means(pixels: DataFrame, keys: tuple[str, ...] = ("cell_id", "marker"), value: str = "value") -> DataFrame:
     """Count, sum and mean of a value per cell and marker; label 0 and null labels are background. Partial sums first."""
@@ -25,12 +26,12 @@ def widen(cell_marker: DataFrame, markers: list[str], keys: tuple[str, ...] = ("
 
 
 def cell_geometry(runs: DataFrame) -> DataFrame:
-    """Area, centroid (pixel indices) and bounding box (ends exclusive) per mask and label, from label runs."""
+    """Area, centroid (pixel indices) and bounding box (ends exclusive) per image, mask and label, from label runs."""
     n = F.col("x1") - F.col("x0")
     area = F.sum(n)
     return (
         runs.where("label > 0 and x1 > x0")
-        .groupBy("mask_id", F.col("label").alias("cell_id"))
+        .groupBy(*images(runs), "mask_id", F.col("label").alias("cell_id"))
         .agg(
             area.cast("long").alias("area_px"),
             (F.sum((F.col("x0") + F.col("x1") - 1) / 2.0 * n) / area).alias("x_px"),

@@ -1,4 +1,7 @@
-"""Masks as label runs: (mask_id, y, x0, x1, label), x1 exclusive, label above 0. Everything here is joins and groupings."""
+"""Masks as label runs: (mask_id, y, x0, x1, label), x1 exclusive, label above 0. Everything here is joins and groupings.
+
+Runs of several images have a further column image_id: masks of different images never meet, and results carry it.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +11,14 @@ from pyspark.sql import functions as F
 STRIP = 256  # columns of pixels that one bucket of a run join covers
 
 
-def to_runs(pixels: DataFrame, keys: tuple[str, ...] = ("mask_id", "y")) -> DataFrame:
+def images(*tables: DataFrame) -> list[str]:
+    """The key of images, where all tables have it."""
+    return ["image_id"] if all("image_id" in t.columns for t in tables) else []
+
+
+def to_runs(pixels: DataFrame) -> DataFrame:
     """Run-length encoding of (mask_id, y, x, label) pixels: gaps and islands over each row; label 0 is background."""
+    keys = [*images(pixels), "mask_id", "y"]
     w = Window.partitionBy(*keys).orderBy("x")
     new = (F.coalesce(F.lag("label").over(w), F.lit(0)) != F.col("label")) | (F.coalesce(F.lag("x").over(w), F.col("x") - 2) != F.col("x") - 1)
     island = F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -18,57 +27,65 @@ def to_runs(pixels: DataFrame, keys: tuple[str, ...] = ("mask_id", "y")) -> Data
 
 def to_pixels(runs: DataFrame) -> DataFrame:
     """(mask_id, y, x, label) of every labelled pixel."""
-    return runs.where("x1 > x0").select("mask_id", "y", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"), "label")
+    return runs.where("x1 > x0").select(*images(runs), "mask_id", "y", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"), "label")
 
 
 def areas(runs: DataFrame) -> DataFrame:
-    return runs.where("label > 0").groupBy("mask_id", "label").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("area_px"))
+    return runs.where("label > 0").groupBy(*images(runs), "mask_id", "label").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("area_px"))
 
 
 def filter_size(runs: DataFrame, min_size: int = 10, max_size: int = 1000) -> DataFrame:
     """Runs of the cells whose area lies in the range, both ends included; ids stay."""
-    keep = areas(runs).where(F.col("area_px").between(min_size, max_size)).select("mask_id", "label")
-    return runs.join(keep, ["mask_id", "label"], "left_semi").select(*runs.columns)
+    keys = [*images(runs), "mask_id", "label"]
+    keep = areas(runs).where(F.col("area_px").between(min_size, max_size)).select(*keys)
+    return runs.join(keep, keys, "left_semi").select(*runs.columns)
 
 
 def remap_labels(runs: DataFrame, mapping: DataFrame, default: int = 0) -> DataFrame:
     """Labels by a (label, new_label) table; those it lacks become `default`. Background runs go."""
-    out = runs.join(mapping.select("label", "new_label"), "label", "left").withColumn("label", F.coalesce("new_label", F.lit(default)))
+    keys = [*images(runs, mapping), "label"]
+    out = runs.join(mapping.select(*keys, "new_label"), keys, "left").withColumn("label", F.coalesce("new_label", F.lit(default)))
     return out.where("label > 0").select(*runs.columns)
 
 
 def mask_of(runs: DataFrame, cell_ids: DataFrame, label: int = 1) -> DataFrame:
     """The binary mask of some cells."""
-    return runs.join(cell_ids.select(F.col("cell_id").alias("label")), "label", "left_semi").select("mask_id", "y", "x0", "x1", F.lit(label).alias("label"))
+    keys = images(runs, cell_ids)
+    own = cell_ids.select(*keys, F.col("cell_id").alias("label"))
+    return runs.join(own, [*keys, "label"], "left_semi").select(*images(runs), "mask_id", "y", "x0", "x1", F.lit(label).alias("label"))
 
 
 def _strips(runs: DataFrame, prefix: str) -> DataFrame:
     cut = F.sequence(F.floor(F.col("x0") / STRIP), F.floor((F.col("x1") - 1) / STRIP))
     named = runs.where("x1 > x0 and label > 0").withColumn("strip", F.explode(cut))
-    return named.select("y", "strip", *(F.col(c).alias(f"{prefix}_{c}") for c in ("mask_id", "label", "x0", "x1")))
+    return named.select(*images(runs), "y", "strip", *(F.col(c).alias(f"{prefix}_{c}") for c in ("mask_id", "label", "x0", "x1")))
 
 
 def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a_mask, a, b_mask, b, pixels): shared pixels of cells, an interval join on equal rows and column strips."""
-    joined = _strips(left, "l").join(_strips(right, "r"), ["y", "strip"]).where("l_x0 < r_x1 and r_x0 < l_x1")
+    keys = images(left, right)
+    joined = _strips(left, "l").join(_strips(right, "r").select(*keys, "y", "strip", "r_mask_id", "r_label", "r_x0", "r_x1"), [*keys, "y", "strip"]).where("l_x0 < r_x1 and r_x0 < l_x1")
     shared = F.least("l_x1", "r_x1", (F.col("strip") + 1) * STRIP) - F.greatest("l_x0", "r_x0", F.col("strip") * STRIP)
     pairs = joined.withColumn("n", shared).where("n > 0")
-    return pairs.groupBy(F.col("l_mask_id").alias("a_mask"), F.col("l_label").alias("a"), F.col("r_mask_id").alias("b_mask"), F.col("r_label").alias("b")).agg(F.sum("n").cast("long").alias("pixels"))
+    return pairs.groupBy(*images(left), F.col("l_mask_id").alias("a_mask"), F.col("l_label").alias("a"), F.col("r_mask_id").alias("b_mask"), F.col("r_label").alias("b")).agg(F.sum("n").cast("long").alias("pixels"))
 
 
 def cells_in_mask(runs: DataFrame, type_runs: DataFrame, frac: float = 0.5) -> DataFrame:
     """(mask_id, cell_id, coverage): cells that a binary mask covers to a share of `frac` or more; any pixel for 0."""
-    covered = overlaps(runs, type_runs.withColumn("label", F.lit(1))).groupBy(F.col("a_mask").alias("mask_id"), F.col("a").alias("label")).agg(F.sum("pixels").alias("pixels"))
+    keys = images(runs)
+    covered = overlaps(runs, type_runs.withColumn("label", F.lit(1))).groupBy(*keys, F.col("a_mask").alias("mask_id"), F.col("a").alias("label")).agg(F.sum("pixels").alias("pixels"))
     share = F.col("pixels") / F.col("area_px")
-    out = areas(runs).join(covered, ["mask_id", "label"]).withColumn("coverage", share)
-    return out.where(F.col("coverage") >= frac).select("mask_id", F.col("label").alias("cell_id"), "coverage")
+    out = areas(runs).join(covered, [*keys, "mask_id", "label"]).withColumn("coverage", share)
+    return out.where(F.col("coverage") >= frac).select(*keys, "mask_id", F.col("label").alias("cell_id"), "coverage")
 
 
 def offsets(runs: DataFrame, order: DataFrame) -> DataFrame:
     """(mask_id, ord, id_offset): the sum of the largest labels of the masks before; order: (mask_id, ord)."""
-    tops = order.join(runs.groupBy("mask_id").agg(F.max("label").alias("top")), "mask_id", "left")
-    before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)  # one row a mask
-    return tops.select("mask_id", "ord", F.coalesce(F.sum(F.coalesce("top", F.lit(0))).over(before), F.lit(0)).cast("long").alias("id_offset"))
+    keys = images(runs)
+    masks = runs.select(*keys).distinct().crossJoin(F.broadcast(order)) if keys else order  # a few masks
+    tops = masks.join(runs.groupBy(*keys, "mask_id").agg(F.max("label").alias("top")), [*keys, "mask_id"], "left")
+    before = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)  # one row a mask
+    return tops.select(*keys, "mask_id", "ord", F.coalesce(F.sum(F.coalesce("top", F.lit(0))).over(before), F.lit(0)).cast("long").alias("id_offset"))
 
 
 def merge_masks(runs: DataFrame, order: DataFrame) -> DataFrame:
@@ -76,20 +93,22 @@ def merge_masks(runs: DataFrame, order: DataFrame) -> DataFrame:
 
     A cell stays if no later mask has foreground on it: eviction is whole, so order doesn't feed back.
     """
+    keys = images(runs)
     placed = runs.join(F.broadcast(order), "mask_id")  # one row a mask
     later = F.broadcast(order.select(F.col("mask_id").alias("b_mask"), F.col("ord").alias("b_ord")))
     touched = overlaps(placed, placed).where("a_mask <> b_mask").join(later, "b_mask").join(F.broadcast(order.select(F.col("mask_id").alias("a_mask"), "ord")), "a_mask")
-    evicted = touched.where("b_ord > ord").select(F.col("a_mask").alias("mask_id"), F.col("a").alias("label")).distinct()
-    kept = placed.where("label > 0").join(evicted, ["mask_id", "label"], "left_anti")
-    shifted = kept.join(F.broadcast(offsets(runs, order).drop("ord")), "mask_id")
-    return shifted.select("mask_id", "y", "x0", "x1", (F.col("label") + F.col("id_offset")).alias("label"))
+    evicted = touched.where("b_ord > ord").select(*keys, F.col("a_mask").alias("mask_id"), F.col("a").alias("label")).distinct()
+    kept = placed.where("label > 0").join(evicted, [*keys, "mask_id", "label"], "left_anti")
+    shifted = kept.join(offsets(runs, order).drop("ord"), [*keys, "mask_id"])  # one row a mask
+    return shifted.select(*keys, "mask_id", "y", "x0", "x1", (F.col("label") + F.col("id_offset")).alias("label"))
 
 
 def cut_by(runs: DataFrame, blockers: DataFrame) -> DataFrame:
     """What of each run the blockers leave: interval subtraction row by row."""
-    blocked = blockers.where("x1 > x0").select("y", F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    keys = ["mask_id", "y", "x0", "x1", "label"]
-    hits = runs.join(blocked, "y").where("b0 < x1 and x0 < b1").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("b0", "b1"))).alias("b"))
+    same, own = images(runs, blockers), images(runs)
+    blocked = blockers.where("x1 > x0").select(*same, "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"))
+    keys = [*own, "mask_id", "y", "x0", "x1", "label"]
+    hits = runs.join(blocked, [*same, "y"]).where("b0 < x1 and x0 < b1").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("b0", "b1"))).alias("b"))
     start = F.struct(F.col("x0").cast("long").alias("at"), F.expr("cast(array() as array<struct<x0:bigint,x1:bigint>>)").alias("out"))
 
     def step(acc: Column, b: Column) -> Column:
@@ -101,8 +120,8 @@ def cut_by(runs: DataFrame, blockers: DataFrame) -> DataFrame:
         tail = F.struct(acc["at"].alias("x0"), F.col("x1").cast("long").alias("x1"))
         return F.when(acc["at"] < F.col("x1"), F.concat(acc["out"], F.array(tail))).otherwise(acc["out"])
 
-    cut = hits.select("mask_id", "y", "label", F.explode(F.aggregate("b", start, step, finish)).alias("r")).select("mask_id", "y", F.col("r.x0").alias("x0"), F.col("r.x1").alias("x1"), "label")
-    clear = runs.join(hits.select(*keys), keys, "left_anti").select("mask_id", "y", F.col("x0").cast("long").alias("x0"), F.col("x1").cast("long").alias("x1"), "label")
+    cut = hits.select(*own, "mask_id", "y", "label", F.explode(F.aggregate("b", start, step, finish)).alias("r")).select(*own, "mask_id", "y", F.col("r.x0").alias("x0"), F.col("r.x1").alias("x1"), "label")
+    clear = runs.join(hits.select(*keys), keys, "left_anti").select(*own, "mask_id", "y", F.col("x0").cast("long").alias("x0"), F.col("x1").cast("long").alias("x1"), "label")
     return clear.unionByName(cut)
 
 
@@ -153,13 +172,14 @@ def rasterize(regions: DataFrame, height: int, width: int) -> DataFrame:
 def windowed(runs: DataFrame, nsize: int) -> DataFrame:
     """Runs cut at the edges of square windows: adds wy, wx."""
     cut = runs.where("x1 > x0 and label > 0").withColumn("wx", F.explode(F.sequence(F.floor(F.col("x0") / nsize), F.floor((F.col("x1") - 1) / nsize))))
-    return cut.select("mask_id", "y", F.greatest("x0", F.col("wx") * nsize).alias("x0"), F.least("x1", (F.col("wx") + 1) * nsize).alias("x1"), "label", F.floor(F.col("y") / nsize).alias("wy"), "wx")
+    return cut.select(*images(runs), "mask_id", "y", F.greatest("x0", F.col("wx") * nsize).alias("x0"), F.least("x1", (F.col("wx") + 1) * nsize).alias("x1"), "label", F.floor(F.col("y") / nsize).alias("wy"), "wx")
 
 
 def window_stats(runs: DataFrame, nsize: int = 40) -> DataFrame:
     """Per window and mask: labels, median area of their parts, and evenness 1 / (ln(sd / sqrt(n)) + 1), 0 where undefined."""
-    parts = windowed(runs, nsize).groupBy("wy", "wx", "mask_id", "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
-    out = parts.groupBy("wy", "wx", "mask_id").agg((F.count("*") + 1).alias("n_labels"), F.percentile("area", 0.5).alias("median_area"), F.stddev_pop("area").alias("_sd"), F.count("*").alias("_n"))
+    keys = images(runs)
+    parts = windowed(runs, nsize).groupBy(*keys, "wy", "wx", "mask_id", "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
+    out = parts.groupBy(*keys, "wy", "wx", "mask_id").agg((F.count("*") + 1).alias("n_labels"), F.percentile("area", 0.5).alias("median_area"), F.stddev_pop("area").alias("_sd"), F.count("*").alias("_n"))
     spread = F.col("_sd") / F.sqrt("_n")
     bottom = F.when(spread > 0, F.ln(spread) + 1)
     return out.withColumn("evenness", F.coalesce(F.when(bottom != 0, 1 / F.nullif(bottom, F.lit(0.0))), F.lit(0.0))).drop("_sd", "_n")
@@ -167,15 +187,16 @@ def window_stats(runs: DataFrame, nsize: int = 40) -> DataFrame:
 
 def window_jaccard(runs: DataFrame, nsize: int = 40) -> DataFrame:
     """Per window and pair of masks (a_mask < b_mask): shared and joint foreground, and their ratio."""
+    keys = [*images(runs), "wy", "wx"]
     cut = windowed(runs, nsize)
-    size = cut.groupBy("wy", "wx", "mask_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("n"))
-    a = cut.select("wy", "wx", "y", F.col("mask_id").alias("a_mask"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
-    b = cut.select("wy", "wx", "y", F.col("mask_id").alias("b_mask"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    met = a.join(b, ["wy", "wx", "y"]).where("a_mask < b_mask and a0 < b1 and b0 < a1").groupBy("wy", "wx", "a_mask", "b_mask").agg(F.sum(F.least("a1", "b1") - F.greatest("a0", "b0")).alias("shared"))
-    pairs = size.toDF("wy", "wx", "a_mask", "a_n").join(size.toDF("wy", "wx", "b_mask", "b_n"), ["wy", "wx"]).where("a_mask < b_mask")
-    out = pairs.join(met, ["wy", "wx", "a_mask", "b_mask"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    size = cut.groupBy(*keys, "mask_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("n"))
+    a = cut.select(*keys, "y", F.col("mask_id").alias("a_mask"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
+    b = cut.select(*keys, "y", F.col("mask_id").alias("b_mask"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
+    met = a.join(b, [*keys, "y"]).where("a_mask < b_mask and a0 < b1 and b0 < a1").groupBy(*keys, "a_mask", "b_mask").agg(F.sum(F.least("a1", "b1") - F.greatest("a0", "b0")).alias("shared"))
+    pairs = size.toDF(*keys, "a_mask", "a_n").join(size.toDF(*keys, "b_mask", "b_n"), keys).where("a_mask < b_mask")
+    out = pairs.join(met, [*keys, "a_mask", "b_mask"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     joint = F.col("a_n") + F.col("b_n") - F.col("shared")
-    return out.select("wy", "wx", "a_mask", "b_mask", "shared", joint.alias("joint"), (F.col("shared") / joint).alias("jaccard"))
+    return out.select(*keys, "a_mask", "b_mask", "shared", joint.alias("joint"), (F.col("shared") / joint).alias("jaccard"))
 
 
 def window_winner(stats: DataFrame, jaccard: DataFrame | None, order: DataFrame, merit: str = "pop") -> DataFrame:
@@ -188,26 +209,28 @@ def window_winner(stats: DataFrame, jaccard: DataFrame | None, order: DataFrame,
         return _jaccard_winner(stats, jaccard, order)
     scored = stats.withColumn("score", F.col({"pop": "n_labels", "cstd": "evenness"}[merit]).cast("double"))
     placed = scored.join(F.broadcast(order), "mask_id")
-    best = F.row_number().over(Window.partitionBy("wy", "wx").orderBy(F.desc("score"), "ord"))
-    return placed.withColumn("_k", best).where("_k = 1").select("wy", "wx", "mask_id", "score")
+    keys = [*images(stats), "wy", "wx"]
+    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "ord"))
+    return placed.withColumn("_k", best).where("_k = 1").select(*keys, "mask_id", "score")
 
 
 def _jaccard_winner(stats: DataFrame, jaccard: DataFrame, order: DataFrame) -> DataFrame:
-    grid = stats.select("wy", "wx").distinct().crossJoin(F.broadcast(order.select("mask_id", "ord")))  # a few masks
-    own = stats.select("wy", "wx", "mask_id", F.lit(1.0).alias("self"))
-    both = jaccard.select("wy", "wx", F.col("a_mask").alias("mask_id"), F.col("b_mask").alias("other"), "jaccard")
-    both = both.unionByName(jaccard.select("wy", "wx", F.col("b_mask").alias("mask_id"), F.col("a_mask").alias("other"), "jaccard"))
-    sums = both.groupBy("wy", "wx", "mask_id").agg(F.sum("jaccard").alias("s"))
-    scored = grid.join(own, ["wy", "wx", "mask_id"], "left").join(sums, ["wy", "wx", "mask_id"], "left")
+    keys = [*images(stats), "wy", "wx"]
+    grid = stats.select(*keys).distinct().crossJoin(F.broadcast(order.select("mask_id", "ord")))  # a few masks
+    own = stats.select(*keys, "mask_id", F.lit(1.0).alias("self"))
+    both = jaccard.select(*keys, F.col("a_mask").alias("mask_id"), F.col("b_mask").alias("other"), "jaccard")
+    both = both.unionByName(jaccard.select(*keys, F.col("b_mask").alias("mask_id"), F.col("a_mask").alias("other"), "jaccard"))
+    sums = both.groupBy(*keys, "mask_id").agg(F.sum("jaccard").alias("s"))
+    scored = grid.join(own, [*keys, "mask_id"], "left").join(sums, [*keys, "mask_id"], "left")
     scored = scored.withColumn("sum", F.coalesce("self", F.lit(0.0)) + F.coalesce("s", F.lit(0.0)))
-    worst = scored.groupBy("wy", "wx").agg(F.min_by("mask_id", F.struct("sum", "ord")).alias("worst"))
-    left = both.join(worst, ["wy", "wx"]).where("other = worst").select("wy", "wx", "mask_id", F.col("jaccard").alias("lost"))
-    after = scored.join(worst, ["wy", "wx"]).join(left, ["wy", "wx", "mask_id"], "left")
+    worst = scored.groupBy(*keys).agg(F.min_by("mask_id", F.struct("sum", "ord")).alias("worst"))
+    left = both.join(worst, keys).where("other = worst").select(*keys, "mask_id", F.col("jaccard").alias("lost"))
+    after = scored.join(worst, keys).join(left, [*keys, "mask_id"], "left")
     after = after.withColumn("score", F.when(F.col("mask_id") == F.col("worst"), 0.0).otherwise(F.col("sum") - F.coalesce("lost", F.lit(0.0))))
-    top = Window.partitionBy("wy", "wx")
+    top = Window.partitionBy(*keys)
     agreed = F.max("score").over(top) > 1.0
     place = F.row_number().over(top.orderBy(F.when(F.col("_agreed"), -F.col("score")).otherwise(F.col("score")), "ord"))
-    return after.withColumn("_agreed", agreed).withColumn("_k", place).where("_k = 1").select("wy", "wx", "mask_id", "score")
+    return after.withColumn("_agreed", agreed).withColumn("_k", place).where("_k = 1").select(*keys, "mask_id", "score")
 
 
 def fuse_masks(runs: DataFrame, order: DataFrame, merit: str = "pop", nsize: int = 40) -> DataFrame:
@@ -218,32 +241,35 @@ def fuse_masks(runs: DataFrame, order: DataFrame, merit: str = "pop", nsize: int
     """
     from histoframe.operators.measure import cell_geometry
 
-    winners = window_winner(window_stats(runs, nsize), window_jaccard(runs, nsize) if merit == "j1" else None, order, merit).select("wy", "wx", F.col("mask_id").alias("winner"))
+    im = images(runs)
+    own = [*im, "mask_id", "label"]
+    winners = window_winner(window_stats(runs, nsize), window_jaccard(runs, nsize) if merit == "j1" else None, order, merit).select(*im, "wy", "wx", F.col("mask_id").alias("winner"))
     cells = cell_geometry(runs)
-    grace = F.broadcast(cells.agg(F.coalesce(F.ceil(F.percentile("area_px", 0.32) * 0.05), F.lit(0)).alias("grace")))  # one row
-    near = cells.crossJoin(grace)
+    grace = cells.groupBy(*im).agg(F.coalesce(F.ceil(F.percentile("area_px", 0.32) * 0.05), F.lit(0)).alias("grace"))  # one row an image
+    near = cells.join(grace, im) if im else cells.crossJoin(F.broadcast(grace))
     for axis, at in (("wy", "y_px"), ("wx", "x_px")):
         span = F.sequence(F.floor((F.col(at) - F.col("grace")) / nsize), F.floor((F.col(at) + F.col("grace")) / nsize))
         near = near.withColumn(axis, F.explode(span))
-    admitted = near.join(winners, ["wy", "wx"]).where("winner = mask_id").select("mask_id", F.col("cell_id").alias("label"), "x_px", "y_px").distinct()
-    chosen = runs.join(admitted.select("mask_id", "label"), ["mask_id", "label"], "left_semi").select(*runs.columns)
+    admitted = near.join(winners, [*im, "wy", "wx"]).where("winner = mask_id").select(*im, "mask_id", F.col("cell_id").alias("label"), "x_px", "y_px").distinct()
+    chosen = runs.join(admitted.select(*own), own, "left_semi").select(*runs.columns)
     clash = overlaps(chosen, chosen).where("a_mask < b_mask and pixels > 3")
-    centre = admitted.select(F.col("mask_id").alias("a_mask"), F.col("label").alias("a"), F.floor(F.col("y_px") / nsize).alias("wy"), F.floor(F.col("x_px") / nsize).alias("wx"))
-    judged = clash.join(centre, ["a_mask", "a"]).join(winners, ["wy", "wx"], "left")
+    centre = admitted.select(*im, F.col("mask_id").alias("a_mask"), F.col("label").alias("a"), F.floor(F.col("y_px") / nsize).alias("wy"), F.floor(F.col("x_px") / nsize).alias("wx"))
+    judged = clash.join(centre, [*im, "a_mask", "a"]).join(winners, [*im, "wy", "wx"], "left")
     first_wins = F.coalesce(F.col("winner") != F.col("b_mask"), F.lit(True))
-    losers = judged.select(F.when(first_wins, F.col("b_mask")).otherwise(F.col("a_mask")).alias("mask_id"), F.when(first_wins, F.col("b")).otherwise(F.col("a")).alias("label")).distinct()
-    final = admitted.select("mask_id", "label").join(losers, ["mask_id", "label"], "left_anti").join(F.broadcast(offsets(runs, order)), "mask_id")
-    painted = runs.join(final, ["mask_id", "label"]).select("ord", F.col("mask_id").alias("method"), "y", "x0", "x1", (F.col("label") + F.col("id_offset")).alias("label"))
-    pixels = painted.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).groupBy("y", "x").agg(F.max_by(F.struct("label", "method"), F.struct("ord", "label")).alias("p"))
-    return to_runs(pixels.select(F.lit("fused").alias("mask_id"), "y", "x", F.col("p.label").alias("label")))
+    losers = judged.select(*im, F.when(first_wins, F.col("b_mask")).otherwise(F.col("a_mask")).alias("mask_id"), F.when(first_wins, F.col("b")).otherwise(F.col("a")).alias("label")).distinct()
+    final = admitted.select(*own).join(losers, own, "left_anti").join(offsets(runs, order), [*im, "mask_id"])
+    painted = runs.join(final, own).select(*im, "ord", F.col("mask_id").alias("method"), "y", "x0", "x1", (F.col("label") + F.col("id_offset")).alias("label"))
+    pixels = painted.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).groupBy(*im, "y", "x").agg(F.max_by(F.struct("label", "method"), F.struct("ord", "label")).alias("p"))
+    return to_runs(pixels.select(*im, F.lit("fused").alias("mask_id"), "y", "x", F.col("p.label").alias("label")))
 
 
 def near_cells(cells: DataFrame) -> DataFrame:
     """(a, b): cells of different masks whose centres are within sqrt(area / pi) of the first on both axes: a grid join."""
     r = F.sqrt(F.col("area_px") / F.lit(3.141592653589793))
     edge = 64.0
-    left = cells.select(F.col("mask_id").alias("a_mask"), F.col("cell_id").alias("a"), F.col("x_px").alias("ax"), F.col("y_px").alias("ay"), r.alias("r"))
+    keys = images(cells)
+    left = cells.select(*keys, F.col("mask_id").alias("a_mask"), F.col("cell_id").alias("a"), F.col("x_px").alias("ax"), F.col("y_px").alias("ay"), r.alias("r"))
     for axis, at in (("gx", "ax"), ("gy", "ay")):
         left = left.withColumn(axis, F.explode(F.sequence(F.floor((F.col(at) - F.col("r")) / edge), F.floor((F.col(at) + F.col("r")) / edge))))
-    right = cells.select(F.col("mask_id").alias("b_mask"), F.col("cell_id").alias("b"), F.col("x_px").alias("bx"), F.col("y_px").alias("by"), F.floor(F.col("x_px") / edge).alias("gx"), F.floor(F.col("y_px") / edge).alias("gy"))
-    return left.join(right, ["gx", "gy"]).where("a_mask <> b_mask and abs(ax - bx) < r and abs(ay - by) < r").select("a_mask", "a", "b_mask", "b")
+    right = cells.select(*keys, F.col("mask_id").alias("b_mask"), F.col("cell_id").alias("b"), F.col("x_px").alias("bx"), F.col("y_px").alias("by"), F.floor(F.col("x_px") / edge).alias("gx"), F.floor(F.col("y_px") / edge).alias("gy"))
+    return left.join(right, [*keys, "gx", "gy"]).where("a_mask <> b_mask and abs(ax - bx) < r and abs(ay - by) < r").select(*keys, "a_mask", "a", "b_mask", "b")

@@ -188,6 +188,36 @@ def edge_enhance(tiles: DataFrame, edge: int, sigma: float = 1.5) -> DataFrame:
     return with_halo(tiles, int(4 * sigma + 0.5) + 1, edge, kernel)
 
 
+def label_partials(tiles: DataFrame, label_tiles: DataFrame) -> DataFrame:
+    """(image_id, cell_id, channel_idx, n, sum): pixels of each tile under each label, summed inside the task.
+
+    Channel tiles meet the label tile of the same place; both have the same grid. Label 0 is background; values that aren't
+    finite count as 0.
+    """
+    place = ["image_id", "level", "ty", "tx"]
+    labels = label_tiles.select(*place, F.col("pixels").alias("_p"), F.col("dtype").alias("_d"))
+    joined = tiles.select(*KEYS, "h", "w", "dtype", "pixels").join(labels, place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = np.frombuffer(r["_p"], np.dtype(r["_d"]).newbyteorder("<"))
+                names, of = np.unique(own, return_inverse=True)
+                values = np.nan_to_num(plane_of(r).astype(np.float64).ravel(), nan=0.0, posinf=0.0, neginf=0.0)
+                n, sums = np.bincount(of, minlength=len(names)), np.bincount(of, values, minlength=len(names))
+                keep = names > 0
+                k = int(keep.sum())
+                yield pa.RecordBatch.from_pydict({"image_id": pa.array([r["image_id"]] * k, pa.string()), "cell_id": pa.array(names[keep].astype(np.int64)), "channel_idx": pa.array(np.full(k, r["channel_idx"], np.int32)), "n": pa.array(n[keep].astype(np.int64)), "sum": pa.array(sums[keep])})
+
+    return joined.mapInArrow(run, "image_id string, cell_id long, channel_idx int, n long, sum double")
+
+
+def cell_means_of_tiles(tiles: DataFrame, label_tiles: DataFrame) -> DataFrame:
+    """(image_id, cell_id, channel_idx, n, sum, mean): cell means straight from image and label tiles."""
+    out = label_partials(tiles, label_tiles).groupBy("image_id", "cell_id", "channel_idx").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"))
+    return out.withColumn("mean", F.col("sum") / F.col("n"))
+
+
 def merge_channels(tiles: DataFrame, a: int, b: int, new: int) -> DataFrame:
     """A channel that is the mean of two, tile by tile."""
     left, right = tiles.where(F.col("channel_idx") == a), tiles.where(F.col("channel_idx") == b)
@@ -223,7 +253,11 @@ def pixel_values(tiles: DataFrame, step: int = 1) -> DataFrame:
 def _scaled(tiles: DataFrame, low: float, high: float, f) -> DataFrame:
     """f(plane, low value, high value) with each channel's percentiles, which come along as columns."""
     ends = pixel_values(tiles).groupBy("image_id", "channel_idx").agg(F.percentile("value", F.array(F.lit(low / 100), F.lit(high / 100))).alias("_e"))
-    joined = tiles.join(F.broadcast(ends), ["image_id", "channel_idx"]).select(*tiles.columns, F.col("_e")[0].alias("_a"), F.col("_e")[1].alias("_b"))  # one row a channel
+    return _with_ends(tiles, ends.select("image_id", "channel_idx", F.col("_e")[0].alias("_a"), F.col("_e")[1].alias("_b")), f)
+
+
+def _with_ends(tiles: DataFrame, ends: DataFrame, f) -> DataFrame:
+    joined = tiles.join(F.broadcast(ends), ["image_id", "channel_idx"]).select(*tiles.columns, "_a", "_b")  # one row a channel
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,6 +270,19 @@ def _scaled(tiles: DataFrame, low: float, high: float, f) -> DataFrame:
     return joined.mapInArrow(run, tiles.schema)
 
 
+def map_tiles_with_range(tiles: DataFrame, f) -> DataFrame:
+    """f(plane, least, greatest) with each channel's range, which is found by one row a tile."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r["image_id"], r["channel_idx"], plane_of(r)) for r in batch.to_pylist()]
+            rows = [x for x in rows if x[2].size]
+            yield pa.RecordBatch.from_pydict({"image_id": pa.array([x[0] for x in rows], pa.string()), "channel_idx": pa.array([x[1] for x in rows], pa.int32()), "a": pa.array([float(x[2].min()) for x in rows], pa.float64()), "b": pa.array([float(x[2].max()) for x in rows], pa.float64())})
+
+    found = tiles.mapInArrow(ends, "image_id string, channel_idx int, a double, b double").groupBy("image_id", "channel_idx").agg(F.min("a").alias("_a"), F.max("b").alias("_b"))
+    return _with_ends(tiles, found, f)
+
+
 def rescale(tiles: DataFrame, low: float = 2, high: float = 98) -> DataFrame:
     """Values clipped to a percentile range and scaled to 0..1; to -1..1 where the low end is negative."""
 

@@ -12,7 +12,7 @@ SCHEMA_VERSION = 1
 
 
 def read_project(spark: SparkSession, store: str) -> DataFrame:
-    """(section, key, path, shape, original_shape): the arrays of a project by section (labels, images, opal_aux).
+    """(section, key, path, shape, original_shape): the arrays of a project by section (labels, images, extra_aux).
 
     The key is the one in the element's attributes, else its folder's name. Auxiliary arrays keep their stored original
     shape for readers to restore. A project of a newer schema than this package knows is an error.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,19 +10,26 @@ SCHEMA = "ty int, tx int, version long, cell_id long, marker string, value doubl
 
 
 def tile_partials(readings: DataFrame) -> DataFrame:
-    """(ty, tx, version, cell_id, marker, n, sum, max) of the readings of tiles; background is left out."""
-    return readings.where("cell_id > 0").groupBy("ty", "tx", "version", "cell_id", "marker").agg(F.count("value").alias("n"), F.sum("value").alias("sum"), F.max("value").alias("max"))
+    """(ty, tx, version, cell_id, marker, n, sum, max) of the readings of tiles.
+
+    All background of a tile is one row of cell 0, so that a tile without cells leaves its version behind too.
+    """
+    back = F.coalesce(F.col("cell_id") <= 0, F.lit(True))
+    known = readings.withColumns({"cell_id": F.when(back, 0).otherwise(F.col("cell_id")), "marker": F.when(back, "").otherwise(F.col("marker"))})
+    return known.groupBy("ty", "tx", "version", "cell_id", "marker").agg(F.count("value").alias("n"), F.sum("value").alias("sum"), F.max("value").alias("max"))
 
 
 def latest(partials: DataFrame) -> DataFrame:
-    """Of each tile the rows of its greatest version."""
-    newest = F.max("version").over(Window.partitionBy("ty", "tx"))
-    return partials.withColumn("_newest", newest).where("version = _newest").drop("_newest")
+    """Of each tile the rows of its greatest version, in the last batch that brought it; background is left out."""
+    sent = F.struct("version", "batch")
+    newest = partials.groupBy("ty", "tx").agg(F.max(sent).alias("_newest"))
+    rows = partials.join(newest, ["ty", "tx"]).where((F.col("version") == F.col("_newest.version")) & (F.col("batch") == F.col("_newest.batch")))
+    return rows.where("cell_id > 0").drop("_newest")
 
 
 def cell_statistics(spark: SparkSession, target: str) -> DataFrame:
     """(cell_id, marker, n, sum, max, mean) over the newest version of every tile that has arrived."""
-    rows = latest(spark.read.parquet(target).drop("batch"))
+    rows = latest(spark.read.parquet(target))
     out = rows.groupBy("cell_id", "marker").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.max("max").alias("max"))
     return out.withColumn("mean", F.when(F.col("n") > 0, F.col("sum") / F.nullif("n", F.lit(0))).otherwise(0.0))
 
@@ -31,7 +38,8 @@ def incremental_cell_stats(stream: DataFrame, target: str, checkpoint: str, once
     """Keep a Parquet table of tile partials from a stream of readings (SCHEMA).
 
     A micro-batch is written to its own folder, batch=id, replacing what a failed attempt left, so each reading counts
-    once. A re-sent tile has a greater version and replaces its earlier contribution when the table is read.
+    once. A tile that is sent again, with a greater version or the same one, replaces its earlier contribution when the table
+    is read; one without cells leaves nothing.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:

@@ -184,6 +184,41 @@ def test_connected_components_across_rows(spark):
     assert len(pairs) == len(np.unique(want[p > 0])) == got.max()
 
 
+def test_images_and_masks_stay_apart(spark, blobs):
+    a, b = np.zeros((4, 6), int), np.zeros((4, 6), int)
+    a[0, 0:3], b[1, 2:4], b[3, 0:2] = 1, 1, 2
+    both = runs_of(spark, ("F", a), ("O", b))
+    two = both.withColumn("image_id", F.lit("i")).unionByName(both.where("mask_id = 'F'").withColumn("image_id", F.lit("j")))
+    parts = {(r.mask_id, r.y): r.label for r in B.connected_components(both).collect()}
+    assert parts == {("F", 0): 1, ("O", 1): 1, ("O", 3): 2}
+    assert {(r.image_id, r.mask_id, r.y): r.label for r in B.connected_components(two).collect()} == {("i", "F", 0): 1, ("i", "O", 1): 1, ("i", "O", 3): 2, ("j", "F", 0): 1}
+    order = spark.createDataFrame([("F", 0), ("O", 1)], "mask_id string, ord int")
+    over = runs_of(spark, ("O", a))
+    clash = both.where("mask_id = 'F'").withColumn("image_id", F.lit("j")).unionByName(over.withColumn("image_id", F.lit("i")))
+    assert {(r.image_id, r.label) for r in L.merge_masks(clash, order).collect()} == {("j", 1), ("i", 1)}
+    assert L.overlaps(clash.where("image_id = 'i'"), clash.where("image_id = 'j'")).count() == 0
+    assert {r.image_id for r in L.fuse_masks(two, order, "pop", 4).collect()} == {"i", "j"} and M.cell_geometry(two).count() == 4
+    t = tiles_of(spark, blobs, 35)
+    pair = t.unionByName(t.withColumn("image_id", F.lit("b")).withColumn("channel_idx", F.lit(3)))
+    mean = B.score_mean(pair, 35, 4, lambda p: p + 1)
+    assert {(r.image_id, r.channel_idx): r.n for r in mean.groupBy("image_id", "channel_idx").agg(F.count("*").alias("n")).collect()} == {("a", 0): blobs.size, ("b", 3): blobs.size}
+    found = B.label_gauss_otsu(pair, 35, 1.0).groupBy("image_id", "mask_id").agg(F.max("label").alias("n")).collect()
+    assert {(r.image_id, r.mask_id, r.n) for r in found} == {("a", "gauss_otsu", 4), ("b", "gauss_otsu_3", 4)}
+
+
+def test_cell_means_of_tiles(spark, blobs):
+    label = np.zeros(blobs.shape, np.int32)
+    label[5:30, 3:40], label[33:50, 20:66] = 7, 9
+    dark = blobs.copy()
+    dark[6, 5] = np.nan
+    t = tiles_of(spark, dark, 20).unionByName(tiles_of(spark, blobs * 2, 20, channel=1))
+    got = {(r.cell_id, r.channel_idx): r for r in I.cell_means_of_tiles(t, tiles_of(spark, label, 20)).collect()}
+    assert set(got) == {(c, k) for c in (7, 9) for k in (0, 1)}
+    for (cell, channel), r in got.items():
+        own = (np.nan_to_num(dark) if channel == 0 else blobs * 2)[label == cell].astype(float)
+        assert r.n == own.size and r["mean"] == pytest.approx(own.mean(), rel=1e-6)
+
+
 # ---- regions and statistics
 
 
@@ -358,10 +393,10 @@ def test_zarr_round_trip_and_edges(spark, tmp_path):
         assert (image_from(df.where(F.col("channel_idx") == c), (5, 7)) == whole[c]).all()
     (tmp_path / "s.zarr/images/s001/0/c/1/1/1").unlink()
     assert image_from(df.where("channel_idx = 1 and ty = 1 and tx = 1"), (5, 7)).sum() == 0
-    meta = {"labels/m": {"attributes": {"key": "Cells"}}, "labels/m/0": {"shape": [5, 7]}, "opal_aux/x": {"shape": [35], "attributes": {"original_shape": [5, 7]}}}
+    meta = {"labels/m": {"attributes": {"key": "Cells"}}, "labels/m/0": {"shape": [5, 7]}, "extra_aux/x": {"shape": [35], "attributes": {"original_shape": [5, 7]}}}
     (tmp_path / "s.zarr/zarr.json").write_text(json.dumps({"attributes": {"schema_version": 1}, "consolidated_metadata": {"metadata": meta}}))
     found = {r.key: (r.section, r.original_shape) for r in project.read_project(spark, store).collect()}
-    assert found == {"Cells": ("labels", [5, 7]), "x": ("opal_aux", [5, 7])}
+    assert found == {"Cells": ("labels", [5, 7]), "x": ("extra_aux", [5, 7])}
     (tmp_path / "s.zarr/zarr.json").write_text(json.dumps({"attributes": {"schema_version": 9}, "consolidated_metadata": {"metadata": meta}}))
     with pytest.raises(ValueError):
         project.read_project(spark, store)
@@ -457,3 +492,7 @@ def test_incremental_statistics(spark, tmp_path):
     send("b", [(0, 0, 2, 1, "m", 1.0), (0, 0, 2, 2, "m", 5.0)])
     assert drain() == {1: (2, 11.0, 10.0), 2: (1, 5.0, 5.0)}
     assert drain() == {1: (2, 11.0, 10.0), 2: (1, 5.0, 5.0)}
+    send("c", [(0, 0, 2, 1, "m", 1.0), (0, 0, 2, 2, "m", 5.0)])
+    assert drain() == {1: (2, 11.0, 10.0), 2: (1, 5.0, 5.0)}
+    send("d", [(0, 1, 2, 0, "m", 3.0)])
+    assert drain() == {1: (1, 1.0, 1.0), 2: (1, 5.0, 5.0)}
