@@ -41,4 +41,5 @@ def differences(df: DataFrame, sf_dir: str, sql: str) -> str:
     ours, theirs = _canonical(df.columns, [tuple(r) for r in df.collect()]), _canonical(columns, rows)
     if ours == theirs:
         return ""
-    return f"{len(ours)} rows against {len(theirs)}; only in one: {[x for x in ours if x not in set(theirs)][:3]} {[x for x in theirs if x not in set(ours)][:3]}"
+    mine, others = set(ours), set(theirs)
+    return f"{len(ours)} rows against {len(theirs)}; only in one: {[x for x in ours if x not in others][:3]} {[x for x in theirs if x not in mine][:3]}"

@@ -1,7 +1,7 @@
 """Queries over the star tables, which stand in for cytometry data; each has the SQL that gives the same rows.
 
 events: pixel readings (user_id + 1 = cell, event_type = marker). lineitem: wide pixel rows of four channels (l_partkey =
-cell) and label runs of two masks (l_linestatus = mask, l_suppkey = row, l_linenumber = first column, l_quantity long,
+cell) and label runs of two masks (l_linestatus = mask, l_suppkey = row, first column by order and line, l_quantity long,
 l_orderkey = label). customer: cells at (c_custkey % 100, c_custkey div 100), their segment as type and their region as
 tissue. orders: states by priority. embeddings: cells x channels with a cluster. Doubles are rounded to six places.
 """
@@ -79,9 +79,10 @@ def phenotypes(spark: SparkSession) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("mask_id"), F.col("l_suppkey").alias("y"), F.col("l_linenumber").cast("long").alias("x0"), F.col("l_quantity").cast("long").alias("n"), (F.col("l_orderkey") + 1).alias("label"))
-    first = rows.groupBy("mask_id", "y", "x0").agg(F.min(F.struct("label", "n")).alias("f"))
-    return first.select("mask_id", "y", "x0", (F.col("x0") + F.col("f.n")).alias("x1"), F.col("f.label").alias("label"))
+    """Every line is a run: its supplier's row, its order's place, its order's label; runs of a row may overlap."""
+    x0 = (F.col("l_orderkey") % 512 * 16 + F.col("l_linenumber")).cast("long")
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(F.col("l_linestatus").alias("mask_id"), F.col("l_suppkey").alias("y"), x0.alias("x0"), (x0 + F.col("l_quantity").cast("long")).alias("x1"), (F.col("l_orderkey") + 1).alias("label"))
 
 
 def mask_order(spark: SparkSession) -> DataFrame:
@@ -122,8 +123,7 @@ GATE = f"""{POS}, rules(type_ord, cell_type, marker, required) AS (VALUES {RULE_
 typed AS (SELECT cell_id, cell_type FROM pos2 JOIN rules USING (marker) WHERE (required = 1) = (state = 2) GROUP BY cell_id, cell_type
   HAVING count(*) = (SELECT count(*) FROM rules r WHERE r.cell_type = rules.cell_type)),
 gated AS (SELECT * FROM typed UNION ALL SELECT cell_id, 'Unknown' FROM (SELECT DISTINCT cell_id FROM pos2) WHERE cell_id NOT IN (SELECT cell_id FROM typed))"""
-RUNS = """runs AS (SELECT mask_id, y, x0, x0 + n AS x1, label FROM (SELECT l_linestatus AS mask_id, l_suppkey AS y, CAST(l_linenumber AS BIGINT) AS x0, CAST(l_quantity AS BIGINT) AS n, l_orderkey + 1 AS label,
-  row_number() OVER (PARTITION BY l_linestatus, l_suppkey, l_linenumber ORDER BY l_orderkey, l_quantity) AS k FROM lineitem) WHERE k = 1)"""
+RUNS = """runs AS (SELECT l_linestatus AS mask_id, l_suppkey AS y, l_orderkey % 512 * 16 + l_linenumber AS x0, l_orderkey % 512 * 16 + l_linenumber + CAST(l_quantity AS BIGINT) AS x1, l_orderkey + 1 AS label FROM lineitem)"""
 PIX = f"{RUNS}, pix AS (SELECT mask_id, y, unnest(range(x0, x1)) AS x, label FROM runs)"
 CELLS = """cells AS (SELECT c_custkey AS cell_id, CAST(c_custkey % 100 AS DOUBLE) AS x, CAST(c_custkey // 100 AS DOUBLE) AS y, c_mktsegment AS cell_type, r_name AS region
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
@@ -199,7 +199,12 @@ def triangle_threshold(spark, sf_dir):
     return rounded(T.triangle(cell_marker(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CM}, pos AS (SELECT marker, mean AS v FROM cm WHERE mean > 0 AND marker IN (SELECT marker FROM cm WHERE mean > 0 GROUP BY 1 HAVING count(*) > 1)),
+gaps AS (SELECT marker, v - lag(v) OVER (PARTITION BY marker ORDER BY v) AS gap FROM (SELECT DISTINCT marker, v FROM pos)), tol AS (SELECT marker, coalesce(min(gap), 0) / 2 AS tol FROM gaps GROUP BY 1),
+it AS (SELECT marker, 0 AS k, min(v) AS lo, avg(v) - min(v) AS t, any_value(tol) AS tol, false AS done FROM pos JOIN tol USING (marker) GROUP BY 1
+ UNION ALL SELECT marker, k + 1, lo, (back - fore) / (ln(back) - ln(fore)), tol, abs((back - fore) / (ln(back) - ln(fore)) - t) <= tol
+ FROM (SELECT it.marker, k, lo, t, tol, avg(v - lo) FILTER (v - lo > t) AS fore, avg(v - lo) FILTER (v - lo <= t) AS back FROM it JOIN pos USING (marker) WHERE NOT done AND k < 500 GROUP BY 1, 2, 3, 4, 5) WHERE fore > 0 AND back > 0 AND fore != back)
+SELECT marker, round(arg_max(lo + t, k), 6) AS threshold FROM it GROUP BY 1""")
 def li_threshold(spark, sf_dir):
     return rounded(T.li(cell_marker(spark, sf_dir)))
 
@@ -343,9 +348,9 @@ def knn_topk(spark, sf_dir):
     return rounded(knn(clustered(spark, sf_dir)[0], 5).select("cell_id", F.col("rank").cast("long").alias("rank"), "distance"), 5)
 
 
-@query(f"SELECT a.vec_id AS cell_id, count(*) AS n FROM embeddings a JOIN embeddings b ON {DIST} <= 0.9 GROUP BY 1 HAVING count(*) >= 5")
+@query(f"SELECT a.vec_id AS cell_id, count(*) AS n FROM embeddings a JOIN embeddings b ON {DIST} <= 1.15 GROUP BY 1 HAVING count(*) >= 5")
 def dbscan_core(spark, sf_dir):
-    pairs = within(clustered(spark, sf_dir)[0], 0.9)
+    pairs = within(clustered(spark, sf_dir)[0], 1.15)
     return pairs.groupBy(F.col("a").alias("cell_id")).agg(F.count("*").alias("n")).where("n >= 5")
 
 
@@ -396,13 +401,10 @@ def window_winner(spark, sf_dir):
     return L.window_winner(L.window_stats(runs(spark, sf_dir), 20), None, mask_order(spark), "pop")
 
 
-@query(f"""WITH {RUNS}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY x0, label) AS k FROM runs WHERE mask_id = 'O') WHERE k = 1),
-ar AS (SELECT label, sum(x1 - x0) AS area FROM runs WHERE mask_id = 'F' GROUP BY 1), ov AS (SELECT a.label, sum(least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS n FROM runs a JOIN b ON a.y = b.y AND a.x0 < b.x1 AND b.x0 < a.x1 WHERE a.mask_id = 'F' GROUP BY 1)
-SELECT 'F' AS mask_id, label AS cell_id, round(n / area, 6) AS coverage FROM ar JOIN ov USING (label) WHERE n / area >= 0.5""")
+@query(f"""WITH {PIX}, b AS (SELECT DISTINCT y, x FROM pix WHERE mask_id = 'O'), ar AS (SELECT label, sum(x1 - x0) AS area FROM runs WHERE mask_id = 'F' GROUP BY 1),
+ov AS (SELECT label, count(*) AS n FROM pix JOIN b USING (y, x) WHERE mask_id = 'F' GROUP BY 1) SELECT 'F' AS mask_id, label AS cell_id, round(n / area, 6) AS coverage FROM ar JOIN ov USING (label) WHERE n / area >= 0.5""")
 def cells_in_mask(spark, sf_dir):
-    r = runs(spark, sf_dir)
-    first = r.where("mask_id = 'O'").groupBy("y").agg(F.min(F.struct("x0", "label", "x1")).alias("f")).select(F.lit("O").alias("mask_id"), "y", "f.x0", "f.x1", F.lit(1).alias("label"))
-    return rounded(L.cells_in_mask(r.where("mask_id = 'F'"), first))
+    return rounded(L.cells_in_mask(runs(spark, sf_dir).where("mask_id = 'F'"), _binary(spark, sf_dir).where("mask_id = 'O'")))
 
 
 @query(f"""WITH {PIX}, u AS (SELECT y, x, max(label) AS label FROM pix WHERE mask_id = 'F' GROUP BY 1, 2), b AS (SELECT DISTINCT y, x FROM pix WHERE mask_id = 'O')
@@ -472,12 +474,12 @@ def median_by_method(spark, sf_dir):
     return R.median_by(rows, ["sample", "method"], ["o_totalprice"])
 
 
-PARTS = "pt AS (SELECT p_brand AS cell_type, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'AI' ELSE 'Otsu' END AS method, p_partkey, p_size FROM part WHERE p_size > 40)"
+PARTS = "pt AS (SELECT p_brand AS cell_type, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'AI' ELSE 'Otsu' END AS method, p_partkey, p_size FROM part)"
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     method = F.when(F.col("p_type").isin("ECONOMY", "STANDARD"), "AI").otherwise("Otsu")
-    return table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_brand").alias("cell_type"), method.alias("method"), F.col("p_size").alias("cell_id"))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("cell_type"), method.alias("method"), F.col("p_size").alias("cell_id"))
 
 
 @query(f"WITH {PARTS}, c AS (SELECT cell_type, method, count(*) AS n FROM pt GROUP BY 1, 2) SELECT t.cell_type, m.method, coalesce(n, 0) AS n FROM (SELECT DISTINCT cell_type FROM c) t CROSS JOIN (SELECT DISTINCT method FROM c) m LEFT JOIN c ON c.cell_type = t.cell_type AND c.method = m.method")
@@ -506,10 +508,10 @@ def natural_sort(spark, sf_dir):
     return names.selectExpr("name").withColumn("key", natural_key(F.col("name"))).selectExpr("name", "cast(dense_rank() over (order by key) as bigint) as place")
 
 
-@query("SELECT n_nationkey, replace(n_name, ' ', '_') || CASE WHEN k > 1 THEN '_' || (k - 1) ELSE '' END AS safe_name FROM (SELECT n_nationkey, substr(n_name, 1, 8) AS n_name, row_number() OVER (PARTITION BY substr(n_name, 1, 8) ORDER BY n_nationkey) AS k FROM nation)")
+@query("SELECT n_nationkey, replace(r_name, ' ', '_') || CASE WHEN k > 1 THEN '_' || (k - 1) ELSE '' END AS safe_name FROM (SELECT n_nationkey, r_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS k FROM nation JOIN region ON n_regionkey = r_regionkey)")
 def unique_names(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.substring("n_name", 1, 8).alias("n_name"))
-    return safe_names(rows, "n_name", "n_nationkey").select("n_nationkey", "safe_name")
+    names = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five regions
+    return safe_names(names, "r_name", "n_nationkey").select("n_nationkey", "safe_name")
 
 
 @query("SELECT o_orderpriority AS marker, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
@@ -546,9 +548,10 @@ def flowsom(spark, sf_dir):
     return C.flowsom(clustered(spark, sf_dir)[0], 6, 6, 10)
 
 
-@query()
+@query(f"""WITH d AS (SELECT a.vec_id AS i, a.label AS own, b.label AS c, sum({DIST}) AS s, count(*) AS n FROM embeddings a JOIN embeddings b ON true GROUP BY 1, 2, 3),
+k AS (SELECT i, max(s / nullif(n - 1, 0)) FILTER (c = own) AS a, min(s / n) FILTER (c != own) AS b FROM d GROUP BY 1) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette, count(*) AS n FROM k""")
 def silhouette(spark, sf_dir):
-    return C.silhouette(*clustered(spark, sf_dir))
+    return rounded(C.silhouette(*clustered(spark, sf_dir)))
 
 
 @query()
@@ -556,9 +559,15 @@ def hierarchical(spark, sf_dir):
     return C.hierarchical(clustered(spark, sf_dir)[0], 8, "average", "cosine", micro=60)
 
 
-@query()
+DBSCAN = f"""WITH RECURSIVE pr AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON {DIST} <= 1.15), co AS (SELECT a AS c FROM pr GROUP BY 1 HAVING count(*) >= 5),
+ed AS (SELECT a, b FROM pr WHERE a IN (SELECT c FROM co) AND b IN (SELECT c FROM co)), re AS (SELECT c, c AS o FROM co UNION SELECT ed.b, re.o FROM re JOIN ed ON ed.a = re.c),
+pa AS (SELECT c, min(o) AS p FROM re GROUP BY 1), nu AS (SELECT c, CAST(dense_rank() OVER (ORDER BY p) - 1 AS INT) AS k FROM pa),
+bo AS (SELECT a AS c, min(k) AS k FROM pr JOIN nu ON nu.c = pr.b WHERE a NOT IN (SELECT c FROM co) GROUP BY 1)"""
+
+
+@query(f"{DBSCAN} SELECT vec_id AS cell_id, coalesce(nu.k, bo.k, -1) AS cluster_id, nu.k IS NOT NULL AS core FROM embeddings LEFT JOIN nu ON nu.c = vec_id LEFT JOIN bo ON bo.c = vec_id")
 def dbscan(spark, sf_dir):
-    return K.dbscan(clustered(spark, sf_dir)[0], eps=0.9, min_samples=5)
+    return K.dbscan(clustered(spark, sf_dir)[0], eps=1.15, min_samples=5)
 
 
 @query()
@@ -571,9 +580,17 @@ def phenograph(spark, sf_dir):
     return K.phenograph(clustered(spark, sf_dir)[0], k=12)
 
 
-@query()
+SPARSE = """px AS (SELECT DISTINCT l_linestatus AS mask_id, l_orderkey AS y, unnest(range(l_linenumber * 60, l_linenumber * 60 + CAST(l_quantity AS BIGINT))) AS x FROM lineitem),
+ru AS (SELECT mask_id, y, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY mask_id, y ORDER BY x) AS g FROM px) GROUP BY mask_id, y, g),
+no AS (SELECT *, row_number() OVER (ORDER BY mask_id, y, x0) AS id FROM ru), ed AS (SELECT a.id AS a, b.id AS b FROM no a JOIN no b ON a.mask_id = b.mask_id AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+re AS (SELECT id, id AS o FROM no UNION SELECT ed.b, re.o FROM re JOIN ed ON ed.a = re.id), pa AS (SELECT id, min(o) AS p FROM re GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {SPARSE} SELECT mask_id, y, x0, x1, dense_rank() OVER (PARTITION BY mask_id ORDER BY p) AS label FROM no JOIN pa USING (id)")
 def label_components(spark, sf_dir):
-    return B.connected_components(_binary(spark, sf_dir))
+    x0 = (F.col("l_linenumber") * 60).cast("long")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("mask_id"), F.col("l_orderkey").alias("y"), x0.alias("x0"), (x0 + F.col("l_quantity").cast("long")).alias("x1"), F.lit(1).alias("label"))
+    return B.connected_components(L.to_runs(L.to_pixels(lines).distinct()))
 
 
 EDGE = 64

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +87,10 @@ def write_shapes(regions: DataFrame, path: str) -> None:
             table = pa.table({"name": pa.array(names), "geometry": pa.array(shapes, pa.binary())}).replace_schema_metadata({"geo": geo})
             file_system, folder = open_fs(path)
             file_system.create_dir(folder, recursive=True)
-            pq.write_table(table, f"{folder}/part-{uuid.uuid4().hex}.parquet", filesystem=file_system)
+            # Named by the partition and moved into place whole: a second attempt writes the same file again.
+            name = f"{folder}/part-{TaskContext.get().partitionId():05d}.parquet"
+            aside = f"{folder}/.{uuid.uuid4().hex}.tmp"
+            pq.write_table(table, aside, filesystem=file_system)
+            file_system.move(aside, name)
 
     grouped.foreachPartition(put)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, In, InputPartition, LessThan
 
 from histoframe.scratch import open_fs, write_file
 
@@ -98,22 +98,36 @@ class ZarrReader(DataSourceReader):
         self.array = Array(json.loads(raw))
         found = re.search(r"([^/]+)/(\d+)$", array)
         self.image_id, self.level = (found[1], int(found[2])) if found else (array.rsplit("/", 1)[-1], 0)
-        self.want: dict[str, int] = {}
+        self.want: dict[str, set[int]] = {}
+        self.span: list[tuple[int, int, int, bool]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute[0] in ("channel_idx", "ty", "tx"):
-                self.want[f.attribute[0]] = f.value
+                self.want[f.attribute[0]] = {f.value}
+            elif isinstance(f, In) and f.attribute[0] in ("channel_idx", "ty", "tx"):
+                self.want[f.attribute[0]] = set(f.value)
             else:
+                if isinstance(f, GreaterThan | LessThan) and f.attribute[0] in ("y0", "x0"):
+                    axis = -2 if f.attribute[0] == "y0" else -1
+                    self.span.append((axis, self.array.chunk[axis], f.value, isinstance(f, GreaterThan)))
                 yield f
 
+    def _asked(self, name: str, value: int) -> bool:
+        return name not in self.want or value in self.want[name]
+
+    def _near(self, place: tuple[int, ...]) -> bool:
+        """Whether a chunk can pass the limits on y0 and x0."""
+        return all((place[axis] * edge > limit) if above else (place[axis] * edge < limit) for axis, edge, limit, above in self.span)
+
     def partitions(self) -> list[InputPartition]:
         grid = self.array.grid()
         lead = [1] * (3 - len(grid)) + grid
-        places = [(c, y, x) for c in range(lead[0]) for y in range(lead[1]) for x in range(lead[2]) if y == self.want.get("ty", y) and x == self.want.get("tx", x)]
+        places = [(c, y, x) for c in range(lead[0]) for y in range(lead[1]) for x in range(lead[2]) if self._asked("ty", y) and self._asked("tx", x) and self._near((y, x))]
         per = self.array.chunk[0] if len(grid) == 3 else 1
         if "channel_idx" in self.want:
-            places = [p for p in places if p[0] == self.want["channel_idx"] // per]
+            groups = {c // per for c in self.want["channel_idx"]}
+            places = [p for p in places if p[0] in groups]
         places = [p[3 - len(grid) :] for p in places]
         return [_Chunks(places[k : k + CHUNKS_A_TASK]) for k in range(0, len(places), CHUNKS_A_TASK)]
 
@@ -124,7 +138,7 @@ class ZarrReader(DataSourceReader):
             ty, tx = at[-2:]
             first = at[0] * a.chunk[0] if len(at) == 3 else 0
             for k, plane in enumerate(block):
-                if first + k == self.want.get("channel_idx", first + k):
+                if self._asked("channel_idx", first + k):
                     yield (self.image_id, self.level, first + k, ty, tx, ty * a.chunk[-2], tx * a.chunk[-1], plane.shape[0], plane.shape[1], a.dtype.name, plane.tobytes())
 
 
@@ -142,8 +156,10 @@ class ZarrTiles(DataSource):
         return ZarrReader(self.options["path"], self.options["array"])
 
 
-def read_window(tiles: DataFrame, channel: int, y0: int, y1: int, x0: int, x1: int) -> DataFrame:
-    """Tiles of a channel that a rectangle overlaps, cut to it."""
+def read_window(tiles: DataFrame, channel: int, y0: int, y1: int, x0: int, x1: int, edge: int = 0) -> DataFrame:
+    """Tiles of a channel that a rectangle overlaps, cut to it; with the edge of the tiles, only their chunks are read."""
+    if edge:
+        tiles = tiles.where((F.col("y0") > y0 - edge) & (F.col("y0") < y1) & (F.col("x0") > x0 - edge) & (F.col("x0") < x1))
     inside = (F.col("channel_idx") == channel) & (F.col("y0") < y1) & (F.col("y0") + F.col("h") > y0) & (F.col("x0") < x1) & (F.col("x0") + F.col("w") > x0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,14 +187,14 @@ def write_zarr_tiles(tiles: DataFrame, store: str, array: str, shape: tuple[int,
 
         for r in rows:
             plane = np.zeros((edge, edge), np.dtype(dtype).newbyteorder("<"))
-            plane[: r.h, : r.w] = np.frombuffer(r.pixels, plane.dtype).reshape(r.h, r.w)
+            plane[: r.h, : r.w] = np.frombuffer(r.pixels, np.dtype(r.dtype).newbyteorder("<")).reshape(r.h, r.w)
             uri = f"{root}/c/{r.channel_idx}/{r.ty}/{r.tx}"
             file_system, path = open_fs(uri)
             file_system.create_dir(path.rsplit("/", 1)[0], recursive=True)
             raw = zstandard.ZstdCompressor().compress(plane.tobytes())
             write_file(uri, lambda out, x=raw: out.write(x))
 
-    tiles.select("channel_idx", "ty", "tx", "h", "w", "pixels").foreachPartition(put)
+    tiles.select("channel_idx", "ty", "tx", "h", "w", "dtype", "pixels").foreachPartition(put)
     meta = {
         "zarr_format": 3,
         "node_type": "array",

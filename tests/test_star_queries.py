@@ -3,7 +3,7 @@
 import pytest
 
 from histoframe.plans.checks import differences
-from histoframe.plans.star_queries import QUERIES, SQL
+from histoframe.plans.layer_queries import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
