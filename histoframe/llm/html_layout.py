@@ -2,7 +2,8 @@
 
 A tolerant builder turns markup into a tree, written as properly nested open, text and close events: it closes what a new
 tag implies closed (paragraphs, list items, table parts, options, the head at what can't stand in it), opens rows that
-cells lack, ignores stray end tags and closes the rest at the end. Style sheets hide by their rules for the screen. The renderer walks the tree and writes what a reader would see: hidden elements are left out;
+cells lack, ignores stray end tags and closes the rest at the end. Style sheets hide by their rules for the screen, wherever
+they stand. The renderer walks the tree and writes what a reader would see: hidden elements are left out;
 blocks start on their own lines with blank lines where browsers put margins; lists have bullets or numbers and nest by
 indent; table cells stand in aligned columns; white space collapses except in preformatted text. All visible text is
 kept, navigation and footers included. Nothing recurses, so deep nesting is safe.
@@ -10,6 +11,7 @@ kept, navigation and footers included. Nothing recurses, so deep nesting is safe
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -47,7 +49,8 @@ IMPLIED = {
 IN_HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template html".split())
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "button", "object", "template"})
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z][^\s/>]*+[^>]*+>""", re.DOTALL)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_EDGE = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 _CSS_SKIPPED = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.DOTALL)
@@ -56,6 +59,8 @@ _AT_RULE = re.compile(r"@([\w-]+)(.*)", re.DOTALL)
 _SIMPLE = re.compile(r"[a-zA-Z][\w-]*|[.#][\w-]+")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 BLANK = " \t\n\f\r"
+#: Fixed value: columns or rows that a cell may span by the HTML standard's rule for colspan.
+MOST_SPANNED = 1000
 #: Media queries that hold on every screen; those with conditions don't hide text.
 SCREEN = frozenset({"", "all", "screen", "only all", "only screen", "not print"})
 
@@ -67,6 +72,49 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
+class _Markup:
+    """The markup of a page from left to right: (start, end, / of an end tag, name or None, attribute source) at a time.
+
+    A tag ends at the first > outside quotes, or where there is none at the first > at all; then it has no meaning, as have
+    declarations and comments. Where tags end is found once for the whole page, from its end, so a page of stray quotes or
+    brackets takes no longer than any other.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.edges = [m.start() for m in _EDGE.finditer(html)]
+        #: For each quote or >: where a tag ends that meets it outside quotes; -1 where it doesn't.
+        self.ends = [-1] * (len(self.edges) + 1)
+        later = {'"': -1, "'": -1}
+        for k in range(len(self.edges) - 1, -1, -1):
+            sign = html[self.edges[k]]
+            if sign == ">":
+                self.ends[k] = self.edges[k]
+            else:
+                if later[sign] >= 0:
+                    self.ends[k] = self.ends[later[sign] + 1]
+                later[sign] = k
+
+    def next(self, at: int) -> tuple[int, int, str, str | None, str] | None:
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                stop = html.find("-->", start + 4)
+                return start, len(html) if stop < 0 else stop + 3, "", None, ""
+            if start > self.last:
+                at = start + 1
+                continue
+            name = _NAME.match(html, start)
+            if name:
+                stop = self.ends[bisect.bisect_left(self.edges, name.end())]
+                if stop >= 0:
+                    return start, stop + 1, "/" if html[start + 1] == "/" else "", name[1], html[name.end() : stop]
+            if name or html[start + 1] in "!?/":
+                return start, html.find(">", start + 1) + 1, "", None, ""
+            at = start + 1
+        return None
+
+
 def _on_screen(queries: str) -> bool:
     return any(" ".join(q.lower().split()) in SCREEN for q in queries.split(","))
 
@@ -115,11 +163,11 @@ def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
         counts[tag] = counts.get(tag, 0) + 1
         return "open", tag, source
 
-    at, end = 0, len(html)
+    at, end, markup = 0, len(html), _Markup(html)
     head_over = False  # a head can't begin after other tags or text
     while at < end:
-        m = _MARKUP.search(html, at)
-        stop = m.start() if m else end
+        m = markup.next(at)
+        stop = m[0] if m else end
         if stop > at:
             text = unescape(html[at:stop])
             if text.strip(BLANK):
@@ -129,13 +177,13 @@ def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
             yield "text", "", text
         if m is None:
             break
-        at = m.end()
-        if m[2] is None:
+        _, at, ending, name, source = m
+        if name is None:
             continue
-        tag = m[2].lower()
-        if stack and stack[-1] == "head" and (tag == "br" if m[1] else tag not in IN_HEAD):
+        tag = name.lower()
+        if stack and stack[-1] == "head" and (tag == "br" if ending else tag not in IN_HEAD):
             yield from close_to(len(stack) - 1)
-        if m[1]:
+        if ending:
             if tag == "br":
                 yield from (("open", "br", ""), ("close", "br", ""))
             elif tag == "p" and not counts.get("p"):
@@ -170,14 +218,14 @@ def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
                         break
             if lowest is not None:
                 yield from close_to(lowest)
-        if tag in ("td", "th") and counts.get("table") and "tr" not in _above(stack, "table"):
+        if tag in ("td", "th") and counts.get("table") and not _in_row(stack):
             yield opened("tr", "")
         if tag in VOID:
-            yield from (("open", tag, m[3]), ("close", tag, ""))
+            yield from (("open", tag, source), ("close", tag, ""))
             continue
-        yield opened(tag, m[3])
+        yield opened(tag, source)
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(html, at)
+            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*+>", re.IGNORECASE).search(html, at) if markup.last >= at else None
             inner = html[at : stop.start() if stop else end]
             yield "text", "", unescape(inner) if tag in ("title", "textarea") else inner
             at = stop.end() if stop else end
@@ -185,12 +233,12 @@ def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
     yield from close_to(0)
 
 
-def _above(stack: list[str], tag: str) -> list[str]:
-    """Open elements inside the innermost `tag`."""
-    for depth in range(len(stack) - 1, -1, -1):
-        if stack[depth] == tag:
-            return stack[depth + 1 :]
-    return stack
+def _in_row(stack: list[str]) -> bool:
+    """Whether a row is open in the innermost table."""
+    for tag in reversed(stack):
+        if tag in ("tr", "table"):
+            return tag == "tr"
+    return False
 
 
 class _Canvas:
@@ -233,44 +281,70 @@ class _Canvas:
         self.margin = max(self.margin, blank)
 
 
-def _aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table: the cells of a column start in the same place, two spaces apart; spanned columns stay empty."""
+def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table: the cells of a column start in the same place, two spaces apart; columns that a cell spans, and
+    those that a cell of a row above reaches down to, stay empty."""
     widths: list[int] = []
+    taken: dict[int, int] = {}  # column: rows that a cell from above still fills
+    placed: list[list[tuple[int, list[str]]]] = []
     for row in rows:
-        column = 0
-        for lines, span in row:
+        column, cells, below = 0, [], {}
+        for lines, span, depth in row:
+            while taken.get(column):
+                column += 1
             widths += [0] * (column + span - len(widths))
             if span == 1:
                 widths[column] = max([widths[column], *map(len, lines)])
+            cells.append((column, lines))
+            if depth > 1:
+                below.update((c, depth) for c in range(column, column + span))
             column += span
+        placed.append(cells)
+        taken = {c: n - 1 for c, n in (taken | below).items() if n > 1}
+    starts = [0]
+    for width in widths:
+        starts.append(starts[-1] + width + 2)
     out = []
-    for row in rows:
-        for k in range(max([1, *(len(lines) for lines, _ in row)]) if row else 0):
-            text, column = "", 0
-            for lines, span in row:
-                place = sum(widths[:column]) + 2 * column
+    for cells in placed:
+        for k in range(max([1, *(len(lines) for _, lines in cells)]) if cells else 0):
+            text = ""
+            for column, lines in cells:
+                place = starts[column]
                 text = text.ljust(place) if len(text) <= place else text + "  "
                 text += lines[k] if k < len(lines) else ""
-                column += span
             out.append(text.rstrip())
     return out
 
 
+def _hidden_by_styles(events: list[tuple[str, str, str]]) -> set[str]:
+    """Simple selectors that the page's style sheets hide on screen, wherever in the page they stand."""
+    hiding: set[str] = set()
+    in_style, unscripted = False, 0
+    for kind, tag, value in events:
+        if kind == "text":
+            for selectors, declarations in screen_rules(value) if in_style else ():
+                if _HIDING.search(declarations):
+                    hiding.update(s.lower() for s in map(str.strip, selectors.split(",")) if _SIMPLE.fullmatch(s))
+            continue
+        unscripted += (tag in ("noscript", "template")) * (1 if kind == "open" else -1)
+        in_style = kind == "open" and tag == "style" and not unscripted and _on_screen(_attributes(value).get("media", ""))
+    return hiding
+
+
 def render(html: str | None) -> tuple[str, int]:
     """The visible text of a page and its number of tables; null and empty pages give an empty text."""
     canvas, outer, tables, lists = _Canvas(), [], [], []  # tables: rows, in a cell, the cell's span
     hidden_depth, depth, preformatted, n_tables = 0, 0, 0, 0
-    opened: list[tuple[str, bool]] = []
-    hiding: set[str] = set()
-    in_style, unscripted = False, 0
-    for kind, tag, value in tree_events(html or ""):
+    events = list(tree_events(html or ""))
+    hiding = _hidden_by_styles(events)
+    fresh = False  # right behind <pre>, where a line break doesn't count
+    for kind, tag, value in events:
         if kind == "text":
-            if in_style:
-                for selectors, declarations in screen_rules(value):
-                    if _HIDING.search(declarations):
-                        hiding.update(s.lower() for s in map(str.strip, selectors.split(",")) if _SIMPLE.fullmatch(s))
-            elif not hidden_depth:
+            if not hidden_depth:
                 if preformatted:
+                    if fresh and value[:1] == "\n":
+                        value = value[1:]
+                    fresh = False
                     first, *rest = value.expandtabs().split("\n")
                     canvas.line.append(first)
                     for row in rest:
@@ -280,10 +354,9 @@ def render(html: str | None) -> tuple[str, int]:
                 else:
                     canvas.write(value)
             continue
+        fresh = False
         if kind == "open":
             depth += 1
-            unscripted += tag in ("noscript", "template")
-            in_style = tag == "style" and not unscripted and _on_screen(_attributes(value).get("media", ""))
             if not hidden_depth:
                 hide = tag in HIDDEN
                 if not hide and value.strip(" /"):
@@ -309,13 +382,12 @@ def render(html: str | None) -> tuple[str, int]:
                 canvas.put(["---"])
             elif tag in ("td", "th") and tables:
                 outer.append((canvas, preformatted, lists))
-                span = a.get("colspan", "1")
-                tables[-1][2] = min(int(span), 1000) if span.isdecimal() and int(span) else 1
+                tables[-1][2] = [min(int(n), MOST_SPANNED) if n.isdecimal() and int(n) else 1 for n in (a.get("colspan", "1"), a.get("rowspan", "1"))]
                 canvas, preformatted, lists = _Canvas(), 0, []
                 tables[-1][1] = True
             elif tag == "table":
                 canvas.space(1)
-                tables.append([[], False, 1])
+                tables.append([[], False, [1, 1]])
                 n_tables += 1
             elif tag == "tr" and tables:
                 tables[-1][0].append([])
@@ -338,17 +410,14 @@ def render(html: str | None) -> tuple[str, int]:
                 elif tag == "blockquote":
                     canvas.indent.append("> ")
                 elif tag == "pre":
-                    preformatted += 1
+                    preformatted, fresh = preformatted + 1, True
             continue
-        unscripted -= tag in ("noscript", "template")
         if hidden_depth:
             if depth == hidden_depth:
                 hidden_depth = 0
             depth -= 1
-            in_style = False
             continue
         depth -= 1
-        in_style = False
         if tag in ("td", "th") and tables and outer and tables[-1][1]:
             canvas.flush()
             cell = canvas.lines
@@ -356,7 +425,7 @@ def render(html: str | None) -> tuple[str, int]:
             rows = tables[-1][0]
             if not rows:
                 rows.append([])
-            rows[-1].append((cell, tables[-1][2]))
+            rows[-1].append((cell, *tables[-1][2]))
             tables[-1][1] = False
         elif tag == "table" and tables:
             rows = tables.pop()[0]

@@ -131,7 +131,7 @@ PAGE = """<html><head><title>x</title><style>.z{display:none}</style></head><bod
 
 def test_layout(spark):
     text, tables = render(PAGE)
-    assert text == "Hi there\n\none\n\ntwo bold more\nnext\n\n  * a\n  * b\n      * c\n  * d\n\n  3. x\n  4. y\n\nName          Qty\napple         3\nbanana split  12\n\n\n  keep   this\n\ntail & end" and tables == 1
+    assert text == "Hi there\n\none\n\ntwo bold more\nnext\n\n  * a\n  * b\n      * c\n  * d\n\n  3. x\n  4. y\n\nName          Qty\napple         3\nbanana split  12\n\n  keep   this\n\ntail & end" and tables == 1
     assert render(None) == ("", 0) and render("") == ("", 0)
     assert render("<div>" * 20000 + "deep")[0] == "deep"
     assert render("a < b <i>c")[0] == "a < b c"
@@ -159,6 +159,45 @@ def test_layout_of_open_heads_and_at_rules(html, text):
     assert render(html)[0] == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td>k<td rowspan=2 colspan=2>wide<td>z<tr><td>l<td>y<tr><td>m<td>n<td>o<td>p</table>", "k  wide  z\nl        y\nm  n  o  p"),
+        ("<p class=x>gone<p>stays<style>.x{display:none}</style>", "stays"),
+        ("<pre>\n a\n\n b</pre>", " a\n\n b"),
+        ("a <b title='x > y'>c</b> <i title=\"q>d <u>e", "a c d e"),
+        ("x <!-- a > b", "x"),
+        ("1 < 2 <? p ?>and</ >on", "1 < 2 andon"),
+    ],
+)
+def test_layout_of_spans_quotes_and_late_styles(html, text):
+    assert render(html)[0] == text
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a '\">", "<!", "<a b", "</", "<script ", "<table><div><td>", "<div><p>", '"<i>'])
+def test_long_hostile_pages_take_linear_time(part):
+    import time
+
+    seconds = []
+    for n in (100_000, 400_000):
+        began = time.process_time()
+        render(part * (n // len(part)))
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 4 and seconds[1] < 12 * max(seconds[0], 0.05)
+
+
+def test_secrets_in_a_long_log_take_linear_time(spark, docs):
+    import time
+
+    model = S.train(docs)
+    lines = "".join(f"token=a{k:07d}x user_configuration_identifier_{k % 9} = ordinary\n" for k in range(30_000))
+    began = time.process_time()
+    assert sum(k == 0 for _, k, _ in S.find_spans([lines], model)[0]) == 30_000
+    S._labelled(lines)
+    assert time.process_time() - began < 20
+
+
 def test_layout_keeps_the_visible_words(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = {r.page_id: r.text for r in extract_text(pages).collect()}
