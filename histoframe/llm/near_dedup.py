@@ -237,10 +237,10 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     """
     sizes = rows.groupBy("family", "component").agg(F.count("*").alias("c"))
     large = F.col("c") >= FAMILY_BLOCK
-    rest = sizes.where(~large).groupBy("family").agg(F.sum("c").alias("pool")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rest = sizes.where(~large).groupBy("family").agg(F.sum("c").alias("pool")).where(F.col("pool") > FAMILY_BLOCK).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.join(sizes, ["family", "component"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     placed = salted.join(rest, ["family", "salt"], "left")
-    parts = F.ceil(F.when(large, F.col("c")).otherwise(F.col("pool")) / FAMILY_BLOCK)
+    parts = F.ceil(F.when(large, F.col("c")).otherwise(F.coalesce("pool", F.lit(1))) / FAMILY_BLOCK)
     owner = F.when(large, F.col("component"))
     placed = placed.withColumn("block", F.xxhash64(F.coalesce(owner, F.lit(-1)), F.pmod(F.xxhash64("id"), parts))).withColumn("owner", owner)
     blocks = placed.select("family", "block", "owner").distinct()
