@@ -305,11 +305,11 @@ def drop_border(runs: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
     return runs.join(touching, [*images(runs), "mask_id", "label"], "left_anti").select(*runs.columns)
 
 
-def classify_cells(tiles: DataFrame, label_tiles: DataFrame, cells: DataFrame, edge: int, model: Callable[[np.ndarray], np.ndarray], crop: int = 64, threshold: float = 0.5) -> DataFrame:
+def classify_cells(tiles: DataFrame, label_tiles: DataFrame, cells: DataFrame, edge: int, model: Callable[[np.ndarray], np.ndarray], crop: int = 64, threshold: float = 0.5, n_side: int = 0) -> DataFrame:
     """(cell_id, channel_idx, p, state): a user's model on the crop around each cell; state 2 from the threshold up.
 
-    The model gets (cells, 3, crop, crop): the channel, the cell's mask and the mask of other cells; crops are mirrored at
-    image edges. Each cell belongs to the tile of its centroid, whose halo holds the crop. Cells of several images have image_id.
+    The model gets (cells, 2 * n_side + 3, crop, crop): the channel between `n_side` neighbouring channels on either side
+    (zeros where there is none), the cell's mask and the mask of other cells; crops are mirrored at image edges. Each cell belongs to the tile of its centroid, whose halo holds the crop. Cells of several images have image_id.
     """
     half = crop // 2
     both = tiles.select(*T.KEYS, "y0", "x0", "h", "w", "dtype", "pixels").unionByName(label_tiles.select("image_id", "level", F.lit(-1).alias("channel_idx"), "ty", "tx", "y0", "x0", "h", "w", "dtype", "pixels"))
@@ -332,12 +332,14 @@ def classify_cells(tiles: DataFrame, label_tiles: DataFrame, cells: DataFrame, e
                 plane[y[c == k] - y0, x[c == k] - x0] = v[c == k]
                 planes[int(k)] = np.pad(plane, half, mode="symmetric")
             names = planes.pop(-1, None)
-            for channel, plane in planes.items():
+            missing = np.zeros_like(next(iter(planes.values()))) if planes else None
+            for channel in planes:
+                beside = [planes.get(channel + d, missing) for d in range(-n_side, n_side + 1)]
                 batch = []
                 for cell, cy, cx in zip(*(seated[k].to_pylist() for k in ("cell_id", "cy", "cx")), strict=True):
                     at = (slice(cy - y0, cy - y0 + crop), slice(cx - x0, cx - x0 + crop))
                     own = names[at] if names is not None else np.zeros((crop, crop))
-                    batch.append(np.stack([plane[at], own == cell, (own > 0) & (own != cell)]))
+                    batch.append(np.stack([*(plane[at] for plane in beside), own == cell, (own > 0) & (own != cell)]))
                 out["p"] += np.asarray(model(np.stack(batch)), float).ravel().tolist()
                 out["cell_id"] += seated["cell_id"].to_pylist()
                 out["channel_idx"] += [channel] * seated.num_rows

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,21 +20,40 @@ def _first_last(df: DataFrame) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, store: str) -> DataFrame:
-    """(image_id, name, attributes, ord): images listed in the consolidated metadata of a store; an error if there is none."""
-    text = spark.read.text(f"{store}/zarr.json", wholetext=True)
-    entries = F.from_json(F.get_json_object("value", "$.consolidated_metadata.metadata"), META)
-    rows = text.select(F.explode(entries).alias("path", "meta"))
-    images = rows.where(F.col("path").rlike("^images/[^/]+$")).select(F.regexp_extract("path", "^images/(.+)$", 1).alias("name"), F.get_json_object("meta", "$.attributes").alias("attributes"))
-    found = _first_last(images).select(F.col("name").alias("image_id"), "name", "attributes", "ord")
-    if found.isEmpty():
-        raise ValueError(f"no image in {store}")
-    return found
+    """(image_id, name, attributes, ord): images of a store; an error if there is none.
+
+    They are the image groups of the consolidated metadata; where that lists none, those whose folder has a metadata file.
+    """
+    for rows in (read_arrays(spark, store), _listed(spark, store)):
+        groups = rows.where(F.col("path").rlike("^images/[^/]+$") & (F.coalesce(F.get_json_object("meta", "$.node_type"), F.lit("group")) == "group"))
+        images = groups.select(F.regexp_extract("path", "^images/(.+)$", 1).alias("name"), F.get_json_object("meta", "$.attributes").alias("attributes"))
+        found = _first_last(images).select(F.col("name").alias("image_id"), "name", "attributes", "ord")
+        if not found.isEmpty():
+            return found
+    raise ValueError(f"no image in {store}")
+
+
+def _metadata_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, meta) of the metadata files that a pattern finds, the path from the folder `images` on; maybe no row."""
+    try:
+        text = spark.read.text(pattern, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, meta string")
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return text.select(F.regexp_extract(name, r"(images/[^/]+(?:/\d+)?|)/?zarr\.json$", 1).alias("path"), F.col("value").alias("meta"))
+
+
+def _listed(spark: SparkSession, store: str) -> DataFrame:
+    """(path, meta) of the images and their first levels, from the files of their folders."""
+    return _metadata_files(spark, f"{store}/images/*/zarr.json").unionByName(_metadata_files(spark, f"{store}/images/*/0/zarr.json"))
 
 
 def read_arrays(spark: SparkSession, store: str) -> DataFrame:
-    """(path, meta): every entry of the consolidated metadata."""
-    entries = F.from_json(F.get_json_object("value", "$.consolidated_metadata.metadata"), META)
-    return spark.read.text(f"{store}/zarr.json", wholetext=True).select(F.explode(entries).alias("path", "meta"))
+    """(path, meta): every entry of the consolidated metadata; none without a root file."""
+    entries = F.from_json(F.get_json_object("meta", "$.consolidated_metadata.metadata"), META)
+    return _metadata_files(spark, f"{store}/zarr.json").select(F.explode(entries).alias("path", "meta"))
 
 
 def _path(attributes: str, *names: str):
@@ -42,7 +64,8 @@ def read_channels(spark: SparkSession, store: str) -> DataFrame:
     """(image_id, channel_idx, name): the labels of an image; `Channel 0`, `Channel 1` and on are appended up to its channel
     count, always from 0, and labels beyond the count are cut."""
     images = read_catalog(spark, store)
-    arrays = read_arrays(spark, store).select(F.regexp_extract("path", "^images/([^/]+)/0$", 1).alias("image_id"), F.from_json(F.get_json_object("meta", "$.shape"), "array<int>").alias("shape")).where("image_id <> ''")
+    both = read_arrays(spark, store).unionByName(_listed(spark, store)).dropDuplicates(["path"])
+    arrays = both.select(F.regexp_extract("path", "^images/([^/]+)/0$", 1).alias("image_id"), F.from_json(F.get_json_object("meta", "$.shape"), "array<int>").alias("shape")).where("image_id <> ''")
     labels = F.from_json(_path("attributes", "ome.omero.channels", "omero.channels"), "array<struct<label:string>>")
     both = images.join(arrays, "image_id", "left").withColumn("labels", F.coalesce(F.transform(labels, lambda c: c["label"]), F.array().cast("array<string>")))
     n = F.coalesce(F.when(F.size("shape") == 3, F.col("shape")[0]), F.greatest(F.size("labels"), F.lit(1)))
@@ -106,7 +129,27 @@ def read_session(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.posexplode(channels).alias("ord", "c")).select("ord", "c.name", "c.kind")
 
 
-def write_session(layers: DataFrame, path: str) -> None:
-    """One JSON file with the layers in order, from (ord, name, kind)."""
-    body = layers.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name", "kind"))), lambda c: F.struct(c["name"].alias("name"), c["kind"].alias("kind"))).alias("channels"))).alias("value"))
-    body.write.mode("overwrite").text(path)
+def read_session_settings(spark: SparkSession, path: str) -> DataFrame:
+    """One row: pixel_size, cluster_names (a map from cluster_id), and rules, as a session file has them; null where it doesn't."""
+    rule = "struct<type_ord:int,cell_type:string,marker:string,required:int>"
+    state = F.from_json("value", f"pixel_size double, clustering struct<names:map<string,string>>, phenotyping struct<rules:array<{rule}>>").alias("s")
+    names = F.transform_keys("s.clustering.names", lambda k, _: k.cast("int")).alias("cluster_names")
+    return spark.read.text(path, wholetext=True).select(state).select("s.pixel_size", names, F.col("s.phenotyping.rules").alias("rules"))
+
+
+def write_session(layers: DataFrame, path: str, pixel_size: float | None = None, cluster_names: DataFrame | None = None, rules: DataFrame | None = None) -> None:
+    """One JSON file with the layers in order, from (ord, name, kind); with the size of a pixel in microns, the names of
+    clusters (cluster_id, name) and the rules (type_ord, cell_type, marker, required), where they are given."""
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "name", "kind")))
+    sections = [layers.agg(F.to_json(F.transform(ordered, lambda c: F.struct(c["name"].alias("name"), c["kind"].alias("kind")))).alias("json")).withColumn("section", F.lit("channels"))]
+    if pixel_size is not None:
+        sections.append(layers.agg(F.to_json(F.array(F.lit(float(pixel_size)))).alias("json")).select(F.regexp_extract("json", r"^\[(.*)\]$", 1).alias("json"), F.lit("pixel_size").alias("section")))
+    if cluster_names is not None:
+        entries = F.array_sort(F.collect_list(F.struct(F.col("cluster_id").cast("string"), "name")))
+        sections.append(cluster_names.agg(F.to_json(F.struct(F.map_from_entries(entries).alias("names"))).alias("json")).withColumn("section", F.lit("clustering")))
+    if rules is not None:
+        listed = F.array_sort(F.collect_list(F.struct("type_ord", "cell_type", "marker", "required")))
+        sections.append(rules.agg(F.to_json(F.struct(listed.alias("rules"))).alias("json")).withColumn("section", F.lit("phenotyping")))
+    whole = reduce(DataFrame.unionByName, sections)  # one row a section
+    fields = F.array_sort(F.collect_list(F.concat(F.lit('"'), "section", F.lit('":'), "json")))
+    whole.agg(F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")).alias("value")).write.mode("overwrite").text(path)

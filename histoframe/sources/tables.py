@@ -47,13 +47,19 @@ def write_cells(cells: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def write_cell_bundle(cells: DataFrame, cell_marker: DataFrame, folder: str, states: DataFrame | None = None, thresholds: DataFrame | None = None) -> None:
-    """A folder a slot: obs, X (long means), layers/intensity, layers/positive, obsm/spatial, uns/thresholds.
+def write_cell_bundle(cells: DataFrame, cell_marker: DataFrame, folder: str, states: DataFrame | None = None, thresholds: DataFrame | None = None, region: str | None = None) -> None:
+    """A folder a slot: obs, X (long means), layers/intensity, layers/positive, obsm/spatial, uns/thresholds, uns/export.
 
-    `positive` is written only if every marker has states; `spatial` is in microns where the table has them.
+    `positive` is written only if every marker has states; `spatial` is in microns where the table has them. uns/export has
+    the time of the export (ISO 8601). With the name of the label element that the cells come from, obs has it as `region`,
+    and uns/export names that column and the one of the cells' ids.
     """
     spatial = ("x_um", "y_um") if "x_um" in cells.columns else ("x_px", "y_px")
-    cells.write.mode("overwrite").parquet(f"{folder}/obs")
+    obs = cells if region is None else cells.withColumn("region", F.lit(region))
+    obs.write.mode("overwrite").parquet(f"{folder}/obs")
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("export_date")
+    link = [F.lit(x).cast("string").alias(c) for c, x in (("region", region), ("region_key", region and "region"), ("instance_key", region and "cell_id"))]
+    cells.sparkSession.range(1).select(now, *link).coalesce(1).write.mode("overwrite").parquet(f"{folder}/uns/export")
     means = cell_marker.select("cell_id", "marker", F.col("mean").alias("value"))
     means.write.mode("overwrite").parquet(f"{folder}/X")
     means.write.mode("overwrite").parquet(f"{folder}/layers/intensity")

@@ -175,10 +175,25 @@ def read_window(tiles: DataFrame, channel: int, y0: int, y1: int, x0: int, x1: i
     return tiles.where(inside).mapInArrow(cut, tiles.schema)
 
 
-def write_zarr_tiles(tiles: DataFrame, store: str, array: str, shape: tuple[int, int, int], edge: int, dtype: str) -> None:
+def _write_json(folder: str, meta: dict) -> None:
+    file_system, path = open_fs(folder)
+    file_system.create_dir(path, recursive=True)
+    write_file(f"{folder}/zarr.json", lambda out: out.write(json.dumps(meta).encode()))
+
+
+def image_group(name: str, level: str, channels: list[str]) -> dict:
+    """Metadata of an image element with one level: named axes, a scale of one (the identity) and channel labels."""
+    axes = [{"name": "c", "type": "channel"}, {"name": "y", "type": "space", "unit": "pixel"}, {"name": "x", "type": "space", "unit": "pixel"}]
+    levels = [{"path": level, "coordinateTransformations": [{"type": "scale", "scale": [1.0, 1.0, 1.0]}]}]
+    ome = {"version": "0.5", "multiscales": [{"name": name, "axes": axes, "datasets": levels}], "omero": {"channels": [{"label": c} for c in channels]}}
+    return {"zarr_format": 3, "node_type": "group", "attributes": {"key": name, "ome": ome}}
+
+
+def write_zarr_tiles(tiles: DataFrame, store: str, array: str, shape: tuple[int, int, int], edge: int, dtype: str, channels: list[str] | None = None) -> None:
     """Tiles (channel_idx, ty, tx, h, w, pixels) of `edge` pixels as zstd chunks, padded with zeros; the metadata last.
 
     Chunk files are written by the tasks that hold the tiles and moved into place whole, so a retried task is harmless.
+    An array `<section>/<name>/<level>` gets its element's metadata too, with the channels' names or their numbers.
     """
     root = f"{store.rstrip('/')}/{array}"
 
@@ -205,7 +220,8 @@ def write_zarr_tiles(tiles: DataFrame, store: str, array: str, shape: tuple[int,
         "fill_value": 0,
         "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd", "configuration": {"level": 0, "checksum": False}}],
         "attributes": {},
+        "dimension_names": ["c", "y", "x"],
     }
-    file_system, path = open_fs(root)
-    file_system.create_dir(path, recursive=True)
-    write_file(f"{root}/zarr.json", lambda out: out.write(json.dumps(meta).encode()))
+    _write_json(root, meta)
+    if found := re.search(r"^(.*/([^/]+))/(\d+)$", root):
+        _write_json(found[1], image_group(found[2], found[3], channels or [str(k) for k in range(shape[0])]))
