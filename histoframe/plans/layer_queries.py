@@ -134,8 +134,7 @@ def zarr_round_trip(spark, sf_dir):
     store = Scratch(spark, "zarr").folder("store")
     height = I.pixel_values(tiles).agg(F.max("y")).first()[0] + 1
     zarr_tiles.write_zarr_tiles(tiles, store, "images/e/0", (1, height, 64), EDGE, "float32")
-    spark.dataSource.register(zarr_tiles.ZarrTiles)
-    return values(spark.read.format("zarr_tiles").option("array", "images/e/0").load(store))
+    return values(zarr_tiles.read_tiles(spark, store, "images/e/0"))
 
 
 # ---- masks and cells

@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
+_shipping = threading.Lock()
 
 
 def build_session(name: str = "histoframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,12 +35,15 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers when it isn't on their PYTHONPATH already."""
     app = spark.sparkContext.applicationId
     on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p}
-    if app in _shipped or str(ROOT) in on_path:
+    if str(ROOT) in on_path:
         return
-    stage = tempfile.mkdtemp(prefix="histoframe-zip-")
-    shutil.copytree(ROOT / "histoframe", f"{stage}/src/histoframe", ignore=shutil.ignore_patterns("__pycache__"))
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{stage}/histoframe", "zip", f"{stage}/src"))
-    _shipped.add(app)
+    with _shipping:  # queries may start from several threads
+        if app in _shipped:
+            return
+        stage = tempfile.mkdtemp(prefix="histoframe-zip-")
+        shutil.copytree(ROOT / "histoframe", f"{stage}/src/histoframe", ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{stage}/histoframe", "zip", f"{stage}/src"))
+        _shipped.add(app)
 
 
 def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:

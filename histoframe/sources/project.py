@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histoframe.sources.catalog import read_arrays
-from histoframe.sources.zarr_tiles import ZarrTiles
+from histoframe.sources.zarr_tiles import read_tiles
 
 SCHEMA_VERSION = 1
 
@@ -34,5 +34,4 @@ def read_project(spark: SparkSession, store: str) -> DataFrame:
 
 def project_tiles(spark: SparkSession, store: str, path: str) -> DataFrame:
     """The tiles of one array of a project."""
-    spark.dataSource.register(ZarrTiles)
-    return spark.read.format("zarr_tiles").option("array", path).load(store)
+    return read_tiles(spark, store, path)

@@ -1,11 +1,11 @@
 """Zarr v3 arrays as a Spark data source of tiles, one row a stored chunk, and a writer of tiles as chunks.
 
-    spark.dataSource.register(ZarrTiles)
-    spark.read.format("zarr_tiles").option("array", "images/s001/0").load(store)
+    read_tiles(spark, store, "images/s001/0")
 
 Rows: image_id, level, channel_idx, ty, tx, y0, x0, h, w, dtype, pixels (little-endian, clipped to the array). Reading is
-split by chunks; filters on channel_idx, ty and tx choose chunks before any is opened. A chunk that isn't stored is the
-fill value. Chunks of two axes (y, x) have channel 0. NaN and infinite values become 0.
+split by chunks; where the session has `spark.sql.python.filterPushdown.enabled`, filters on channel_idx, ty, tx, y0 and x0
+choose chunks before any is opened, and Spark applies them after reading elsewhere. A chunk that isn't stored is the fill
+value. Chunks of two axes (y, x) have channel 0. NaN and infinite values become 0.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, In, InputPartition, LessThan
 
@@ -26,6 +26,8 @@ from histoframe.scratch import open_fs, write_file
 
 SCHEMA = "image_id string, level int, channel_idx int, ty int, tx int, y0 int, x0 int, h int, w int, dtype string, pixels binary"
 CHUNKS_A_TASK = 16
+MOST_TASKS = 50_000
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 class Array:
@@ -85,8 +87,10 @@ def _read(uri: str) -> bytes | None:
 
 
 class _Chunks(InputPartition):
-    def __init__(self, places: list[tuple[int, ...]]):
-        self.places = places
+    """A range of the chunks that are asked for, in the order of their places; tasks work the places out."""
+
+    def __init__(self, start: int, stop: int):
+        self.start, self.stop = start, stop
 
 
 class ZarrReader(DataSourceReader):
@@ -101,39 +105,34 @@ class ZarrReader(DataSourceReader):
         self.want: dict[str, set[int]] = {}
         self.span: list[tuple[int, int, int, bool]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute[0] in ("channel_idx", "ty", "tx"):
-                self.want[f.attribute[0]] = {f.value}
-            elif isinstance(f, In) and f.attribute[0] in ("channel_idx", "ty", "tx"):
-                self.want[f.attribute[0]] = set(f.value)
-            else:
-                if isinstance(f, GreaterThan | LessThan) and f.attribute[0] in ("y0", "x0"):
-                    axis = -2 if f.attribute[0] == "y0" else -1
-                    self.span.append((axis, self.array.chunk[axis], f.value, isinstance(f, GreaterThan)))
-                yield f
-
     def _asked(self, name: str, value: int) -> bool:
         return name not in self.want or value in self.want[name]
 
-    def _near(self, place: tuple[int, ...]) -> bool:
-        """Whether a chunk can pass the limits on y0 and x0."""
-        return all((place[axis] * edge > limit) if above else (place[axis] * edge < limit) for axis, edge, limit, above in self.span)
+    def _axes(self) -> list[list[int]]:
+        """The chunk numbers that are asked for on each axis of the array."""
+        a = self.array
+        axes = [list(range(n)) for n in a.grid()]
+        if len(axes) == 3 and "channel_idx" in self.want:
+            groups = {c // a.chunk[0] for c in self.want["channel_idx"]}
+            axes[0] = [c for c in axes[0] if c in groups]
+        axes[-2] = [y for y in axes[-2] if self._asked("ty", y)]
+        axes[-1] = [x for x in axes[-1] if self._asked("tx", x)]
+        for axis, edge, limit, above in self.span:
+            axes[axis] = [k for k in axes[axis] if (k * edge > limit if above else k * edge < limit)]
+        return axes
 
     def partitions(self) -> list[InputPartition]:
-        grid = self.array.grid()
-        lead = [1] * (3 - len(grid)) + grid
-        places = [(c, y, x) for c in range(lead[0]) for y in range(lead[1]) for x in range(lead[2]) if self._asked("ty", y) and self._asked("tx", x) and self._near((y, x))]
-        per = self.array.chunk[0] if len(grid) == 3 else 1
-        if "channel_idx" in self.want:
-            groups = {c // per for c in self.want["channel_idx"]}
-            places = [p for p in places if p[0] in groups]
-        places = [p[3 - len(grid) :] for p in places]
-        return [_Chunks(places[k : k + CHUNKS_A_TASK]) for k in range(0, len(places), CHUNKS_A_TASK)]
+        n = math.prod(map(len, self._axes()))
+        step = max(CHUNKS_A_TASK, math.ceil(n / MOST_TASKS))
+        return [_Chunks(k, min(n, k + step)) for k in range(0, n, step)] or [_Chunks(0, 0)]  # Spark asks for one at least
 
     def read(self, partition: _Chunks) -> Iterator[tuple]:
-        a = self.array
-        for at in partition.places:
+        a, axes = self.array, self._axes()
+        for number in range(partition.start, partition.stop):
+            at: tuple[int, ...] = ()
+            for asked in reversed(axes):
+                number, k = divmod(number, len(asked))
+                at = (asked[k], *at)
             block = a.decode(_read(f"{self.root}/{a.key(at)}"), at)
             ty, tx = at[-2:]
             first = at[0] * a.chunk[0] if len(at) == 3 else 0
@@ -142,8 +141,26 @@ class ZarrReader(DataSourceReader):
                     yield (self.image_id, self.level, first + k, ty, tx, ty * a.chunk[-2], tx * a.chunk[-1], plane.shape[0], plane.shape[1], a.dtype.name, plane.tobytes())
 
 
+class PruningReader(ZarrReader):
+    """Takes the filters that choose chunks."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute[0] in ("channel_idx", "ty", "tx"):
+                values = set(f.value) if isinstance(f, In) else {f.value}
+                self.want[f.attribute[0]] = self.want.get(f.attribute[0], values) & values
+            else:
+                if isinstance(f, GreaterThan | LessThan) and f.attribute[0] in ("y0", "x0"):
+                    axis = -2 if f.attribute[0] == "y0" else -1
+                    self.span.append((axis, self.array.chunk[axis], f.value, isinstance(f, GreaterThan)))
+                yield f
+
+
 class ZarrTiles(DataSource):
-    """The data source `zarr_tiles`; option `array` names the array inside the store."""
+    """The data source `zarr_tiles`; option `array` names the array inside the store.
+
+    Option `pushdown` true takes filters, which Spark refuses in a session where PUSHDOWN is off.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -153,7 +170,14 @@ class ZarrTiles(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> ZarrReader:
-        return ZarrReader(self.options["path"], self.options["array"])
+        reader = PruningReader if self.options.get("pushdown", "false") == "true" else ZarrReader
+        return reader(self.options["path"], self.options["array"])
+
+
+def read_tiles(spark: SparkSession, store: str, array: str) -> DataFrame:
+    """The tiles of an array, with filters pushed into the scan where the session allows it."""
+    spark.dataSource.register(ZarrTiles)
+    return spark.read.format("zarr_tiles").option("array", array).option("pushdown", spark.conf.get(PUSHDOWN, "false")).load(store)
 
 
 def read_window(tiles: DataFrame, channel: int, y0: int, y1: int, x0: int, x1: int, edge: int = 0) -> DataFrame:

@@ -95,3 +95,28 @@ def test_single_linkage_is_exact_beyond_the_nearest(spark, k):
     for r in C.single_linkage(df, 5, k).collect():
         groups.setdefault(r.cluster_id, set()).add(r.cell_id)
     assert {frozenset(g) for g in groups.values()} == _cut_tree(x, 5)
+
+
+@pytest.mark.parametrize("pushdown", ["true", "false"])
+def test_tiles_are_read_with_and_without_pushed_filters(spark, tmp_path, pushdown):
+    store = str(tmp_path / "push.zarr")
+    planes = [np.arange(30, dtype=np.int16).reshape(5, 6) + 100 * c for c in range(3)]
+    tiles = tiles_of(spark, planes[0], 2, channel=0)
+    for c in (1, 2):
+        tiles = tiles.union(tiles_of(spark, planes[c], 2, channel=c))
+    zarr_tiles.write_zarr_tiles(tiles, store, "images/s1/0", (3, 5, 6), 2, "int16")
+    before = spark.conf.get(zarr_tiles.PUSHDOWN)
+    spark.conf.set(zarr_tiles.PUSHDOWN, pushdown)
+    try:
+        df = zarr_tiles.read_tiles(spark, store, "images/s1/0")
+        places = lambda rows: {(r.channel_idx, r.ty, r.tx) for r in rows.collect()}
+        assert len(places(df)) == df.count() == 27
+        assert places(df.where("channel_idx in (1, 2) and channel_idx = 1 and ty = 2")) == {(1, 2, x) for x in range(3)}
+        assert places(df.where("channel_idx in (0, 2) and x0 > 1 and y0 < 2")) == {(c, 0, x) for c in (0, 2) for x in (1, 2)}
+        assert places(df.where("channel_idx = 1 and tx = 9")) == set()
+        r = df.where("channel_idx = 2 and ty = 2 and tx = 1").first()
+        assert (np.frombuffer(r.pixels, "<i2").reshape(r.h, r.w) == planes[2][4:5, 2:4]).all()
+    finally:
+        spark.conf.set(zarr_tiles.PUSHDOWN, before)
+    reader = zarr_tiles.PruningReader(store, "images/s1/0")
+    assert [(p.start, p.stop) for p in reader.partitions()] == [(0, 16), (16, 27)]
