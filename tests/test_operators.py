@@ -321,6 +321,15 @@ def test_quality_and_components(points, spark):
         b = min(d[k, of == c].mean() for c in range(3) if c != of[k])
         s.append((b - a) / max(a, b))
     assert C.silhouette(df, clusters).first().silhouette == pytest.approx(np.mean(s))
+    lone = clusters.withColumn("cluster_id", F.when(F.col("cell_id") == 0, 9).otherwise(F.col("cluster_id")))
+    of[0], s = 9, []
+    for k in range(120):
+        a = d[k, of == of[k]].sum() / max((of == of[k]).sum() - 1, 1)
+        b = min(d[k, of == c].mean() for c in set(of.tolist()) - {int(of[k])})
+        s.append((b - a) / max(a, b) if k else 0.0)
+    assert C.silhouette(df, lone).first().silhouette == pytest.approx(np.mean(s))
+    assert C.silhouette(df, clusters.withColumn("cluster_id", F.lit(0))).first().silhouette == 0
+    assert tuple(C.silhouette(df, clusters.where("false")).first()) == (None, 0)
     assert C.parallel_analysis(df) in (1, 2)
     flat = np.array([[r.x, r.y] for r in C.project_2d(df).orderBy("cell_id").collect()])
     u, sv, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
