@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, each its operator over its whole table."""
+"""The queries op1 to op13, each its operator over its whole table."""
 
 from __future__ import annotations
 
@@ -7,14 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from histoframe.llm.conversations import repair_damaged
 from histoframe.llm.html_layout import extract_text
 from histoframe.llm.inner_product import nearest_by_inner_product
 from histoframe.llm.language_model import score_documents
+from histoframe.llm.lexical import rank_documents
 from histoframe.llm.merges import bpe_round_trip
 from histoframe.llm.near_dedup import near_duplicates
 from histoframe.llm.packing import pack_documents
 from histoframe.llm.quality import quality_report
 from histoframe.llm.secrets import scan_secrets, train
+from histoframe.llm.simhash import simhash_duplicates
 from histoframe.llm.suffix_dedup import repeat_report
 from histoframe.llm.token_files import token_files
 from histoframe.session import bound_batches, ship_package
@@ -71,8 +74,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op11_document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item; nulls and ties as rank_documents says."""
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged as planned and repaired; nulls and ties as repair_conversations says."""
+    return repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components at three bits or fewer; nulls as simhash_duplicates says."""
+    return simhash_duplicates(_table(spark, sf_dir, "documents"), words=3, bits=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_files, op2_suffix_dedup, op3_compression_bands, op4_merge_replay, op5_language_model, op6_secret_scan, op7_inner_product, op8_html_layout, op9_tensored_minhash, op10_packing)
+    found = (op1_token_files, op2_suffix_dedup, op3_compression_bands, op4_merge_replay, op5_language_model, op6_secret_scan, op7_inner_product, op8_html_layout, op9_tensored_minhash, op10_packing, op11_document_tree, op12_conversation_repair, op13_simhash)
     return {f.__name__: f for f in found}
 
 
@@ -90,6 +108,22 @@ c AS (SELECT d, min(o) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON c.d = n.doc_id"""
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+#: Scores of all documents that share a term with an item.
+RANKED = rf"""
+WITH d AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS w FROM documents),
+n AS (SELECT d, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+c AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS total FROM n),
+i AS (SELECT item, item_id, unnest(list_distinct(w)) AS t FROM (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS w FROM benchmark)),
+f AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM d) SEMI JOIN i USING (t) GROUP BY 1, 2),
+g AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(documents) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY 1),
+s AS (SELECT item, item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * documents) // total)))) AS BIGINT) AS score
+      FROM i JOIN f USING (t) JOIN g USING (t) JOIN n USING (d), c GROUP BY item, item_id, d, doc_id)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS r FROM s WHERE score > 0) WHERE r <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where a method has exact columns that SQL can give; tokenizers, models and byte windows have none."""
-    return {"op9_tensored_minhash": NEAR_DUPLICATES}
+    return {"op9_tensored_minhash": NEAR_DUPLICATES, "op11_document_tree": RANKED}
