@@ -6,55 +6,50 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histoframe.operators import components as graph
 from histoframe.operators import tiles as T
+from histoframe.operators.parts import joined_parts, parts_in_runs, parts_in_tiles
+from histoframe.operators.ranks import tile_histogram
 from histoframe.operators.runs import images, to_runs
-from histoframe.operators.thresholds import otsu
+from histoframe.operators.thresholds import otsu_of
 from histoframe.scratch import Scratch
 
 RUN_ID = 1 << 31
 
 
-def numbered(rows: DataFrame, keys: list[str], name: str, scratch: Scratch) -> DataFrame:
-    """Distinct keys with numbers from 1 in their order: numbers within range partitions, plus the partitions' offsets."""
-    found = scratch.table(rows.select(*keys).distinct().repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), f"keys-{name}")
-    offsets, total = [], 0
-    for r in found.groupBy("_part").count().orderBy("_part").collect():  # one row a partition
-        offsets.append((r["_part"], total))
-        total += r["count"]
-    base = found.sparkSession.createDataFrame(offsets, "_part int, _base long")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return found.join(F.broadcast(base), "_part").select(*keys, (place + F.col("_base")).alias(name))
-
-
 def connected_components(runs: DataFrame) -> DataFrame:
     """Foreground runs relabelled from 1 in each mask of each image by connected parts, corners included.
 
-    Parts join runs of neighbouring rows of one mask that touch. They are numbered in reading order of their first runs.
+    Runs of a row that overlap or touch are one, whatever their labels. Parts are numbered in reading order of their first
+    pixels.
     """
-    scratch = Scratch(runs.sparkSession, "label-components")
-    mask = [*images(runs), "mask_id"]
-    own = runs.where("x1 > x0 and label > 0").select(*mask, F.col("y").cast("long").alias("y"), "x0", "x1").distinct()
-    nodes = scratch.table(own.join(numbered(own, [*mask, "y", "x0"], "node", scratch), [*mask, "y", "x0"]), "nodes")
-    below = nodes.select(*mask, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("node").alias("b"))
-    links = nodes.join(below, [*mask, "y"]).where("x0 <= b1 and b0 <= x1").select(F.col("node").alias("a"), "b")
-    parts = graph.connected_components(links, scratch, "parts")
-    placed = scratch.table(nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    heads = placed.where("node = component").select(*mask, "component", F.row_number().over(Window.partitionBy(*mask).orderBy("component")).cast("long").alias("label"))
-    return placed.join(heads, [*mask, "component"]).select(*mask, "y", "x0", "x1", "label")
+    return joined_parts(parts_in_runs(runs), Scratch(runs.sparkSession, "label-components"))
+
+
+def components_of_tiles(tiles: DataFrame, mask_id: str) -> DataFrame:
+    """Runs of the connected parts of tiles' pixels that aren't 0, corners included; a mask a channel and image."""
+    return joined_parts(parts_in_tiles(tiles, lambda p, _: p != 0, _named(mask_id)), Scratch(tiles.sparkSession, "tile-components"))
+
+
+def _named(mask_id: str) -> Callable[[dict], str]:
+    """The mask's name for a channel: the first has none of its own."""
+    return lambda r: f"{mask_id}_{r['channel_idx']}" if r["channel_idx"] > 0 else mask_id
 
 
 def label_gauss_otsu(tiles: DataFrame, edge: int, sigma: float = 2, factor: float = 1) -> DataFrame:
-    """Runs of the parts of each blurred channel above its own Otsu threshold times a factor; a mask a channel and image."""
-    values = T.pixel_values(T.gaussian(tiles, edge, sigma))
-    plane = F.struct("image_id", "channel_idx")
-    limit = otsu(values.select(plane.alias("marker"), F.col("value").alias("mean"))).select("marker.*", (F.col("threshold") * factor).alias("t"))
-    mask = F.concat(F.lit("gauss_otsu"), F.when(F.col("channel_idx") > 0, F.concat(F.lit("_"), "channel_idx")).otherwise(""))
-    above = values.join(F.broadcast(limit), ["image_id", "channel_idx"]).where("value > t").select("image_id", mask.alias("mask_id"), "y", "x", F.lit(1).alias("label"))  # one row a channel
-    return connected_components(to_runs(above))
+    """Runs of the parts of each blurred channel above its own Otsu threshold times a factor; a mask a channel and image.
+
+    The threshold is of all pixels, in 256 bins over the channel's range.
+    """
+    scratch = Scratch(tiles.sparkSession, "gauss-otsu")
+    blurred = scratch.table(T.gaussian(tiles, edge, sigma), "blurred")
+    plane = F.struct("image_id", "channel_idx").alias("marker")
+    found = otsu_of(tile_histogram(blurred, scratch).select(plane, "lo", "hi", "bin", "h", "c"))
+    limit = scratch.table(found.select("marker.*", (F.col("threshold") * factor).alias("_t")), "limits")
+    above = parts_in_tiles(blurred.join(limit, ["image_id", "channel_idx"]), lambda p, r: p > r["_t"], _named("gauss_otsu"))
+    return joined_parts(above, scratch)
 
 
 def label_voronoi_otsu(tiles: DataFrame, edge: int, spot_sigma: float = 2, outline_sigma: float = 2, size: int = 101, reach: int = 30) -> DataFrame:

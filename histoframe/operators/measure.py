@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from histoframe.operators.ranks import percentiles
 from histoframe.operators.runs import images
 
+
 def cell_means(pixels: DataFrame, keys: tuple[str, ...] = ("cell_id", "marker"), value: str = "value") -> DataFrame:
     """Count, sum and mean of a value per cell and marker; label 0 and null labels are background. Partial sums first."""
     v = F.col(value).cast("double")
@@ -64,12 +66,13 @@ def value_range(pixels: DataFrame, key: str = "marker", value: str = "value") ->
 
 
 def percentile_range(pixels: DataFrame, low: float = 5, high: float = 95, key: str = "marker", value: str = "value", exact: bool = True) -> DataFrame:
-    """Percentiles per channel; least and largest value where both are equal. `exact=False` sketches, for large tables."""
+    """Percentiles per channel; least and largest value where both are equal. `exact=False` sketches instead of sorting."""
     v = F.col(value).cast("double")
-    both = F.percentile(v, F.array(F.lit(low / 100), F.lit(high / 100))) if exact else F.percentile_approx(v, [low / 100, high / 100], 10_000)
-    found = pixels.groupBy(key).agg(both.alias("_p"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    flat = F.col("_p")[0] == F.col("_p")[1]
-    return found.select(key, F.when(flat, F.col("_lo")).otherwise(F.col("_p")[0]).alias("range_min"), F.when(flat, F.col("_hi")).otherwise(F.col("_p")[1]).alias("range_max"))
+    ends = pixels.groupBy(key).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    both = percentiles(pixels, [low / 100, high / 100], key, value) if exact else pixels.groupBy(key).agg(F.percentile_approx(v, [low / 100, high / 100], 10_000).alias("p"))
+    found = ends.join(both, key)
+    flat = F.col("p")[0] == F.col("p")[1]
+    return found.select(key, F.when(flat, F.col("_lo")).otherwise(F.col("p")[0]).alias("range_min"), F.when(flat, F.col("_hi")).otherwise(F.col("p")[1]).alias("range_max"))
 
 
 def filter_mean(cells: DataFrame, cell_marker: DataFrame, marker: str, threshold: float) -> DataFrame:

@@ -1,8 +1,7 @@
 """Automatic thresholds per marker over the positive cell means, from the published definitions.
 
 Otsu, Yen, IsoData and Triangle read a histogram of 256 equal bins between the least and largest value of a marker; all
-markers are handled in the same aggregations and windows, 256 rows each. Li iterates on the raw values with one
-aggregation a round for all markers at once. A marker needs two values or more, else it has no row.
+markers are handled in the same aggregations and windows, 256 rows each. Li iterates on the raw values, sorted once. A marker needs two values or more, else it has no row.
 """
 
 from __future__ import annotations
@@ -12,6 +11,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histoframe.operators.ranks import sorted_counts
+from histoframe.scratch import Scratch
+
 BINS = 256
 
 
@@ -48,7 +50,11 @@ def _first_best(scored: DataFrame, score: Column) -> DataFrame:
 
 
 def otsu(cell_marker: DataFrame) -> DataFrame:
-    h = histogram(positive_means(cell_marker))
+    return otsu_of(histogram(positive_means(cell_marker)))
+
+
+def otsu_of(h: DataFrame) -> DataFrame:
+    """(marker, threshold) from a histogram (marker, lo, hi, bin, h, c)."""
     h = h.withColumns({"w1": F.sum("h").over(_before()), "s1": F.sum(F.col("h") * F.col("c")).over(_before()), "w2": F.sum("h").over(_after()), "s2": F.sum(F.col("h") * F.col("c")).over(_after())})
     gap = F.col("s1") / F.nullif("w1", F.lit(0)) - F.col("s2") / F.nullif("w2", F.lit(0))
     return _first_best(h, F.col("w1") * F.col("w2") * gap * gap)
@@ -89,29 +95,58 @@ def triangle(cell_marker: DataFrame) -> DataFrame:
     return scored.groupBy("marker").agg(best.alias("threshold"))
 
 
-def li(cell_marker: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """Iterative minimum cross entropy; per round one row a marker comes to the driver."""
+LI_BLOCK = 4096  # distinct values of a marker, sorted, whose totals are one row
+
+
+def li(cell_marker: DataFrame) -> DataFrame:
+    """Iterative minimum cross entropy, over sorted values with the totals of blocks of LI_BLOCK.
+
+    A round needs the sums above and below a threshold: those of whole blocks come from their totals, which the driver has (a
+    row a block), and the one block that the threshold cuts is read by its place. No round goes over all values, and rounds
+    go on until a marker's threshold moves by half its smallest gap or less.
+    """
     spark = cell_marker.sparkSession
-    values = positive_means(cell_marker)
-    ends = values.groupBy("marker").agg(F.min("v").alias("lo"), F.avg("v").alias("mean"))
-    steps = values.distinct().withColumn("gap", F.col("v") - F.lag("v").over(Window.partitionBy("marker").orderBy("v"))).groupBy("marker").agg(F.min("gap").alias("gap"))
-    state = {r.marker: [r.lo, r["mean"] - r.lo, (r.gap or 0.0) / 2, False] for r in ends.join(steps, "marker").collect()}
-    if not state:
-        return spark.createDataFrame([], "marker string, threshold double")
-    for _ in range(most_rounds):
-        asked = [(m, lo, t) for m, (lo, t, _, done) in state.items() if not done]
-        if not asked:
-            break
-        now = F.broadcast(spark.createDataFrame(asked, "marker string, lo double, t double"))
-        over = F.col("v") - F.col("lo") > F.col("t")
-        means = values.join(now, "marker").groupBy("marker").agg(F.avg(F.when(over, F.col("v") - F.col("lo"))).alias("fore"), F.avg(F.when(~over, F.col("v") - F.col("lo"))).alias("back"))
-        for r in means.collect():
-            lo, t, tolerance, _ = state[r.marker]
-            if not r.fore or not r.back or r.fore == r.back:
-                state[r.marker][3] = True
+    scratch = Scratch(spark, "li")
+    values = scratch.table(positive_means(cell_marker), "values")
+    place = Window.partitionBy("marker", "_part").orderBy("v")
+    block = F.floor((F.row_number().over(place) - 1) / LI_BLOCK)
+    ends = scratch.table(values.groupBy("marker").agg(F.min("v").alias("lo"), F.avg("v").alias("mean")), "ends")
+    rows = sorted_counts(values, "marker", "v", scratch).join(ends.select("marker", "lo"), "marker")
+    rows = rows.withColumns({"block": block, "gap": F.col("v") - F.lag("v").over(place), "off": F.col("v") - F.col("lo")})
+    rows = scratch.table(rows.select("marker", "_part", "block", "v", "c", "off", "gap"), "blocks")
+    totals: dict[str, list] = {}
+    for r in rows.groupBy("marker", "_part", "block").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("off")).alias("s"), F.min("off").alias("a"), F.max("off").alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("gap").alias("gap")).orderBy("_part", "block").collect():
+        totals.setdefault(r.marker, []).append(r)
+    state = {}
+    for r in ends.collect():  # a row a marker
+        some = totals[r.marker]
+        gaps = [x.gap for x in some if x.gap is not None] + [y.lo - x.hi for x, y in zip(some, some[1:])]
+        state[r.marker] = [r.lo, r["mean"] - r.lo, min(gaps, default=0.0) / 2, False]
+    cut: dict[tuple, list] = {}
+    while asked := [m for m, x in state.items() if not x[3]]:
+        missing = [(m, x["_part"], x.block) for m in asked for x in totals[m] if x.a <= state[m][1] < x.b and (m, x["_part"], x.block) not in cut]
+        if missing:  # a block a marker at most
+            wanted = F.lit(False)
+            for m, part, number in missing:
+                wanted |= (F.col("marker") == m) & (F.col("_part") == part) & (F.col("block") == number)
+                cut[m, part, number] = []
+            for r in rows.where(wanted).select("marker", "_part", "block", "off", "c").collect():
+                cut[r.marker, r["_part"], r.block].append((r.off, r.c))
+        for m in asked:
+            lo, t, tolerance, _ = state[m]
+            over, under = [0, 0.0], [0, 0.0]
+            for x in totals[m]:
+                parts = [(x.a > t, x.n, x.s)] if x.a > t or x.b <= t else [(off > t, c, off * c) for off, c in cut[m, x["_part"], x.block]]
+                for above, n, s in parts:
+                    side = over if above else under
+                    side[0] += n
+                    side[1] += s
+            fore, back = over[1] / over[0] if over[0] else None, under[1] / under[0] if under[0] else None
+            if not fore or not back or fore == back:
+                state[m][3] = True
                 continue
-            after = (r.back - r.fore) / (math.log(r.back) - math.log(r.fore))
-            state[r.marker] = [lo, after, tolerance, abs(after - t) <= tolerance]
+            after = (back - fore) / (math.log(back) - math.log(fore))
+            state[m] = [lo, after, tolerance, abs(after - t) <= tolerance]
     return spark.createDataFrame([(m, lo + t) for m, (lo, t, _, _) in state.items()], "marker string, threshold double")
 
 

@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from histoframe.operators.planes import PLANE, plane_of
+from histoframe.operators.ranks import tile_percentiles, tile_range
+from histoframe.scratch import Scratch
+
 KEYS = ("image_id", "level", "channel_idx", "ty", "tx")
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
-def plane_of(row: dict) -> np.ndarray:
-    return np.frombuffer(row["pixels"], np.dtype(row["dtype"]).newbyteorder("<")).reshape(row["h"], row["w"])
-
-
 def map_tiles(tiles: DataFrame, f: Callable[[np.ndarray, dict], np.ndarray]) -> DataFrame:
     """Each tile by itself; the result's dtype is the tile's new one."""
 
@@ -191,25 +191,33 @@ def edge_enhance(tiles: DataFrame, edge: int, sigma: float = 1.5) -> DataFrame:
 def label_partials(tiles: DataFrame, label_tiles: DataFrame) -> DataFrame:
     """(image_id, cell_id, channel_idx, n, sum): pixels of each tile under each label, summed inside the task.
 
-    Channel tiles meet the label tile of the same place; both have the same grid. Label 0 is background; values that aren't
-    finite count as 0.
+    The tiles of a place, label first, come one after the other in one exchange, so a label tile is sent once for all its
+    channels. Both have the same grid; where their extents differ, both are cut to what they share, and places that one of
+    them lacks have no rows. Label 0 is background; values that aren't finite count as 0.
     """
     place = ["image_id", "level", "ty", "tx"]
-    labels = label_tiles.select(*place, F.col("pixels").alias("_p"), F.col("dtype").alias("_d"))
-    joined = tiles.select(*KEYS, "h", "w", "dtype", "pixels").join(labels, place)
+    columns = [*place, "channel_idx", "h", "w", "dtype", "pixels"]
+    both = label_tiles.select(*place, F.lit(None).cast("int").alias("channel_idx"), *columns[5:]).unionByName(tiles.select(*columns))
+    dealt = both.repartition(*place).sortWithinPartitions(*place, F.col("channel_idx").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, of = None, None, None
         for batch in batches:
             for r in batch.to_pylist():
-                own = np.frombuffer(r["_p"], np.dtype(r["_d"]).newbyteorder("<"))
-                names, of = np.unique(own, return_inverse=True)
-                values = np.nan_to_num(plane_of(r).astype(np.float64).ravel(), nan=0.0, posinf=0.0, neginf=0.0)
-                n, sums = np.bincount(of, minlength=len(names)), np.bincount(of, values, minlength=len(names))
-                keep = names > 0
-                k = int(keep.sum())
-                yield pa.RecordBatch.from_pydict({"image_id": pa.array([r["image_id"]] * k, pa.string()), "cell_id": pa.array(names[keep].astype(np.int64)), "channel_idx": pa.array(np.full(k, r["channel_idx"], np.int32)), "n": pa.array(n[keep].astype(np.int64)), "sum": pa.array(sums[keep])})
-
-    return joined.mapInArrow(run, "image_id string, cell_id long, channel_idx int, n long, sum double")
+                if r["channel_idx"] is None:
+                    at = [r[c] for c in place]
+                    names, of = np.unique(plane_of(r), return_inverse=True)
+                    of = of.reshape(r["h"], r["w"])
+                elif at == [r[c] for c in place]:
+                    values = plane_of(r).astype(np.float64)
+                    h, w = min(r["h"], of.shape[0]), min(r["w"], of.shape[1])
+                    own, values = of[:h, :w].ravel(), np.nan_to_num(values[:h, :w].ravel(), nan=0.0, posinf=0.0, neginf=0.0)
+                    n, sums = np.bincount(own, minlength=len(names)), np.bincount(own, values, minlength=len(names))
+                    keep = (names > 0) & (n > 0)
+                    k = int(keep.sum())
+                    yield pa.RecordBatch.from_pydict({"image_id": pa.array([r["image_id"]] * k, pa.string()), "cell_id": pa.array(names[keep].astype(np.int64)), "channel_idx": pa.array(np.full(k, r["channel_idx"], np.int32)), "n": pa.array(n[keep].astype(np.int64)), "sum": pa.array(sums[keep])})
+
+    return dealt.mapInArrow(run, "image_id string, cell_id long, channel_idx int, n long, sum double")
 
 
 def cell_means_of_tiles(tiles: DataFrame, label_tiles: DataFrame) -> DataFrame:
@@ -251,13 +259,14 @@ def pixel_values(tiles: DataFrame, step: int = 1) -> DataFrame:
 
 
 def _scaled(tiles: DataFrame, low: float, high: float, f) -> DataFrame:
-    """f(plane, low value, high value) with each channel's percentiles, which come along as columns."""
-    ends = pixel_values(tiles).groupBy("image_id", "channel_idx").agg(F.percentile("value", F.array(F.lit(low / 100), F.lit(high / 100))).alias("_e"))
-    return _with_ends(tiles, ends.select("image_id", "channel_idx", F.col("_e")[0].alias("_a"), F.col("_e")[1].alias("_b")), f)
+    """f(plane, low value, high value) with each channel's exact percentiles, which come along as columns."""
+    ends = tile_percentiles(tiles, [low / 100, high / 100])
+    return _with_ends(tiles, ends.select(*PLANE, F.col("p")[0].alias("_a"), F.col("p")[1].alias("_b")), f)
 
 
 def _with_ends(tiles: DataFrame, ends: DataFrame, f) -> DataFrame:
-    joined = tiles.join(F.broadcast(ends), ["image_id", "channel_idx"]).select(*tiles.columns, "_a", "_b")  # one row a channel
+    """ends: a written table of a row a channel, so Spark knows its size and broadcasts it only where it is small."""
+    joined = tiles.join(ends, PLANE).select(*tiles.columns, "_a", "_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,16 +280,9 @@ def _with_ends(tiles: DataFrame, ends: DataFrame, f) -> DataFrame:
 
 
 def map_tiles_with_range(tiles: DataFrame, f) -> DataFrame:
-    """f(plane, least, greatest) with each channel's range, which is found by one row a tile."""
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(r["image_id"], r["channel_idx"], plane_of(r)) for r in batch.to_pylist()]
-            rows = [x for x in rows if x[2].size]
-            yield pa.RecordBatch.from_pydict({"image_id": pa.array([x[0] for x in rows], pa.string()), "channel_idx": pa.array([x[1] for x in rows], pa.int32()), "a": pa.array([float(x[2].min()) for x in rows], pa.float64()), "b": pa.array([float(x[2].max()) for x in rows], pa.float64())})
-
-    found = tiles.mapInArrow(ends, "image_id string, channel_idx int, a double, b double").groupBy("image_id", "channel_idx").agg(F.min("a").alias("_a"), F.max("b").alias("_b"))
-    return _with_ends(tiles, found, f)
+    """f(plane, least, greatest) with the range of each channel's finite pixels, which is found by one row a tile."""
+    found = Scratch(tiles.sparkSession, "tile-range").table(tile_range(tiles), "ends")
+    return _with_ends(tiles, found.select(*PLANE, F.col("lo").alias("_a"), F.col("hi").alias("_b")), f)
 
 
 def rescale(tiles: DataFrame, low: float = 2, high: float = 98) -> DataFrame:

@@ -15,11 +15,13 @@ from histoframe.operators import labels as B
 from histoframe.operators import measure as M
 from histoframe.operators import neighbors as K
 from histoframe.operators import normalize as N
+from histoframe.operators import parts, ranks
 from histoframe.operators import regions as R
 from histoframe.operators import runs as L
 from histoframe.operators import thresholds as T
 from histoframe.operators import tiles as I
 from histoframe.sources import catalog, geojson, project, shapes, tables, zarr_tiles
+from histoframe.scratch import Scratch
 from histoframe.streaming import incremental
 
 RUN = "mask_id string, y long, x0 long, x1 long, label long"
@@ -364,6 +366,90 @@ def test_hot_pixels_and_scaling(spark):
     assert np.allclose(image_from(I.merge_channels(both, 0, 1, 2), ramp.shape), ramp + 2)
 
 
+def plain_parts(mask):
+    """Connected parts, corners included, by flooding from each pixel in reading order."""
+    out, n = np.zeros(mask.shape, int), 0
+    for start in zip(*np.nonzero(mask)):
+        if not out[start]:
+            n += 1
+            out[start], stack = n, [start]
+            while stack:
+                y, x = stack.pop()
+                for a in range(max(0, y - 1), min(mask.shape[0], y + 2)):
+                    for b in range(max(0, x - 1), min(mask.shape[1], x + 2)):
+                        if mask[a, b] and not out[a, b]:
+                            out[a, b] = n
+                            stack.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("share", [0.25, 0.5])
+def test_parts_do_not_depend_on_tiles(spark, share):
+    rng = np.random.default_rng(int(share * 100))
+    mask = rng.random((50, 61)) < share
+    want = plain_parts(mask)
+    for edge in (5, 64):
+        assert (plane_from(B.components_of_tiles(tiles_of(spark, mask.astype(np.int32) * 7, edge), "m"), mask.shape) == want).all()
+    labelled = np.where(mask, rng.integers(1, 4, mask.shape), 0)  # runs of a row touch, with other labels
+    for tile in (8,):
+        local = parts.parts_in_runs(runs_of(spark, ("m", labelled)), tile)
+        assert (plane_from(parts.joined_parts(local, Scratch(spark, "t")), mask.shape) == want).all()
+    twice = runs_of(spark, ("m", labelled)).union(runs_of(spark, ("m", labelled)).withColumn("x1", F.col("x0") + 1))
+    assert (plane_from(B.connected_components(twice), mask.shape) == want).all()
+    one = spark.createDataFrame([("F", 0, 0, 3, 1), ("F", 0, 3, 5, 2)], RUN)
+    assert [(r.x0, r.x1, r.label) for r in B.connected_components(one).collect()] == [(0, 5, 1)]
+    assert B.connected_components(one.where("false")).count() == 0
+
+
+def test_exact_ranks(spark):
+    rng = np.random.default_rng(8)
+    for values in (rng.normal(size=(23, 31)), rng.normal(size=(23, 31)).astype(np.float32), rng.integers(0, 5, (23, 31)).astype(np.uint16), -np.abs(rng.normal(size=(23, 31)).astype(np.float16))):
+        both = tiles_of(spark, values, 8).union(tiles_of(spark, values * 2, 8, channel=3))
+        got = {r.channel_idx: r.p for r in ranks.tile_percentiles(both, [0.02, 0.5, 0.998, 1.0]).collect()}
+        for channel, own in ((0, values), (3, values * 2)):
+            assert np.allclose(got[channel], np.percentile(own.astype(float), (2, 50, 99.8, 100)), rtol=1e-12, atol=0)
+    rows = [(m, float(v)) for m in "ab" for v in (rng.normal(size=500) if m == "a" else rng.integers(0, 3, 400))] + [("c", 4.0), ("d", None)]
+    df = spark.createDataFrame(rows, "marker string, value double").repartition(5)
+    got = {r.marker: r.p for r in ranks.percentiles(df, [0.05, 0.5, 0.95], "marker", "value").collect()}
+    for m in "abc":
+        assert np.allclose(got[m], np.percentile([v for k, v in rows if k == m], (5, 50, 95)))
+    assert set(got) == {"a", "b", "c"} and ranks.percentiles(df.where("false"), [0.5], "marker", "value").count() == 0
+
+
+def test_li_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(m, float(v)) for m, values in (("a", np.concatenate([rng.gamma(2, 3, 300), rng.normal(40, 5, 90)])), ("b", rng.integers(1, 30, 200)), ("c", [3.0, 3.0]), ("d", [1.0])) for v in values]
+    df = spark.createDataFrame(rows, "marker string, mean double").repartition(4)
+    want = {}
+    for m in "abc":
+        v = np.array([x for k, x in rows if k == m and x > 0])
+        low, gaps = v.min(), np.diff(np.unique(v))
+        w, tolerance = v - low, (gaps.min() if len(gaps) else 0) / 2
+        t, before = w.mean(), None
+        while before is None or abs(t - before) > tolerance:
+            fore, back = w[w > t], w[w <= t]
+            if not len(fore) or not back.any() or fore.mean() == back.mean():
+                break
+            before, t = t, (back.mean() - fore.mean()) / (np.log(back.mean()) - np.log(fore.mean()))
+        want[m] = low + t
+    for block in (7, 4096):
+        monkeypatch.setattr(T, "LI_BLOCK", block)
+        got = {r.marker: r.threshold for r in T.li(df).collect()}
+        assert set(got) == set(want) and all(abs(got[m] - want[m]) < 1e-9 for m in want)
+
+
+def test_cell_means_where_extents_differ(spark):
+    rng = np.random.default_rng(10)
+    image, label = rng.random((13, 17)).astype(np.float32), rng.integers(0, 4, (11, 20)).astype(np.int32)
+    image[2, 3] = np.nan
+    t = tiles_of(spark, image, 6).union(tiles_of(spark, image * 3, 6, channel=1))
+    got = {(r.cell_id, r.channel_idx): (r.n, r.sum) for r in I.cell_means_of_tiles(t, tiles_of(spark, label, 6)).collect()}
+    a, b = np.nan_to_num(image[:11, :17].astype(float)), label[:11, :17]
+    assert set(got) == {(k, c) for k in (1, 2, 3) for c in (0, 1)}
+    for (k, c), (n, total) in got.items():
+        assert n == (b == k).sum() and abs(total - a[b == k].sum() * (3 if c else 1)) < 1e-4
+
+
 def test_segmentation_finds_the_blobs(spark, blobs):
     for edge in (20, 70):
         got = plane_from(B.label_gauss_otsu(tiles_of(spark, blobs, edge), edge, 1.0), blobs.shape)
@@ -485,23 +571,46 @@ def test_names_and_coverage(spark):
     assert (row.x, row.y, row.z, row.u) == (0.5, 0.5, 1.0, 0.0)
 
 
+def drained(spark, tmp_path, files=None, every=16):
+    stream = spark.readStream.schema(incremental.SCHEMA).option("maxFilesPerTrigger", files or 1000).parquet(str(tmp_path / "in"))
+    incremental.incremental_cell_stats(stream, str(tmp_path / "out"), str(tmp_path / "check"), once=True, compact_every=every).awaitTermination()
+    return {(r.image_id, r.cell_id): (r.n, r.sum, r.max) for r in incremental.cell_statistics(spark, str(tmp_path / "out")).collect()}
+
+
+def send(spark, tmp_path, rows):
+    """One file of readings: image, ty, tx, version, part, cell, value."""
+    spark.createDataFrame([(*r[:6], "m", r[6]) for r in rows], incremental.SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+
 def test_incremental_statistics(spark, tmp_path):
-    source, target = tmp_path / "in", str(tmp_path / "out")
-
-    def send(name, rows):
-        spark.createDataFrame(rows, incremental.SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
-
-    def drain():
-        stream = spark.readStream.schema(incremental.SCHEMA).parquet(str(source))
-        incremental.incremental_cell_stats(stream, target, str(tmp_path / "check"), once=True).awaitTermination()
-        return {r.cell_id: (r.n, r.sum, r.max) for r in incremental.cell_statistics(spark, target).collect()}
-
-    send("a", [(0, 0, 1, 1, "m", 2.0), (0, 0, 1, 1, "m", 4.0), (0, 1, 1, 1, "m", 10.0), (0, 0, 1, 0, "m", 99.0)])
-    assert drain() == {1: (3, 16.0, 10.0)}
-    send("b", [(0, 0, 2, 1, "m", 1.0), (0, 0, 2, 2, "m", 5.0)])
-    assert drain() == {1: (2, 11.0, 10.0), 2: (1, 5.0, 5.0)}
-    assert drain() == {1: (2, 11.0, 10.0), 2: (1, 5.0, 5.0)}
-    send("c", [(0, 0, 2, 1, "m", 1.0), (0, 0, 2, 2, "m", 5.0)])
-    assert drain() == {1: (2, 11.0, 10.0), 2: (1, 5.0, 5.0)}
-    send("d", [(0, 1, 2, 0, "m", 3.0)])
-    assert drain() == {1: (1, 1.0, 1.0), 2: (1, 5.0, 5.0)}
+    send(spark, tmp_path, [("i", 0, 0, 1, 0, 1, 2.0), ("i", 0, 0, 1, 0, 1, 4.0), ("i", 0, 1, 1, 0, 1, 10.0), ("i", 0, 0, 1, 0, 0, 99.0)])
+    assert drained(spark, tmp_path) == {("i", 1): (3, 16.0, 10.0)}
+    send(spark, tmp_path, [("i", 0, 0, 2, 0, 1, 1.0), ("i", 0, 0, 2, 0, 2, 5.0)])
+    want = {("i", 1): (2, 11.0, 10.0), ("i", 2): (1, 5.0, 5.0)}
+    assert drained(spark, tmp_path) == want and drained(spark, tmp_path) == want
+    send(spark, tmp_path, [("i", 0, 0, 2, 0, 1, 1.0), ("i", 0, 0, 2, 0, 2, 5.0)])  # a part again
+    send(spark, tmp_path, [("i", 0, 0, 1, 0, 7, 70.0)])  # an old version, late
+    assert drained(spark, tmp_path) == want
+    send(spark, tmp_path, [("i", 0, 1, 2, None, 0, 3.0)])  # a tile without cells
+    assert drained(spark, tmp_path) == {("i", 1): (1, 1.0, 1.0), ("i", 2): (1, 5.0, 5.0)}
+
+
+@pytest.mark.parametrize("files, every", [(1, 2), (2, 3), (7, 1)])
+def test_stream_is_the_same_in_any_batches(spark, tmp_path, files, every):
+    """A tile in several files, two images with the same tiles, tiles sent again by part and by version, one emptied."""
+    for rows in (
+        [("i", 0, 0, 1, None, 7, 2.0)],
+        [("i", 0, 0, 1, None, 7, 4.0), ("j", 0, 0, 1, None, 7, 100.0)],
+        [("j", 0, 1, 1, 0, 1, 1.0), ("j", 0, 1, 1, 0, 2, 1.0)],
+        [("j", 0, 1, 1, 1, 1, 2.0)],
+        [("j", 0, 1, 1, 1, 1, 2.0)],
+        [("i", 1, 1, 1, None, 9, 5.0)],
+        [("i", 1, 1, 2, None, 0, 5.0)],
+        [("i", 2, 0, 1, None, 3, 8.0), (None, 0, 0, 1, None, 4, 1.0)],
+        [("i", 2, 0, 2, None, 3, 1.0)],
+        [("i", 2, 0, 2, None, 3, 2.0)],
+    ):
+        send(spark, tmp_path, rows)
+    assert drained(spark, tmp_path, files, every) == {("i", 7): (2, 6.0, 4.0), ("j", 7): (1, 100.0, 100.0), ("j", 1): (2, 3.0, 2.0), ("j", 2): (1, 1.0, 1.0), ("i", 3): (2, 3.0, 2.0), (None, 4): (1, 1.0, 1.0)}
+    if every == 2:
+        assert len(list((tmp_path / "out").glob("state-*"))) == 2 and len(list((tmp_path / "out").glob("batch-*"))) < 10
