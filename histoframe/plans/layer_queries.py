@@ -137,6 +137,25 @@ def zarr_round_trip(spark, sf_dir):
     return values(zarr_tiles.read_tiles(spark, store, "images/e/0"))
 
 
+BRIGHT = f"""WITH RECURSIVE {PIXELS}, px AS (SELECT y, x FROM p WHERE CAST(v AS FLOAT) > CAST(0.15 AS FLOAT)), ru AS (SELECT y, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY y ORDER BY x) AS g FROM px) GROUP BY y, g),
+no AS (SELECT *, row_number() OVER (ORDER BY y, x0) AS id FROM ru), ed AS (SELECT a.id AS a, b.id AS b FROM no a JOIN no b ON abs(a.y - b.y) = 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+re AS (SELECT id, id AS o FROM no UNION SELECT ed.b, re.o FROM re JOIN ed ON ed.a = re.id), pa AS (SELECT id, min(o) AS first FROM re GROUP BY 1)"""
+
+
+@query(f"{BRIGHT} SELECT unnest([16, 64]) AS edge, y, CAST(x0 AS BIGINT) AS x0, CAST(x1 AS BIGINT) AS x1, dense_rank() OVER (ORDER BY first) AS label FROM no JOIN pa USING (id)")
+def tile_components(spark, sf_dir):
+    """Parts of the bright pixels, found in tiles of two sizes."""
+    import numpy as np
+
+    tiles = image(spark, sf_dir)
+    out = None
+    for edge in (16, 64):
+        bright = I.map_tiles(I.retile(tiles, edge), lambda p, _: (p > np.float32(0.15)).astype(np.uint8))
+        found = B.components_of_tiles(bright, "bright").select(F.lit(edge).alias("edge"), "y", "x0", "x1", "label")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # ---- masks and cells
 
 
@@ -386,19 +405,24 @@ def shapes_round_trip(spark, sf_dir):
     return found.select("name", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"), F.size("ring").alias("points"))
 
 
-@query("SELECT 'Supplier ' || s_suppkey AS region, CAST(least(s_suppkey + s_nationkey + 1, 60) AS DOUBLE) AS x1, CAST(least(s_nationkey + 1, 9) AS DOUBLE) AS y1 FROM supplier WHERE s_suppkey < 60")
+@query("SELECT 'Supplier ' || s_suppkey AS region, CAST(least(s_suppkey + s_nationkey + 1, 60) AS DOUBLE) AS x1, CAST(least(s_nationkey + 1, 9) AS DOUBLE) AS y1 FROM supplier WHERE s_suppkey <= 60")
 def regions_prepared(spark, sf_dir):
     rings = squares(spark, sf_dir).select(F.col("name").alias("region"), "ring")
     found = R.prepare_regions(rings, 0.1, 60.0, 9.0)
     return found.select("region", F.col("bbox.x1").alias("x1"), F.col("bbox.y1").alias("y1"))
 
 
-@query("SELECT user_id + 1 AS cell_id, event_type AS marker, count(*) AS n, round(sum(value), 5) AS sum, max(value) AS max FROM events GROUP BY 1, 2")
+@query("SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS image_id, user_id + 1 AS cell_id, event_type AS marker, count(*) AS n, round(sum(value), 5) AS sum, max(value) AS max FROM events GROUP BY 1, 2, 3")
 def streamed_cells(spark, sf_dir):
+    """Readings of two images, each tile's in several files, a file a micro-batch; an older version of all comes too."""
     scratch = Scratch(spark, "stream")
-    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).cast("int").alias("ty"), F.lit(0).alias("tx"), F.lit(1).cast("long").alias("version"), (F.col("user_id") + 1).alias("cell_id"), F.col("event_type").alias("marker"), F.col("value").cast("double").alias("value"))
-    scratch.table(rows, "in")
-    stream = spark.readStream.schema(incremental.SCHEMA).parquet(scratch.path("in"))
-    incremental.incremental_cell_stats(stream, scratch.path("out"), scratch.path("check"), once=True).awaitTermination()
+    image_id = F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("image_id")
+    place = [F.floor(F.col("user_id") / 2 % 4).cast("int").alias("ty"), F.lit(0).alias("tx")]
+    rows = table(spark, sf_dir, "events").select(image_id, *place, F.lit(2).cast("long").alias("version"), F.lit(None).cast("int").alias("part"), (F.col("user_id") + 1).alias("cell_id"), F.col("event_type").alias("marker"), F.col("value").cast("double").alias("value"))
+    older = rows.withColumns({"version": F.lit(1).cast("long"), "value": F.col("value") + 1})
+    rows.repartition(4).write.parquet(scratch.path("in"))
+    older.coalesce(1).write.mode("append").parquet(scratch.path("in"))
+    stream = spark.readStream.schema(incremental.SCHEMA).option("maxFilesPerTrigger", 1).parquet(scratch.path("in"))
+    incremental.incremental_cell_stats(stream, scratch.path("out"), scratch.path("check"), once=True, compact_every=2).awaitTermination()
     out = incremental.cell_statistics(spark, scratch.path("out"))
-    return out.select("cell_id", "marker", "n", F.round("sum", 5).alias("sum"), "max")
+    return out.select("image_id", "cell_id", "marker", "n", F.round("sum", 5).alias("sum"), "max")
