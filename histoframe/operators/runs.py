@@ -177,9 +177,13 @@ def windowed(runs: DataFrame, nsize: int) -> DataFrame:
 
 def window_stats(runs: DataFrame, nsize: int = 40) -> DataFrame:
     """Per window and mask: labels, median area of their parts, and evenness 1 / (ln(sd / sqrt(n)) + 1), 0 where undefined."""
-    keys = images(runs)
-    parts = windowed(runs, nsize).groupBy(*keys, "wy", "wx", "mask_id", "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
-    out = parts.groupBy(*keys, "wy", "wx", "mask_id").agg((F.count("*") + 1).alias("n_labels"), F.percentile("area", 0.5).alias("median_area"), F.stddev_pop("area").alias("_sd"), F.count("*").alias("_n"))
+    return stats_of_cuts(windowed(runs, nsize), [*images(runs), "wy", "wx"])
+
+
+def stats_of_cuts(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for runs that are cut to windows of any kind, told apart by keys."""
+    parts = cut.groupBy(*keys, "mask_id", "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
+    out = parts.groupBy(*keys, "mask_id").agg((F.count("*") + 1).alias("n_labels"), F.percentile("area", 0.5).alias("median_area"), F.stddev_pop("area").alias("_sd"), F.count("*").alias("_n"))
     spread = F.col("_sd") / F.sqrt("_n")
     bottom = F.when(spread > 0, F.ln(spread) + 1)
     return out.withColumn("evenness", F.coalesce(F.when(bottom != 0, 1 / F.nullif(bottom, F.lit(0.0))), F.lit(0.0))).drop("_sd", "_n")
@@ -187,8 +191,11 @@ def window_stats(runs: DataFrame, nsize: int = 40) -> DataFrame:
 
 def window_jaccard(runs: DataFrame, nsize: int = 40) -> DataFrame:
     """Per window and pair of masks (a_mask < b_mask): shared and joint foreground, and their ratio."""
-    keys = [*images(runs), "wy", "wx"]
-    cut = windowed(runs, nsize)
+    return jaccard_of_cuts(windowed(runs, nsize), [*images(runs), "wy", "wx"])
+
+
+def jaccard_of_cuts(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for runs that are cut to windows of any kind, told apart by keys."""
     size = cut.groupBy(*keys, "mask_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("n"))
     a = cut.select(*keys, "y", F.col("mask_id").alias("a_mask"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
     b = cut.select(*keys, "y", F.col("mask_id").alias("b_mask"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
@@ -206,7 +213,7 @@ def window_winner(stats: DataFrame, jaccard: DataFrame | None, order: DataFrame,
     with the greatest sum wins if that exceeds its agreement with itself, 1; else the first mask without any sum wins.
     """
     if merit == "j1":
-        return _jaccard_winner(stats, jaccard, order)
+        return jaccard_winner(stats, jaccard, order, [*images(stats), "wy", "wx"])
     scored = stats.withColumn("score", F.col({"pop": "n_labels", "cstd": "evenness"}[merit]).cast("double"))
     placed = scored.join(F.broadcast(order), "mask_id")
     keys = [*images(stats), "wy", "wx"]
@@ -214,8 +221,7 @@ def window_winner(stats: DataFrame, jaccard: DataFrame | None, order: DataFrame,
     return placed.withColumn("_k", best).where("_k = 1").select(*keys, "mask_id", "score")
 
 
-def _jaccard_winner(stats: DataFrame, jaccard: DataFrame, order: DataFrame) -> DataFrame:
-    keys = [*images(stats), "wy", "wx"]
+def jaccard_winner(stats: DataFrame, jaccard: DataFrame, order: DataFrame, keys: list[str]) -> DataFrame:
     grid = stats.select(*keys).distinct().crossJoin(F.broadcast(order.select("mask_id", "ord")))  # a few masks
     own = stats.select(*keys, "mask_id", F.lit(1.0).alias("self"))
     both = jaccard.select(*keys, F.col("a_mask").alias("mask_id"), F.col("b_mask").alias("other"), "jaccard")
@@ -224,47 +230,20 @@ def _jaccard_winner(stats: DataFrame, jaccard: DataFrame, order: DataFrame) -> D
     scored = grid.join(own, [*keys, "mask_id"], "left").join(sums, [*keys, "mask_id"], "left")
     scored = scored.withColumn("sum", F.coalesce("self", F.lit(0.0)) + F.coalesce("s", F.lit(0.0)))
     worst = scored.groupBy(*keys).agg(F.min_by("mask_id", F.struct("sum", "ord")).alias("worst"))
-    left = both.join(worst, keys).where("other = worst").select(*keys, "mask_id", F.col("jaccard").alias("lost"))
-    after = scored.join(worst, keys).join(left, [*keys, "mask_id"], "left")
-    after = after.withColumn("score", F.when(F.col("mask_id") == F.col("worst"), 0.0).otherwise(F.col("sum") - F.coalesce("lost", F.lit(0.0))))
+    rest = both.join(worst, keys).where("other <> worst").groupBy(*keys, "mask_id").agg(F.sum("jaccard").alias("rest"))  # anew: a difference of sums isn't exact
+    after = scored.join(worst, keys).join(rest, [*keys, "mask_id"], "left")
+    after = after.withColumn("score", F.when(F.col("mask_id") == F.col("worst"), 0.0).otherwise(F.coalesce("self", F.lit(0.0)) + F.coalesce("rest", F.lit(0.0))))
     top = Window.partitionBy(*keys)
     agreed = F.max("score").over(top) > 1.0
     place = F.row_number().over(top.orderBy(F.when(F.col("_agreed"), -F.col("score")).otherwise(F.col("score")), "ord"))
     return after.withColumn("_agreed", agreed).withColumn("_k", place).where("_k = 1").select(*keys, "mask_id", "score")
 
 
-def fuse_masks(runs: DataFrame, order: DataFrame, merit: str = "pop", nsize: int = 40) -> DataFrame:
-    """One mask out of several: each window admits the cells of its best mask whose centre is in it, or near its edge.
+def near_cells(cells: DataFrame, within_masks: bool = False) -> DataFrame:
+    """(a, b): cells of different masks whose centres are within sqrt(area / pi) of the first on both axes: a grid join.
 
-    The grace is ceil(p32 of the areas * 0.05) pixels. Of admitted cells of different masks that share more than three
-    pixels the ones of the mask that wins the window under the first centre stay. Ids are by mask order and old id.
+    within_masks: those of one mask too, and each cell with itself.
     """
-    from histoframe.operators.measure import cell_geometry
-
-    im = images(runs)
-    own = [*im, "mask_id", "label"]
-    winners = window_winner(window_stats(runs, nsize), window_jaccard(runs, nsize) if merit == "j1" else None, order, merit).select(*im, "wy", "wx", F.col("mask_id").alias("winner"))
-    cells = cell_geometry(runs)
-    grace = cells.groupBy(*im).agg(F.coalesce(F.ceil(F.percentile("area_px", 0.32) * 0.05), F.lit(0)).alias("grace"))  # one row an image
-    near = cells.join(grace, im) if im else cells.crossJoin(F.broadcast(grace))
-    for axis, at in (("wy", "y_px"), ("wx", "x_px")):
-        span = F.sequence(F.floor((F.col(at) - F.col("grace")) / nsize), F.floor((F.col(at) + F.col("grace")) / nsize))
-        near = near.withColumn(axis, F.explode(span))
-    admitted = near.join(winners, [*im, "wy", "wx"]).where("winner = mask_id").select(*im, "mask_id", F.col("cell_id").alias("label"), "x_px", "y_px").distinct()
-    chosen = runs.join(admitted.select(*own), own, "left_semi").select(*runs.columns)
-    clash = overlaps(chosen, chosen).where("a_mask < b_mask and pixels > 3")
-    centre = admitted.select(*im, F.col("mask_id").alias("a_mask"), F.col("label").alias("a"), F.floor(F.col("y_px") / nsize).alias("wy"), F.floor(F.col("x_px") / nsize).alias("wx"))
-    judged = clash.join(centre, [*im, "a_mask", "a"]).join(winners, [*im, "wy", "wx"], "left")
-    first_wins = F.coalesce(F.col("winner") != F.col("b_mask"), F.lit(True))
-    losers = judged.select(*im, F.when(first_wins, F.col("b_mask")).otherwise(F.col("a_mask")).alias("mask_id"), F.when(first_wins, F.col("b")).otherwise(F.col("a")).alias("label")).distinct()
-    final = admitted.select(*own).join(losers, own, "left_anti").join(offsets(runs, order), [*im, "mask_id"])
-    painted = runs.join(final, own).select(*im, "ord", F.col("mask_id").alias("method"), "y", "x0", "x1", (F.col("label") + F.col("id_offset")).alias("label"))
-    pixels = painted.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).groupBy(*im, "y", "x").agg(F.max_by(F.struct("label", "method"), F.struct("ord", "label")).alias("p"))
-    return to_runs(pixels.select(*im, F.lit("fused").alias("mask_id"), "y", "x", F.col("p.label").alias("label")))
-
-
-def near_cells(cells: DataFrame) -> DataFrame:
-    """(a, b): cells of different masks whose centres are within sqrt(area / pi) of the first on both axes: a grid join."""
     r = F.sqrt(F.col("area_px") / F.lit(3.141592653589793))
     edge = 64.0
     keys = images(cells)
@@ -272,4 +251,5 @@ def near_cells(cells: DataFrame) -> DataFrame:
     for axis, at in (("gx", "ax"), ("gy", "ay")):
         left = left.withColumn(axis, F.explode(F.sequence(F.floor((F.col(at) - F.col("r")) / edge), F.floor((F.col(at) + F.col("r")) / edge))))
     right = cells.select(*keys, F.col("mask_id").alias("b_mask"), F.col("cell_id").alias("b"), F.col("x_px").alias("bx"), F.col("y_px").alias("by"), F.floor(F.col("x_px") / edge).alias("gx"), F.floor(F.col("y_px") / edge).alias("gy"))
-    return left.join(right, [*keys, "gx", "gy"]).where("a_mask <> b_mask and abs(ax - bx) < r and abs(ay - by) < r").select(*keys, "a_mask", "a", "b_mask", "b")
+    near = left.join(right, [*keys, "gx", "gy"]).where("abs(ax - bx) < r and abs(ay - by) < r").select(*keys, "a_mask", "a", "b_mask", "b")
+    return near if within_masks else near.where("a_mask <> b_mask")

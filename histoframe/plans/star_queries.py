@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from histoframe.functions.columns import natural_key, safe_names
 from histoframe.operators import clusters as C
+from histoframe.operators.fusion import fuse_masks
 from histoframe.operators import gating as G
 from histoframe.operators import measure as M
 from histoframe.operators import normalize as N
@@ -416,9 +417,37 @@ def mask_subtract(spark, sf_dir):
     return left.agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("pixels"), F.sum((F.col("x1") - F.col("x0")) * F.col("label")).cast("long").alias("label_sum"))
 
 
-@query()
+FUSED = f"""{PIX}, u AS (SELECT mask_id, CASE mask_id WHEN 'F' THEN 0 ELSE 1 END AS ord, y, x, x // 16 AS s, max(label) AS label FROM pix GROUP BY 1, 2, 3, 4),
+ext AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM u),
+c AS (SELECT ord, label, count(*) AS area, sum(y) / count(*) AS cy, sum(x) / count(*) AS cx, min(y * 100000 + x) AS head FROM u GROUP BY 1, 2),
+gr AS (SELECT ceil(quantile_cont(area, 0.32) * 0.05) AS g FROM c),
+best AS (SELECT wy, wx, arg_min(ord, ord - 10 * n) AS ord FROM (SELECT y // 20 AS wy, x // 20 AS wx, ord, count(DISTINCT label) AS n FROM u GROUP BY 1, 2, 3) GROUP BY 1, 2),
+cw AS (SELECT *, unnest(range(CAST(greatest(floor((cx - g) / 20), 0) AS BIGINT), CAST(least(ceil((cx + g) / 20), (w + 19) // 20) AS BIGINT))) AS wx
+  FROM (SELECT c.*, g, w, unnest(range(CAST(greatest(floor((cy - g) / 20), 0) AS BIGINT), CAST(least(ceil((cy + g) / 20), (h + 19) // 20) AS BIGINT))) AS wy FROM c, gr, ext)),
+ad AS (SELECT cw.ord, label, any_value(area) AS area, any_value(cy) AS cy, any_value(cx) AS cx, any_value(head) AS head, min(wy * 100000 + wx) AS a, max(wy * 100000 + wx) AS b
+  FROM cw LEFT JOIN best k USING (wy, wx) WHERE cw.ord = coalesce(k.ord, 0) GROUP BY 1, 2),
+a AS (SELECT *, row_number() OVER (ORDER BY a, ord, head) AS fi, row_number() OVER (ORDER BY b, ord, head) AS la, sqrt(area / pi()) AS r, CAST(floor(cx / 64) AS BIGINT) AS k FROM ad),
+nr AS (SELECT p.fi AS i, q.fi AS j, q.ord, q.cy, q.cx FROM (SELECT *, unnest([k - 1, k, k + 1]) AS kk FROM a) p JOIN a q ON p.kk = q.k AND abs(p.cy - q.cy) < p.r AND abs(p.cx - q.cx) < p.r),
+bx AS (SELECT i, greatest(CAST(trunc(min(cy) - 2) AS BIGINT), 0) AS y0, least(CAST(trunc(max(cy) + 2) AS BIGINT), any_value(h)) AS y1, greatest(CAST(trunc(min(cx) - 2) AS BIGINT), 0) AS x0, least(CAST(trunc(max(cx) + 2) AS BIGINT), any_value(w)) AS x1
+  FROM nr, ext GROUP BY 1 HAVING min(ord) < max(ord)),
+bp AS (SELECT i, y, x0, x1, unnest(range(x0 // 16, (x1 - 1) // 16 + 1)) AS s FROM (SELECT *, unnest(range(y0, y1)) AS y FROM bx)),
+cl AS (SELECT i FROM (SELECT DISTINCT i, u.y, u.x FROM bp JOIN u ON u.y = bp.y AND u.s = bp.s AND u.x >= x0 AND u.x < x1) GROUP BY 1 HAVING count(*) > 3),
+gp AS (SELECT j AS fi, min(i) AS g FROM nr SEMI JOIN cl USING (i) GROUP BY 1),
+hd AS (SELECT g, arg_min(cy, fi) AS cy, arg_min(cx, fi) AS cx FROM gp JOIN a USING (fi) GROUP BY 1),
+hb AS (SELECT g, greatest(CAST(trunc(cy - 10) AS BIGINT), 0) AS y0, CASE WHEN trunc(cy + 10) > h - 10 THEN h ELSE CAST(trunc(cy + 10) AS BIGINT) END AS y1, greatest(CAST(trunc(cx - 10) AS BIGINT), 0) AS x0, CASE WHEN trunc(cx + 10) > w - 10 THEN w ELSE CAST(trunc(cx + 10) AS BIGINT) END AS x1 FROM hd, ext),
+hp AS (SELECT g, y, x0, x1, unnest(range(x0 // 16, (x1 - 1) // 16 + 1)) AS s FROM (SELECT *, unnest(range(y0, y1)) AS y FROM hb)),
+hs AS (SELECT g, ord, count(DISTINCT label) AS n FROM hp JOIN u ON u.y = hp.y AND u.s = hp.s AND u.x >= x0 AND u.x < x1 GROUP BY 1, 2),
+op AS (SELECT DISTINCT g, ord FROM gp JOIN a USING (fi)), hw AS (SELECT g, arg_min(ord, ord - 10 * coalesce(n, 0)) AS win FROM op LEFT JOIN hs USING (g, ord) GROUP BY 1),
+kp AS (SELECT a.*, greatest(CAST(trunc(cy) AS BIGINT), 1) AS iy, greatest(CAST(trunc(cx) AS BIGINT), 1) AS ix FROM a LEFT JOIN gp USING (fi) LEFT JOIN hw USING (g) WHERE win IS NULL OR win = ord),
+sh AS (SELECT fi, kp.ord, kp.label, la, iy, ix, max(u.label) AS shown FROM (SELECT *, unnest([iy - 1, iy, iy - 1, iy]) AS py, unnest([ix - 1, ix - 1, ix, ix]) AS px FROM kp) kp JOIN u ON u.ord = kp.ord AND u.y = py AND u.x = px GROUP BY 1, 2, 3, 4, 5, 6),
+pt AS (SELECT u.y, u.x, arg_max(sh.label + CASE WHEN sh.ord = 1 THEN (SELECT max(label) FROM u WHERE ord = 0) ELSE 0 END, la) AS label, arg_max(mask_id, la) AS method
+  FROM sh JOIN u ON u.ord = sh.ord AND u.label = shown AND u.y >= iy - 100 AND u.y < iy + 100 AND u.x >= ix - 100 AND u.x < ix + 100 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {FUSED} SELECT 'fused' AS mask_id, y, min(x) AS x0, max(x) + 1 AS x1, label, method FROM (SELECT *, x - row_number() OVER (PARTITION BY y, label, method ORDER BY x) AS g FROM pt) GROUP BY y, label, method, g")
 def mask_fusion(spark, sf_dir):
-    return L.fuse_masks(run_length_encode(spark, sf_dir), mask_order(spark), "pop", 20)
+    """Two masks made one by the merit of their windows; clashes judged again, cells painted in order."""
+    return fuse_masks(run_length_encode(spark, sf_dir), mask_order(spark), "pop", 20)
 
 
 # ---- regions

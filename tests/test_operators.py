@@ -16,6 +16,7 @@ from histoframe.operators import measure as M
 from histoframe.operators import neighbors as K
 from histoframe.operators import normalize as N
 from histoframe.operators import parts, ranks
+from histoframe.operators.fusion import fuse_masks
 from histoframe.operators import regions as R
 from histoframe.operators import runs as L
 from histoframe.operators import thresholds as T
@@ -68,6 +69,100 @@ def image_from(df, shape):
     return out
 
 
+def plain_best(cuts, merit, options):
+    """The best of masks, arrays cut to one window, by the merit; the first of equals."""
+    def spread(a):
+        areas = np.unique(a[a > 0], return_counts=True)[1]
+        sd = areas.std() / np.sqrt(len(areas)) if len(areas) else 0
+        return 1 / (np.log(sd) + 1) if sd > 0 and np.log(sd) != -1 else 0.0
+
+    if merit == "j1":
+        fg = [c > 0 for c in cuts]
+        table = np.array([[(a & b).sum() / max((a | b).sum(), 1) for b in fg] for a in fg])
+        worst = int(np.argmin(table.sum(1)))
+        rest = table.copy()
+        rest[worst], rest[:, worst] = 0, 0
+        sums = rest.sum(1)
+        return int(np.argmax(sums)) if sums.max() > 1 else int(np.flatnonzero(sums == 0)[0])
+    scores = {k: spread(cuts[k]) if merit == "cstd" else len(np.unique(cuts[k][cuts[k] > 0])) for k in options}
+    return max(options, key=lambda k: (scores[k], -k))
+
+
+def plain_fusion(masks, merit, n):
+    """Pixel by pixel: (fused labels, mask of each painted pixel or -1)."""
+    height, width = masks[0].shape
+    cells = []  # mask, label, y, x, area, first pixel
+    for k, m in enumerate(masks):
+        for label in np.unique(m[m > 0]):
+            ys, xs = np.nonzero(m == label)
+            cells.append((k, int(label), ys.mean(), xs.mean(), len(ys), (ys[0], xs[0])))
+    grace = np.ceil(np.percentile([c[4] for c in cells], 32) * 0.05)
+    seen = {}
+    for wy in range(0, height, n):
+        for wx in range(0, width, n):
+            best = plain_best([m[wy : wy + n, wx : wx + n] for m in masks], merit, range(len(masks)))
+            for c in cells:
+                if c[0] == best and wy - grace < c[2] < wy + n + grace and wx - grace < c[3] < wx + n + grace:
+                    key = ((wy, wx), c[0], c[5])
+                    seen.setdefault(c, [key, key])[1] = key
+    flat = sorted(seen, key=lambda c: seen[c][0])
+    group = {}
+    for c in flat:
+        r = np.sqrt(c[4] / np.pi)
+        near = [d for d in flat if abs(d[2] - c[2]) < r and abs(d[3] - c[3]) < r]
+        if len({d[0] for d in near}) > 1:
+            box = [max(0, int(min(d[k] for d in near) - 2)) if low else min((height, width)[k - 2], int(max(d[k] for d in near) + 2)) for k in (2, 3) for low in (True, False)]
+            under = sum((masks[k][box[0] : box[1], box[2] : box[3]] > 0).astype(int) for k in {d[0] for d in near})
+            if (under > 0).sum() > 3:
+                for d in near:
+                    group.setdefault(d, c)
+    gone = set()
+    for c in flat:
+        if c in group:
+            members = [d for d in flat if group.get(d) == group[c]]
+            edges = []
+            for k, size in ((2, height), (3, width)):
+                stop = int(members[0][k] + n / 2)
+                edges.append(slice(max(0, int(members[0][k] - n / 2)), size if stop > size - n / 2 else stop))
+            best = plain_best([m[edges[0], edges[1]] for m in masks], merit, sorted({d[0] for d in members}))
+            if c[0] != best:
+                gone.add(c)
+    tops = np.cumsum([0] + [m.max() for m in masks])
+    out, method = np.zeros((height, width), int), np.full((height, width), -1)
+    for c in sorted(flat, key=lambda c: seen[c][1]):
+        cy, cx = max(1, int(c[2])), max(1, int(c[3]))
+        shown = masks[c[0]][cy - 1 : cy + 1, cx - 1 : cx + 1].max()
+        if shown and c not in gone:
+            part = (slice(max(0, cy - 100), cy + 100), slice(max(0, cx - 100), cx + 100))
+            hit = masks[c[0]][part] == shown
+            out[part][hit], method[part][hit] = c[1] + tops[c[0]], c[0]
+    return out, method
+
+
+@pytest.mark.parametrize("merit", ["pop", "cstd", "j1"])
+def test_fusion_against_pixels(spark, merit):
+    rng = np.random.default_rng({"pop": 1, "cstd": 2, "j1": 3}[merit])
+    y, x = np.mgrid[0:60, 0:150]
+    centres = [(rng.integers(3, 57), rng.integers(3, 147)) for _ in range(55)]
+    masks = []
+    for k in range(3):
+        m = np.zeros(y.shape, int)
+        for label, (cy, cx) in enumerate(centres[: 55 - 5 * k], 1):
+            r = rng.integers(2, 6)
+            m[((y - cy - rng.integers(-2, 3)) ** 2 + (x - cx - rng.integers(-2, 3)) ** 2 <= r * r) & (m == 0)] = label
+        masks.append(m)
+    masks[1][:, 120:] = 0
+    masks[0][10, 2:148] = 99  # longer than what is painted round its centre, and over many cells
+    want, method = plain_fusion(masks, merit, 20)
+    runs = runs_of(spark, *zip("abc", masks))
+    found = fuse_masks(runs, spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "mask_id string, ord int"), merit, 20, y.shape).collect()
+    got, by = np.zeros(y.shape, int), np.full(y.shape, -1)
+    for r in found:
+        assert not got[r.y, r.x0 : r.x1].any()
+        got[r.y, r.x0 : r.x1], by[r.y, r.x0 : r.x1] = r.label, "abc".index(r.method)
+    assert (got == want).all() and (by == method).all() and len(np.unique(want)) > 20
+
+
 @pytest.fixture(scope="module")
 def blobs():
     rng = np.random.default_rng(4)
@@ -132,7 +227,7 @@ def test_windows_and_winner_j1(spark):
     order = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "mask_id string, ord int")
     won = L.window_winner(L.window_stats(r, 4), L.window_jaccard(r, 4), order, "j1").collect()
     assert [x.mask_id for x in won] == ["a"]
-    fused = plane_from(L.fuse_masks(r, order, "pop", 4), (4, 4))
+    fused = plane_from(fuse_masks(r, order, "pop", 4), (4, 4))
     assert fused.any()
 
 
@@ -199,7 +294,7 @@ def test_images_and_masks_stay_apart(spark, blobs):
     clash = both.where("mask_id = 'F'").withColumn("image_id", F.lit("j")).unionByName(over.withColumn("image_id", F.lit("i")))
     assert {(r.image_id, r.label) for r in L.merge_masks(clash, order).collect()} == {("j", 1), ("i", 1)}
     assert L.overlaps(clash.where("image_id = 'i'"), clash.where("image_id = 'j'")).count() == 0
-    assert {r.image_id for r in L.fuse_masks(two, order, "pop", 4).collect()} == {"i", "j"} and M.cell_geometry(two).count() == 4
+    assert {r.image_id for r in fuse_masks(two, order, "pop", 4).collect()} == {"i", "j"} and M.cell_geometry(two).count() == 4
     t = tiles_of(spark, blobs, 35)
     pair = t.unionByName(t.withColumn("image_id", F.lit("b")).withColumn("channel_idx", F.lit(3)))
     mean = B.score_mean(pair, 35, 4, lambda p: p + 1)
