@@ -407,6 +407,41 @@ def test_knn_and_range_join_against_brute_force(points):
     assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(d <= 0.4))}
 
 
+@pytest.mark.parametrize("own, block", [(False, 40), (True, 2048)])
+def test_nearest_by_pivots_against_all_pairs(spark, monkeypatch, own, block):
+    monkeypatch.setattr(K, "BLOCK", block)
+    monkeypatch.setattr(K, "CELL", 16)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(250, 5)), rng.normal(size=(150, 5)) * 0.1 + 8, np.zeros((60, 5)), np.ones((1, 5)) * 50])
+    ids = rng.permutation(len(x)) * 3
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "cell_id long, vector array<double>").repartition(3)
+    others = [(-1 - i, (rng.normal(size=5) * 4).tolist()) for i in range(20)]
+    for asked, points in ((None, list(zip(ids.tolist(), x))), (spark.createDataFrame(others, "cell_id long, vector array<double>"), [(i, np.array(v)) for i, v in others])):
+        want = set()
+        for i, v in points:
+            d = np.sqrt(((x - v) ** 2).sum(1))
+            order = [(float(d[r]), int(ids[r])) for r in np.lexsort((ids, d)) if own or ids[r] != i][:7]
+            want |= {(int(i), r, n, round(e, 9)) for n, (e, r) in enumerate(order, 1)}
+        assert {(r.cell_id, r.neighbor, r["rank"], round(r.distance, 9)) for r in K.knn(vectors, 7, include_self=own, queries=asked).collect()} == want
+    assert K.knn(vectors.where("false"), 3).count() == 0
+    assert K.knn(vectors.limit(3), 7).groupBy("cell_id").count().select("count").distinct().collect()[0][0] == 2
+
+
+def test_pivots_rule_cells_out(spark, monkeypatch):
+    """Rows that are seen grow far less than with the square of the table, where there is structure."""
+    monkeypatch.setattr(K, "CELL", 16)
+    seen = []
+    for n in (400, 4000):
+        rng = np.random.default_rng(1)
+        x = rng.random((n, 3))
+        vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id long, vector array<double>").repartition(4)
+        _, p = K.pivots_of(vectors, Scratch(spark, "pivots"))
+        d = p.distances(x)
+        near = np.array([np.partition(np.sqrt(((x - v) ** 2).sum(1)), 5)[5] for v in x])
+        seen.append(((p.first(d, 6) | p.others(d, near)) * p.sizes).sum())
+    assert seen[1] < 40 * seen[0] and seen[1] < 0.25 * 4000**2
+
+
 def test_quality_and_components(points, spark):
     x, df = points
     clusters = df.select("cell_id", (F.col("cell_id") / 40).cast("int").alias("cluster_id"))
