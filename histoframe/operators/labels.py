@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histoframe.operators import tiles as T
+from histoframe.operators.flooding import expand_separated, label_voronoi_otsu  # noqa: F401
 from histoframe.operators.parts import joined_parts, parts_in_runs, parts_in_tiles
 from histoframe.operators.ranks import tile_histogram
 from histoframe.operators.runs import images, to_runs
 from histoframe.operators.thresholds import otsu_of
 from histoframe.scratch import Scratch
 
-RUN_ID = 1 << 31
-
 
 def connected_components(runs: DataFrame) -> DataFrame:
     """Foreground runs relabelled from 1 in each mask of each image by connected parts, corners included.
@@ -52,53 +51,6 @@ def label_gauss_otsu(tiles: DataFrame, edge: int, sigma: float = 2, factor: floa
     return joined_parts(above, scratch)
 
 
-def label_voronoi_otsu(tiles: DataFrame, edge: int, spot_sigma: float = 2, outline_sigma: float = 2, size: int = 101, reach: int = 30) -> DataFrame:
-    """Label tiles by seeded flooding: seeds are maxima of the blurred image inside the mask of pixels above their local mean.
-
-    Each channel of an image is scaled to 0..255 over its whole range; a pixel is in the mask if it exceeds the mean of a window by one.
-    Labels are numbers of seeds: row * 2**31 + column. A pixel takes the nearest seed, within `reach`, along the mask;
-    the same whatever the tile, as far as cells are no wider than the reach.
-    """
-    half = size // 2
-    radius = half + int(4 * max(spot_sigma, outline_sigma) + 0.5) + 2 * reach
-
-    def kernel(p: np.ndarray) -> np.ndarray:
-        scaled = p.astype(np.float64)
-        spots, outline = T.gaussian_of(scaled, spot_sigma), T.gaussian_of(scaled, outline_sigma)
-        padded = np.pad(outline, half + 1, mode="symmetric")
-        sums = padded.cumsum(0).cumsum(1)
-        n = 2 * half + 1
-        mean = (sums[n:, n:] - sums[:-n, n:] - sums[n:, :-n] + sums[:-n, :-n])[: p.shape[0], : p.shape[1]] / n**2
-        mask = outline > mean + 1
-        ring = [o for o in T.disk(2) if o != (0, 0)]
-        peak = np.ones(p.shape, bool)
-        for s in T._shifted(spots, ring):
-            peak &= spots >= s
-        seeds = peak & mask
-        label = np.zeros(p.shape, np.int64)
-        label[seeds] = np.arange(1, int(seeds.sum()) + 1)
-        around = [(0, 1), (1, 0), (0, -1), (-1, 0)]
-        for _ in range(reach):
-            grown = label.copy()
-            for s in T._shifted(label, around):
-                grown = np.where((grown == 0) & mask, s, grown)
-            if (grown == label).all():
-                break
-            label = grown
-        ys, xs = np.nonzero(seeds)
-        names = np.concatenate([[0], (ys << 16 | xs) + 1])  # within the tile's view; made global by the caller
-        return names[label]
-
-    scaled = T.map_tiles_with_range(tiles, lambda p, a, b: (p - a) / max(b - a, 1e-12) * 255)
-    local = T.with_halo(scaled, radius, edge, kernel, dtype="int64")
-
-    def global_names(plane: np.ndarray, row: dict) -> np.ndarray:
-        y, x = (plane - 1 >> 16) + row["y0"] - radius, (plane - 1 & 0xFFFF) + row["x0"] - radius
-        return np.where(plane > 0, y.astype(np.int64) * RUN_ID + x + 1, 0)
-
-    return T.map_tiles(local, global_names)
-
-
 def label_runs(tiles: DataFrame, mask_id: str) -> DataFrame:
     """Runs of label tiles; runs of one row and label that touch across tiles are joined."""
     values = T.pixel_values(tiles).where("value > 0")
@@ -273,20 +225,6 @@ def expand_labels(tiles: DataFrame, edge: int, distance: int = 6) -> DataFrame:
     return T.with_halo(tiles, distance, edge, kernel, dtype="int64")
 
 
-def expand_separated(tiles: DataFrame, edge: int, distance: int = 6) -> DataFrame:
-    """Expanded labels with a line of one pixel, 0, wherever two of them would touch."""
-    grown = expand_labels(tiles, edge, distance)
-
-    def kernel(p: np.ndarray) -> np.ndarray:
-        p = p.astype(np.int64)
-        line = np.zeros(p.shape, bool)
-        for s in T._shifted(p, [(0, 1), (1, 0)]):
-            line |= (p > 0) & (s > 0) & (s != p)
-        return np.where(line, 0, p)
-
-    return T.with_halo(grown, 1, edge, kernel, dtype="int64")
-
-
 def crop_to_region(tiles: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
     """Tiles that a box (y0, x0, y1, x1) overlaps: what segmentation of a window or polygon has to read."""
     y0, x0, y1, x1 = box

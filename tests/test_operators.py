@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from histoframe.functions.columns import coverage, in_ring, safe_names
 from histoframe.operators import clusters as C
+from histoframe.operators import flooding
 from histoframe.operators import gating as G
 from histoframe.operators import labels as B
 from histoframe.operators import measure as M
@@ -584,9 +585,103 @@ def test_segmentation_finds_the_blobs(spark, blobs):
     for edge in (20, 70):
         got = plane_from(B.label_gauss_otsu(tiles_of(spark, blobs, edge), edge, 1.0), blobs.shape)
         assert got.max() == 4
-        labels = image_from(B.label_voronoi_otsu(tiles_of(spark, blobs, edge), edge, 2, 2, 31, 12), blobs.shape)
+        labels = image_from(B.label_voronoi_otsu(tiles_of(spark, blobs, edge), edge, 2, 2, 31), blobs.shape)
         names = [labels[c] for c in ((12, 14), (20, 50), (45, 20), (44, 55))]
-        assert len(set(names)) == 4 and min(names) > 0
+        assert len(set(names)) == 4 and min(names) > 0 and (labels == plain_voronoi(blobs, 2, 2, 31)).all()
+
+
+def plain_flood(mask, seeds):
+    """Step by step from all seeds at once; a pixel takes the smallest label among its reached neighbours."""
+    out = np.where(mask, seeds, 0)
+    while True:
+        after = out.copy()
+        for y, x in zip(*np.nonzero(mask & (out == 0))):
+            near = [out[a, b] for a, b in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and out[a, b]]
+            if near:
+                after[y, x] = min(near)
+        if (after == out).all():
+            return out
+        out = after
+
+
+def plain_maxima(image):
+    """Pixels of plateaus, corners included, that no greater pixel touches."""
+    out, seen = np.zeros(image.shape, bool), np.zeros(image.shape, bool)
+    for start in np.ndindex(image.shape):
+        if seen[start]:
+            continue
+        plateau, stack, top = [start], [start], True
+        seen[start] = True
+        while stack:
+            y, x = stack.pop()
+            for a in range(max(0, y - 1), min(image.shape[0], y + 2)):
+                for b in range(max(0, x - 1), min(image.shape[1], x + 2)):
+                    top &= image[a, b] <= image[y, x]
+                    if image[a, b] == image[y, x] and not seen[a, b]:
+                        seen[a, b] = True
+                        plateau.append((a, b))
+                        stack.append((a, b))
+        for p in plateau:
+            out[p] = top
+    return out
+
+
+def plain_voronoi(image, spot, outline, size):
+    blurred = I.gaussian_of(image, outline).astype(np.float32).astype(float)
+    scaled = ((blurred - blurred.min()) / (blurred.max() - blurred.min()) * 255).astype(np.float32).astype(float)
+    mask = scaled > I.gaussian_of(scaled, (size - 1) / 6) + 1
+    return plain_flood(mask, plain_parts(plain_maxima(I.gaussian_of(image, spot)) & mask))
+
+
+def test_floods_go_round_corners(spark):
+    """A long winding mask over many tiles, plateaus over tile borders, ties, and parts without a seed."""
+    mask = np.zeros((24, 40), np.int32)
+    mask[1::4, :] = 1
+    for k, y in enumerate(range(1, 21, 4)):
+        mask[y : y + 5, 39 if k % 2 == 0 else 0] = 1
+    mask[10:13, 15:18] = 1
+    seeds = np.zeros(mask.shape, int)
+    seeds[1, 0:3], seeds[21, 20], seeds[1, 30], seeds[9, 20] = 4, 2, 3, 4
+    rows = spark.createDataFrame([("a", 0, int(y), int(x), int(x) + 1, int(seeds[y, x])) for y, x in zip(*np.nonzero(seeds))], "image_id string, channel_idx int, y long, x0 long, x1 long, label long")
+    want = plain_flood(mask > 0, seeds)
+    for edge in (5, 64):
+        states = flooding.flood(flooding.seeded(tiles_of(spark, mask, edge), rows, edge), Scratch(spark, "flood"))
+        assert (image_from(flooding.label_tiles_of(states), mask.shape) == want).all()
+    rng = np.random.default_rng(5)
+    steps = np.kron(rng.integers(0, 4, (8, 9)), np.ones((3, 3)))
+    bits = flooding.peaks_of(steps)
+    keep = np.zeros(steps.shape, bool)
+    names = plain_parts(bits & 1 > 0)
+    for k in range(1, names.max() + 1):
+        keep |= (names == k) & (not (bits[names == k] & 2).any())
+    assert (keep == plain_maxima(steps)).all()
+
+
+@pytest.mark.parametrize("edge", [9, 64])
+def test_cells_grow_with_a_line(spark, edge):
+    p = np.zeros((30, 40), np.int32)
+    p[2:9, 3:10], p[2:9, 10:16], p[20, 20], p[25:27, 30:36], p[14:16, 5:30], p[9:14, 28] = 5, 3, 9, 4, 7, 7
+    p[20:29, 2:4], p[28, 4:9], p[20, 4:9] = 6, 6, 6  # its centroid isn't its own
+    core = np.zeros(p.shape, int)
+    for y, x in zip(*np.nonzero(p)):
+        around = [(a, b) for a, b in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if 0 <= a < 30 and 0 <= b < 40]
+        core[y, x] = p[y, x] if all(p[a, b] == p[y, x] for a, b in around) else 0
+    for k in set(np.unique(p)) - set(np.unique(core)):
+        own = np.argwhere(p == k)
+        centre = own.mean(0).astype(int)
+        core[tuple(min(own.tolist(), key=lambda c: (((np.array(c) - centre) ** 2).sum(), c)))] = k
+    whole = plain_flood(p > 0, core)
+    whole = np.where((whole == 0) & (p > 0), p, whole)
+    lit = np.argwhere(whole > 0)
+    square = np.array([[((lit - (y, x)) ** 2).sum(1).min() for x in range(40)] for y in range(30)])
+    grown = whole.copy()
+    for y, x in sorted(map(tuple, np.argwhere((square > 0) & (square <= 16))), key=lambda c: square[c]):
+        near = [(square[a, b], grown[a, b]) for a, b in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if 0 <= a < 30 and 0 <= b < 40 and square[a, b] < square[y, x]]
+        grown[y, x] = min(near)[1]
+    want = grown.copy()
+    for y, x in np.argwhere(grown > 0):
+        want[y, x] = 0 if any(0 < grown[a, b] < grown[y, x] for a, b in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if 0 <= a < 30 and 0 <= b < 40) else want[y, x]
+    assert (image_from(B.expand_separated(tiles_of(spark, p, edge), edge, 4), p.shape) == want).all()
 
 
 def test_models_supplied_by_the_user(spark, blobs):
