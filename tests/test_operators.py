@@ -443,6 +443,44 @@ def test_pivots_rule_cells_out(spark, monkeypatch):
     assert seen[1] < 40 * seen[0] and seen[1] < 0.25 * 4000**2
 
 
+def test_refined_communities_are_connected_and_no_worse(spark):
+    """A ring of cliques, a bad bridge, and random links: Leiden's parts are connected, its modularity isn't below Louvain's."""
+    rng = np.random.default_rng(6)
+    edges = {(6 * g + i, 6 * g + j): 1.0 for g in range(10) for i in range(6) for j in range(i + 1, 6) if rng.random() < 0.8}
+    edges |= {(6 * g, (6 * g + 7) % 60): 1.0 for g in range(10)}
+    for _ in range(40):
+        i, j = sorted(rng.integers(0, 60, 2).tolist())
+        if i < j:
+            edges[i, j] = edges.get((i, j), 0) + 0.5
+    graph = spark.createDataFrame([(min(a, b), max(a, b), w) for (a, b), w in edges.items()], "a long, b long, w double")
+    total = sum(edges.values())
+
+    def plain(found):
+        k = {}
+        for (a, b), w in edges.items():
+            k[a], k[b] = k.get(a, 0) + w, k.get(b, 0) + w
+        inner = sum(w for (a, b), w in edges.items() if found[a] == found[b])
+        return inner / total - sum((sum(v for n, v in k.items() if found[n] == c) / (2 * total)) ** 2 for c in set(found.values()))
+
+    scores = {}
+    for refine in (False, True):
+        found = {r.cell_id: r.cluster_id for r in K.communities(graph, 1.0, refine).collect()}
+        assert set(found) == set(range(60)) and set(found.values()) == set(range(len(set(found.values()))))
+        scores[refine] = plain(found)
+        both = graph.union(graph.select("b", "a", "w"))
+        state = spark.createDataFrame(list(found.items()), "node long, c long")
+        assert abs(K.modularity(both, state, total) - scores[refine]) < 1e-9
+        if refine:
+            for c in set(found.values()):
+                reached, stack = set(), [next(n for n in found if found[n] == c)]
+                while stack:
+                    n = stack.pop()
+                    reached.add(n)
+                    stack += [m for e in edges if n in e for m in e if m != n and found[m] == c and m not in reached]
+                assert reached == {n for n in found if found[n] == c}
+    assert scores[True] >= scores[False] - 1e-9 > 0.5
+
+
 def test_quality_and_components(points, spark):
     x, df = points
     clusters = df.select("cell_id", (F.col("cell_id") / 40).cast("int").alias("cluster_id"))
