@@ -585,7 +585,7 @@ def silhouette(spark, sf_dir):
 
 @query()
 def hierarchical(spark, sf_dir):
-    return C.hierarchical(clustered(spark, sf_dir)[0], 8, "average", "cosine", micro=60)
+    return C.hierarchical(clustered(spark, sf_dir)[0], 8, "average", "cosine")
 
 
 DBSCAN = f"""WITH RECURSIVE pr AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON {DIST} <= 1.15), co AS (SELECT a AS c FROM pr GROUP BY 1 HAVING count(*) >= 5),
@@ -599,6 +599,11 @@ def dbscan(spark, sf_dir):
     return K.dbscan(clustered(spark, sf_dir)[0], eps=1.15, min_samples=5)
 
 
+@query()
+def leiden(spark, sf_dir):
+    return K.leiden(clustered(spark, sf_dir)[0], 0.5, k=10)
+
+
 @query()
 def louvain(spark, sf_dir):
     return K.louvain(clustered(spark, sf_dir)[0], 0.5, k=10)

@@ -13,6 +13,7 @@ from histoframe.operators import clusters as C
 from histoframe.operators import flooding
 from histoframe.operators import gating as G
 from histoframe.operators import labels as B
+from histoframe.operators import linkage as linkage_module
 from histoframe.operators import measure as M
 from histoframe.operators import neighbors as K
 from histoframe.operators import normalize as N
@@ -391,12 +392,37 @@ def test_clusterers_find_the_groups(points):
     assert _same_partition(C.kmeans(df, 3, restarts=4))
     assert _same_partition(C.flowsom(df, 3, 3, 3))
     for linkage in ("ward", "complete", "average", "single"):
-        assert _same_partition(C.hierarchical(df, 3, linkage, micro=30)), linkage
+        assert _same_partition(C.hierarchical(df, 3, linkage)), linkage
     assert _same_partition(K.dbscan(df, eps=1.5, min_samples=5))
     assert _same_partition(K.communities(K.neighbor_graph(K.knn(df, 12)), 0.1))
     assert _same_partition(K.communities(K.jaccard_graph(K.knn(df, 15)), 0.1, refine=True))
 
 
+@pytest.mark.parametrize("linkage, metric", [("ward", "euclidean"), ("complete", "manhattan"), ("average", "cosine"), ("single", "manhattan")])
+def test_agglomeration_against_the_nearest_pair_each_time(spark, monkeypatch, linkage, metric):
+    monkeypatch.setattr(linkage_module, "LAST", 25)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(120, 4)) + rng.integers(0, 3, (120, 1))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = {"euclidean": np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), "manhattan": np.abs(x[:, None] - x[None]).sum(2), "cosine": 1 - u @ u.T}[metric]
+    groups = [[k] for k in range(len(x))]
+
+    def cost(a, b):
+        if linkage == "ward":
+            return len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
+        return {"complete": np.max, "average": np.mean, "single": np.min}[linkage](d[np.ix_(a, b)])
+
+    while len(groups) > 6:
+        _, i, j = min((cost(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i))
+        groups[j] += groups.pop(i)
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "cell_id long, vector array<double>").repartition(3)
+    found = {}
+    for r in C.hierarchical(vectors, 6, linkage, metric).collect():
+        found.setdefault(r.cluster_id, set()).add(r.cell_id)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups))
+    assert [len(found[k]) for k in range(6)] == sorted(map(len, groups), reverse=True)
+
+
 def test_knn_and_range_join_against_brute_force(points):
     x, df = points
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
