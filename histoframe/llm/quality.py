@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histoframe.llm.encoder import slices
+from histoframe.llm.keys import free_name
 
 WHOLE_BANDS = ((64, 0.0, float("inf")), (256, 0.45, 1.30), (1024, 0.40, 0.90), (4096, 0.32, 0.80), (16384, 0.28, 0.75), (float("inf"), 0.25, 0.75))
 CHUNK_BYTES = 2048
@@ -133,8 +134,15 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_passing(docs: DataFrame) -> DataFrame:
-    """The rows whose whole text passes, with the columns of the table alone."""
+    """The rows whose whole text passes, with the columns of the table alone, whatever their names.
+
+    Nulls and texts without words don't pass; repeated rows each have their own verdict; an empty table gives no rows.
+    """
     measured = [x.split()[0] for x in SCHEMA.split(", ")]
-    clash = {c: f"_own_{c}" for c in docs.columns if c in measured}
-    kept = quality_rules(docs.withColumnsRenamed(clash)).where("kept").drop(*measured)
-    return kept.withColumnsRenamed({b: a for a, b in clash.items()})
+    renamed, own = docs, {}
+    for c in docs.columns:
+        if c.lower() in measured:
+            own[c] = free_name(renamed, f"_own_{c}")
+            renamed = renamed.withColumnRenamed(c, own[c])
+    kept = quality_rules(renamed).where("kept").drop(*measured)
+    return kept.withColumnsRenamed({b: a for a, b in own.items()})

@@ -40,6 +40,17 @@ def test_quality_measures_against_a_plain_version(spark, docs, nothing):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in TEXTS if got[-i - 1].kept}
 
 
+def test_passing_rows_keep_their_columns(spark):
+    """Columns named like the measures, in any case, and like their stand-ins; null, empty, long and repeated rows."""
+    prose = (spark.read.parquet(f"{SMALL}/documents.parquet").where("n_chars > 2000").orderBy("doc_id").first()).text
+    rows = [(1, prose, "r", 2, "o", 4), (1, prose, "r", 2, "o", 4), (2, None, "r", 2, "o", 4), (3, "", "r", 2, "o", 4), (4, "again and again " * 5000, "r", 2, "o", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Ratio string, KEPT int, _own_Ratio string, n_words int")
+    kept = Q.keep_passing(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= {rows[0]}
+    assert kept.count() in (0, 2) and Q.keep_passing(docs.where("false")).count() == 0
+    assert kept.count() == 2 * Q.quality_report(docs.limit(1)).first().kept
+
+
 def test_compression_bands_reject_both_ends():
     z = zstandard.ZstdCompressor(level=3)
     rng = np.random.default_rng(0)
