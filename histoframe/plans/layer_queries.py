@@ -121,7 +121,7 @@ def stride_sample(spark, sf_dir):
     return rounded(M.stride_sample(rows, 900, 100).select(F.col("y").cast("long").alias("y"), "x", "value"), 5)
 
 
-@query(f"WITH {PIXELS}, g AS (SELECT my + 1 AS h, CAST(floor((my + 1) / 2) AS BIGINT) AS nh FROM e), o AS (SELECT CAST(a.range AS BIGINT) AS ny, CAST(b.range AS INT) AS nx, h, nh FROM g, range(0, 5000) a, range(0, 48) b WHERE a.range < nh) SELECT ny AS y, nx AS x, round(v, 5) + 0.0 AS value FROM o JOIN p ON p.y = floor(ny * h / nh) AND p.x = floor(nx * 64 / 48)")
+@query(f"WITH {PIXELS}, g AS (SELECT my + 1 AS h, CAST(floor((my + 1) / 2) AS BIGINT) AS nh FROM e), o AS (SELECT a.y AS ny, CAST(b.range AS INT) AS nx, h, nh FROM g, (SELECT DISTINCT y FROM p) a, range(0, 48) b WHERE a.y < nh) SELECT ny AS y, nx AS x, round(v, 5) + 0.0 AS value FROM o JOIN p ON p.y = floor(ny * h / nh) AND p.x = floor(nx * 64 / 48)")
 def resize_nearest(spark, sf_dir):
     rows = I.pixel_values(image(spark, sf_dir))
     height = rows.agg(F.max("y")).first()[0] + 1
@@ -156,6 +156,61 @@ def tile_components(spark, sf_dir):
     return out
 
 
+MIRROR = "CASE WHEN {i} < 0 THEN -{i} - 1 WHEN {i} > {m} THEN 2 * {m} + 1 - {i} ELSE {i} END"
+BLUR = f"""k AS (SELECT k, w / sum(w) OVER () AS w FROM (SELECT range AS k, exp(-0.5 * (range / 0.5) * (range / 0.5)) AS w FROM range(-2, 3))),
+gy AS (SELECT a.y, a.x, sum(k.w * b.v) AS v FROM (SELECT p.y, p.x, k.k, my FROM p, k, e) a JOIN k USING (k) JOIN p b ON b.x = a.x AND b.y = {MIRROR.format(i="(a.y + a.k)", m="a.my")} GROUP BY 1, 2),
+g AS (SELECT a.y, a.x, sum(k.w * b.v) AS v FROM (SELECT gy.y, gy.x, k.k FROM gy, k) a JOIN k USING (k) JOIN gy b ON b.y = a.y AND b.x = {MIRROR.format(i="(a.x + a.k)", m="63")} GROUP BY 1, 2)"""
+
+
+@query(f"WITH {PIXELS}, {BLUR}, n AS (SELECT y, x, unnest([y, greatest(y - 1, 0), least(y + 1, my), y, y]) AS ny, unnest([x, x, x, greatest(x - 1, 0), least(x + 1, 63)]) AS nx, unnest([5, -1, -1, -1, -1]) AS w FROM g, e) SELECT n.y, n.x, round(CAST(CAST(sum(n.w * g.v) AS FLOAT) AS DOUBLE), 5) + 0.0 AS value FROM n JOIN g ON g.y = n.ny AND g.x = n.nx GROUP BY 1, 2")
+def tile_edge_enhance(spark, sf_dir):
+    found = I.pixel_values(I.edge_enhance(image(spark, sf_dir), EDGE, 0.5))
+    return rounded(found.select(F.col("y").cast("long").alias("y"), "x", "value"), 5)
+
+
+@query(f"""WITH {PIXELS}, s AS (SELECT y, x, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM p), c AS (SELECT y, x, 0.8 * least(greatest((least(greatest((v + 0.3) / 0.6, 0), 1) - 0.25) / 0.5, 0), 1) AS a, 1.0 * least(greatest((least(greatest((0.3 - v) / 0.6, 0), 1) - 0.0) / 1.0, 0), 1) AS b FROM s)
+SELECT y, x, CAST(floor(least(greatest((a * 1.0 + b * 0.0) * 1.5 / 2, 0), 1) * 255) AS INT) AS r, CAST(floor(least(greatest((a * 0.5 + b * 0.25) * 1.5 / 2, 0), 1) * 255) AS INT) AS g, CAST(floor(least(greatest((a * 0.0 + b * 1.0) * 1.5 / 2, 0), 1) * 255) AS INT) AS b FROM c""")
+def tile_composite(spark, sf_dir):
+    """Two channels of two colours, the second one the first turned round."""
+    import numpy as np
+    import pyarrow as pa
+
+    tiles = image(spark, sf_dir)
+    other = I.map_tiles(tiles.withColumn("channel_idx", F.lit(1)), lambda p, _: -p)
+    colours = spark.createDataFrame([(0, 1.0, 0.5, 0.0, -0.3, 0.3, 0.25, 0.75, 0.8), (1, 0.0, 0.25, 1.0, -0.3, 0.3, 0.0, 1.0, 1.0)], "channel_idx int, r double, g double, b double, data_min double, data_max double, range_min double, range_max double, alpha double")
+    painted = I.composite_rgb(tiles.unionByName(other), colours, 1.5)
+
+    def pixels(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                rgb = np.frombuffer(row["rgb"], np.uint8).reshape(row["h"], row["w"], 3).astype(np.int32)
+                y, x = np.mgrid[0 : row["h"], 0 : row["w"]]
+                columns = [pa.array((y + row["ty"] * EDGE).ravel().astype(np.int64)), pa.array((x + row["tx"] * EDGE).ravel().astype(np.int32)), *(pa.array(rgb[:, :, k].ravel()) for k in range(3))]
+                yield pa.RecordBatch.from_arrays(columns, ["y", "x", "r", "g", "b"])
+
+    return painted.mapInArrow(pixels, "y long, x int, r int, g int, b int")
+
+
+@query(f"WITH {PIXELS} SELECT CAST(y // 16 AS INT) AS ty, x // 16 AS tx, count(*) AS n FROM p GROUP BY 1, 2 HAVING min(y) < 200 AND max(y) + 1 > 70 AND min(x) < 33 AND max(x) + 1 > 20")
+def crop_to_region(spark, sf_dir):
+    """Tiles that segmentation of a window has to read."""
+    return B.crop_to_region(I.retile(image(spark, sf_dir), 16), (70, 20, 200, 33)).select("ty", "tx", (F.col("h") * F.col("w")).cast("long").alias("n"))
+
+
+@query()
+def tile_voronoi(spark, sf_dir):
+    """Seeded flooding of the embeddings' image."""
+    found = B.label_voronoi_otsu(image(spark, sf_dir), EDGE, 1, 1, 31)
+    return I.pixel_values(found).where("value > 0").groupBy(F.col("value").cast("long").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query()
+def tile_expand_separated(spark, sf_dir):
+    """Single pixels grown until they touch, with a line between them."""
+    found = B.expand_separated(seeds(spark, sf_dir), EDGE, 9)
+    return I.pixel_values(found).where("value > 0").groupBy(F.col("value").cast("long").alias("label")).agg(F.count("*").alias("n"))
+
+
 # ---- masks and cells
 
 
@@ -426,3 +481,14 @@ def streamed_cells(spark, sf_dir):
     incremental.incremental_cell_stats(stream, scratch.path("out"), scratch.path("check"), once=True, compact_every=2).awaitTermination()
     out = incremental.cell_statistics(spark, scratch.path("out"))
     return out.select("image_id", "cell_id", "marker", "n", F.round("sum", 5).alias("sum"), "max")
+
+
+@query("SELECT 'S' || (o_custkey % 3) AS sample, CASE WHEN o_orderkey % 2 = 0 THEN 'AI' ELSE 'Otsu' END AS method, o_orderstatus AS cell_type, count(*) AS n FROM orders GROUP BY 1, 2, 3")
+def projects_compared(spark, sf_dir):
+    """Cell tables of six project stores, read in one scan with sample and method from the stores' names."""
+    root = Scratch(spark, "projects").path("stores")
+    cells = table(spark, sf_dir, "orders").select(F.concat(F.lit("S"), F.col("o_custkey") % 3).alias("s"), F.when(F.col("o_orderkey") % 2 == 0, "AI").otherwise("Otsu").alias("m"), F.col("o_orderkey").alias("cell_id"), F.col("o_orderstatus").alias("cell_type"))
+    for sample in ("S0", "S1", "S2"):
+        for method in ("AI", "Otsu"):
+            tables.write_cells(cells.where((F.col("s") == sample) & (F.col("m") == method)).select("cell_id", "cell_type"), f"{root}/{sample}_{method}.zarr/cells")
+    return tables.read_projects(spark, f"{root}/*/cells").groupBy("sample", "method", "cell_type").agg(F.count("*").alias("n"))

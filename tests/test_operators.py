@@ -400,9 +400,9 @@ def test_clusterers_find_the_groups(points):
 
 @pytest.mark.parametrize("linkage, metric", [("ward", "euclidean"), ("complete", "manhattan"), ("average", "cosine"), ("single", "manhattan")])
 def test_agglomeration_against_the_nearest_pair_each_time(spark, monkeypatch, linkage, metric):
-    monkeypatch.setattr(linkage_module, "LAST", 25)
+    monkeypatch.setattr(linkage_module, "LAST", 20)
     rng = np.random.default_rng(12)
-    x = rng.normal(size=(120, 4)) + rng.integers(0, 3, (120, 1))
+    x = rng.normal(size=(70, 4)) + rng.integers(0, 3, (70, 1))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     d = {"euclidean": np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), "manhattan": np.abs(x[:, None] - x[None]).sum(2), "cosine": 1 - u @ u.T}[metric]
     groups = [[k] for k in range(len(x))]
