@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, In, InputPartition, LessThan
 
-from histoframe.scratch import open_fs, write_file
+from histoframe.scratch import exists, open_fs, write_file
 
 SCHEMA = "image_id string, level int, channel_idx int, ty int, tx int, y0 int, x0 int, h int, w int, dtype string, pixels binary"
 CHUNKS_A_TASK = 16
@@ -205,19 +205,39 @@ def _write_json(folder: str, meta: dict) -> None:
     write_file(f"{folder}/zarr.json", lambda out: out.write(json.dumps(meta).encode()))
 
 
-def image_group(name: str, level: str, channels: list[str]) -> dict:
-    """Metadata of an image element with one level: named axes, a scale of one (the identity) and channel labels."""
+def image_group(name: str, levels: list[tuple[str, list[int]]], channels: list[str]) -> dict:
+    """Metadata of an image element: named axes, channel labels, and each level (path, shape) with its scale to the first."""
     axes = [{"name": "c", "type": "channel"}, {"name": "y", "type": "space", "unit": "pixel"}, {"name": "x", "type": "space", "unit": "pixel"}]
-    levels = [{"path": level, "coordinateTransformations": [{"type": "scale", "scale": [1.0, 1.0, 1.0]}]}]
-    ome = {"version": "0.5", "multiscales": [{"name": name, "axes": axes, "datasets": levels}], "omero": {"channels": [{"label": c} for c in channels]}}
+    base = levels[0][1]
+    datasets = [{"path": path, "coordinateTransformations": [{"type": "scale", "scale": [1.0, *(b / max(n, 1) for b, n in zip(base[1:], shape[1:], strict=True))]}]} for path, shape in levels]
+    ome = {"version": "0.5", "multiscales": [{"name": name, "axes": axes, "datasets": datasets}], "omero": {"channels": [{"label": c} for c in channels]}}
     return {"zarr_format": 3, "node_type": "group", "attributes": {"key": name, "ome": ome}}
 
 
+def _read_json(folder: str) -> dict | None:
+    if not exists(f"{folder}/zarr.json"):
+        return None
+    file_system, path = open_fs(f"{folder}/zarr.json")
+    with file_system.open_input_stream(path) as f:
+        return json.loads(f.read())
+
+
+def _write_group(element: str, name: str, channels: list[str] | None) -> None:
+    """The element's metadata over all levels that are written; without channels their labels stay, or are their numbers."""
+    file_system, path = open_fs(element)
+    numbers = sorted(int(f.base_name) for f in file_system.get_file_info(fs.FileSelector(path)) if f.base_name.isdigit())
+    levels = [(str(n), meta["shape"]) for n in numbers if (meta := _read_json(f"{element}/{n}"))]
+    before = _read_json(element) or {}
+    known = [c["label"] for c in before.get("attributes", {}).get("ome", {}).get("omero", {}).get("channels", [])]
+    n = levels[0][1][0]
+    _write_json(element, image_group(name, levels, channels or (known if len(known) == n else [str(k) for k in range(n)])))
+
+
 def write_zarr_tiles(tiles: DataFrame, store: str, array: str, shape: tuple[int, int, int], edge: int, dtype: str, channels: list[str] | None = None) -> None:
     """Tiles (channel_idx, ty, tx, h, w, pixels) of `edge` pixels as zstd chunks, padded with zeros; the metadata last.
 
     Chunk files are written by the tasks that hold the tiles and moved into place whole, so a retried task is harmless.
-    An array `<section>/<name>/<level>` gets its element's metadata too, with the channels' names or their numbers.
+    An array `<section>/<name>/<level>` gets its element's metadata too, with all levels written so far and the channels' names.
     """
     root = f"{store.rstrip('/')}/{array}"
 
@@ -248,4 +268,4 @@ def write_zarr_tiles(tiles: DataFrame, store: str, array: str, shape: tuple[int,
     }
     _write_json(root, meta)
     if found := re.search(r"^(.*/([^/]+))/(\d+)$", root):
-        _write_json(found[1], image_group(found[2], found[3], channels or [str(k) for k in range(shape[0])]))
+        _write_group(found[1], found[2], channels)

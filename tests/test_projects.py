@@ -1,5 +1,6 @@
 """Stores without an index, session settings, exports, crops with neighbouring channels, and the exact spanning tree."""
 
+import json
 from datetime import datetime
 
 import numpy as np
@@ -120,3 +121,14 @@ def test_tiles_are_read_with_and_without_pushed_filters(spark, tmp_path, pushdow
         spark.conf.set(zarr_tiles.PUSHDOWN, before)
     reader = zarr_tiles.PruningReader(store, "images/s1/0")
     assert [(p.start, p.stop) for p in reader.partitions()] == [(0, 16), (16, 27)]
+
+
+def test_levels_share_their_elements_metadata(spark, tmp_path):
+    """Levels written in any order are all listed, with their scales; channel labels stay."""
+    store, element = str(tmp_path / "s"), tmp_path / "s/images/a"
+    whole = np.arange(80, dtype=np.int16).reshape(8, 10)
+    zarr_tiles.write_zarr_tiles(tiles_of(spark, whole[::2, ::2], 4), store, "images/a/1", (1, 4, 5), 4, "int16", ["DAPI"])
+    zarr_tiles.write_zarr_tiles(tiles_of(spark, whole, 4), store, "images/a/0", (1, 8, 10), 4, "int16")
+    ome = json.loads((element / "zarr.json").read_text())["attributes"]["ome"]
+    assert [(d["path"], d["coordinateTransformations"][0]["scale"]) for d in ome["multiscales"][0]["datasets"]] == [("0", [1.0, 1.0, 1.0]), ("1", [1.0, 2.0, 2.0])]
+    assert [c["label"] for c in ome["omero"]["channels"]] == ["DAPI"]
