@@ -124,6 +124,34 @@ SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS r FROM s WHERE score > 0) WHERE r <= 50"""
 
 
+#: crc32 by a fold over bytes and bits; the least cost and audit of every state, row by row, with whole strings of edits.
+REPAIRED = r"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(range(1, length(k) + 1), lambda j: [CAST(ascii(substr(k, j, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END), CAST(4294967295 AS BIGINT)) % 20 AS f FROM src),
+cid AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+dam AS (SELECT c, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM crc JOIN cid ON crc.conv_id IS NOT DISTINCT FROM cid.conv_id WHERE f <> 0),
+ord AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || ':' || text)) AS i FROM dam),
+dup AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM ord),
+rws AS (SELECT c, turn, i, role, text, left(role, 1) AS ini, CASE WHEN shown = '' THEN 'b' WHEN again THEN 'd' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS pair FROM dup),
+ins(p, k, st, edits, lines) AS (VALUES ('', 0, '', '', []), ('', 1, 'u', 'I', ['user:']), ('', 2, 'a', 'II', ['user:', 'assistant:']), ('s', 0, 's', '', []), ('s', 1, 'u', 'I', ['user:']), ('s', 2, 'a', 'II', ['user:', 'assistant:']),
+  ('u', 0, 'u', '', []), ('u', 1, 'a', 'I', ['assistant:']), ('u', 2, 'u', 'II', ['assistant:', 'user:']), ('a', 0, 'a', '', []), ('a', 1, 'u', 'I', ['user:']), ('a', 2, 'a', 'II', ['user:', 'assistant:'])),
+way(st, op, ini, nx, cost) AS (VALUES ('', 'D', NULL, '', 4), ('s', 'D', NULL, 's', 4), ('u', 'D', NULL, 'u', 4), ('a', 'D', NULL, 'a', 4), ('', 'R', NULL, 'u', 3), ('s', 'R', NULL, 'u', 3), ('u', 'R', NULL, 'a', 3), ('a', 'R', NULL, 'u', 3),
+  ('', 'K', 's', 's', 0), ('', 'K', 'u', 'u', 0), ('s', 'K', 'u', 'u', 0), ('u', 'K', 'a', 'a', 0), ('a', 'K', 'u', 'u', 0)),
+stp AS (SELECT p, edits || op AS edits, lines, op, ini, nx, 3 * k + cost AS cost FROM ins JOIN way USING (st)),
+dp AS (SELECT c, CAST(0 AS BIGINT) AS i, '' AS st, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS body FROM cid
+  UNION ALL SELECT c, i, nx, min(b).cost, min(b).audit, min(b).body FROM (
+    SELECT dp.c, rws.i, nx, {'cost': dp.cost + stp.cost + CASE WHEN fault = 't' AND op <> 'D' THEN 3 ELSE 0 END, 'audit': audit || edits,
+      'body': list_concat(body, lines, CASE op WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE nx WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text] END)} AS b
+    FROM dp JOIN rws ON rws.c = dp.c AND rws.i = dp.i + 1 JOIN stp ON stp.p = dp.st WHERE op = 'D' OR (fault NOT IN ('b', 'd') AND (op = 'R' OR stp.ini = rws.ini))) GROUP BY c, i, nx),
+fct AS (SELECT c, count(*) AS n, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rws GROUP BY 1),
+fin AS (SELECT c, min({'cost': cost + length(e) * 3, 'audit': audit || e, 'body': list_concat(body, ls)}) AS b FROM dp LEFT JOIN fct USING (c) JOIN (VALUES ('', '', []), ('s', 'II', ['user:', 'assistant:']), ('u', 'I', ['assistant:']), ('a', '', [])) z(st, e, ls) USING (st) WHERE i = coalesce(n, 0) GROUP BY 1)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(b.cost AS BIGINT) AS cost, b.audit AS audit, sha256(array_to_string(b.body, chr(10))) AS repaired_sha256
+FROM cid JOIN fin USING (c) LEFT JOIN fct USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where a method has exact columns that SQL can give; tokenizers, models and byte windows have none."""
-    return {"op9_tensored_minhash": NEAR_DUPLICATES, "op11_document_tree": RANKED}
+    return {"op9_tensored_minhash": NEAR_DUPLICATES, "op11_document_tree": RANKED, "op12_conversation_repair": REPAIRED}
