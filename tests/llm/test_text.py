@@ -133,6 +133,78 @@ def test_markov_windows_in_keys_and_paths(spark):
     assert S.find_spans([plain], model) == [[]]
 
 
+def plain_spans(model, token):
+    """The rule of MarkovPair.found_in read plainly: all windows of a stretch, its parts only where the best one fails."""
+
+    def best(a, b):
+        gain = [0.0]
+        for x, y in zip(token[a:b], token[a + 1 : b]):
+            gain.append(gain[-1] + model.ratio[S.ALPHABET.index(x) * S.WIDTH + S.ALPHABET.index(y)])
+        _, end, start = max((round(gain[k] - gain[i], 9), -k, -i) for k in range(S.SHORTEST - 1, b - a) for i in range(k - S.SHORTEST + 2))
+        return a - start, a - end + 1, (gain[-end] - gain[-start]) / (start - end)
+
+    def passes(start, end, mean):
+        return mean > model.limits[sum(n <= end - start for n in S.LENGTHS) - 1] and any(c.isalpha() for c in token[start:end])
+
+    out, left = [], [m.span() for m in re.finditer("[^=]{16,}", token)]
+    while left:
+        a, b = left.pop()
+        asked = [(a, b)] + [(a + m.start(), a + m.end()) for m in re.finditer("[^/]{16,}", token[a:b])]
+        hit = next((w for w in (best(*x) for x in asked) if passes(*w)), None)
+        if hit:
+            start, end = hit[:2]
+            while start > a and token[start - 1].isalnum():
+                start -= 1
+            while end < b and token[end].isalnum():
+                end += 1
+            while end == b < len(token) and token[end] == "=":
+                b, end = b + 1, end + 1
+            out.append((start, end))
+            left += [x for x in ((a, start), (end, b)) if x[1] - x[0] >= S.SHORTEST]
+    return sorted(out)
+
+
+def mixed_run(rng, length, signs):
+    """Random strings, words and numbers joined by some of the signs."""
+    words = "user account window handler configuration transaction identifier repository data index".split()
+    out, held = [], 0
+    while held < length:
+        kind = rng.random()
+        if kind < 0.4:
+            part = "".join(rng.choice(list(S.ALPHABET[:62]), rng.integers(5, 40)))
+        else:
+            part = str(rng.choice(words)) if kind < 0.9 else str(rng.integers(0, 10**18))
+        out += [part, str(rng.choice(list(signs)))]
+        held += len(part) + 1
+    return "".join(out)
+
+
+def test_markov_spans_against_the_plain_rule(spark, monkeypatch):
+    model = S.train(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    rng = np.random.default_rng(3)
+    runs = [mixed_run(rng, n, signs) for n in (16, 40, 120, 400) for signs in ("/", "=/", "_/", "-+=") for _ in range(4)]
+    expected = [plain_spans(model, x) for x in runs]
+    assert model.found_in(runs) == expected and any(expected)
+    blocks = S._Rises.__init__
+    monkeypatch.setattr(S._Rises, "__init__", lambda self, gains, size=8: blocks(self, gains, size))
+    assert model.found_in(runs) == expected
+    tokens = [x for x in "/".join(runs).replace("=", "/").split("/") if len(x) >= S.SHORTEST]
+    for token, start, stop, mean in zip(tokens, *model.best_windows(tokens)):
+        rises = S._Rises(model.gains([token])[0]).best(0, len(token))
+        assert rises[2] * (rises[1] - rises[0] - 1) == pytest.approx(mean * (stop - start - 1))
+
+
+@pytest.mark.parametrize("signs", ["/", "=", "_", "/=_", "+-"])
+def test_long_runs_of_key_characters_take_linear_time(spark, docs, signs):
+    import time
+
+    model = S.train(docs)
+    run = mixed_run(np.random.default_rng(8), 50_000, signs) * 20
+    began = time.process_time()
+    S.find_spans([run], model)
+    assert time.process_time() - began < 5
+
+
 PAGE = """<html><head><title>x</title><style>.z{display:none}</style></head><body><h1>Hi  there</h1><p>one<p>two <b>bold</b>
  more<br>next<div hidden>no</div><ul><li>a<li>b<ul><li>c</ul><li>d</ul><ol start=3><li>x<li>y</ol><table><tr><th>Name<th>Qty<tr><td>apple<td>3<tr><td>banana split<td><b>12</b></table>
 <p class=z>gone</p><pre>
