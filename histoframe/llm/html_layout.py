@@ -7,6 +7,10 @@ they stand. The renderer walks the tree and writes what a reader would see: hidd
 blocks start on their own lines with blank lines where browsers put margins; lists have bullets or numbers and nest by
 indent; table cells stand in aligned columns; white space collapses except in preformatted text. All visible text is
 kept, navigation and footers included. Nothing recurses, so deep nesting is safe.
+
+Time and output grow in proportion to a page, whatever its markup: lines are indented by MOST_INDENT columns at most, a
+column is MOST_WIDE wide at most and begins MOST_PLACE columns from its table's edge at most (what is longer reaches beyond
+it, two spaces from its neighbours), and the cells of tables inside MOST_NESTED other cells are blocks. No text is cut.
 """
 
 from __future__ import annotations
@@ -48,19 +52,27 @@ IMPLIED = {
 #: Tags that leave an open head open.
 IN_HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template html".split())
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "button", "object", "template"})
+#: Elements that end tags close across those.
+UNSCOPED = frozenset("table tr tbody thead tfoot html body".split())
+ROW = frozenset({"tr"})
+#: Controls inside a line, set apart from what is beside them.
+CONTROLS = frozenset({"button", "textarea"})
 
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
 _EDGE = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_SHOWING = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([a-z-]+)", re.IGNORECASE)
+_WHOLE = re.compile(r"\s*([+-]?)0*(\d+)", re.ASCII)
 _CSS_SKIPPED = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.DOTALL)
-_CSS = re.compile(r"""[{};]|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'""", re.DOTALL)
+_CSS = re.compile(r"""[{};]|"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?""", re.DOTALL)
 _AT_RULE = re.compile(r"@([\w-]+)(.*)", re.DOTALL)
 _SIMPLE = re.compile(r"[a-zA-Z][\w-]*|[.#][\w-]+")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 BLANK = " \t\n\f\r"
-#: Fixed value: columns or rows that a cell may span by the HTML standard's rule for colspan.
-MOST_SPANNED = 1000
+#: Columns and rows that a cell may span by the HTML standard.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Bounds of the layout, in columns of text, and of tables in tables.
+MOST_INDENT, MOST_WIDE, MOST_PLACE, MOST_NESTED = 64, 80, 400, 8
 #: Media queries that hold on every screen; those with conditions don't hide text.
 SCREEN = frozenset({"", "all", "screen", "only all", "only screen", "not print"})
 
@@ -72,6 +84,25 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
+def _whole(text: str | None, default: int, least: int, most: int) -> int:
+    """An attribute's whole number within bounds; `default` where it has none."""
+    m = _WHOLE.match(text or "")
+    if not m:
+        return default
+    size = int(m[2]) if len(m[2]) < 10 else 10**9
+    return max(least, min(most, -size if m[1] == "-" else size))
+
+
+def _shown(declarations: str) -> dict[str, bool]:
+    """Whether style declarations show an element: by property, the last one of each; what only inherits says nothing."""
+    found: dict[str, bool] = {}
+    for m in _SHOWING.finditer(declarations):
+        name, value = m[1].lower(), m[2].lower()
+        if value not in ("inherit", "unset", "revert", "revert-layer"):
+            found[name] = value != "none" if name == "display" else value not in ("hidden", "collapse")
+    return found
+
+
 class _Markup:
     """The markup of a page from left to right: (start, end, / of an end tag, name or None, attribute source) at a time.
 
@@ -150,19 +181,23 @@ def screen_rules(css: str) -> Iterator[tuple[str, str]]:
 def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
     """The tree as ("open", tag, attribute source), ("text", "", text) and ("close", tag, "") events, properly nested."""
     stack: list[str] = []
-    counts: dict[str, int] = {}
+    open_at: dict[str, list[int]] = {}  # depths of the open elements of a tag, in rising order
 
     def close_to(depth: int) -> Iterator[tuple[str, str, str]]:
         while len(stack) > depth:
             tag = stack.pop()
-            counts[tag] -= 1
+            open_at[tag].pop()
             yield "close", tag, ""
 
     def opened(tag: str, source: str) -> tuple[str, str, str]:
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append(tag)
-        counts[tag] = counts.get(tag, 0) + 1
         return "open", tag, source
 
+    def innermost(tags: frozenset[str]) -> int:
+        """The depth of the innermost open element of some tags, or -1."""
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
+
     at, end, markup = 0, len(html), _Markup(html)
     head_over = False  # a head can't begin after other tags or text
     while at < end:
@@ -186,39 +221,28 @@ def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
         if ending:
             if tag == "br":
                 yield from (("open", "br", ""), ("close", "br", ""))
-            elif tag == "p" and not counts.get("p"):
+            elif tag == "p" and not open_at.get("p"):
                 yield from (("open", "p", ""), ("close", "p", ""))
-            elif counts.get(tag):
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth] == tag:
-                        yield from close_to(depth)
-                        break
-                    if stack[depth] in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-                        break
+            elif open_at.get(tag):
+                depth = open_at[tag][-1]
+                if tag in UNSCOPED or innermost(SCOPE) <= depth:
+                    yield from close_to(depth)
             continue
         if tag == "head" and head_over:
             continue
         head_over = head_over or tag != "html"
-        if tag in CLOSES_P and counts.get("p"):
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth] == "p":
-                    yield from close_to(depth)
-                    break
-                if stack[depth] in SCOPE:
-                    break
+        if tag in CLOSES_P and open_at.get("p") and innermost(SCOPE) < open_at["p"][-1]:
+            yield from close_to(open_at["p"][-1])
         if tag in IMPLIED:
             closing, limits = IMPLIED[tag]
-            lowest = None
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth] in limits:
-                    break
-                if stack[depth] in closing:
-                    lowest = depth
-                    if tag in ("li", "dt", "dd", "option"):
-                        break
-            if lowest is not None:
-                yield from close_to(lowest)
-        if tag in ("td", "th") and counts.get("table") and not _in_row(stack):
+            limit = innermost(limits)
+            if tag in ("li", "dt", "dd", "option"):
+                found = [innermost(closing)]
+            else:  # the outermost one inside the limit
+                found = [x[bisect.bisect_right(x, limit)] for t in closing if (x := open_at.get(t)) and x[-1] > limit]
+            if found and min(found) > limit:
+                yield from close_to(min(found))
+        if tag in ("td", "th") and open_at.get("table") and innermost(ROW) < open_at["table"][-1]:
             yield opened("tr", "")
         if tag in VOID:
             yield from (("open", tag, source), ("close", tag, ""))
@@ -233,14 +257,6 @@ def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
     yield from close_to(0)
 
 
-def _in_row(stack: list[str]) -> bool:
-    """Whether a row is open in the innermost table."""
-    for tag in reversed(stack):
-        if tag in ("tr", "table"):
-            return tag == "tr"
-    return False
-
-
 class _Canvas:
     """Lines that are finished, the line that is written, and the blank lines due before the next."""
 
@@ -248,9 +264,19 @@ class _Canvas:
         self.lines: list[str] = []
         self.line: list[str] = []
         self.margin = 0
-        self.indent: list[str] = []
+        self.indents: list[int] = []  # widths of the leads before each step in
+        self.lead = ""
         self.bullet = ""
 
+    def step_in(self, lead: str) -> None:
+        self.indents.append(len(self.lead))
+        if len(self.lead) + len(lead) <= MOST_INDENT:
+            self.lead += lead
+
+    def step_out(self) -> None:
+        if self.indents:
+            self.lead = self.lead[: self.indents.pop()]
+
     def write(self, text: str) -> None:
         text = _SPACE.sub(" ", text)
         if text[:1] == " " and (not self.line or self.line[-1][-1:] in (" ", "\n")):
@@ -268,13 +294,12 @@ class _Canvas:
         if self.margin and self.lines:
             self.lines += [""] * self.margin
         self.margin = 0
-        lead = "".join(self.indent)
         for row in rows:
             if self.bullet:
-                self.lines.append((lead[: -len(self.bullet)] + self.bullet + row).rstrip(" "))
+                self.lines.append((self.lead[: -len(self.bullet)] + self.bullet + row).rstrip(" "))
                 self.bullet = ""
             else:
-                self.lines.append((lead + row).rstrip(" "))
+                self.lines.append((self.lead + row).rstrip(" "))
 
     def space(self, blank: int) -> None:
         self.flush()
@@ -284,63 +309,70 @@ class _Canvas:
 def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Lines of a table: the cells of a column start in the same place, two spaces apart; columns that a cell spans, and
     those that a cell of a row above reaches down to, stay empty."""
-    widths: list[int] = []
-    taken: dict[int, int] = {}  # column: rows that a cell from above still fills
+    furthest = MOST_PLACE // 2  # columns from there on all begin at MOST_PLACE
+    widths = [0] * (furthest + 1)
+    taken = [0] * (furthest + 1)  # for each column, the row from which it is free again
     placed: list[list[tuple[int, list[str]]]] = []
-    for row in rows:
-        column, cells, below = 0, [], {}
+    for at, row in enumerate(rows):
+        column, cells = 0, []
         for lines, span, depth in row:
-            while taken.get(column):
+            while column < furthest and taken[column] > at:
                 column += 1
-            widths += [0] * (column + span - len(widths))
-            if span == 1:
-                widths[column] = max([widths[column], *map(len, lines)])
+            if span == 1 and column < furthest:
+                widths[column] = min(MOST_WIDE, max([widths[column], *map(len, lines)]))
             cells.append((column, lines))
+            stop = min(column + span, furthest)
             if depth > 1:
-                below.update((c, depth) for c in range(column, column + span))
-            column += span
+                taken[column:stop] = [at + depth] * (stop - column)
+            column = stop
         placed.append(cells)
-        taken = {c: n - 1 for c, n in (taken | below).items() if n > 1}
     starts = [0]
     for width in widths:
-        starts.append(starts[-1] + width + 2)
+        starts.append(min(starts[-1] + width + 2, MOST_PLACE))
     out = []
     for cells in placed:
         for k in range(max([1, *(len(lines) for _, lines in cells)]) if cells else 0):
             text = ""
             for column, lines in cells:
                 place = starts[column]
-                text = text.ljust(place) if len(text) <= place else text + "  "
+                text = text.ljust(place) if not text or len(text) + 2 <= place else text + "  "
                 text += lines[k] if k < len(lines) else ""
             out.append(text.rstrip())
     return out
 
 
-def _hidden_by_styles(events: list[tuple[str, str, str]]) -> set[str]:
-    """Simple selectors that the page's style sheets hide on screen, wherever in the page they stand."""
-    hiding: set[str] = set()
+def _style_rules(events: list[tuple[str, str, str]]) -> dict[str, dict[str, bool]]:
+    """What the page's style sheets show or hide on screen, wherever in the page they stand: by simple selector."""
+    rules: dict[str, dict[str, bool]] = {}
     in_style, unscripted = False, 0
     for kind, tag, value in events:
         if kind == "text":
             for selectors, declarations in screen_rules(value) if in_style else ():
-                if _HIDING.search(declarations):
-                    hiding.update(s.lower() for s in map(str.strip, selectors.split(",")) if _SIMPLE.fullmatch(s))
+                if shown := _shown(declarations):
+                    for s in map(str.strip, selectors.split(",")):
+                        if _SIMPLE.fullmatch(s):
+                            rules.setdefault(s.lower(), {}).update(shown)
             continue
         unscripted += (tag in ("noscript", "template")) * (1 if kind == "open" else -1)
         in_style = kind == "open" and tag == "style" and not unscripted and _on_screen(_attributes(value).get("media", ""))
-    return hiding
+    return rules
 
 
 def render(html: str | None) -> tuple[str, int]:
-    """The visible text of a page and its number of tables; null and empty pages give an empty text."""
+    """The visible text of a page and its number of tables; null and empty pages give an empty text.
+
+    What isn't displayed goes with all it holds; visibility is inherited, and a descendant can take it back. An element's own
+    style comes before the sheets', where an id comes before classes, these before tags, and later rules before earlier.
+    """
     canvas, outer, tables, lists = _Canvas(), [], [], []  # tables: rows, in a cell, the cell's span
     hidden_depth, depth, preformatted, n_tables = 0, 0, 0, 0
     events = list(tree_events(html or ""))
-    hiding = _hidden_by_styles(events)
+    rules = _style_rules(events)
+    visible = [True]  # of the open elements that are displayed
     fresh = False  # right behind <pre>, where a line break doesn't count
     for kind, tag, value in events:
         if kind == "text":
-            if not hidden_depth:
+            if not hidden_depth and visible[-1]:
                 if preformatted:
                     if fresh and value[:1] == "\n":
                         value = value[1:]
@@ -357,21 +389,22 @@ def render(html: str | None) -> tuple[str, int]:
         fresh = False
         if kind == "open":
             depth += 1
-            if not hidden_depth:
-                hide = tag in HIDDEN
-                if not hide and value.strip(" /"):
-                    a = _attributes(value)
-                    classes = a.get("class", "").lower().split()
-                    hide = "hidden" in a or bool(_HIDING.search(a.get("style", ""))) or (tag == "input" and a.get("type", "").lower() == "hidden")
-                    hide = hide or bool(hiding) and (not hiding.isdisjoint("." + c for c in classes) or "#" + a.get("id", "").lower() in hiding)
-                else:
-                    a = {}
-                hide = hide or tag in hiding or (tag == "dialog" and "open" not in a)
-                if hide:
-                    hidden_depth = depth
-                    continue
-            else:
+            if hidden_depth:
+                continue
+            a = _attributes(value) if value.strip(" /") and tag not in HIDDEN else {}
+            shown: dict[str, bool] = {}
+            if rules:
+                for selector in (tag, *("." + c for c in a.get("class", "").lower().split()), "#" + a.get("id", "").lower()):
+                    shown |= rules.get(selector, {})
+            if "hidden" in a and "display" not in shown:
+                shown["display"] = False
+            if "style" in a:
+                shown |= _shown(a["style"])
+            hide = tag in HIDDEN or (tag == "input" and a.get("type", "").lower() == "hidden") or (tag == "dialog" and "open" not in a)
+            if hide or not shown.get("display", True):
+                hidden_depth = depth
                 continue
+            visible.append(shown.get("visibility", visible[-1]))
             if tag == "br":
                 if canvas.line:
                     canvas.flush()
@@ -379,38 +412,41 @@ def render(html: str | None) -> tuple[str, int]:
                     canvas.margin = max(canvas.margin, 1)
             elif tag == "hr":
                 canvas.space(0)
-                canvas.put(["---"])
-            elif tag in ("td", "th") and tables:
+                if visible[-1]:
+                    canvas.put(["---"])
+            elif tag in ("td", "th") and tables and len(outer) < MOST_NESTED:
                 outer.append((canvas, preformatted, lists))
-                tables[-1][2] = [min(int(n), MOST_SPANNED) if n.isdecimal() and int(n) else 1 for n in (a.get("colspan", "1"), a.get("rowspan", "1"))]
+                tables[-1][2] = [_whole(a.get("colspan"), 1, 1, MOST_COLUMNS), _whole(a.get("rowspan"), 1, 0, MOST_ROWS) or MOST_ROWS]
                 canvas, preformatted, lists = _Canvas(), 0, []
                 tables[-1][1] = True
             elif tag == "table":
                 canvas.space(1)
                 tables.append([[], False, [1, 1]])
-                n_tables += 1
+                n_tables += visible[-1]
             elif tag == "tr" and tables:
                 tables[-1][0].append([])
             elif tag in BLOCK:
                 nested = tag in ("ul", "ol") and lists
                 canvas.space(1 if tag in SPACED and not nested else 0)
                 if tag in ("ul", "ol", "menu", "dir"):
-                    start = a.get("start", "1")
-                    lists.append([tag == "ol", int(start) if start.isdecimal() else 1])
-                    canvas.indent.append("  ")
+                    lists.append([tag == "ol", _whole(a.get("start"), 1, -(10**9), 10**9)])
+                    canvas.step_in("  ")
                 elif tag == "li":
                     bullet = "* "
                     if lists and lists[-1][0]:
-                        bullet = f"{lists[-1][1]}. "
-                        lists[-1][1] += 1
-                    canvas.indent.append(" " * len(bullet))
-                    canvas.bullet = bullet
+                        number = _whole(a.get("value"), lists[-1][1], -(10**9), 10**9)
+                        bullet = f"{number}. "
+                        lists[-1][1] = number + 1
+                    canvas.step_in(" " * len(bullet))
+                    canvas.bullet = bullet if visible[-1] else ""
                 elif tag == "dd":
-                    canvas.indent.append("    ")
+                    canvas.step_in("    ")
                 elif tag == "blockquote":
-                    canvas.indent.append("> ")
+                    canvas.step_in("> ")
                 elif tag == "pre":
                     preformatted, fresh = preformatted + 1, True
+            elif tag in CONTROLS:
+                canvas.write(" ")
             continue
         if hidden_depth:
             if depth == hidden_depth:
@@ -418,6 +454,7 @@ def render(html: str | None) -> tuple[str, int]:
             depth -= 1
             continue
         depth -= 1
+        visible.pop()
         if tag in ("td", "th") and tables and outer and tables[-1][1]:
             canvas.flush()
             cell = canvas.lines
@@ -444,14 +481,16 @@ def render(html: str | None) -> tuple[str, int]:
             canvas.space(1 if tag in SPACED and not nested else 0)
             if tag in ("ul", "ol", "menu", "dir") and lists:
                 lists.pop()
-                canvas.indent.pop()
-            elif tag == "li" and canvas.indent:
-                canvas.indent.pop()
+                canvas.step_out()
+            elif tag == "li":
+                canvas.step_out()
                 canvas.bullet = ""
-            elif tag in ("dd", "blockquote") and canvas.indent:
-                canvas.indent.pop()
+            elif tag in ("dd", "blockquote"):
+                canvas.step_out()
             elif tag == "pre":
                 preformatted = max(0, preformatted - 1)
+        elif tag in CONTROLS:
+            canvas.write(" ")
     while outer:
         canvas.flush()
         rest = canvas.lines

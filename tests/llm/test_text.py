@@ -258,16 +258,57 @@ def test_layout_of_spans_quotes_and_late_styles(html, text):
     assert render(html)[0] == text
 
 
-@pytest.mark.parametrize("part", ['<a "', "<a '\">", "<!", "<a b", "</", "<script ", "<table><div><td>", "<div><p>", '"<i>'])
-def test_long_hostile_pages_take_linear_time(part):
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<p style="visibility:hidden">h<b style="visibility:visible">seen</b>h', "seen"),
+        ("<style>.v{visibility:hidden}.w{visibility:visible}</style><div class=v>a<p>b<p class=w>c</div>d", "c\n\nd"),
+        ('<p style="display:none">h<b style="display:block;visibility:visible">no</b>', ""),
+        ('<style>.x{display:none}.x{display:block} #y{display:none}</style><p class=x>a<p id=y>b<p id=y style="display:block">c', "a\n\nc"),
+        ('<table style="visibility:collapse"><tr><td>a</table><hr style="visibility:hidden">b', "b"),
+        ("<ol><li>a<li value=7>b<li>c<li value=x>d</ol><ol start=-1><li>e<li>f</ol>", "  1. a\n  7. b\n  8. c\n  9. d\n\n  -1. e\n  0. f"),
+        ("<ol start=" + "9" * 5000 + "><li>a</ol><table><tr><td colspan=" + "9" * 5000 + ">b</table>", "  1000000000. a\n\nb"),
+        ("name<textarea>text</textarea><button>Send</button>now", "name text Send now"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+        ("<table><tr><td>" + "y" * 200 + "<td>z<tr><td>a<td>b</table>", "y" * 200 + "  z\na" + " " * 81 + "b"),
+        ("<style>.x{content:'a\n} .y{display:none}</style><p class=y>b<p>c", "c"),
+    ],
+)
+def test_layout_of_visibility_numbers_and_bounds(html, text):
+    assert render(html)[0] == text
+
+
+def test_layout_of_deep_tables_and_lists():
+    deep = render("<table><tr><td>aaaa<td>" * 40 + "end<br>last")[0]
+    assert deep.split() == ["aaaa"] * 40 + ["end", "last"]
+    listed = render("<ul><li>x" * 100)[0].split("\n")
+    assert [x.strip() for x in listed] == ["* x"] * 100 and max(map(len, listed)) <= 66
+
+
+SHAPES = {
+    **{part: (lambda n, part=part: part * n) for part in ('<a "', "<a '\">", "<!", "<a b", "</", "<script ", "<table><div><td>", "<div><p>", '"<i>', "<ul><li>x", "<blockquote>x", "<dl><dd>x", "<table><tr><td>a<td>")},
+    "cells under divisions": lambda n: "<table>" + "<div>" * n + "<td>x" * n,
+    "end tags beyond a table": lambda n: "<a><table>" + "<div>" * n + "</a>" * n,
+    "divisions in a button": lambda n: "<p><button>" + "<div>" * n,
+    "open string": lambda n: '<style>"' + '\\"' * n,
+    "one wide cell": lambda n: "<table><tr><td>" + "y" * n + "<td>z" + "<tr><td>a<td>b" * n,
+    "spans": lambda n: "<table>" + "<tr><td colspan=1000 rowspan=0>x" * n,
+    "lines in tables in tables": lambda n: "<table><tr><td>aaaa<td>" * n + "x<br>" * n,
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_long_hostile_pages_take_linear_time_and_room(shape):
     import time
 
-    seconds = []
-    for n in (100_000, 400_000):
+    make, seconds, room = SHAPES[shape], [], []
+    for size in (100_000, 400_000):
+        page = make(size * 1000 // len(make(1000)))
         began = time.process_time()
-        render(part * (n // len(part)))
+        room.append(len(render(page)[0]))
         seconds.append(time.process_time() - began)
-    assert seconds[1] < 4 and seconds[1] < 12 * max(seconds[0], 0.05)
+    assert seconds[1] < 8 and seconds[1] < 12 * max(seconds[0], 0.05)
+    assert room[1] < 5 * max(room[0], 1000) and room[1] < 20 * 400_000
 
 
 def test_secrets_in_a_long_log_take_linear_time(spark, docs):
