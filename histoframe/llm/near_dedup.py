@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histoframe.operators.components import connected_components
@@ -324,14 +324,15 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     """The rows of the kept documents, all columns; of each component of near duplicates the one of the smallest doc_id.
 
     Every row is judged by its own text: rows that share a doc_id all stay, unless their texts are near duplicates; of rows
-    equal in doc_id and text one stays. Texts without words, nulls, and rows without a doc_id take no part and stay. Any
+    equal in doc_id and text (by a digest of 256 bits) one stays. Texts without words, nulls, and rows without a doc_id take no part and stay. Any
     further columns are kept, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
-    key, place = free_name(docs, "_key"), free_name(docs, "_place")
+    key = free_name(docs, "_key")
     keyed, repeated = with_row_keys(docs, key, scratch)
     kept = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), words, percent).where("kept").select(F.col("doc_id").alias(key))
     rows = keyed.join(kept, key, "left_semi")
     if repeated:
-        rows = rows.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(key))).where(F.col(place) == 1)
+        firsts = rows.groupBy("doc_id", F.sha2("text", 256)).agg(F.min(key).alias(key)).select(key)  # digests are shuffled, not texts
+        rows = rows.join(firsts, key, "left_semi")
     return rows.select(*docs.columns).unionByName(docs.where("doc_id is null"))

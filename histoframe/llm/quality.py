@@ -129,7 +129,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    """Measures and verdicts alone, by doc_id."""
+    """Measures and verdicts alone, one row a row of the table: null and empty texts have no words and fail the base rule, null
+    ids and repeated rows stay, further columns are left out, an empty table gives no rows."""
     return quality_rules(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
 
 

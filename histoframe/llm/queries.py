@@ -34,43 +34,53 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back; null texts are empty, rows without an id are left out, repeated rows stay."""
     return token_files(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents; nulls, repeated ids and empty tables as repeat_report says."""
     return repeat_report(_table(spark, sf_dir, "documents"))
 
 
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all documents; nulls and repeated rows as quality_report says."""
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
 def op4_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and what they decode to; nulls and repeated rows as bpe_round_trip says."""
     return bpe_round_trip(_table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from those not held out; nulls and repeated rows as score_documents says."""
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, by models trained on their sample; nulls and repeated rows as scan_secrets says."""
     docs = _table(spark, sf_dir, "documents")
     return scan_secrets(docs, train(docs))
 
 
 def op7_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every query row; what takes no part, and ties, as nearest_by_inner_product says."""
     return nearest_by_inner_product(_table(spark, sf_dir, "embeddings"))
 
 
 def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of all pages; nulls and repeated rows as extract_text says."""
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
 def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates of all documents; nulls and repeated ids as near_duplicates says."""
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences of all documents; nulls and repeated rows as pack_documents says."""
     return pack_documents(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 

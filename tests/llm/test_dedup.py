@@ -218,3 +218,33 @@ def test_pipeline_stages(spark):
     empty = spark.read.parquet(f"{SMALL}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Null, empty and very long texts, repeated rows and ids, null ids, and columns named as stages name their own."""
+    prose = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("n_chars > 1500").orderBy("doc_id").limit(6).collect()]
+    key = "ghp_16C7e42F292c6912E7710c838347Ae178B4a"
+    texts = [(1, prose[0]), (1, prose[0]), (1, prose[1]), (2, None), (2, None), (3, ""), (4, prose[0]), (None, prose[2]), (None, prose[2]), (5, f"{prose[3]} my token={key} here"), (6, " ".join(prose) * 40), (7, "one")]
+    names = ("kept", "Ratio", "_key", "_tie", "n_words", "component_id", "spans", "start", "sequence_id", "id", "shard", "secret")
+    rows = [(i, t, *(f"{n}{k}" for n in names)) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)).repartition(3)
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out[name] = stage(spark, docs, SMALL)
+        if name != "packing":
+            assert out[name].columns == docs.columns, name
+            held = {r.kept: r for r in docs.collect()}
+            for r in out[name].collect():  # every row is one of the table's, but for its text
+                assert r.doc_id == held[r.kept].doc_id and r[2:] == held[r.kept][2:], name
+                assert name in ("suffix_dedup", "secret_scans") or r.text == held[r.kept].text, name
+    kept = {n: sorted(int(r.kept[4:]) for r in out[n].collect()) for n in ("quality_rules", "near_dedup", "suffix_dedup", "secret_scans")}
+    assert not {3, 4, 5, 11} & set(kept["quality_rules"]) and len({0, 1} & set(kept["quality_rules"])) != 1
+    assert len({0, 1} & set(kept["near_dedup"])) == 1 and len({3, 4} & set(kept["near_dedup"])) == 1
+    assert {2, 5, 7, 8, 9, 10, 11} <= set(kept["near_dedup"]) and 6 not in kept["near_dedup"]
+    assert kept["suffix_dedup"] == kept["secret_scans"] == list(range(len(rows)))
+    cut = {int(r.kept[4:]): r.text for r in out["suffix_dedup"].collect()}
+    assert cut[3] is None and cut[5] == "" and cut[6] == "" and cut[7] == cut[8] == prose[2] and len(cut[10]) < len(texts[10][1]) / 30
+    red = {int(r.kept[4:]): r.text for r in out["secret_scans"].collect()}
+    assert key not in red[9] and red[3] is None and red[5] == "" and red[11] == "one"
+    pieces = out["packing"].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id for r in pieces} == {i for i, _ in texts} and {r.doc_id: r.n for r in pieces}[2] == 2
