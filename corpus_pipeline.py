@@ -1,6 +1,7 @@
 """A corpus pipeline over the table of documents: each stage takes what the one before kept, as a written table.
 
-Stages but the last return the columns of `documents`; the last returns the pieces of packed sequences.
+Stages but the last return the columns of `documents`, and any further ones whatever their names; the last returns the
+pieces of packed sequences. Texts of any length are taken whole; an empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -18,29 +19,44 @@ from histoframe.session import bound_batches, ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the word rules and the compression bands pass."""
+    """Documents that the word rules and the compression bands pass.
+
+    Null and empty texts have no words and go; every row has its own verdict, repeated rows and null ids too; ties don't arise.
+    """
     ship_package(spark)
     bound_batches(spark)
     return keep_passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    The smallest doc_id stays; of rows equal in id and text one; null and empty texts and rows without an id all stay.
+    """
     return keep_one_of_each(docs, words=5, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 100 bytes or more that an earlier document, or an earlier place, has."""
+    """Documents without the passages of 100 bytes or more that an earlier document, or an earlier place, has.
+
+    All rows stay; null and empty texts as they are; rows of one id go by a hash of their text; those without an id are left alone.
+    """
     return cut_repeats(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets replaced by a mark; clean documents stay as they are."""
+    """Documents with their secrets replaced by a mark; clean documents stay as they are.
+
+    All rows stay; null and empty texts as they are; repeated rows and null ids are treated like any other.
+    """
     return redact_secrets(docs, train(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed training sequences, one row each."""
+    """Pieces of packed training sequences, one row each.
+
+    Null and empty texts are their end id alone; repeated rows are packed as often as they occur; null ids stay null.
+    """
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
