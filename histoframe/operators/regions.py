@@ -157,8 +157,14 @@ def compare_calls(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.withColumn("delta", F.col("n_right") - F.col("n_left"))
 
 
-def align_types(counts: DataFrame, how: str = "union", key: str = "method", value: str = "n") -> DataFrame:
-    """A row for each type and method: all types with 0 where a method lacks one, or only types that all methods have."""
+def align_types(counts: DataFrame, how: str = "union", key: str = "method", value: str = "n", seen: str | None = None) -> DataFrame:
+    """A row for each type and method: all types with 0 where a method lacks one, or only types that all methods have.
+
+    `seen`, a column of counts, is where a type was first met: each type's rows get its least value, to sort them by.
+    """
+    if seen is not None:
+        order = counts.groupBy("cell_type").agg(F.min(seen).alias(seen))
+        return align_types(counts.drop(seen), how, key, value).join(order, "cell_type")
     methods = counts.select(key).distinct()
     if how == "shared":
         n = F.broadcast(methods.agg(F.count("*").alias("_m")))  # one row

@@ -330,16 +330,53 @@ def clahe(tiles: DataFrame, edge: int, low: float = 1, high: float = 99.8, size:
     return with_halo(normalize_input(tiles, low, high), reach, edge, equalised)
 
 
-def composite_rgb(tiles: DataFrame, channels: DataFrame, brightness: float = 1.0) -> DataFrame:
+#: The order in which kinds of overlays are painted, from below.
+OVERLAYS = {"mask": 2, "cell": 3, "type": 4}
+
+
+def overlay_tiles(label_tiles: DataFrame, layers: DataFrame, colours: DataFrame) -> DataFrame:
+    """Label tiles (with a column `layer`) with the colours of the cells in them, to be painted by composite_rgb.
+
+    layers: (layer, kind, opacity), one row a layer, kind one of OVERLAYS. Labels of a `mask` each get a colour by their
+    number; those of `cell` and `type` layers get the one in colours (image_id, layer, cell_id, r, g, b), and cells without one
+    aren't painted. Only the labels of each tile meet their colours, so that cells are shuffled and never broadcast.
+    """
+    place = ("image_id", "level", "ty", "tx", "layer")
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            labels = [np.unique(plane_of(r)) for r in rows]
+            owner = pa.array(np.repeat(np.arange(len(rows)), [len(x) for x in labels]))
+            found = np.concatenate(labels).astype(np.int64) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(owner) for c in (*place, "kind")), pa.array(found)], [*place, "kind", "cell_id"])
+
+    known = label_tiles.join(F.broadcast(layers), "layer")  # one row a layer
+    schema = known.select(*place, "kind").withColumn("cell_id", F.lit(0).cast("long")).schema
+    cells = known.select(*place, "kind", "h", "w", "dtype", "pixels").mapInArrow(held, schema).where("cell_id > 0")
+    part = [F.col("cell_id") * F.lit(x) - F.floor(F.col("cell_id") * F.lit(x)) for x in (0.6180339887, 0.7548776662, 0.569840291)]
+    own = cells.where("kind = 'mask'").select(*place, "cell_id", *(x.alias(c) for x, c in zip(part, "rgb", strict=True)))
+    given = cells.where("kind <> 'mask'").join(colours, ["image_id", "layer", "cell_id"]).select(*place, "cell_id", "r", "g", "b")
+    palettes = own.unionByName(given).groupBy(*place).agg(F.collect_list(F.struct("cell_id", "r", "g", "b")).alias("palette"))  # the cells of a tile
+    order = F.coalesce(*(F.when(F.col("kind") == k, n) for k, n in OVERLAYS.items()))
+    return known.join(palettes, list(place)).select(*place, "h", "w", "dtype", "pixels", order.alias("order"), F.col("opacity").cast("double").alias("opacity"), "palette")
+
+
+def composite_rgb(tiles: DataFrame, channels: DataFrame, brightness: float = 1.0, overlays: DataFrame | None = None) -> DataFrame:
     """8-bit RGB tiles (image_id, level, ty, tx, h, w, rgb): the channels' colours by coverage, scaled by brightness / n.
 
-    channels: (channel_idx, r, g, b from 0 to 1, data_min, data_max, range_min, range_max, alpha).
+    channels: (channel_idx, r, g, b from 0 to 1, data_min, data_max, range_min, range_max, alpha). overlays, of overlay_tiles,
+    are blended over the sum before it is clipped, by their kinds' order, then by layer; where one has another extent, over
+    what both share.
     """
     joined = tiles.join(F.broadcast(channels), "channel_idx")  # one row a channel
+    if overlays is not None:
+        joined = joined.unionByName(overlays, allowMissingColumns=True)
 
     def paint(rows: pa.Table) -> pa.Table:
-        parts = rows.to_pylist()
-        first = parts[0]
+        every = rows.to_pylist()
+        parts = [p for p in every if p.get("order") is None]
+        first = parts[0] if parts else every[0]
         out = np.zeros((first["h"], first["w"], 3))
         for p in parts:
             v = plane_of(p).astype(np.float64)
@@ -348,7 +385,16 @@ def composite_rgb(tiles: DataFrame, channels: DataFrame, brightness: float = 1.0
             width = p["range_max"] - p["range_min"]
             a = np.clip((s - p["range_min"]) / width, 0, 1) if width > 0 else (s >= p["range_max"]).astype(float)
             out += p["alpha"] * a[:, :, None] * np.array([p["r"], p["g"], p["b"]])
-        out = np.clip(out * brightness / len(parts), 0, 1) * 255
+        out = out * brightness / max(1, len(parts))
+        for p in sorted((p for p in every if p.get("order") is not None), key=lambda p: (p["order"], p["layer"])):
+            labels = plane_of(p)[: first["h"], : first["w"]]
+            held, place = np.unique(labels, return_inverse=True)
+            palette = {c["cell_id"]: (c["r"], c["g"], c["b"]) for c in p["palette"]}
+            colours = np.array([palette.get(int(x), (0, 0, 0)) for x in held], np.float64)[place.reshape(labels.shape)]
+            active = np.isin(labels, list(palette))
+            under = out[: labels.shape[0], : labels.shape[1]]
+            under[active] = (1 - p["opacity"]) * under[active] + p["opacity"] * colours[active]
+        out = np.clip(out, 0, 1) * 255
         row = {k: first[k] for k in ("image_id", "level", "ty", "tx", "h", "w")} | {"rgb": out.astype(np.uint8).tobytes()}
         return pa.Table.from_pylist([row], pa.schema([("image_id", pa.string()), *((c, pa.int32()) for c in ("level", "ty", "tx", "h", "w")), ("rgb", pa.binary())]))
 

@@ -168,17 +168,19 @@ def tile_edge_enhance(spark, sf_dir):
     return rounded(found.select(F.col("y").cast("long").alias("y"), "x", "value"), 5)
 
 
-@query(f"""WITH {PIXELS}, s AS (SELECT y, x, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM p), c AS (SELECT y, x, 0.8 * least(greatest((least(greatest((v + 0.3) / 0.6, 0), 1) - 0.25) / 0.5, 0), 1) AS a, 1.0 * least(greatest((least(greatest((0.3 - v) / 0.6, 0), 1) - 0.0) / 1.0, 0), 1) AS b FROM s)
-SELECT y, x, CAST(floor(least(greatest((a * 1.0 + b * 0.0) * 1.5 / 2, 0), 1) * 255) AS INT) AS r, CAST(floor(least(greatest((a * 0.5 + b * 0.25) * 1.5 / 2, 0), 1) * 255) AS INT) AS g, CAST(floor(least(greatest((a * 0.0 + b * 1.0) * 1.5 / 2, 0), 1) * 255) AS INT) AS b FROM c""")
-def tile_composite(spark, sf_dir):
-    """Two channels of two colours, the second one the first turned round."""
+COMPOSITE = "s AS (SELECT y, x, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM p), c AS (SELECT y, x, 0.8 * least(greatest((least(greatest((v + 0.3) / 0.6, 0), 1) - 0.25) / 0.5, 0), 1) AS a, 1.0 * least(greatest((least(greatest((0.3 - v) / 0.6, 0), 1) - 0.0) / 1.0, 0), 1) AS b FROM s), sum3 AS (SELECT y, x, (a * 1.0 + b * 0.0) * 1.5 / 2 AS r, (a * 0.5 + b * 0.25) * 1.5 / 2 AS g, (a * 0.0 + b * 1.0) * 1.5 / 2 AS b FROM c)"
+CLIPPED = ", ".join(f"CAST(floor(least(greatest({c}, 0), 1) * 255) AS INT) AS {c}" for c in "rgb")
+
+
+def _composite(spark, sf_dir, overlays=None):
+    """Two channels of two colours, the second one the first turned round, as a row a pixel."""
     import numpy as np
     import pyarrow as pa
 
     tiles = image(spark, sf_dir)
     other = I.map_tiles(tiles.withColumn("channel_idx", F.lit(1)), lambda p, _: -p)
     colours = spark.createDataFrame([(0, 1.0, 0.5, 0.0, -0.3, 0.3, 0.25, 0.75, 0.8), (1, 0.0, 0.25, 1.0, -0.3, 0.3, 0.0, 1.0, 1.0)], "channel_idx int, r double, g double, b double, data_min double, data_max double, range_min double, range_max double, alpha double")
-    painted = I.composite_rgb(tiles.unionByName(other), colours, 1.5)
+    painted = I.composite_rgb(tiles.unionByName(other), colours, 1.5, overlays)
 
     def pixels(batches):
         for batch in batches:
@@ -191,6 +193,28 @@ def tile_composite(spark, sf_dir):
     return painted.mapInArrow(pixels, "y long, x int, r int, g int, b int")
 
 
+@query(f"WITH {PIXELS}, {COMPOSITE} SELECT y, x, {CLIPPED} FROM sum3")
+def tile_composite(spark, sf_dir):
+    return _composite(spark, sf_dir)
+
+
+MASKED = ", ".join(f"CASE WHEN label % 5 = 0 THEN {c} ELSE (1 - 0.5) * {c} + 0.5 * (label * {x}e0 - floor(label * {x}e0)) END AS {c}" for c, x in zip("rgb", ("0.6180339887", "0.7548776662", "0.569840291")))
+CALLED = ", ".join(f"CASE WHEN mean IS NULL THEN {c} ELSE (1 - 0.25) * {c} + 0.25 * {v} END AS {c}" for c, v in (("r", "CASE WHEN mean > 0.01 THEN 0 ELSE 1 END"), ("g", "CASE WHEN mean > 0.01 THEN 1 ELSE 0 END"), ("b", "0")))
+
+
+@query(f"""WITH {PIXELS}, {COMPOSITE}, l AS (SELECT *, (y // 8) * 8 + x // 8 + 1 AS label FROM sum3), m AS (SELECT y, x, label, {MASKED} FROM l),
+k AS (SELECT (y // 8) * 8 + x // 8 + 1 AS label, avg(v) AS mean FROM p WHERE ((y // 8) * 8 + x // 8 + 1) % 5 != 0 GROUP BY 1), n AS (SELECT m.y, m.x, {CALLED} FROM m LEFT JOIN k ON k.label = m.label) SELECT y, x, {CLIPPED} FROM n""")
+def tile_overlays(spark, sf_dir):
+    """Cells in colours of their own over the composite, and over both whether their mean is high (green) or low (red)."""
+    labels = blocks(spark, sf_dir)
+    layers = spark.createDataFrame([("outline", "mask", 0.5), ("called", "cell", 0.25)], "layer string, kind string, opacity double")
+    both = labels.withColumn("layer", F.lit("outline")).unionByName(labels.withColumn("layer", F.lit("called")))
+    high = (F.col("mean") > 0.01).cast("double")
+    means = I.cell_means_of_tiles(image(spark, sf_dir), labels)
+    colours = means.select("image_id", F.lit("called").alias("layer"), "cell_id", (1 - high).alias("r"), high.alias("g"), F.lit(0.0).alias("b"))
+    return _composite(spark, sf_dir, I.overlay_tiles(both, layers, colours))
+
+
 @query(f"WITH {PIXELS} SELECT CAST(y // 16 AS INT) AS ty, x // 16 AS tx, count(*) AS n FROM p GROUP BY 1, 2 HAVING min(y) < 200 AND max(y) + 1 > 70 AND min(x) < 33 AND max(x) + 1 > 20")
 def crop_to_region(spark, sf_dir):
     """Tiles that segmentation of a window has to read."""

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histoframe.functions.columns import natural_key, safe_names
@@ -516,6 +516,16 @@ def types_union(spark, sf_dir):
     return R.align_types(_parts(spark, sf_dir).groupBy("cell_type", "method").agg(F.count("*").alias("n")))
 
 
+@query("""WITH c AS (SELECT p_brand AS cell_type, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'AI' ELSE 'Otsu' END AS method, count(*) AS n, min(p_partkey) AS k FROM part GROUP BY 1, 2), t AS (SELECT cell_type, min(k) AS k FROM c GROUP BY 1)
+SELECT t.cell_type, m.method, coalesce(n, 0) AS n, row_number() OVER (ORDER BY t.k, m.method) AS place FROM t CROSS JOIN (SELECT DISTINCT method FROM c) m LEFT JOIN c ON c.cell_type = t.cell_type AND c.method = m.method""")
+def types_in_seen_order(spark, sf_dir):
+    """The union of both methods' types in the order in which parts first show them."""
+    method = F.when(F.col("p_type").isin("ECONOMY", "STANDARD"), "AI").otherwise("Otsu")
+    counts = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("cell_type"), method.alias("method")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("seen"))
+    place = F.row_number().over(Window.orderBy("seen", "method"))  # a row a type and method
+    return R.align_types(counts, seen="seen").select("cell_type", "method", "n", place.cast("long").alias("place"))
+
+
 @query(f"WITH {PARTS}, c AS (SELECT cell_type, method, count(*) AS n FROM pt GROUP BY 1, 2) SELECT * FROM c WHERE cell_type IN (SELECT cell_type FROM c GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT method) FROM c))")
 def types_shared(spark, sf_dir):
     return R.align_types(_parts(spark, sf_dir).groupBy("cell_type", "method").agg(F.count("*").alias("n")), "shared")

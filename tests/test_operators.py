@@ -903,3 +903,30 @@ def test_stream_is_the_same_in_any_batches(spark, tmp_path, files, every):
     assert drained(spark, tmp_path, files, every) == {("i", 7): (2, 6.0, 4.0), ("j", 7): (1, 100.0, 100.0), ("j", 1): (2, 3.0, 2.0), ("j", 2): (1, 1.0, 1.0), ("i", 3): (2, 3.0, 2.0), (None, 4): (1, 1.0, 1.0)}
     if every == 2:
         assert len(list((tmp_path / "out").glob("state-*"))) == 2 and len(list((tmp_path / "out").glob("batch-*"))) < 10
+
+
+def test_overlays_are_blended_in_the_order_of_their_kinds(spark):
+    """Two layers over one channel, one of them smaller, against numpy; a tile without a channel; cells without a colour."""
+    rng = np.random.default_rng(4)
+    plane = rng.random((6, 8)).astype("float32")
+    mask, typed = rng.integers(0, 4, (6, 8)).astype("int32"), rng.integers(0, 5, (4, 8)).astype("int32")
+    fields = "image_id string, level int, ty int, tx int, h int, w int, dtype string, pixels binary"
+
+    def row(p, tx=0):
+        return ("i", 0, 0, tx, *p.shape, p.dtype.name, p.tobytes())
+
+    tiles = spark.createDataFrame([(0, *row(plane))], "channel_idx int, " + fields)
+    channels = spark.createDataFrame([(0, 1.0, 0.5, 0.25, 0.0, 1.0, 0.0, 0.5, 1.0)], "channel_idx int, r double, g double, b double, data_min double, data_max double, range_min double, range_max double, alpha double")
+    labels = spark.createDataFrame([("a", *row(typed)), ("b", *row(mask)), ("b", *row(mask, 1))], "layer string, " + fields)
+    layers = spark.createDataFrame([("a", "type", 0.5), ("b", "mask", 0.75)], "layer string, kind string, opacity double")
+    colours = spark.createDataFrame([("i", "a", k, 0.0, 0.25 * k, 1.0) for k in (1, 2, 4)], "image_id string, layer string, cell_id long, r double, g double, b double")
+    found = {r.tx: np.frombuffer(r.rgb, np.uint8).reshape(r.h, r.w, 3) for r in I.composite_rgb(tiles, channels, 1.5, I.overlay_tiles(labels, layers, colours)).collect()}
+    under = {0: np.clip(plane.astype(float) / 0.5, 0, 1)[:, :, None] * np.array([1.0, 0.5, 0.25]) * 1.5, 1: np.zeros((6, 8, 3))}
+    for tx, out in under.items():
+        for y, x in np.ndindex(6, 8):
+            if mask[y, x]:
+                own = [mask[y, x] * c % 1 for c in (0.6180339887, 0.7548776662, 0.569840291)]
+                out[y, x] = 0.25 * out[y, x] + 0.75 * np.array(own)
+            if tx == 0 and y < 4 and typed[y, x] in (1, 2, 4):
+                out[y, x] = 0.5 * out[y, x] + 0.5 * np.array([0, 0.25 * typed[y, x], 1])
+        assert np.abs((np.clip(out, 0, 1) * 255).astype(int) - found[tx]).max() <= 1
