@@ -204,6 +204,27 @@ def test_inner_product_search(spark, vectors, monkeypatch):
     assert V.nearest_by_inner_product(few.where("false")).count() == 0
 
 
+def test_inner_product_search_on_odd_rows(spark, monkeypatch):
+    """Lists whose rows hardly differ beside the codewords' scale, and queries that aren't drawn as the other rows are."""
+    monkeypatch.setattr(V, "RERANK", 40)
+    rng = np.random.default_rng(3)
+    tight = rng.normal(size=(4, 16))[rng.integers(0, 4, 3000)] * 5 + 1e-4 * rng.normal(size=(3000, 16))
+    wide = 3 * rng.normal(size=(1000, 16))
+    apart = rng.normal(size=(4000, 16)) * np.exp(np.linspace(1, -1, 16))
+    apart[::20] = rng.normal(size=(200, 16)) * np.exp(np.linspace(-3, 3, 16))
+    for x in (np.vstack([tight, wide])[rng.permutation(4000)], apart):
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = defaultdict(set)
+        for r in V.nearest_by_inner_product(df).collect():
+            got[r.query_id].add(r.vec_id)
+        hits = 0
+        for q in range(0, 4000, 20):
+            s = (x * x[q]).sum(1)
+            s[q] = -np.inf
+            hits += len(got[q] & set(np.lexsort((np.arange(4000), -s))[:20].tolist()))
+        assert hits >= 0.95 * 20 * 200
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, before = docs.columns, docs.count()
