@@ -5,10 +5,15 @@ Runs of several images have a further column image_id: masks of different images
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STRIP = 256  # columns of pixels that one bucket of a run join covers
+SWEEP = 4_096  # rows that a sweep over sorted runs takes at once
 
 
 def images(*tables: DataFrame) -> list[str]:
@@ -30,6 +35,69 @@ def to_pixels(runs: DataFrame) -> DataFrame:
     return runs.where("x1 > x0").select(*images(runs), "mask_id", "y", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"), "label")
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SWEEP):
+            yield pa.Table.from_arrays(batch.slice(at, SWEEP).columns, names=batch.schema.names)  # all columns may be null
+
+
+def _groups(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Numbers from 0 of the groups of equal keys that follow each other."""
+    new = np.zeros(rows.num_rows, bool)
+    for c in keys:
+        codes = rows[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.cumsum(new)
+
+
+def _painted(group: np.ndarray, x0: np.ndarray, x1: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(group, x0, x1, label) of the greatest label at each place of each group, in order; only stretches between ends are told apart."""
+    low = x0.min()
+    span = int(x1.max() - low) + 2
+    a, b = group * span + x0 - low, group * span + x1 - low
+    edges = np.unique(np.concatenate([a, b]))
+    order = np.argsort(label, kind="stable")
+    first = np.searchsorted(edges, a[order])
+    counts = np.searchsorted(edges, b[order]) - first
+    at = np.arange(counts.sum()) + np.repeat(first - np.cumsum(counts) + counts, counts)
+    shown = np.zeros(len(edges), label.dtype)
+    shown[at] = np.repeat(label[order], counts)  # of repeated places the last stays
+    cuts = np.flatnonzero(np.diff(shown, prepend=0))
+    kept = shown[cuts[:-1]] > 0
+    starts, ends = edges[cuts[:-1]][kept], edges[cuts[1:]][kept]
+    return starts // span, starts % span + low, (ends - 1) % span + low + 1, shown[cuts[:-1]][kept]
+
+
+def flattened(runs: DataFrame) -> DataFrame:
+    """Disjoint runs of a mask whose runs may overlap: at each place the greatest label; equal labels side by side are one run.
+
+    The same as to_runs of the greatest label of each pixel, but no pixel is a row: a task sweeps over the sorted runs of its
+    image rows, and only runs that later ones may still change are held.
+    """
+    keys = [*images(runs), "mask_id", "y"]
+    kinds = dict(runs.dtypes)
+    numbers = {c: F.col(c).cast("long").alias(c) for c in ("x0", "x1", "label")}
+    own = runs.where("x1 > x0 and label > 0").select(*keys, *numbers.values()).repartition(*keys).sortWithinPartitions(*keys, "x0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for rows in _chunks(batches):
+            if held is not None:
+                rows = pa.concat_tables([held, rows])
+            group = _groups(rows, keys)
+            g, x0, x1, label = _painted(group, *(rows[c].to_numpy() for c in ("x0", "x1", "label")))
+            out = rows.select(keys).take(pa.array(np.searchsorted(group, g)))
+            for c, values in (("x0", x0), ("x1", x1), ("label", label)):
+                out = out.append_column(c, pa.array(values, pa.int64()))
+            later = (g == group[-1]) & (x1 >= rows["x0"][-1].as_py())
+            held = out.filter(pa.array(later))
+            yield from out.filter(pa.array(~later)).to_batches()
+        if held is not None:
+            yield from held.to_batches()
+
+    return own.mapInArrow(run, own.schema).select(*keys, *(F.col(c).cast(kinds[c]).alias(c) for c in numbers))
+
+
 def areas(runs: DataFrame) -> DataFrame:
     return runs.where("label > 0").groupBy(*images(runs), "mask_id", "label").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("area_px"))
 
@@ -104,25 +172,53 @@ def merge_masks(runs: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def cut_by(runs: DataFrame, blockers: DataFrame) -> DataFrame:
-    """What of each run the blockers leave: interval subtraction row by row."""
-    same, own = images(runs, blockers), images(runs)
-    blocked = blockers.where("x1 > x0").select(*same, "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    keys = [*own, "mask_id", "y", "x0", "x1", "label"]
-    hits = runs.join(blocked, [*same, "y"]).where("b0 < x1 and x0 < b1").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("b0", "b1"))).alias("b"))
-    start = F.struct(F.col("x0").cast("long").alias("at"), F.expr("cast(array() as array<struct<x0:bigint,x1:bigint>>)").alias("out"))
+    """What of each run the blockers leave: interval subtraction row by row. Equal runs are runs of their own.
 
-    def step(acc: Column, b: Column) -> Column:
-        gap = F.struct(acc["at"].alias("x0"), b["b0"].cast("long").alias("x1"))
-        out = F.when(b["b0"] > acc["at"], F.concat(acc["out"], F.array(gap))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], b["b1"].cast("long")).alias("at"), out.alias("out"))
-
-    def finish(acc: Column) -> Column:
-        tail = F.struct(acc["at"].alias("x0"), F.col("x1").cast("long").alias("x1"))
-        return F.when(acc["at"] < F.col("x1"), F.concat(acc["out"], F.array(tail))).otherwise(acc["out"])
-
-    cut = hits.select(*own, "mask_id", "y", "label", F.explode(F.aggregate("b", start, step, finish)).alias("r")).select(*own, "mask_id", "y", F.col("r.x0").alias("x0"), F.col("r.x1").alias("x1"), "label")
-    clear = runs.join(hits.select(*keys), keys, "left_anti").select(*own, "mask_id", "y", F.col("x0").cast("long").alias("x0"), F.col("x1").cast("long").alias("x1"), "label")
-    return clear.unionByName(cut)
+    The blockers are made disjoint; a task then sweeps over runs and blockers of its image rows together, in order. What is
+    left of a run before the sweep is given out, and only what lies after it is held.
+    """
+    same, own = images(runs, blockers), images(runs)
+    keys = [*same, "y"]
+    columns = [*own, "mask_id", "y", "x0", "x1", "label"]
+    blocked = blockers.where("x1 > x0").select(*same, F.lit("").alias("mask_id"), "y", "x0", "x1", F.lit(1).alias("label")).dropna(subset=keys)
+    ends = [F.col(c).cast("long").alias(c) for c in ("x0", "x1")]
+    rows = runs.select(*own, "mask_id", "y", *ends, "label", F.lit(1).alias("kind"))
+    both = rows.unionByName(flattened(blocked).select(*keys, *ends, F.lit(0).alias("kind")), allowMissingColumns=True)
+    both = both.repartition(*keys).sortWithinPartitions(*keys, "x0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for some in _chunks(batches):
+            at = some["x0"][-1].as_py()
+            if held is not None:
+                some = pa.concat_tables([held, some])
+            group, kind = _groups(some, keys), some["kind"].to_numpy()
+            x0, x1 = some["x0"].to_numpy(), some["x1"].to_numpy()
+            low = x0.min()
+            base = group * (int(max(x0.max(), x1.max()) - low) + 2) - low
+            asked, walls = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
+            a, b = (base + x0)[asked], (base + x1)[asked]
+            w0, w1 = (base + x0)[walls], (base + x1)[walls]
+            first = np.searchsorted(w1, a, "right")
+            met = np.maximum(np.searchsorted(w0, b, "left") - first, 0)
+            of = np.repeat(np.arange(len(asked)), met + 1)
+            k = np.arange(len(of)) - np.repeat(np.cumsum(met + 1) - met - 1, met + 1)
+            ahead, behind = np.append(w0, 0), np.append(w1, 0)
+            start = np.where(k == 0, a[of], behind[first[of] + k - 1])
+            end = np.where(k == met[of], b[of], ahead[np.minimum(first[of] + k, len(w0))])
+            open_ = (k == met[of]) & (group[asked] == group[-1])[of] & (x1[asked] > at)[of]
+            kept = (end > start) | ((b <= a) & (met == 0))[of]
+            out = some.take(pa.array(asked[of]))
+            shift = base[asked[of]]
+            for c, values in (("x0", start - shift), ("x1", end - shift)):
+                out = out.set_column(out.schema.get_field_index(c), c, pa.array(values))
+            last = walls[-1:][(group[walls[-1:]] == group[-1]) & (x1[walls[-1:]] > at)]
+            held = pa.concat_tables([some.take(pa.array(last)), out.filter(pa.array(kept & open_))])
+            yield from out.filter(pa.array(kept & ~open_)).select(columns).to_batches()
+        if held is not None:
+            yield from held.filter(pa.array(held["kind"].to_numpy() == 1)).select(columns).to_batches()
+
+    return both.mapInArrow(run, both.select(*columns).schema)
 
 
 def replace_in_region(old: DataFrame, new: DataFrame, box: tuple[int, int, int, int] | None = None, inside: DataFrame | None = None) -> DataFrame:
@@ -165,8 +261,7 @@ def rasterize(regions: DataFrame, height: int, width: int) -> DataFrame:
     pairs = rows.withColumns({"_k": F.row_number().over(w), "_next": F.lead("x").over(w)}).where("_k % 2 = 1 and _next is not null")
     x0, x1 = F.greatest(F.ceil("x"), F.lit(0)), F.least(F.floor("_next") + 1, F.lit(width))
     runs = pairs.select(F.lit("regions").alias("mask_id"), F.col("y").cast("int").alias("y"), x0.cast("int").alias("x0"), x1.cast("int").alias("x1"), "label").where("x1 > x0")
-    pixels = to_pixels(runs).groupBy("mask_id", "y", "x").agg(F.max("label").alias("label"))
-    return to_runs(pixels)
+    return flattened(runs)
 
 
 def windowed(runs: DataFrame, nsize: int) -> DataFrame:

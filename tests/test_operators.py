@@ -930,3 +930,30 @@ def test_overlays_are_blended_in_the_order_of_their_kinds(spark):
             if tx == 0 and y < 4 and typed[y, x] in (1, 2, 4):
                 out[y, x] = 0.5 * out[y, x] + 0.5 * np.array([0, 0.25 * typed[y, x], 1])
         assert np.abs((np.clip(out, 0, 1) * 255).astype(int) - found[tx]).max() <= 1
+
+
+def test_sweeps_over_runs_as_over_pixels(spark):
+    """Overlapping, equal and crossing runs in rows that one chunk of a sweep doesn't hold."""
+    rng = np.random.default_rng(5)
+    n = 12_000
+    y, x0, mask = rng.integers(0, 3, n), rng.integers(0, 9_000, n), rng.integers(0, 2, n)
+    width = np.where(rng.random(n) < 0.01, 3_000, rng.integers(0, 6, n))
+    x0[:400] = 50
+    rows = [(int(m), "FO"[m], int(r), int(a), int(a + w), int(v)) for m, r, a, w, v in zip(mask, y, x0, width, rng.integers(0, 40, n))]
+    df = spark.createDataFrame(rows + rows[:200] * 2, "image_id int, mask_id string, y long, x0 int, x1 int, label int").drop("image_id")
+    want = L.to_runs(L.to_pixels(df).groupBy("mask_id", "y", "x").agg(F.max("label").alias("label")))
+    got = L.flattened(df)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    blocked = np.zeros((3, 13_000), bool)
+    walls = [r for r in rows if r[1] == "O" and r[4] - r[3] < 10]
+    for _, _, r, a, b, _ in walls:
+        blocked[r, a:b] = True
+    own = [r for r in rows + rows[:200] if r[1] == "F"]
+    left = []
+    for _, m, r, a, b, v in own:
+        free = np.flatnonzero(np.diff(np.concatenate([[0], ~blocked[r, a:b], [0]]).astype(int)))
+        left += [(m, r, int(a + s), int(a + e), v) for s, e in free.reshape(-1, 2)]
+    kind = "mask_id string, y long, x0 int, x1 int, label int"
+    cut = L.cut_by(spark.createDataFrame([r[1:] for r in own], kind), spark.createDataFrame([r[1:] for r in walls], kind))
+    assert sorted(tuple(c) for c in cut.collect() if c.x1 > c.x0) == sorted(left)
