@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -20,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histoframe.llm.encoder import slices
-from histoframe.scratch import Scratch
 
 #: The patterns of the base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -34,7 +34,6 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LENGTHS = (16, 20, 24, 32, 48)
 SHORTEST = LENGTHS[0]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-SAMPLE_DOCS = 20_000
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -309,53 +308,50 @@ _PART = re.compile(r"[^/=]{16,}")
 _IDENTIFIER = re.compile(r"[A-Za-z_/-]{6,}")
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, floor: float = 1.0, window_floor: float = 1.0) -> MarkovPair:
-    """Fit the models on labelled samples from about `sample_docs` documents, chosen by a hash of doc_id while scanning.
+def train(docs: DataFrame, floor: float = 1.0, window_floor: float = 1.0) -> MarkovPair:
+    """Fit the models on labelled examples from every document.
 
     Their pattern hits are labelled secrets, beside generated random strings; their words outside these, alone and joined
-    by _, - and / in pairs and threes or in mixed case with a number, are labelled identifiers. At most 40 of each come
-    from a document, evenly over its whole text. Tasks count transitions, and then the identifiers' scores by hundredths;
+    by _, - and / in threes or in mixed case in pairs with a number, are labelled identifiers, from all of each text. Tasks
+    count transitions, and then the identifiers' scores by hundredths;
     only these tables come to the driver. The limit is the 99.9th percentile of the identifiers' scores, `floor` at least;
     those of windows are that of the identifiers' best windows of a length or more, `window_floor` at least.
     """
 
-    parts = 1_000_000
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < parts * sample_docs / max(sample_docs, docs.count())
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[str]]]:
         for batch in batches:
             for some in slices(batch.column(0).to_pylist()):
-                labelled = [_labelled(t) for t in some]
-                tokens = [[x for pair in labelled for x in pair[k]] for k in range(2)]
-                yield pa.RecordBatch.from_pydict({"secret": pa.array([True, False]), "tokens": pa.array(tokens, pa.list_(pa.string()))})
+                pairs = [_labelled(t) for t in some]
+                yield [[x for pair in pairs for x in pair[k]] for k in range(2)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for secret, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = counted(tokens)
-                cells = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_pydict({"secret": pa.array(np.full(len(cells), secret)), "cell": pa.array(cells), "n": pa.array(counts[cells].astype(np.int64))})
-
-    scratch = Scratch(docs.sparkSession, "secret-scan")
-    sample = scratch.table(docs.where(F.col("text").isNotNull() & chosen).select("text").mapInArrow(label, "secret boolean, tokens array<string>"), "labelled")
+        totals = np.zeros((2, WIDTH * WIDTH), np.int64)
+        for both in labelled(batches):
+            for k in range(2):
+                totals[k] += counted(both[k])
+        k, cells = np.nonzero(totals)
+        yield pa.RecordBatch.from_pydict({"secret": pa.array(k == 0), "cell": pa.array(cells), "n": pa.array(totals[k, cells])})
+
+    texts = docs.where(F.col("text").isNotNull()).select("text")
     tables = np.zeros((2, WIDTH * WIDTH), np.int64)
-    for r in sample.mapInArrow(count, "secret boolean, cell long, n long").groupBy("secret", "cell").agg(F.sum("n").alias("n")).collect():  # a table's cells
+    for r in texts.mapInArrow(count, "secret boolean, cell long, n long").groupBy("secret", "cell").agg(F.sum("n").alias("n")).collect():  # a table's cells
         tables[0 if r.secret else 1, r.cell] = r.n
     model = MarkovPair(tables[0] + counted(random_strings(6_000)), tables[1])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for identifiers in batch.column(0).to_pylist():
-                best = model.best_of([x for x in identifiers if len(x) >= SHORTEST])
-                kinds = np.concatenate([np.full(len(identifiers), -1), np.searchsorted(LENGTHS, best[1] - best[0], "right") - 1]).astype(np.int64)
-                steps = np.ceil(np.concatenate([model.score(identifiers), best[2]]) * 100).astype(np.int64)
-                cells, n = np.unique((kinds + 1 << 32) + steps + (1 << 31), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"kind": pa.array((cells >> 32) - 1), "step": pa.array((cells & (1 << 32) - 1) - (1 << 31)), "n": pa.array(n.astype(np.int64))})
-
-    steps = sample.where("not secret").select("tokens").mapInArrow(rate, "kind long, step long, n long").groupBy("kind", "step").agg(F.sum("n").alias("n")).orderBy("step").collect()  # hundredths of a score by length
+        totals: dict[int, int] = {}
+        for _, identifiers in labelled(batches):
+            best = model.best_of([x for x in identifiers if len(x) >= SHORTEST])
+            kinds = np.concatenate([np.full(len(identifiers), -1), np.searchsorted(LENGTHS, best[1] - best[0], "right") - 1]).astype(np.int64)
+            steps = np.ceil(np.concatenate([model.score(identifiers), best[2]]) * 100).astype(np.int64)
+            for cell, n in zip(*(x.tolist() for x in np.unique((kinds + 1 << 32) + steps + (1 << 31), return_counts=True)), strict=True):
+                totals[cell] = totals.get(cell, 0) + n
+        cells, n = np.array(list(totals), np.int64), np.array(list(totals.values()), np.int64)
+        yield pa.RecordBatch.from_pydict({"kind": pa.array((cells >> 32) - 1), "step": pa.array((cells & (1 << 32) - 1) - (1 << 31)), "n": pa.array(n)})
+
+    steps = texts.mapInArrow(rate, "kind long, step long, n long").groupBy("kind", "step").agg(F.sum("n").alias("n")).orderBy("step").collect()  # hundredths of a score by length
     model.limit = _percentile([(r.step, r.n) for r in steps if r.kind < 0], floor)
     model.limits = [_percentile([(r.step, r.n) for r in steps if r.kind >= k], window_floor) for k in range(len(LENGTHS))]
-    scratch.drop("labelled")
     return model
 
 
@@ -379,10 +375,9 @@ def _labelled(text: str) -> tuple[list[str], list[str]]:
             first += 1
         if first == len(covered) or covered[first][0] >= m.end():
             words.append(m[0])
-    words = words[:: max(1, len(words) // 40)]
-    joined_ = [j.join(x) for j, x in zip("_-/_-/" * 7, zip(words, words[1:], words[2:], strict=False), strict=False)]
+    joined_ = [j.join(x) for j, x in zip(itertools.cycle("_-/"), zip(words[::3], words[1::3], words[2::3], strict=False), strict=False)]
     camel = ["".join(w.capitalize() for w in x) + str(len(x[0])) for x in zip(words[::3], words[1::3], strict=False)]
-    return [x for x in secrets if len(x) >= 12][:40], words + joined_ + camel
+    return [x for x in secrets if len(x) >= 12], words + joined_ + camel
 
 
 def find_spans(texts: list[str], model: MarkovPair) -> list[list[tuple[int, int, int]]]:

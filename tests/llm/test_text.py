@@ -367,3 +367,12 @@ def test_language_model_against_dictionaries(spark, docs, nothing, monkeypatch):
     out = [r for i, r in got.items() if held[i]]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
     assert L.score_documents(nothing).count() == 0
+
+
+def test_secret_models_learn_from_all_words_and_secrets():
+    names = ["".join(chr(97 + k // d % 26) for d in (1, 26, 676)) * 2 for k in range(300)]
+    keys = [f"{k:032x}" for k in range(60)]
+    secrets, identifiers = S._labelled(" ".join(names) + "\n" + "\n".join(keys))
+    assert secrets == keys
+    assert set(names) <= set(identifiers)
+    assert sum(x.count("_") + x.count("/") + x.count("-") for x in identifiers) == 2 * 100
