@@ -957,3 +957,11 @@ def test_sweeps_over_runs_as_over_pixels(spark):
     kind = "mask_id string, y long, x0 int, x1 int, label int"
     cut = L.cut_by(spark.createDataFrame([r[1:] for r in own], kind), spark.createDataFrame([r[1:] for r in walls], kind))
     assert sorted(tuple(c) for c in cut.collect() if c.x1 > c.x0) == sorted(left)
+
+
+def test_resize_of_tall_images(spark):
+    rows = spark.createDataFrame([(99_999, 3, 1.5), (0, 0, 2.5)], "y int, x int, value double")
+    got = sorted((r.y, r.x, r.value) for r in I.resize_nearest(rows, 100_000, 4, 50_000, 2).collect())
+    assert got == [(0, 0, 2.5)]
+    rows = spark.createDataFrame([(99_998, 2, 1.5)], "y int, x int, value double")
+    assert [(r.y, r.x) for r in I.resize_nearest(rows, 100_000, 4, 50_000, 2).collect()] == [(49_999, 1)]
