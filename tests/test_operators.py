@@ -965,3 +965,32 @@ def test_resize_of_tall_images(spark):
     assert got == [(0, 0, 2.5)]
     rows = spark.createDataFrame([(99_998, 2, 1.5)], "y int, x int, value double")
     assert [(r.y, r.x) for r in I.resize_nearest(rows, 100_000, 4, 50_000, 2).collect()] == [(49_999, 1)]
+
+
+def test_silhouette_takes_every_row(spark):
+    """More rows than were once sampled: two places, and one row far from its cluster."""
+    df = spark.range(10_500).select(F.col("id").alias("cell_id"), F.array(F.when(F.col("id") == 10_499, 1.0).otherwise((F.col("id") % 2).cast("double"))).alias("vector"))
+    clusters = df.select("cell_id", F.when(F.col("cell_id") == 10_499, 0).otherwise(F.col("cell_id") % 2).cast("int").alias("cluster_id"))
+    found = C.silhouette(df, clusters).first()
+    assert found.n == 10_500
+    a0 = 1 / 5_250  # 5,250 rows at 0 and one at 1 are cluster 0
+    assert found.silhouette == pytest.approx((5_250 * (1 - a0) + 5_249 - 1) / 10_500, abs=1e-9)
+
+
+def test_visits_come_in_bounded_batches(spark, monkeypatch):
+    """Every query visits every cell; no batch holds more than COPIES rows, so a batch of queries isn't copied as a whole."""
+    monkeypatch.setattr(K.Pivots, "first", lambda self, d, need: np.ones(d.shape, bool))
+    monkeypatch.setattr(K, "COPIES", 100)
+    df = spark.createDataFrame([(k, [float(k)]) for k in range(50)], "cell_id long, vector array<double>").coalesce(1)
+    pivots = K.Pivots(np.arange(20.0)[:, None])
+    sizes = []
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_pydict({"cell_id": pa.array(range(50)), "vector": pa.array([[float(k)] for k in range(50)]), "bound": pa.array([None] * 50, pa.float64())})
+            sizes.extend(b.num_rows for b in run(iter([batch])))
+
+    K._visits(Frame(), type("Shared", (), {"value": pivots}), 3)
+    assert sizes == [100] * 10 and df.count() == 50
