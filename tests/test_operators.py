@@ -994,3 +994,37 @@ def test_visits_come_in_bounded_batches(spark, monkeypatch):
 
     K._visits(Frame(), type("Shared", (), {"value": pivots}), 3)
     assert sizes == [100] * 10 and df.count() == 50
+
+
+def test_a_query_is_sent_once_to_a_group_of_cells(spark, monkeypatch):
+    """Where no cell can be ruled out, copies of a query grow with the groups of cells, not with the cells."""
+    monkeypatch.setattr(K, "CELL", 16)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(2000, 40)))], "cell_id long, vector array<double>").repartition(3)
+    dealt, pivots = K.pivots_of(df, Scratch(spark, "groups"))
+    assert len(pivots.points) > 40 and len(set(pivots.groups.tolist())) <= 34 and np.bincount(pivots.groups, pivots.sizes).sum() == 2000
+    shared = spark.sparkContext.broadcast(pivots)
+    visits = K._visits(df.withColumn("bound", F.lit(1e9)), shared, 0)
+    assert visits.count() == 2000 * len(set(pivots.groups.tolist())) == K._visit_counts(df.withColumn("bound", F.lit(1e9)), shared, 0).agg(F.sum("n")).first()[0]
+
+
+@pytest.mark.parametrize("eps", [0.0, 0.7])
+def test_density_clusters_without_a_row_a_pair(spark, monkeypatch, eps):
+    """Counts, core parts and border cells against all pairs, in many cells, blocks and slices."""
+    for name, n in (("CELL", 8), ("BLOCK", 20), ("SLICE", 30), ("ASKED", 7)):
+        monkeypatch.setattr(K, name, n)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(120, 3)), rng.normal(size=(60, 3)) * 0.2 + 6, np.zeros((30, 3)), [[90.0, 0, 0]]])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "cell_id long, vector array<double>").repartition(3)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    near = d <= eps if eps else np.eye(len(x), dtype=bool)
+    assert {r.cell_id: r.n for r in K.reach_counts(df, eps).collect()} == dict(enumerate(near.sum(1).tolist()))
+    core, of = near.sum(1) >= 5, np.arange(len(x))
+    for _ in range(len(x)):
+        of = np.array([of[core & near[k]].min() if core[k] else of[k] for k in range(len(x))])
+    names = {c: n for n, c in enumerate(sorted(set(of[core].tolist())))}
+    want = {}
+    for k in range(len(x)):
+        reach = [names[of[j]] for j in np.flatnonzero(near[k] & core)]
+        want[k] = (names[of[k]], True) if core[k] else (min(reach, default=-1), False)
+    assert {r.cell_id: (r.cluster_id, r.core) for r in K.dbscan(df, eps, 5).collect()} == want
