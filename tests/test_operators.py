@@ -1028,3 +1028,17 @@ def test_density_clusters_without_a_row_a_pair(spark, monkeypatch, eps):
         reach = [names[of[j]] for j in np.flatnonzero(near[k] & core)]
         want[k] = (names[of[k]], True) if core[k] else (min(reach, default=-1), False)
     assert {r.cell_id: (r.cluster_id, r.core) for r in K.dbscan(df, eps, 5).collect()} == want
+
+
+def test_average_cosine_linkage_keeps_no_row_a_pair(spark, monkeypatch):
+    """Many copies, blocks of a few rows: the merges of the table of all pairs, from sizes and sums alone."""
+    for name, n in (("LAST", 8), ("LAST_MEANS", 8), ("BLOCK", 12)):
+        monkeypatch.setattr(linkage_module, name, n)
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.normal(size=(30, 5)), np.repeat(rng.normal(size=(3, 5)), 6, 0)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "cell_id long, vector array<double>").repartition(2)
+    want = {tuple(r[:2]): r.h for d in linkage_module._by_pairs(linkage_module.unit_vectors(df), "average", "cosine", Scratch(spark, "pairs")) for r in d.collect()}
+    monkeypatch.setattr(linkage_module, "_by_pairs", None)
+    got = {tuple(r[:2]): r.h for d in linkage_module._by_sums(linkage_module.unit_vectors(df), "average", Scratch(spark, "sums")) for r in d.collect()}
+    assert sorted(round(h, 9) + 0.0 for h in got.values()) == sorted(round(h, 9) + 0.0 for h in want.values()) and len(got) == len(x) - 1
+    assert C.hierarchical(df, 4, "average", "cosine").select("cluster_id").distinct().count() == 4
