@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from histoframe.operators import runs as L
 from histoframe.operators import tiles as T
 from histoframe.operators.parts import joined_parts, numbered, parts_in_tiles
-from histoframe.operators.planes import plane_of
+from histoframe.operators.planes import each_row, plane_of
 from histoframe.scratch import Scratch
 
 STEP = 1 << 40
@@ -68,13 +68,11 @@ def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray]:
 def _flooded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first round: each tile by itself."""
     for batch in batches:
-        out = []
-        for row in batch.to_pylist():
+        for row in each_row(batch):
             mask, keys = _arrays(row)
             spread(mask, keys, np.flatnonzero(keys.ravel() < FAR))
             own = np.ascontiguousarray(keys[1:-1, 1:-1])
-            out += [row | {"keys": own.tobytes()}, *_news(row, None, own)]
-        yield pa.RecordBatch.from_pylist(out, _SCHEMA)
+            yield pa.RecordBatch.from_pylist([row | {"keys": own.tobytes()}, *_news(row, None, own)], _SCHEMA)
 
 
 def _went_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +87,7 @@ def _went_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     place = ("image_id", "level", "channel_idx", "ty", "tx")
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in each_row(batch):
             if r["kind"] == 0:
                 yield from done()
                 row, front = r, []
@@ -126,10 +124,11 @@ def label_tiles_of(states: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.frombuffer(v, np.int64) for v in batch.column("keys").to_pylist()]
-            pixels = pa.array([np.where(v < FAR, v % STEP, 0).astype("<i8").tobytes() for v in keys], pa.binary())
-            columns = [batch.column(c) for c in _NAMES[:9]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(["int64"] * batch.num_rows), pixels], [*_NAMES[:9], "dtype", "pixels"])
+            for k in range(batch.num_rows):
+                some = batch.slice(k, 1)
+                v = np.frombuffer(some["keys"][0].as_py(), np.int64)
+                pixels = pa.array([np.where(v < FAR, v % STEP, 0).astype("<i8").tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in _NAMES[:9]), pa.array(["int64"]), pixels], [*_NAMES[:9], "dtype", "pixels"])
 
     return states.mapInArrow(run, f"image_id string, level int, channel_idx int, ty int, tx int, {_BOX}, dtype string, pixels binary")
 
@@ -264,7 +263,7 @@ def _lost_cells(tiles: DataFrame, cores: DataFrame) -> DataFrame:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in each_row(batch):
                 p, core = plane_of(r), np.frombuffer(r["_p"], np.int64)
                 names, of = np.unique(p, return_inverse=True)
                 y, x = np.mgrid[r["y0"] : r["y0"] + r["h"], r["x0"] : r["x0"] + r["w"]]
@@ -297,7 +296,7 @@ def expand_separated(tiles: DataFrame, edge: int, distance: int = 6) -> DataFram
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in each_row(batch):
                 p = np.pad(plane_of(r), ((0, 0), (1, 1)))
                 y, x = np.nonzero(np.diff(p, axis=1))
                 same = y[1:] == y[:-1]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from histoframe.operators.planes import PLANE, plane_of
+from histoframe.operators.planes import PLANE, each_row, plane_of
 from histoframe.scratch import Scratch
 
 _SIGN = np.uint64(1 << 63)
@@ -83,7 +83,7 @@ def _digits(tiles: DataFrame, shift: int, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in each_row(batch):
                 bits = ordered_bits(plane_of(r).ravel())
                 before = bits >> np.uint64(shift + size) if asked else np.zeros(len(bits), np.uint64)
                 digit = bits >> np.uint64(shift) & np.uint64((1 << size) - 1)
@@ -136,10 +136,13 @@ def tile_range(tiles: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r["image_id"], r["channel_idx"], plane_of(r).astype(np.float64)) for r in batch.to_pylist()]
-            rows = [(i, c, v[np.isfinite(v)]) for i, c, v in rows]
-            rows = [x for x in rows if x[2].size]
-            yield pa.RecordBatch.from_pydict({"image_id": pa.array([x[0] for x in rows], pa.string()), "channel_idx": pa.array([x[1] for x in rows], pa.int32()), "lo": pa.array([x[2].min() for x in rows], pa.float64()), "hi": pa.array([x[2].max() for x in rows], pa.float64())})
+            rows = []
+            for r in each_row(batch):
+                v = plane_of(r).astype(np.float64)
+                v = v[np.isfinite(v)]
+                if v.size:
+                    rows.append((r["image_id"], r["channel_idx"], v.min(), v.max()))
+            yield pa.RecordBatch.from_pydict({c: pa.array([x[k] for x in rows], t) for k, (c, t) in enumerate((("image_id", pa.string()), ("channel_idx", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64())))})
 
     found = tiles.select(*PLANE, "h", "w", "dtype", "pixels").mapInArrow(run, "image_id string, channel_idx int, lo double, hi double")
     return found.groupBy(*PLANE).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -151,7 +154,7 @@ def tile_histogram(tiles: DataFrame, scratch: Scratch, bins: int = 256) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in each_row(batch):
                 v = plane_of(r).astype(np.float64).ravel()
                 v = v[np.isfinite(v)]
                 width = r["hi"] - r["lo"]

@@ -1042,3 +1042,23 @@ def test_average_cosine_linkage_keeps_no_row_a_pair(spark, monkeypatch):
     got = {tuple(r[:2]): r.h for d in linkage_module._by_sums(linkage_module.unit_vectors(df), "average", Scratch(spark, "sums")) for r in d.collect()}
     assert sorted(round(h, 9) + 0.0 for h in got.values()) == sorted(round(h, 9) + 0.0 for h in want.values()) and len(got) == len(x) - 1
     assert C.hierarchical(df, 4, "average", "cosine").select("cluster_id").distinct().count() == 4
+
+
+def test_tile_tasks_hold_one_tile_at_a_time(monkeypatch):
+    """Tasks over tiles give their results tile by tile, and take no batch of tiles as a whole into Python."""
+    import pyarrow as pa
+
+    plane = np.arange(16, dtype="<f4").reshape(4, 4)
+    row = {"image_id": "i", "level": 0, "channel_idx": 0, "ty": 0, "tx": 0, "y0": 0, "x0": 0, "h": 4, "w": 4, "dtype": "float32", "pixels": plane.tobytes()}
+    batch = pa.RecordBatch.from_pylist([row | {"ty": k, "y0": 4 * k} for k in range(50)])
+
+    class Frame:
+        schema = None
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([batch])))
+
+    for found in (I.map_tiles(Frame(), lambda p, _: p + 1), I.pixel_values(Frame())):
+        assert len(found) == 50 and sum(b.num_rows for b in found) in (50, 800)
+    states = pa.RecordBatch.from_pylist([{k: row.get(k) for k in flooding._NAMES} | {"ty": k, "kind": 0, "mask": np.ones(16, np.uint8).tobytes(), "keys": np.full(16, flooding.FAR, np.int64).tobytes()} for k in range(50)], flooding._SCHEMA)
+    assert [b.num_rows for b in flooding._flooded(iter([states]))] == [1] * 50
