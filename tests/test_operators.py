@@ -454,6 +454,22 @@ def test_nearest_by_pivots_against_all_pairs(spark, monkeypatch, own, block):
     assert K.knn(vectors.limit(3), 7).groupBy("cell_id").count().select("count").distinct().collect()[0][0] == 2
 
 
+def test_knn_looks_at_the_first_few_copies_of_a_vector_only(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.where((np.arange(700) % 7 == 0)[:, None], rng.random((700, 3)), [[0.5, 0.5, 0.5]])  # 600 copies of one vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id long, vector array<double>").repartition(3)
+    held, real = [], K.pivots_of
+    monkeypatch.setattr(K, "pivots_of", lambda vectors, scratch: held.append(vectors.count()) or real(vectors, scratch))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for own in (True, False):
+        want = set()
+        for i in range(len(x)):
+            near = [int(j) for j in np.lexsort([np.arange(len(x)), d[i]]) if own or j != i][:4]
+            want |= {(i, j, r + 1, round(float(d[i, j]), 9)) for r, j in enumerate(near)}
+        assert {(r.cell_id, r.neighbor, r["rank"], round(r.distance, 9)) for r in K.knn(df, 4, include_self=own).collect()} == want
+    assert held == [104, 105]  # 100 vectors of their own, and 4 or 5 copies
+
+
 def test_pivots_rule_cells_out(spark, monkeypatch):
     """Rows that are seen grow far less than with the square of the table, where there is structure."""
     monkeypatch.setattr(K, "CELL", 16)
