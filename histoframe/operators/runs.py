@@ -334,17 +334,29 @@ def jaccard_winner(stats: DataFrame, jaccard: DataFrame, order: DataFrame, keys:
     return after.withColumn("_agreed", agreed).withColumn("_k", place).where("_k = 1").select(*keys, "mask_id", "score")
 
 
-def near_cells(cells: DataFrame, within_masks: bool = False) -> DataFrame:
-    """(a, b): cells of different masks whose centres are within sqrt(area / pi) of the first on both axes: a grid join.
+def near_cells(cells: DataFrame, within_masks: bool = False, left: list[str] | None = None, right: list[str] | None = None) -> DataFrame:
+    """(a_mask, a, b_mask, b): cells of different masks whose centres are within sqrt(area / pi) of the first on both axes: a grid join.
 
-    within_masks: those of one mask too, and each cell with itself.
+    within_masks: those of one mask too, and each cell with itself. left, right: columns of the first and the second cell to
+    return as a_... and b_... in place of the four. The grid of a cell is as coarse as its reach, by powers of two, so it meets
+    two places at most on each axis; every cell is placed once on each grid in use.
     """
-    r = F.sqrt(F.col("area_px") / F.lit(3.141592653589793))
-    edge = 64.0
     keys = images(cells)
-    left = cells.select(*keys, F.col("mask_id").alias("a_mask"), F.col("cell_id").alias("a"), F.col("x_px").alias("ax"), F.col("y_px").alias("ay"), r.alias("r"))
-    for axis, at in (("gx", "ax"), ("gy", "ay")):
-        left = left.withColumn(axis, F.explode(F.sequence(F.floor((F.col(at) - F.col("r")) / edge), F.floor((F.col(at) + F.col("r")) / edge))))
-    right = cells.select(*keys, F.col("mask_id").alias("b_mask"), F.col("cell_id").alias("b"), F.col("x_px").alias("bx"), F.col("y_px").alias("by"), F.floor(F.col("x_px") / edge).alias("gx"), F.floor(F.col("y_px") / edge).alias("gy"))
-    near = left.join(right, [*keys, "gx", "gy"]).where("abs(ax - bx) < r and abs(ay - by) < r").select(*keys, "a_mask", "a", "b_mask", "b")
-    return near if within_masks else near.where("a_mask <> b_mask")
+    r = F.sqrt(F.col("area_px") / F.lit(3.141592653589793))
+    level = F.greatest(F.ceil(F.log2(r * 2)), F.lit(0)).cast("int")
+    ask = cells.where("area_px > 0").select(*keys, F.struct("*").alias("p"), r.alias("r"), level.alias("level"))
+    levels = ask.select("level").distinct()  # a few: by powers of two
+    edge = F.pow(F.lit(2.0), F.col("level"))
+    named = {"a_mask": "p.mask_id", "a": "p.cell_id", "b_mask": "q.mask_id", "b": "q.cell_id"}
+    if left is not None or right is not None:
+        named = {f"a_{c}": f"p.{c}" for c in left or []} | {f"b_{c}": f"q.{c}" for c in right or []}
+    held = {t: sorted({v.split(".")[1] for v in named.values() if v.startswith(t)} | {"mask_id", "x_px", "y_px"}) for t in "pq"}
+    ask = ask.withColumn("p", F.struct(*(F.col(f"p.{c}").alias(c) for c in held["p"])))
+    for axis, at in (("gx", "p.x_px"), ("gy", "p.y_px")):
+        ask = ask.withColumn(axis, F.explode(F.sequence(F.floor((F.col(at) - F.col("r")) / edge), F.floor((F.col(at) + F.col("r")) / edge))))
+    met = cells.select(*keys, F.struct(*held["q"]).alias("q")).crossJoin(F.broadcast(levels))
+    met = met.withColumns({"gx": F.floor(F.col("q.x_px") / edge), "gy": F.floor(F.col("q.y_px") / edge)})
+    near = ask.join(met, [*keys, "level", "gx", "gy"]).where("abs(p.x_px - q.x_px) < r and abs(p.y_px - q.y_px) < r")
+    if not within_masks:
+        near = near.where("p.mask_id <> q.mask_id")
+    return near.select(*keys, *(F.col(v).alias(c) for c, v in named.items()))

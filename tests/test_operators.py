@@ -165,6 +165,30 @@ def test_fusion_against_pixels(spark, merit):
     assert (got == want).all() and (by == method).all() and len(np.unique(want)) > 20
 
 
+def test_fusion_works_out_its_runs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(5)
+    runs = runs_of(spark, ("a", rng.integers(0, 4, (12, 12))), ("b", rng.integers(0, 4, (12, 12)))).persist()
+    order = spark.createDataFrame([("a", 0), ("b", 1)], "mask_id string, ord int")
+    assert fuse_masks(runs.mapInArrow(counted, runs.schema), order, "pop", 4).count() > 0 and seen.value == runs.count()
+
+
+def test_near_cells_of_all_sizes(spark):
+    rng = np.random.default_rng(6)
+    rows = [("ab"[k % 2], k, *map(float, rng.integers(0, 400, 2) / 2), int(4 ** rng.integers(0, 8))) for k in range(300)] + [("a", 300, 5.0, 5.0, 0)]
+    cells = spark.createDataFrame(rows, "mask_id string, cell_id long, y_px double, x_px double, area_px long")
+    want = {(p[1], q[1]) for p in rows for q in rows if max(abs(p[2] - q[2]), abs(p[3] - q[3])) < (p[4] / np.pi) ** 0.5}
+    assert {tuple(r) for r in L.near_cells(cells, True, ["cell_id"], ["cell_id"]).collect()} == want
+    found = L.near_cells(cells).select("a_mask", "a", "b_mask", "b").collect()
+    assert len(found) == len(set(found)) and {(r.a, r.b) for r in found} == {(i, j) for i, j in want if (i + j) % 2 and 300 not in (i, j)} | {(i, j) for i, j in want if 300 in (i, j) and rows[i][0] != rows[j][0]}
+
+
 @pytest.fixture(scope="module")
 def blobs():
     rng = np.random.default_rng(4)
