@@ -1037,6 +1037,27 @@ def test_silhouette_takes_every_row(spark):
     assert found.silhouette == pytest.approx((5_250 * (1 - a0) + 5_249 - 1) / 10_500, abs=1e-9)
 
 
+def test_silhouette_copies_no_row_for_every_block(spark, monkeypatch):
+    """Rows aren't dealt to pairs of blocks; strips against the whole table give the sums of all pairs: copies, lone rows, tight far clusters."""
+    monkeypatch.setattr(C, "pairs_of_blocks", None, raising=False)
+    for name, n in (("COMPARED", 300), ("TOGETHER", 5), ("WIDE", 6)):
+        monkeypatch.setattr(C, name, n)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(60, 4)), np.repeat(rng.normal(size=(4, 4)), 5, 0), 1e6 + rng.normal(size=(40, 4)) * 1e-3])
+    of = np.concatenate([np.arange(60) % 30, np.arange(20) % 3, [40] * 20 + [41] * 19 + [42]])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    means = np.array([[d[k, of == c].sum() / max(1, (of == c).sum() - (c == of[k])) for c in np.unique(of)] for k in range(len(x))])
+    mine = np.unique(of)[None] == of[:, None]
+    a, b = means[mine], np.where(mine, np.inf, means).min(1)
+    s = np.where((of[:, None] == of[None]).sum(1) > 1, (b - a) / np.maximum(a, b), 0)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "cell_id long, vector array<double>").repartition(3)
+    found = C.silhouette(df, spark.createDataFrame(list(enumerate(of.tolist())), "cell_id long, cluster_id int")).first()
+    assert found.n == len(x) and found.silhouette == pytest.approx(s.mean(), abs=1e-9)
+    order = np.argsort(of, kind="stable")
+    blocks = [(of[order[k : k + 7]], np.ones(len(order[k : k + 7]), np.int64), x[order[k : k + 7]]) for k in range(0, len(x), 7)]
+    assert np.allclose(C._silhouettes(of, x, iter(blocks)), s, atol=1e-9)
+
+
 def test_visits_come_in_bounded_batches(spark, monkeypatch):
     """Every query visits every cell; no batch holds more than COPIES rows, so a batch of queries isn't copied as a whole."""
     monkeypatch.setattr(K.Pivots, "first", lambda self, d, need: np.ones(d.shape, bool))
