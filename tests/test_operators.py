@@ -494,6 +494,31 @@ def test_knn_looks_at_the_first_few_copies_of_a_vector_only(spark, monkeypatch):
     assert held == [104, 105]  # 100 vectors of their own, and 4 or 5 copies
 
 
+@pytest.mark.parametrize("spread", [1.0, 1e-7, 1e9])
+def test_knn_without_structure_reads_the_table_in_strips(spark, monkeypatch, spread):
+    """Where no cell can be ruled out, queries aren't dealt to all cells; copies are asked once; the rows are those of all pairs."""
+    real, passes = K._met, []
+    monkeypatch.setattr(K, "_met", lambda *a: passes.append(1) or real(*a))
+    monkeypatch.setattr(K, "CELL", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 40))
+    x[300:400] = x[:100]
+    x[400:420] = x[7]
+    x[450:] = 3 + spread * x[450:]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "cell_id long, vector array<double>").repartition(3)
+    d = np.array([np.sqrt(((x - v) ** 2).sum(1)) for v in x])
+    for own in (False, True):
+        want = {(i, int(j), r + 1) for i in range(500) for r, j in enumerate([j for j in np.lexsort([np.arange(500), d[i]]) if own or j != i][:6])}
+        assert {(r.cell_id, r.neighbor, r["rank"]) for r in K.knn(df, 6, include_self=own).collect()} == want
+    assert len(passes) == 2 or spread != 1.0  # the pass for bounds, for each of both
+    monkeypatch.setattr(K, "ASKED", 30)
+    monkeypatch.setattr(K, "COLUMNS", 17)
+    best = K._Best(x, np.full(500, np.inf), 4)
+    for lo in range(0, 500, 90):
+        best.see(np.arange(lo, min(lo + 90, 500)), x[lo : lo + 90])
+    assert (best.ids == [np.lexsort([np.arange(500), row])[:4] for row in d]).all()
+
+
 def test_pivots_rule_cells_out(spark, monkeypatch):
     """Rows that are seen grow far less than with the square of the table, where there is structure."""
     monkeypatch.setattr(K, "CELL", 16)
@@ -529,6 +554,41 @@ def test_rounds_tell_the_modularity_that_ends_a_level(spark, monkeypatch):
     assert K.communities(edges, 0.5).select("cell_id").distinct().count() == state.count()
 
 
+@pytest.mark.parametrize("refine", [False, True])
+def test_rounds_of_moves_leave_the_links_where_they_are(spark, monkeypatch, refine):
+    """A graph of few enough nodes takes no round of joins; many ranges of nodes, one of them without links, give what one gives."""
+    from histoframe.operators import moves
+
+    rng = np.random.default_rng(11)
+    links = {tuple(sorted(e)): 1.0 for e in rng.integers(0, 120, (500, 2)).tolist() if e[0] != e[1] and (e[0] // 20 == e[1] // 20 or rng.random() < 0.1)}
+    links |= {(200 + k, 200 + k): 1.0 for k in range(30)}
+    graph = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "a long, b long, w double").repartition(3)
+    scores = []
+
+    def plain(found):
+        both = graph.union(graph.where("a <> b").select("b", "a", "w"))
+        return K.modularity(both, spark.createDataFrame(list(found.items()), "node long, c long"), sum(links.values()), 0.7)
+
+    found = []
+    with monkeypatch.context() as m:
+        m.setattr(K, "_settled", None)
+        m.setattr(K, "_refined", None)
+        for nodes in (8, 8_192):
+            m.setattr(moves, "NODES", nodes)
+            found.append({r.cell_id: r.cluster_id for r in K.communities(graph, 0.7, refine).collect()})
+            scores.append(plain(found[-1]))
+    assert found[0] == found[1] and len(found[0]) == len({n for e in links for n in e})
+    assert scores[0] > 0.95 * plain({n: min(n // 20, 6) if n < 200 else n for n in found[0]})  # the groups that links are planted in
+    for c in set(found[0].values()) if refine else ():
+        inside = {n for n in found[0] if found[0][n] == c}
+        reached, todo = set(), [min(inside)]
+        while todo:
+            n = todo.pop()
+            reached.add(n)
+            todo += [m for e in links if n in e for m in e if m in inside and m not in reached]
+        assert reached == inside
+
+
 def test_refined_communities_are_connected_and_no_worse(spark):
     """A ring of cliques, a bad bridge, and random links: Leiden's parts are connected, its modularity isn't below Louvain's."""
     rng = np.random.default_rng(6)
