@@ -1185,6 +1185,22 @@ def test_average_cosine_linkage_keeps_no_row_a_pair(spark, monkeypatch):
     assert C.hierarchical(df, 4, "average", "cosine").select("cluster_id").distinct().count() == 4
 
 
+def test_average_cosine_linkage_searches_only_what_changed(spark, monkeypatch):
+    """Copies are one cluster at once; later rounds ask for clusters that are new or whose nearest has merged; zeros are alike to none."""
+    monkeypatch.setattr(linkage_module, "LAST_MEANS", 6)
+    real, asked = linkage_module._average_nearest, []
+    monkeypatch.setattr(linkage_module, "_average_nearest", lambda clusters, some: asked.append((clusters.count(), some.count())) or real(clusters, some))
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(size=(40, 4)), np.repeat(rng.normal(size=(2, 4)), 10, 0), np.zeros((2, 4))])
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "cell_id long, vector array<double>").repartition(2)
+    merges = [tuple(r) for d in linkage_module._by_sums(linkage_module.unit_vectors(df), "average", Scratch(spark, "sums")) for r in d.collect()]
+    heights = sorted(h for *_, h in linkage_module._merged(list(range(62)), np.ones(62), 1 - u @ u.T, "average"))
+    assert np.allclose(sorted(h for *_, h in merges), heights, atol=1e-9) and len(merges) == 61
+    assert asked[0] == (44, 44) and sum(some for _, some in asked) < 0.8 * sum(n for n, _ in asked)
+    assert np.allclose(sorted(h for *_, h in linkage_module._merged_means(list(range(62)), np.ones(62), u.copy())), heights, atol=1e-9)
+
+
 def test_tile_tasks_hold_one_tile_at_a_time(monkeypatch):
     """Tasks over tiles give their results tile by tile, and take no batch of tiles as a whole into Python."""
     import pyarrow as pa
